@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .projected_knn import op10_projected_knn
 from .recompression import op7_recompression
+from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_suffix_dedup, op7_recompression)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_suffix_dedup, op5_simhash, op7_recompression, op10_projected_knn)}
 
 SQL: dict[str, str] = {}
