@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .decontaminate import op8_decontaminate
 from .language_id import op9_language_id
 from .projected_knn import op10_projected_knn
 from .recompression import op7_recompression
 from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_suffix_dedup, op5_simhash, op7_recompression, op9_language_id, op10_projected_knn)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_suffix_dedup, op5_simhash, op7_recompression, op8_decontaminate, op9_language_id, op10_projected_knn)}
 
 SQL: dict[str, str] = {}
