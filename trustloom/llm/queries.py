@@ -10,7 +10,8 @@ from .recompression import op7_recompression
 from .simhash import op5_simhash
 from .suffix_dedup import op4_suffix_dedup
 from .url_filter import op1_url_filter
+from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op4_suffix_dedup, op5_simhash, op7_recompression, op8_decontaminate, op9_language_id, op10_projected_knn)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_warc, op4_suffix_dedup, op5_simhash, op7_recompression, op8_decontaminate, op9_language_id, op10_projected_knn)}
 
 SQL: dict[str, str] = {}
