@@ -34,8 +34,8 @@ BUCKET_BYTES = 8 << 20
 #: A block is hashed in slices of so many positions, so that a very long text needs little memory.
 SLICE = 1 << 19
 
-BLOCK = "block long, ids array<long>, sizes array<long>, data binary, n_bytes long"
-_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("n_bytes", pa.int64())])
+BLOCK = "block long, ids array<long>, sizes array<long>, data binary, n_bytes long, extra array<string>"
+_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("n_bytes", pa.int64()), ("extra", pa.list_(pa.string()))])
 MESSAGE = "bucket int, block long, n int, keys binary, local binary"
 ANSWER = "block long, kind int, bucket int, n int, bits binary"
 
@@ -47,18 +47,22 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         ids: list[int | None] = []
         sizes: list[int] = []
         parts: list[bytes] = []
+        extra: list[str | None] = []
 
         def block() -> pa.RecordBatch:
             data = b"".join(parts)
-            out = pa.RecordBatch.from_arrays([pa.array([base + seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeeze(data)]), pa.array([len(data)])], schema=_ARROW)
-            for x in (ids, sizes, parts):
+            out = pa.RecordBatch.from_arrays([pa.array([base + seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([squeeze(data)]), pa.array([len(data)]), pa.array([extra], pa.list_(pa.string()))], schema=_ARROW)
+            for x in (ids, sizes, parts, extra):
                 x.clear()
             return out
 
         held = 0
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
+            more = batch.column(2).to_pylist() if batch.num_columns > 2 else None
+            for i, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True)):
                 data = text.as_py()
+                if more:
+                    extra.append(more[i])
                 ids.append(row)
                 sizes.append(-1 if data is None else len(data))
                 parts.append(data or b"")
@@ -72,10 +76,10 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return pack
 
 
-def store(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs as a stored table of blocks (columns BLOCK), bucketed by block."""
+def store(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs as a stored table of blocks (columns BLOCK), bucketed by block; carry: more columns to keep, as JSON."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.to_json(F.struct(*[docs[c] for c in carry])).alias("extra")] if carry else []))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     table = f"blocks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(_pack(block_bytes), BLOCK)

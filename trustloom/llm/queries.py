@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_bpe
 from .decontaminate import op8_decontaminate
 from .language_id import op9_language_id
+from .line_dedup import op6_line_dedup
 from .projected_knn import op10_projected_knn
 from .recompression import op7_recompression
 from .simhash import op5_simhash
@@ -12,6 +13,6 @@ from .suffix_dedup import op4_suffix_dedup
 from .url_filter import op1_url_filter
 from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_warc, op4_suffix_dedup, op5_simhash, op7_recompression, op8_decontaminate, op9_language_id, op10_projected_knn)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_warc, op4_suffix_dedup, op5_simhash, op6_line_dedup, op7_recompression, op8_decontaminate, op9_language_id, op10_projected_knn)}
 
 SQL: dict[str, str] = {}
