@@ -40,11 +40,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicates(docs, shingle=SHINGLE)
     first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    first = scratch.stored(first.select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print"), F.col("root").alias("_root")), "first")
-    # a representative is found by its id; where ids repeat or are null, by its fingerprint too
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    here = docs.withColumn("_key", key).join(first.withColumn("_key", F.coalesce("_id", F.lit(-(1 << 63)))), "_key")
-    return here.filter(simhash.fingerprints("text", SHINGLE) == F.col("_print")).dropDuplicates(["_root"]).select(*docs.columns)
+    first = scratch.stored(first.select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")), "first")
+    # a representative is found by its id and, where ids repeat or are null, its fingerprint
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63))).alias("_key")
+    here = docs.select("*", key("doc_id"), simhash.fingerprints("text", SHINGLE).alias("_print"))
+    return here.join(first.select(key("_id"), "_print"), ["_key", "_print"]).dropDuplicates(["_key", "_print"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
