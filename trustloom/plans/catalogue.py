@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import understanding
+
+QUERIES: dict = {**understanding.QUERIES}
+SQL: dict[str, str] = {**understanding.SQL}
