@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import understanding
+from . import graphs, understanding
 
-QUERIES: dict = {**understanding.QUERIES}
-SQL: dict[str, str] = {**understanding.SQL}
+QUERIES: dict = {**understanding.QUERIES, **graphs.QUERIES}
+SQL: dict[str, str] = {**understanding.SQL, **graphs.SQL}
