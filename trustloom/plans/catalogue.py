@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import graphs, understanding
+from . import graphs, quality, understanding
 
-QUERIES: dict = {**understanding.QUERIES, **graphs.QUERIES}
-SQL: dict[str, str] = {**understanding.SQL, **graphs.SQL}
+_ALL = (understanding, graphs, quality)
+QUERIES: dict = {k: f for m in _ALL for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: s for m in _ALL for k, s in m.SQL.items()}
