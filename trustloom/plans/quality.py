@@ -125,11 +125,11 @@ def issues_missing(spark, sf_dir):
     return Q.missing_values(P.profile_columns(_cells(spark, sf_dir))).select(*_PLAIN)
 
 
-@query(_mismatch)
+@query(f"select dataset, column_name, issue_type, severity from ({_mismatch})")
 def issues_schema(spark, sf_dir):
     """Q4."""
     columns = _columns(spark, _profile(spark, sf_dir))
-    return Q.schema_mismatches(columns, Q.canonical_schemas(columns, REQUIRED)).select(*_PLAIN)
+    return Q.schema_mismatches(columns, Q.canonical_schemas(columns, REQUIRED)).select(*_PLAIN[:4])
 
 
 @query(f"select i.*, s.samples from ({_currency}) i join (select dataset, column_name, string_agg(code, '|' order by code) as samples from (select distinct dataset, column_name, upper(trim(value)) as code from ({_c}) where contains(lower(column_name), 'currency') and upper(trim(value)) not in ({_codes}, '')) group by 1, 2) s on s.dataset = i.dataset and s.column_name = i.column_name")
@@ -177,11 +177,11 @@ def duplicate_texts(spark, sf_dir):
     return Q.duplicates(docs, "documents", ["digest"]).select("dataset", "severity", "affected_rows")
 
 
-@query(f"select * from {_all} where severity in ('error', 'warning')")
+@query(f"select dataset, column_name, issue_type, severity, coalesce(affected_rows, 0) as affected_rows from {_all} where severity in ('error', 'warning')")
 def list_issues(spark, sf_dir):
     """Q10."""
     issues, _, _ = _issues(spark, sf_dir)
-    return Q.list_issues(issues.filter("severity in ('error', 'warning')")).select(*_PLAIN)
+    return Q.list_issues(issues.filter("severity in ('error', 'warning')")).select(*_PLAIN[:4], F.coalesce("affected_rows", F.lit(0)).alias("affected_rows"))
 
 
 _bad = f"(select distinct dataset, column_name, value from ({_c}))"
