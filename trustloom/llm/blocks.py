@@ -37,6 +37,7 @@ SLICE = 1 << 19
 BLOCK = "block long, ids array<long>, sizes array<long>, data binary, n_bytes long, extra array<string>"
 _ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("n_bytes", pa.int64()), ("extra", pa.list_(pa.string()))])
 MESSAGE = "bucket int, block long, n int, keys binary, local binary"
+TAGGED = "kind int, bucket int, block long, n int, keys binary, local binary, tags binary"
 ANSWER = "block long, kind int, bucket int, n int, bits binary"
 
 
@@ -186,6 +187,19 @@ class Keys:
             rows.append((int(b), block, len(keys), keys.tobytes(), np.packbits(self.often[part]).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "local"])
 
+    def tagged(self, block: int, kind: int, tags: np.ndarray | None = None) -> pd.DataFrame:
+        """messages() with a kind; with tags (one for each key), a key is repeated only if it comes with different ones."""
+        out = self.messages(block)
+        out["kind"], out["tags"] = kind, None
+        if tags is not None:
+            t = tags[self.order].astype(np.uint32)
+            low = np.minimum.reduceat(t, self.where) if len(t) else t
+            differ = low != np.maximum.reduceat(t, self.where) if len(t) else np.zeros(0, bool)
+            parts = [slice(a, a + n) for a, n in zip(self.cuts[out["bucket"].to_numpy(int)], out["n"], strict=True)]
+            out["tags"] = [low[p].tobytes() for p in parts]
+            out["local"] = [np.packbits(differ[p]).tobytes() for p in parts]
+        return out[[c.split()[0] for c in TAGGED.split(", ")]]
+
     def answered(self, answers: pd.DataFrame) -> np.ndarray:
         """For each key, in the order given at first: the bit that its range answered."""
         found = np.zeros(len(self.unique), bool)
@@ -212,6 +226,32 @@ def _repeated(kind: int, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return answer
 
 
+def _differing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """As _repeated, but a key's bit is set if it came with different tags."""
+    keys = [np.frombuffer(x, "<u8") for x in pdf["keys"]]
+    local = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["local"], pdf["n"], strict=True)]
+    k, t = np.concatenate(keys), np.concatenate([np.frombuffer(x, "<u4") for x in pdf["tags"]])
+    order = np.lexsort((t, k))
+    s, t = k[order], t[order]
+    mixed = s[1:][(s[1:] == s[:-1]) & (t[1:] != t[:-1])]
+    mixed = np.unique(np.concatenate([mixed, k[np.concatenate(local)]]))
+    bits = []
+    for k in keys:
+        at = np.searchsorted(mixed, k)
+        at[at == len(mixed)] = 0
+        bits.append(np.packbits(mixed[at] == k if len(mixed) else np.zeros(len(k), bool)).tobytes())
+    return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "bucket": pdf["bucket"], "n": pdf["n"], "bits": bits})
+
+
+def repeated_by_kind(messages: DataFrame) -> DataFrame:
+    """Answers to tagged messages of several kinds at once."""
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _differing(pdf) if pdf["tags"].notna().any() else _repeated(int(pdf["kind"].iloc[0]), 8)(pdf)
+
+    return messages.groupBy("kind", "bucket").applyInPandas(answer, ANSWER)
+
+
 def repeated(messages: DataFrame, kind: int, short: bool = False) -> DataFrame:
     """Answers (columns ANSWER): a key's bit is set if it occurs more than once in the corpus."""
     return messages.groupBy("bucket").applyInPandas(_repeated(kind, 4 if short else 8), ANSWER)

@@ -83,7 +83,8 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _near_drops(cand: DataFrame) -> DataFrame:
     """lid, partner: lines that have an earlier near line. cand: lid, words, halves, first (their earliest place)."""
-    emitted = scratch.stored(cand.select("lid", "words", "halves").mapInPandas(_variants, VARIANTS), "variants")
+    n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emitted = scratch.stored(cand.select("lid", "words", "halves").repartition(n).mapInPandas(_variants, VARIANTS), "variants")
     shared = emitted.groupBy("variant").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).filter("a < b").select("variant")
     rows = emitted.join(shared, "variant").join(cand.select("lid", F.struct(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "lid").alias("o")), "lid")
     rows = scratch.stored(rows.select("variant", "pos", "o").withColumn("whole", F.col("pos") == -1), "shared")
@@ -109,41 +110,40 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = B.store(docs, id_col, text_col, carry=rest)
     bits = B.key_bits(table)
 
-    def keys(row):
-        lines, halves = [], []
-        seen = set()
-        for _, _, words in _lines(row):
-            text = " ".join(words)
-            lines.append(xxhash.xxh64_intdigest(text))
-            if len(words) >= min_words and lines[-1] not in seen:
-                seen.add(lines[-1])
-                halves += [_half_key(*h) for h in _halves(words)]
-        return B.Keys(np.asarray(lines, np.uint64), bits), B.Keys(np.asarray(halves, np.uint64), bits), seen
-
-    def ask(kind):
-        return lambda row: keys(row)[kind - 1].messages(row.block)
-
-    answers = scratch.stored(B.repeated(B.each(table, ask(1), B.MESSAGE), 1).unionByName(B.repeated(B.each(table, ask(2), B.MESSAGE), 2)), "lines")
+    def scan(row):
+        """All lines with words: (row, number), text, key; and the half keys of each different long line, in order."""
+        spots, lines, keys, halves, tags, sizes = [], [], [], [], [], {}
+        for r, n, words in _lines(row):
+            line = " ".join(words)
+            key = xxhash.xxh64_intdigest(line)
+            spots.append((r, n))
+            lines.append(line)
+            keys.append(key)
+            if len(words) >= min_words and key not in sizes:
+                own = _halves(words)
+                sizes[key] = (len(halves), [h for h, _ in own])
+                halves += [_half_key(*h) for h in own]
+                tags += [key & 0xFFFFFFFF] * len(own)
+        return spots, lines, keys, sizes, B.Keys(np.asarray(keys, np.uint64), bits), B.Keys(np.asarray(halves, np.uint64), bits), np.asarray(tags, np.uint64)
+
+    def ask(row):
+        *_, lines, halves, tags = scan(row)
+        return pd.concat([lines.tagged(row.block, 1), halves.tagged(row.block, 2, tags)])
+
+    answers = scratch.stored(B.repeated_by_kind(B.each(table, ask, B.TAGGED)), "lines")
 
     def emit(row, said):
-        lines, halves, _ = keys(row)
-        again = lines.answered(said[said.kind == 1])
-        shared = halves.answered(said[said.kind == 2])
-        out, i, j, first = [], 0, 0, {}
-        for r, n, words in _lines(row):
-            text = " ".join(words)
-            own: list[int] = []
-            key = xxhash.xxh64_intdigest(text)
-            if len(words) >= min_words:
-                if key not in first:
-                    sizes = [h for h, _ in _halves(words)]
-                    first[key] = [h for h, s in zip(sizes, shared[j : j + len(sizes)], strict=True) if s]
-                    j += len(sizes)
-                own = first[key]
-            if again[i] or own:
-                doc = row.ids[r]
-                out.append((xxhash.xxh3_128_digest(text), LAST if doc is None or doc != doc else int(doc), n, row.block, r, own, text if own else None))
-            i += 1
+        spots, lines, keys, sizes, by_line, by_half, _ = scan(row)
+        again = by_line.answered(said[said.kind == 1])
+        shared = by_half.answered(said[said.kind == 2])
+        near_by = {key for key, (at, own) in sizes.items() if shared[at : at + len(own)].any()}
+        out = []
+        for i in np.flatnonzero(again | np.fromiter((k in near_by for k in keys), bool, len(keys))).tolist():
+            (r, n), key = spots[i], keys[i]
+            at, own = sizes[key] if key in near_by else (0, [])
+            own = [h for h, s in zip(own, shared[at : at + len(own)], strict=True) if s]
+            doc = row.ids[r]
+            out.append((xxhash.xxh3_128_digest(lines[i]), LAST if doc is None or doc != doc else int(doc), n, row.block, r, own, lines[i] if own else None))
         return pd.DataFrame(out, columns=["lid", "doc", "line", "block", "row", "halves", "words"])
 
     places = scratch.stored(B.meet(table, answers, emit, LINES), "places")
