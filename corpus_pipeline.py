@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trustloom.llm import bpe, decontaminate, language_id, line_dedup, scratch, simhash
 
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 SHINGLE = 5
 
 

@@ -25,6 +25,8 @@ BATCH = 2048
 PAD = 256
 #: Labelled rows that training uses, and bytes of each.
 SAMPLE, SAMPLE_BYTES = 1600, 1536
+#: Passes over the sample, and updates at least: a small sample is gone over more often.
+EPOCHS, STEPS = 4, 400
 LETTER = r"\p{L}"
 
 
@@ -151,13 +153,13 @@ class Network:
             grad[f"{side}x"], grad[f"{side}h"] = gx, gu
         return grad
 
-    def train(self, texts: list[bytes], labels: list[int], epochs: int = 4, rate: float = 0.02, seed: int = 5) -> Network:
+    def train(self, texts: list[bytes], labels: list[int], rate: float = 0.02, seed: int = 5) -> Network:
         x, mask, owner = stretches(texts)
         y = np.asarray(labels)[owner]
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.w.items()}
         square = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step = 0
+        step, epochs = 0, max(EPOCHS, -(-STEPS // max(1, -(-len(x) // 256))))
         for epoch in range(epochs):
             order = rng.permutation(len(x))
             for a in range(0, len(order), 256):
