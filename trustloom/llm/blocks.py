@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .memory import release
 
 BLOCK_BYTES = 4 << 20
 #: Text that one key range stands for; sets the number of key ranges.
@@ -71,6 +72,7 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 if held >= limit:
                     yield block()
                     seq, held = seq + 1, 0
+                    release()
         if ids:
             yield block()
 
@@ -262,6 +264,7 @@ def meet(blocks: DataFrame, answers: DataFrame, work: Callable, schema: str) ->
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = [work(row, right) for row in left.itertuples(index=False)]
+        release()
         return found[0] if len(found) == 1 else pd.concat(found)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
@@ -274,5 +277,6 @@ def each(blocks: DataFrame, work: Callable, schema: str) -> DataFrame:
         for pdf in frames:
             for row in pdf.itertuples(index=False):
                 yield work(row)
+                release()
 
     return blocks.mapInPandas(run, schema)

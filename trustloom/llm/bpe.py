@@ -12,6 +12,7 @@ row. Null ids stay null. Columns other than the two named are not read.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .memory import release
 
 WORDS = "bucket int, block long, n int, words binary"
 CODES = "block long, bucket int, n int, counts binary, ids binary"
@@ -42,6 +44,7 @@ def split(text: str) -> list[str]:
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
@@ -92,6 +95,7 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             words = list(table)[part[0] : part[-1] + 1] if len(part) else []
             for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
                 table[w] = e.ids
+        release()
         counts, ids = [], []
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for words in lists:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .memory import release
 
 ITEMS = 20_000
 STRIDE = 4
@@ -196,7 +197,9 @@ def matches(text_col: str, items: list[tuple[int, str]], similarity: float = 0.8
                 if held >= 4 * _CHUNK:
                     out += index.match(part, similarity)
                     part, held = [], 0
-            yield pd.Series(out + (index.match(part, similarity) if part else []))
+            out += index.match(part, similarity) if part else []
+            release()
+            yield pd.Series(out)
 
     return of(F.col(text_col))
 

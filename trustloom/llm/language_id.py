@@ -13,11 +13,15 @@ source and the id are never inputs of a prediction.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .memory import release
+
 HIDDEN = 8
 STRETCH = 96
 BATCH = 2048
@@ -187,10 +191,9 @@ def stretches(texts: list[bytes], size: int = STRETCH) -> tuple[np.ndarray, np.n
     return x.reshape(-1, size), mask.reshape(-1, size), owner
 
 
-def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
+def pooled(net: Network, texts: Iterable[bytes]) -> np.ndarray:
     """Mean probabilities over all positions of each text, in batches of bounded size."""
-    total, ready = np.zeros((len(texts), len(net.langs))), net.ready()
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    total, ready, lens = [], net.ready(), []
     pending: list[tuple[int, bytes]] = []
 
     def work() -> None:
@@ -200,11 +203,14 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
             real = mask[a : a + BATCH].T
             p = net.positions(np.where(real, x[a : a + BATCH].T, PAD).astype(np.intp), ready)
             p *= real
-            np.add.at(total, ids[a : a + BATCH], p.sum(axis=1).T)
+            for row, share in zip(ids[a : a + BATCH].tolist(), p.sum(axis=1).T, strict=True):
+                total[row] += share
         pending.clear()
 
     held, most = 0, STRETCH * BATCH * 4
     for i, text in enumerate(texts):
+        total.append(np.zeros(len(net.langs)))
+        lens.append(len(text))
         for a in range(0, len(text), most):
             pending.append((i, text[a : a + most]))
             held += -(-len(pending[-1][1]) // STRETCH) * STRETCH
@@ -213,7 +219,7 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
                 held = 0
     if pending:
         work()
-    return total / np.maximum(1, lens)[:, None]
+    return np.asarray(total).reshape(-1, len(net.langs)) / np.maximum(1, np.asarray(lens, np.int64))[:, None]
 
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE) -> Network:
@@ -241,7 +247,8 @@ def predict(docs: DataFrame, net: Network, text_col: str, lang_out: str = "lang_
         net = Network(*packed.value)
         if not net.langs:
             return pd.DataFrame({"lang": "und", "score": 0.0}, index=texts.index)
-        p = pooled(net, [(x or "").encode("utf-8", "replace") for x in texts])
+        p = pooled(net, ((x or "").encode("utf-8", "replace") for x in texts))
+        release()
         best = p.argmax(axis=1)
         return pd.DataFrame({"lang": [net.langs[i] for i in best], "score": np.clip(p.max(axis=1), 0, 1)})
 

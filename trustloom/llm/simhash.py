@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .memory import release
 
 TILE = 8192
 _STRIP = 512
@@ -49,7 +50,9 @@ def fingerprints(text_col: str, shingle: int = 4):
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(x, shingle) for x in texts), np.uint64, len(texts)).view(np.int64))
+        out = np.fromiter((fingerprint(x, shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
+        release()
+        return pd.Series(out)
 
     return of(F.col(text_col))
 
