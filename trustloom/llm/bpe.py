@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,8 @@ from .memory import release
 
 WORDS = "bucket int, block long, n int, words binary"
 CODES = "block long, bucket int, n int, counts binary, ids binary"
+#: Words that the tokenizer gets at once; its answers are far larger than the words.
+ENCODED = 4096
 OUT = "doc_id long, ids binary, n_tokens long, decoded string"
 
 # White space as the tokenizer's pattern engine knows it. str.split() also splits at these four.
@@ -58,14 +61,18 @@ def _pieces(path: str) -> list[str]:
     return [found.id_to_token(i) or "" for i in range(max(found.get_vocab(with_added_tokens=True).values()) + 1)]
 
 
-def _split_block(row) -> tuple[list[list[str]], list[str]]:
+def _texts(row) -> Iterator[list[str]]:
+    """The words of each text of a block, one text at a time: all words of a block at once are many times its bytes."""
     data, offsets = B.texts(row)
-    raw = data.tobytes()
-    texts = [split(raw[a:b].decode("utf-8")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield split(data[a:b].tobytes().decode("utf-8"))
+
+
+def _distinct(row) -> list[str]:
     seen: set[str] = set()
-    for text in texts:
+    for text in _texts(row):
         seen.update(text)
-    return texts, sorted(seen)
+    return sorted(seen)
 
 
 def _ranges(words: list[str], bits: int) -> np.ndarray:
@@ -78,7 +85,7 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     bits = B.key_bits(table)
 
     def distinct(row):
-        words = _split_block(row)[1]
+        words = _distinct(row)
         bucket = _ranges(words, bits)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
@@ -91,8 +98,9 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         expand = zstandard.ZstdDecompressor().decompress
         lists = [expand(x).decode().split(" ") for x in pdf["words"]]
         table = dict.fromkeys(w for words in lists for w in words)
-        for part in np.array_split(np.arange(len(table)), max(1, len(table) // 20_000)):
-            words = list(table)[part[0] : part[-1] + 1] if len(part) else []
+        every = list(table)
+        for a in range(0, len(every), ENCODED):
+            words = every[a : a + ENCODED]
             for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
                 table[w] = e.ids
         release()
@@ -107,7 +115,7 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     codes = B.each(table, distinct, WORDS).groupBy("bucket").applyInPandas(encode, CODES)
 
     def join(row, answers):
-        texts, words = _split_block(row)
+        words = _distinct(row)
         bucket = _ranges(words, bits)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
@@ -125,7 +133,7 @@ def encode_corpus(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     text_of[words[i]] = " ".join([pieces[v] for v in values[a:z]])
                 a = z
         rows = []
-        for i, text in enumerate(texts):
+        for i, text in enumerate(_texts(row)):
             ids = b"".join([ids_of[w] for w in text])
             rows.append((row.ids[i], ids, len(ids) // 4, " ".join([text_of[w] for w in text if w in text_of]) if decode else None))
         return pd.DataFrame(rows, columns=["doc_id", "ids", "n_tokens", "decoded"]).astype({"doc_id": "Int64"})
