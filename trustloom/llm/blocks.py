@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .memory import release
+from .memory import release, small_batches
 
 BLOCK_BYTES = 4 << 20
 #: Text that one key range stands for; sets the number of key ranges.
@@ -82,6 +82,7 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 def store(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs as a stored table of blocks (columns BLOCK), bucketed by block; carry: more columns to keep, as JSON."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.to_json(F.struct(*[docs[c] for c in carry])).alias("extra")] if carry else []))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     table = f"blocks_{uuid.uuid4().hex}"

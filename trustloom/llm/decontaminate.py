@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .memory import release
+from .memory import release, small_batches
 
 ITEMS = 20_000
 STRIDE = 4
@@ -206,6 +206,7 @@ def matches(text_col: str, items: list[tuple[int, str]], similarity: float = 0.8
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "matches", similarity: float = 0.8) -> DataFrame:
     """docs with one more column: the benchmark items that the whole text contains."""
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
     passes = max(1, -(-items.count() // ITEMS))
     columns = []

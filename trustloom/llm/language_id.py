@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .memory import release
+from .memory import release, small_batches
 
 HIDDEN = 8
 STRETCH = 96
@@ -240,6 +240,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE)
 
 def predict(docs: DataFrame, net: Network, text_col: str, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with two more columns: the language with the highest pooled probability, and that probability."""
+    small_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast((net.w, net.langs))  # a few kilobytes
 
     @F.pandas_udf("lang string, score double")

@@ -6,6 +6,11 @@ import ctypes
 import gc
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of whole texts in one Arrow batch; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 try:
     _trim = ctypes.CDLL(None).malloc_trim  # the GNU allocator keeps what it freed unless it is told
@@ -19,3 +24,13 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound an Arrow batch by bytes as well as by rows: it is held on both sides of the pipe, and ten thousand texts are much.
+
+    The session keeps the bound, since results are lazy. A smaller one stays, and so does one written with a unit.
+    """
+    now = spark.conf.get(_BATCH).removesuffix("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
-from .memory import release
+from .memory import release, small_batches
 
 TILE = 8192
 _STRIP = 512
@@ -100,6 +100,7 @@ def links(prints: DataFrame, col: str, radius: int = 4, tile: int = TILE) -> Dat
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (signed), root (a fingerprint that stands for the component), component_id (its smallest id)."""
+    small_batches(docs.sparkSession)
     rows = scratch.stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(text_col, shingle).alias("fingerprint")), "fingerprints")
     prints = scratch.stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     member = components(links(prints, "fingerprint", radius), "a", "b")
