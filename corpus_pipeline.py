@@ -6,7 +6,7 @@ Each stage gets what its predecessor kept and returns the columns of documents,
    among them) go. The network learns from the rows that have a label, on a bounded sample.
 2. line dedup: lines that stand earlier in the corpus, whole or but for one word, go; every document stays, and n_chars is counted anew.
 3. SimHash near-dedup: of each component one document stays, the one with the smallest id (five words a shingle, as for all stages on
-   shingles; radius 4).
+   shingles; two texts are linked if their sets of shingles have a Jaccard similarity of 0.8 at least).
 4. benchmark decontamination: documents that contain a benchmark item, at a similarity of 0.8 or more, go.
 5. BPE encoding and decoding: one row per document with its token ids, their number and the decoded text.
 
@@ -23,6 +23,7 @@ from trustloom.llm import bpe, decontaminate, language_id, line_dedup, scratch,
 
 MIN_SCORE = 0.4
 SHINGLE = 5
+SIMILARITY = 0.8
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs, shingle=SHINGLE)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
-    first = scratch.stored(first.select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")), "first")
-    # a representative is found by its id and, where ids repeat or are null, its fingerprint
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63))).alias("_key")
-    here = docs.select("*", key("doc_id"), simhash.fingerprints("text", SHINGLE).alias("_print"))
-    return here.join(first.select(key("_id"), "_print"), ["_key", "_print"]).dropDuplicates(["_key", "_print"]).select(*docs.columns)
+    return simhash.one_of_each(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

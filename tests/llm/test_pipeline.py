@@ -1,6 +1,7 @@
 """The pipeline's stages, one by one, against plain versions, on the smallest driver documents with some rows added."""
 
 import os
+import random
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_ops import plain_lines, plain_print
-from trustloom.llm import decontaminate, scratch
+from trustloom.llm import decontaminate, scratch, simhash
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -71,6 +72,44 @@ def test_one_of_each(stages):
         assert r.doc_id == min(ids, default=None)
 
 
+def test_one_of_each_takes_edited_copies(spark):
+    """Copies with similarities about 0.8, whose fingerprints differ by more than four bits mostly, as plain Jaccard says."""
+    rnd = random.Random(11)
+    say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    data = []
+    for k in range(40):
+        base = say(rnd.choice((30, 120, 400)))
+        data += [(len(data), " ".join(base)), (len(data) + 1, " ".join(base).upper())]
+        for _ in range(2):
+            own = list(base)
+            for _ in range(max(1, rnd.randrange(len(base) // 30 + 2))):
+                own[rnd.randrange(len(own))] = say(1)[0]
+            data.append((len(data), " ".join(own)))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in data for w in [t.lower().split()]}
+    root = {i: i for i in sets}
+    wide = 0
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                wide += (plain_print(data[i][1], 5) ^ plain_print(data[j][1], 5)).bit_count() > 4
+                root = {k: root[j] if r == root[i] else r for k, r in root.items()}
+    assert wide > 10
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.keep_one_of_each(spark, df, SF).collect()
+    want = {min(i for i in root if root[i] == r) for r in set(root.values())}
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    assert all(data[r.doc_id][1] == r.text for r in got)
+
+
+def test_similar_parts(spark, monkeypatch):
+    """Tiles and parts of a few members give the same as whole ones."""
+    monkeypatch.setattr(simhash, "PART", 3)
+    base = [f"w{i}" for i in range(200)]
+    data = [(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(20)]
+    df = spark.createDataFrame([*data, (50, "other words"), (51, ""), (52, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [0, 50, 51]
+
+
 def test_leaks(spark, stages):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items = decontaminate.Items(bench, 8, 1, 1, 1).items
