@@ -176,6 +176,38 @@ def test_line_dedup(spark):
     assert Counter((r.doc_id, r.text, r.words) for r in got.collect()) == want
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_long_lines_may_differ_in_three_words(spark, monkeypatch):
+    rnd = random.Random(4)
+    data, lines = [], []
+    for i in range(40):
+        w = [f"w{rnd.randrange(500)}" for _ in range(rnd.choice((18, 20, 24, 60)))]
+        lines.append(w)
+        for edits in (1, 2, 3, 4):
+            own = list(w)
+            for _ in range(edits):
+                p, kind = rnd.randrange(len(own)), rnd.randrange(3)
+                own[p : p + (kind < 2)] = [] if kind == 0 else [f"x{rnd.randrange(500)}"]
+            lines.append(own)
+    rnd.shuffle(lines)
+    lines += [["same"] * 30, ["same"] * 32, ["same"] * 34, ["t", *["u"] * 24], ["t", *["u"] * 28]]
+    data = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    gone = {i for i, w in enumerate(lines) if any(plain_distance(v, w) <= (3 if min(len(v), len(w)) >= 20 else 1) for v in lines[:i] if len(set(v) - set(w)) <= 3)}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for part in (line_dedup.PART, 4):
+        monkeypatch.setattr(line_dedup, "PART", part)
+        got = {r.doc_id for r in line_dedup.drop_repeated_lines(df).collect() if r["_n_removed"]}
+        assert got == gone
+
+
 def test_decontaminate(spark):
     rnd = random.Random(2)
     vocab = [f"v{i}" for i in range(300)]

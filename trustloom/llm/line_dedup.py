@@ -1,13 +1,18 @@
 """Near-duplicate lines by a deletion-neighbourhood join; the earliest of each kind stays.
 
 A line is its words. Lines are equal if their words are; lines of at least `min_words` words are also near if one word
-inserted, deleted or replaced makes them equal. A line goes if an equal or near line stands earlier (smaller document id,
+inserted, deleted or replaced makes them equal, and lines of LONG words or more if LONG_EDITS words do. A line goes if an equal or near line stands earlier (smaller document id,
 then smaller line number). Near lines agree on their first or their last half (one edit can't touch both), so only lines that share a half
 with a different line, anywhere in the corpus, emit variants: the half's key with the other half whole and with each of
 its words deleted, hashed to 128 bits. Two lines are near exactly if they share a variant with the same deleted place, or one's whole
 with the other's deletion; both are minima per variant, so a template that thousands of lines fill in makes no pairs. What is found
 is verified by edit distance.
 
+For more than one edit the variants would be too many. Long lines within LONG_EDITS edits share a run of GRAM words, even one of the
+few that are least by hash in each (an edit touches GRAM runs at most). Only lines that share such a run with a different line
+travel, once per shared run; lines that share one are compared in parts of bounded size, the earliest first, by counts of their words and
+then by edit distance. A line emits the first partner found, never all.
+
 Lines without words (blank) always stay. Null and empty texts stay as they are. Lines at the same place, in rows that repeat an
 id, don't count as earlier than each other. Null ids come last. Very long texts and lines are kept whole. Empty tables give empty
 results.
@@ -25,10 +30,17 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import scratch
+from .memory import release
 
 MIN_WORDS = 8
+LONG, LONG_EDITS = 20, 3
+#: LONG - LONG_EDITS untouched words in LONG_EDITS + 1 stretches: one has as many words as this.
+GRAM = 5
+LEAST = GRAM * LONG_EDITS + 1
+#: Lines of one part of those that share a run; rows and bytes that a task compares, about.
+PART, TASK_ROWS, TASK_BYTES = 1024, 20_000, 8 << 20
 LAST = (1 << 63) - 1
-LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, words string"
+LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, grams array<long>, words string"
 VARIANTS = "variant binary, pos int, lid binary"
 
 
@@ -43,14 +55,44 @@ def _half_key(size: int, text: str) -> int:
     return xxhash.xxh64_intdigest(text, seed=size & 0xFFFFFFFF)
 
 
-def near(a: list[str], b: list[str]) -> bool:
-    """Whether one inserted, deleted or replaced word, at most, makes two lines equal."""
-    if abs(len(a) - len(b)) > 1:
+def _within(a: list[str], b: list[str], edits: int) -> bool:
+    if abs(len(a) - len(b)) > edits:
         return False
     n = min(len(a), len(b))
     head = next((i for i in range(n) if a[i] != b[i]), n)
     tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
-    return max(len(a), len(b)) - head - tail <= 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b or edits == 0 or edits == 1:
+        return max(len(a), len(b)) <= edits
+    return _within(a[1:], b[1:], edits - 1) or _within(a[1:], b, edits - 1) or _within(a, b[1:], edits - 1)
+
+
+def near(a: list[str], b: list[str]) -> bool:
+    """Whether so many inserted, deleted or replaced words, at most, as the shorter one's length allows make two lines equal."""
+    return _within(a, b, LONG_EDITS if min(len(a), len(b)) >= LONG else 1)
+
+
+def _grams(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): of each line the LEAST different runs of GRAM words that are least by hash."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(w) for words in lines for w in words), np.uint64, int(size.sum()))
+    end = np.cumsum(size)
+    owner = np.repeat(np.arange(len(lines)), size)
+    start = np.flatnonzero(np.arange(len(h)) + GRAM <= end[owner])
+    key = np.zeros(len(start), np.uint64)
+    for i in range(GRAM):
+        key = B.mix(key * np.uint64(0x9E3779B97F4A7C15) + h[start + i])
+    owner = owner[start]
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    owner, key = owner[new], key[new]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return owner[rank < LEAST], key[rank < LEAST]
 
 
 def _lines(row) -> Iterator[tuple[int, int, list[str]]]:
@@ -104,6 +146,51 @@ def _near_drops(cand: DataFrame) -> DataFrame:
     return both.filter(verified("words", "other")).select("lid", "partner")
 
 
+def _first_partners(pdf: pd.DataFrame) -> list[tuple]:
+    """(lid, partner) of lines that have an earlier near line among these."""
+    pdf = pdf.sort_values(["doc", "line"], kind="stable")
+    place, lids = list(zip(pdf["doc"], pdf["line"], strict=True)), pdf["lid"].tolist()
+    words = [x.split(" ") for x in pdf["words"]]
+    counts = np.zeros((len(words), 64), np.int32)
+    for i, x in enumerate(words):
+        np.add.at(counts[i], np.fromiter((xxhash.xxh64_intdigest(w) & 63 for w in x), np.int64, len(x)), 1)
+    out = []
+    for i in range(1, len(words)):
+        few = np.flatnonzero(np.abs(counts[:i] - counts[i]).sum(axis=1) <= 2 * LONG_EDITS)
+        partner = next((j for j in few.tolist() if place[j] < place[i] and near(words[j], words[i])), None)
+        if partner is not None:
+            out.append((lids[i], lids[partner]))
+    return out
+
+
+def _far_drops(cand: DataFrame) -> DataFrame:
+    """lid: long lines that have an earlier near line. cand: lid, words, grams, first (their earliest place)."""
+    rows = scratch.stored(cand.select("lid", "first.doc", "first.line", "words", F.explode("grams").alias("gram")), "grams")
+    sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
+    large = scratch.stored(sizes.filter(F.col("n") > PART).select("gram", F.ceil(F.col("n") / PART).alias("parts")), "large")
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("size")).first()
+    tasks = max(1, total.n // TASK_ROWS, (total["size"] or 0) // TASK_BYTES)
+    own = F.pmod(F.xxhash64("lid"), "parts")
+    parted = rows.join(large, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    unit = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
+    parted = parted.withColumn("unit", unit).withColumn("task", F.when(F.col("parts") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(tasks))))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        order = pdf["unit"].to_numpy().argsort(kind="stable")
+        pdf = pdf.iloc[order]
+        cuts = np.flatnonzero(np.diff(pdf["unit"].to_numpy())) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True):
+            if b - a > 1:
+                out += _first_partners(pdf.iloc[a:b])
+        release()
+        return pd.DataFrame(out, columns=["lid", "partner"])
+
+    found = parted.select("task", "unit", "lid", "doc", "line", "words").groupBy("task").applyInPandas(compare, "lid binary, partner binary")
+    return found.select("lid").distinct()
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, all columns, with the text rewritten, and _n_lines, _n_removed."""
     rest = [c for c in docs.columns if c != text_col]
@@ -113,6 +200,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def scan(row):
         """All lines with words: (row, number), text, key; and the half keys of each different long line, in order."""
         spots, lines, keys, halves, tags, sizes = [], [], [], [], [], {}
+        long: dict[int, list[str]] = {}
         for r, n, words in _lines(row):
             line = " ".join(words)
             key = xxhash.xxh64_intdigest(line)
@@ -124,31 +212,40 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sizes[key] = (len(halves), [h for h, _ in own])
                 halves += [_half_key(*h) for h in own]
                 tags += [key & 0xFFFFFFFF] * len(own)
-        return spots, lines, keys, sizes, B.Keys(np.asarray(keys, np.uint64), bits), B.Keys(np.asarray(halves, np.uint64), bits), np.asarray(tags, np.uint64)
+                if len(words) >= max(LONG, min_words):
+                    long[key] = words
+        owner, grams = _grams(list(long.values()))
+        who = np.asarray(list(long), np.uint64)[owner]
+        return spots, lines, keys, sizes, B.Keys(np.asarray(keys, np.uint64), bits), B.Keys(np.asarray(halves, np.uint64), bits), np.asarray(tags, np.uint64), B.Keys(grams, bits), grams, who
 
     def ask(row):
-        *_, lines, halves, tags = scan(row)
-        return pd.concat([lines.tagged(row.block, 1), halves.tagged(row.block, 2, tags)])
+        *_, lines, halves, tags, runs, _, who = scan(row)
+        return pd.concat([lines.tagged(row.block, 1), halves.tagged(row.block, 2, tags), runs.tagged(row.block, 3, who & np.uint64(0xFFFFFFFF))])
 
     answers = scratch.stored(B.repeated_by_kind(B.each(table, ask, B.TAGGED)), "lines")
 
     def emit(row, said):
-        spots, lines, keys, sizes, by_line, by_half, _ = scan(row)
+        spots, lines, keys, sizes, by_line, by_half, _, by_run, grams, who = scan(row)
         again = by_line.answered(said[said.kind == 1])
         shared = by_half.answered(said[said.kind == 2])
+        met = by_run.answered(said[said.kind == 3])
+        runs: dict[int, list[int]] = {}
+        for key, gram in zip(who[met].tolist(), grams[met].view(np.int64).tolist(), strict=True):
+            runs.setdefault(key, []).append(gram)
         near_by = {key for key, (at, own) in sizes.items() if shared[at : at + len(own)].any()}
         out = []
-        for i in np.flatnonzero(again | np.fromiter((k in near_by for k in keys), bool, len(keys))).tolist():
+        for i in np.flatnonzero(again | np.fromiter((k in near_by or k in runs for k in keys), bool, len(keys))).tolist():
             (r, n), key = spots[i], keys[i]
             at, own = sizes[key] if key in near_by else (0, [])
             own = [h for h, s in zip(own, shared[at : at + len(own)], strict=True) if s]
             doc = row.ids[r]
-            out.append((xxhash.xxh3_128_digest(lines[i]), LAST if doc is None or doc != doc else int(doc), n, row.block, r, own, lines[i] if own else None))
-        return pd.DataFrame(out, columns=["lid", "doc", "line", "block", "row", "halves", "words"])
+            out.append((xxhash.xxh3_128_digest(lines[i]), LAST if doc is None or doc != doc else int(doc), n, row.block, r, own, runs.get(key, []), lines[i] if own or key in runs else None))
+        return pd.DataFrame(out, columns=["lid", "doc", "line", "block", "row", "halves", "grams", "words"])
 
     places = scratch.stored(B.meet(table, answers, emit, LINES), "places")
-    first = scratch.stored(places.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("words").alias("words"), F.max("halves").alias("halves")), "first")
-    drops = scratch.stored(_near_drops(first.filter("words is not null")), "near")
+    first = scratch.stored(places.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("words").alias("words"), F.max("halves").alias("halves"), F.max("grams").alias("grams")), "first")
+    drops = scratch.stored(_near_drops(first.filter("size(halves) > 0")), "near")
+    drops = drops.select("lid").union(scratch.stored(_far_drops(first.filter("size(grams) > 0")), "far")).distinct()
     verdict = scratch.stored(first.select("lid", "first").join(drops.select("lid", F.lit(True).alias("gone")), "lid", "left"), "verdict")
     gone = places.select("lid", "doc", "line", "block", "row").join(verdict, "lid").filter((F.struct("doc", "line") != F.col("first")) | F.col("gone"))
     cut = gone.groupBy("block").agg(F.collect_list(F.struct("row", "line")).alias("cut"))
@@ -174,6 +271,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every text of documents without the lines that stand earlier, whole or but for one word."""
+    """Every text of documents without the lines that stand earlier, whole or but for a few words."""
     out = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
