@@ -32,7 +32,9 @@ from .memory import release, small_batches
 BLOCK_BYTES = 4 << 20
 #: Text that one key range stands for; sets the number of key ranges.
 BUCKET_BYTES = 8 << 20
-#: A block is hashed in slices of so many positions, so that a very long text needs little memory.
+#: Text that one bucket of a block table stands for, at least, and key ranges that one task answers.
+FILE_BYTES, RANGES_PER_TASK = 32 << 20, 4
+#: A block is hashed in slices of so many positions, which bounds the hashing's arrays (not those with a number per position).
 SLICE = 1 << 19
 
 BLOCK = "block long, ids array<long>, sizes array<long>, data binary, n_bytes long, extra array<string>"
@@ -84,11 +86,28 @@ def store(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None =
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.to_json(F.struct(*[docs[c] for c in carry])).alias("extra")] if carry else []))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return by_block(rows.mapInArrow(_pack(block_bytes), BLOCK), max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE_BYTES))
+
+
+def by_block(rows: DataFrame, n: int | None = None, like: DataFrame | None = None) -> DataFrame:
+    """Write rows with a column block as a table bucketed by it, into n buckets or as many as the table `like` has.
+
+    Tables that are bucketed alike meet without a shuffle. They stay in the catalogue, since results are lazy, until drop_tables().
+    """
+    spark = rows.sparkSession
+    n = n or like._buckets
     table = f"blocks_{uuid.uuid4().hex}"
-    made = rows.mapInArrow(_pack(block_bytes), BLOCK)
-    made.write.format("parquet").option("compression", "none").option("path", scratch.path(spark, "blocks")).bucketBy(n, "block").saveAsTable(table)
-    return spark.table(table)
+    rows.write.format("parquet").option("compression", "none").option("path", scratch.path(spark, "blocks")).bucketBy(n, "block").saveAsTable(table)
+    out = spark.table(table)
+    out._buckets = n
+    return out
+
+
+def drop_tables(spark) -> None:
+    """Take all block tables out of the catalogue, when nothing that was made of them will be read again."""
+    for t in spark.catalog.listTables(pattern="blocks_*"):
+        spark.sql(f"drop table if exists {t.name}")
 
 
 def key_bits(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -97,6 +116,27 @@ def key_bits(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(6, int(total // bucket_bytes).bit_length())
 
 
+def dealt(messages: DataFrame, bits: int) -> DataFrame:
+    """Messages by key range, over tasks whose number grows with that of the key ranges."""
+    n = max(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // RANGES_PER_TASK)
+    return messages.repartition(n, "bucket")
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+
+
+def raw(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def expand(data: bytes, dtype) -> np.ndarray:
+    """The numbers that squeeze() got."""
+    planes = np.frombuffer(raw(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
 def texts(row) -> tuple[np.ndarray, np.ndarray]:
     """A block's bytes, and the offsets of its texts in them (one more than texts)."""
     sizes = np.maximum(np.asarray(row.sizes, np.int64), 0)
@@ -260,6 +300,11 @@ def repeated(messages: DataFrame, kind: int, short: bool = False) -> DataFrame:
     return messages.groupBy("bucket").applyInPandas(_repeated(kind, 4 if short else 8), ANSWER)
 
 
+def shared(messages: DataFrame, bits: int) -> DataFrame:
+    """As repeated(), of 32-bit parts of the keys: a filter, with a set bit more now and then."""
+    return dealt(messages, bits).groupBy("bucket").applyInPandas(_repeated(1, 4), ANSWER)
+
+
 def meet(blocks: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:
     """work(block row, its answers) -> pandas rows, for every block."""
 

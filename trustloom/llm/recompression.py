@@ -1,82 +1,111 @@
 """Removal of long repeated word sequences by recompression.
 
-Every text is a sequence of word symbols. A round first replaces each maximal run of one symbol by a symbol for
-(symbol, run length), then replaces adjacent pairs (x, y) with x in the left and y in the right half of the alphabet. A
-symbol's half is a bit of the symbol itself, and a new symbol is a hash of what it replaces: so names are the same all over
-the corpus without any dictionary passing between tasks, and equal stretches get equal symbols but at their margins.
+Every text is a sequence of symbols, words at first. A Spark round names words: equal words get equal names all over the
+corpus, words that occur once get none (0). Each further round replaces maximal runs of one symbol and then adjacent pairs, a
+symbol of the left half of the alphabet before one of the right half (a symbol's half in a round is a bit of its mixed name). Every block sends each of its
+different (symbol, run length, symbol, run length) once; a key range numbers them, and the names go home. Names are numbers that the range
+deals out, not hashes: two symbols have one name exactly if they stand for the same words. What occurs once gets no name.
+
 With each symbol goes the stretch of words on which it depends (its own, and the neighbours that could have changed
-it). A window of min_words looks for the first symbol of the highest level whose stretch lies inside the window: two equal
-windows find equal symbols at equal offsets. Level 0 has the words themselves, so every window finds one. The symbols found
-are compared over the whole corpus; windows whose symbol is shared are then verified with keys of their min_words words.
+it), so equal stretches have equal symbols inside. A window of min_words with a nameless symbol's stretch inside can't be repeated: it drops out,
+and symbols that lie in no window left drop out after it. So the volume falls from round to round to what repeats. The windows whose
+symbols are all shared are then verified over the whole corpus, exactly, on the names of their words (see windows).
 
 Nulls and empty texts: no words, nothing removed, kept is the empty string. Texts shorter than min_words: nothing
 removed, kept is the words joined by one space. Rows that repeat (same id, same text) are documents of their own and so repeat
-each other. Null ids stay null. Columns other than the two named are not read.
+each other. Null ids stay null. Columns other than the two named are not read. Memory: some fifty bytes for each word of a block, and
+a text longer than a block makes a block of its own.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from . import scratch
+from . import windows as W
 
-LEVELS = 4
+ROUNDS = 3
+#: Bits of a name for the round that gave it.
+ROUND_BITS = 3
 OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
+VOCABULARY = "bucket int, block long, n int, words binary, often binary"
+NAMES = "block long, round int, bucket int, n int, names binary"
+SYMBOLS = "block long, kind int, state array<binary>, bucket int, n int, parts array<binary>, often binary"
+_SYMBOLS = [c.split()[0] for c in SYMBOLS.split(", ")]
+
+
+def texts_of(row) -> list[list[bytes]]:
+    """The words of each text of a block: bytes.split() cuts at exactly the white space that is meant."""
+    data, offsets = B.texts(row)
+    raw = data.tobytes()
+    return [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def name(numbers: np.ndarray, bucket: int, bits: int, round_: int) -> np.ndarray:
+    """Names of all the corpus from the numbers that a key range dealt out (from 1); 0 stays 0."""
+    full = ((numbers.astype(np.int64) << bits) | bucket) << ROUND_BITS | round_
+    return np.where(numbers > 0, full, 0)
+
 
+@dataclass
+class Symbols:
+    """A block's symbols in one round: names, the words [left, right) that each depends on, and which ones start a text."""
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words of a block, and the offsets of its texts in words."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    inside = ~space
-    before = np.concatenate([[False], inside[:-1]])
-    after = np.concatenate([inside[1:], [False]])
-    start = np.flatnonzero(inside & (~before | cut[:-1]))
-    end = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    return start, end, np.searchsorted(start, offsets)
-
-
-def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each word, slice by slice."""
-    out = np.zeros(len(start), np.uint64)
-    a = 0
-    while a < len(start):
-        b = max(a + 1, int(np.searchsorted(end, start[a] + B.SLICE)))
-        running = B.sums(B._BYTE[data[start[a] : end[b - 1]]])
-        out[a:b] = B.span_keys(running, start[a:b] - start[a], end[a:b] - start[a])
-        a = b
-    return out
-
-
-def levels(keys: np.ndarray, offsets: np.ndarray, rounds: int = LEVELS):
-    """For each level: the first and (one past) the last word that a symbol depends on, in order of the text."""
-    n = len(keys)
-    sym, left, right = keys, np.arange(n), np.arange(1, n + 1)
-    first = np.zeros(n, bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    yield left, right
-    for level in range(1, rounds + 1):
-        if not len(sym):
-            break
-        # runs: a symbol stands alone, or its run ends, because its neighbours differ; past the text's ends there is no telling
-        fresh = np.ones(len(sym), bool)
+    sym: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of_words(cls, sym: np.ndarray, offsets: np.ndarray) -> Symbols:
+        first = np.zeros(len(sym), bool)
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        return cls(sym, np.arange(len(sym)), np.arange(1, len(sym) + 1), first)
+
+    def mask(self, alive: np.ndarray, window: int) -> None:
+        """Take the name of symbols that no living window holds whole, and put runs of nameless ones together."""
+        ahead = np.zeros(len(alive) + 1, np.int64)
+        np.cumsum(alive, out=ahead[1:])
+        lo, hi = np.clip(self.right - window, 0, len(alive)), np.minimum(self.left + 1, len(alive))
+        self.sym = np.where((hi > lo) & (ahead[np.maximum(hi, lo)] > ahead[lo]), self.sym, 0)
+
+    def kill(self, alive: np.ndarray, window: int) -> None:
+        """Windows that hold a nameless symbol whole don't live."""
+        lo, hi = np.clip(self.right - window, 0, len(alive)), np.minimum(self.left + 1, len(alive))
+        lo, hi = (x[(self.sym == 0) & (hi > lo)] for x in (lo, hi))
+        steps = np.zeros(len(alive) + 1, np.int32)
+        np.add.at(steps, lo, 1)
+        np.add.at(steps, hi, -1)
+        alive &= np.cumsum(steps[:-1]) == 0
+
+    def joined(self, round_: int) -> tuple[Symbols, np.ndarray, tuple[np.ndarray, ...]]:
+        """The next round's symbols, which of them need a name, and what these stand for; sym still has the old names."""
+        n = len(self.sym)
+        if not n:
+            none = np.zeros(0, np.int64)
+            return self, np.zeros(0, bool), (none,) * 4
+        sym, left, right, first = self.sym, self.left, self.right, self.first
+        # runs: a run ends because its neighbours differ; past the text's ends there is no telling
+        fresh = np.ones(n, bool)
         fresh[1:] = (sym[1:] != sym[:-1]) | first[1:]
         at = np.flatnonzero(fresh)
-        last = np.append(at[1:], len(sym)) - 1
-        size = (last - at + 1).astype(np.uint64)
+        last = np.append(at[1:], n) - 1
+        size = last - at + 1
         ends = np.append(first[1:], True)
         lo = np.where(first[at], left[at] - 1, left[np.maximum(at - 1, 0)])
-        hi = np.where(ends[last], right[last] + 1, right[np.minimum(last + 1, len(sym) - 1)])
-        sym = np.where(size > 1, B.mix(sym[at] + size * np.uint64(0xC2B2AE3D27D4EB4F)), sym[at])
-        left, right, first = lo, hi, first[at]
+        hi = np.where(ends[last], right[last] + 1, right[np.minimum(last + 1, n - 1)])
+        sym, left, right, first = sym[at], lo, hi, first[at]
         # pairs: (x, y) joins if x is in the left half and y in the right one; nothing else can touch either
-        half = ((sym >> np.uint64(17 + level)) & np.uint64(1)).astype(bool)
+        half = (B.mix(sym.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(17 + round_) & np.uint64(1)).astype(bool)
         joins = np.zeros(len(sym), bool)
         joins[:-1] = ~half[:-1] & half[1:] & ~first[1:]
         second = np.zeros(len(sym), bool)
@@ -87,75 +116,220 @@ def levels(keys: np.ndarray, offsets: np.ndarray, rounds: int = LEVELS):
         prev, nxt = np.maximum(at - 1, 0), np.minimum(at + 1, len(sym) - 1)
         lo = np.where(pair | ~half[at], left[at], np.where(first[at], left[at] - 1, left[prev]))
         hi = np.where(pair, right[nxt], np.where(half[at], right[at], np.where(ends[at], right[at] + 1, right[nxt])))
-        sym = np.where(pair, B.mix(sym[at] * np.uint64(0x9FB21C651E98DF25) + sym[nxt]), sym[at])
-        left, right, first = lo, hi, first[at]
-        yield left, right
-
-
-def anchors(keys: np.ndarray, offsets: np.ndarray, window: int, rounds: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all windows in a block, and the key of the symbol (with what it depends on) that each one finds."""
-    start = np.flatnonzero(B.whole(offsets, window, len(keys)))
-    found = np.zeros(len(start), np.uint64)
-    open_ = np.ones(len(start), bool)
-    running = B.sums(keys)
-    for level, (lo, hi) in reversed(list(enumerate(levels(keys, offsets, rounds)))):
-        todo = np.flatnonzero(open_)
-        at = np.searchsorted(lo, start[todo])
-        inside = at < len(lo)
-        at[~inside] = 0
-        inside &= hi[at] <= start[todo] + window if len(lo) else False
-        todo, at = todo[inside], at[inside]
-        found[todo] = B.mix(B.span_keys(running, lo[at], hi[at]) + np.uint64(level))
-        open_[todo] = False
-    return start, found
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35) -> DataFrame:
+        a, run_a = sym[at], size[at]
+        b, run_b = np.where(pair, sym[nxt], 0), np.where(pair, size[nxt], 0)
+        dead = (a == 0) | (pair & (b == 0))
+        new = ~dead & (pair | (run_a > 1))
+        return Symbols(np.where(dead, 0, a), lo, hi, first[at]), new, tuple(x[new] for x in (a, run_a, b, run_b))
+
+
+def _route(parts: tuple[np.ndarray, ...], bits: int) -> np.ndarray:
+    h = np.zeros(len(parts[0]), np.uint64)
+    for x in parts:
+        h = B.mix(h * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64))
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Different:
+    """The different rows of some columns, in order of their key ranges."""
+
+    def __init__(self, parts: tuple[np.ndarray, ...], bits: int):
+        bucket = _route(parts, bits)
+        order = np.lexsort((*reversed(parts), bucket))
+        rows = [x[order] for x in parts]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in rows]) if len(order) else False
+        where = np.flatnonzero(new)
+        self.rows = [x[where] for x in rows]
+        self.often = np.diff(np.append(where, len(order))) > 1
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.cuts = np.searchsorted(bucket[order][where], np.arange((1 << bits) + 1))
+
+    def messages(self, block: int) -> list[tuple]:
+        out = []
+        for b in np.flatnonzero(np.diff(self.cuts)):
+            part = slice(self.cuts[b], self.cuts[b + 1])
+            a, run_a, y, run_y = (x[part] for x in self.rows)
+            parts = [B.squeeze(np.diff(a, prepend=0)), B.squeeze(run_a), B.squeeze(y), B.squeeze(run_y)]
+            out.append((block, 1, None, int(b), len(a), parts, np.packbits(self.often[part]).tobytes()))
+        return out
+
+    def named(self, answers: pd.DataFrame, bits: int, round_: int) -> np.ndarray:
+        found = np.zeros(len(self.often), np.int64)
+        for b, numbers in zip(answers["bucket"].tolist(), answers["names"], strict=True):
+            found[self.cuts[b] : self.cuts[b + 1]] = name(B.expand(numbers, np.uint32), b, bits, round_)
+        return found[self.group]
+
+
+def _numbered(pdf: pd.DataFrame, round_: int, live: np.ndarray, group: np.ndarray) -> pd.DataFrame:
+    """Answers: numbers from 1 of the living groups, in order, for the rows of each message."""
+    numbers = np.where(live, np.cumsum(live), 0).astype(np.uint32)
+    ends = np.cumsum(pdf["n"].to_numpy())
+    names = [B.squeeze(numbers[group[z - n : z]]) for z, n in zip(ends.tolist(), pdf["n"].tolist(), strict=True)]
+    return pd.DataFrame({"block": pdf["block"], "round": round_, "bucket": pdf["bucket"], "n": pdf["n"], "names": names})
+
+
+def _often(pdf: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(pdf["often"], pdf["n"], strict=True)])
+
+
+def name_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One key range of the vocabulary: words that occur more than once are numbered in order."""
+    words = [w for x in pdf["words"] for w in B.raw(x).split(b" ")]
+    known = {w: i for i, w in enumerate(sorted(set(words)))}
+    group = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return _numbered(pdf, 0, np.bincount(group, 1 + _often(pdf), len(known)) > 1, group)
+
+
+def name_symbols(round_: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.concatenate([B.expand(x[i], np.int64) if i else np.cumsum(B.expand(x[0], np.int64)) for x in pdf["parts"]]) for i in range(4)]
+        order = np.lexsort(parts[::-1])
+        rows = [x[order] for x in parts]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in rows])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        return _numbered(pdf, round_, np.bincount(group, 1 + _often(pdf)) > 1, group)
+
+    return numbered
+
+
+def _ordered(words: list[bytes], bits: int) -> tuple[list[bytes], np.ndarray]:
+    """Different words in order of key range and bytes, and the cuts between ranges."""
+    words = sorted(words)
+    bucket = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - bits) for w in words), np.int64, len(words))
+    order = np.argsort(bucket, kind="stable")
+    return [words[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+
+
+def _packed(symbols: Symbols, alive: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """What a block keeps from round to round."""
+    arrays = (symbols.sym, np.diff(symbols.left, prepend=0), symbols.right - symbols.left, symbols.first.astype(np.uint8), np.packbits(alive), words, offsets)
+    return [B.squeeze(np.ascontiguousarray(x)) for x in arrays]
+
+
+def _unpacked(state: list[bytes]) -> tuple[Symbols, np.ndarray, np.ndarray, np.ndarray]:
+    kinds = (np.int64, np.int64, np.int64, np.uint8, np.uint8, np.int64, np.int64)
+    sym, left, size, first, alive, words, offsets = (B.expand(x, k) for x, k in zip(state, kinds, strict=True))
+    left = np.cumsum(left)
+    return Symbols(sym, left, left + size, first.astype(bool)), np.unpackbits(alive, count=len(words)).astype(bool), words, offsets
+
+
+def _squeezed(symbols: Symbols, window: int, alive: np.ndarray, words: np.ndarray) -> tuple[Symbols, np.ndarray]:
+    """Drop what no longer matters: windows with nameless symbols, then names outside all living windows, in words and symbols."""
+    symbols.kill(alive, window)
+    symbols.mask(alive, window)
+    some = np.flatnonzero(alive)
+    runs = W.runs_of(some)
+    return symbols, np.where(W.covered(runs, window, len(words)), words, 0)
+
+
+def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> DataFrame:
+    """block, state: after the rounds, the windows of each block whose symbols are all shared, and the names of their words."""
+    table = docs_blocks
+
+    def vocabulary(row):
+        seen = Counter(w for text in texts_of(row) for w in text)
+        words, cuts = _ordered(list(seen), bits)
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        often = np.fromiter((seen[w] > 1 for w in words), bool, len(words))
+        rows = [(int(b), row.block, int(cuts[b + 1] - cuts[b]), squeeze(b" ".join(words[cuts[b] : cuts[b + 1]])), np.packbits(often[cuts[b] : cuts[b + 1]]).tobytes()) for b in np.flatnonzero(np.diff(cuts))]
+        return pd.DataFrame(rows, columns=["bucket", "block", "n", "words", "often"])
+
+    named = B.dealt(B.each(table, vocabulary, VOCABULARY), bits).groupBy("bucket").applyInPandas(name_words, NAMES)
+
+    def rows_of(block: int, round_: int, symbols: Symbols, alive, words, offsets) -> pd.DataFrame:
+        """The state after a round, and what the next one has to name."""
+        rows = [(block, 0, _packed(symbols, alive, words, offsets), None, None, None, None)]
+        if round_ < rounds:
+            rows += Different(symbols.joined(round_ + 1)[2], bits).messages(block)
+        out = pd.DataFrame(rows, columns=_SYMBOLS)
+        return out.astype({"bucket": "Int32", "n": "Int32"})
+
+    def read(row, answers):
+        texts = texts_of(row)
+        seen: dict[bytes, int] = {}
+        for text in texts:
+            seen.update(dict.fromkeys(text, 0))
+        words, cuts = _ordered(list(seen), bits)
+        at = 0
+        for b, numbers in sorted(zip(answers["bucket"].tolist(), answers["names"], strict=True)):
+            for x in name(B.expand(numbers, np.uint32), b, bits, 0).tolist():
+                seen[words[at]] = x
+                at += 1
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+        ids = np.fromiter((seen[w] for text in texts for w in text), np.int64, int(offsets[-1]))
+        alive = B.whole(offsets, window, len(ids))
+        symbols, ids = _squeezed(Symbols.of_words(ids, offsets), window, alive, ids)
+        return rows_of(row.block, 0, symbols, alive, ids, offsets)
+
+    state = B.by_block(B.meet(table, named, read, SYMBOLS), like=table)
+    for r in range(1, rounds + 1):
+        answers = B.dealt(state.filter("kind = 1").select("bucket", "block", "n", "parts", "often"), bits).groupBy("bucket").applyInPandas(name_symbols(r), NAMES)
+
+        def advance(row, answers, r=r):
+            symbols, alive, words, offsets = _unpacked(row.state)
+            symbols, new, parts = symbols.joined(r)
+            symbols.sym[new] = Different(parts, bits).named(answers, bits, r)
+            symbols, words = _squeezed(symbols, window, alive, words)
+            return rows_of(row.block, r, symbols, alive, words, offsets)
+
+        state = B.by_block(B.meet(state.filter("kind = 0").select("block", "state"), answers, advance, SYMBOLS), like=table)
+    return state.select("block", "state")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, rounds: int = ROUNDS, block_bytes: int = B.BLOCK_BYTES, prime_bits: int = 31) -> DataFrame:
     """One row per document: sizes, the removed runs (word numbers) and the words that are left, joined by one space.
 
-    A word goes if a window of min_words words that covers it starts anywhere else too, in this or another document.
+    A word goes if a window of min_words words that covers it starts anywhere else too, in this or another document. rounds (of
+    runs and pairs, 7 at most) and prime_bits (see windows.Rolling) change the work and not the result.
     """
-    table = B.store(docs, id_col, text_col)
+    if not 0 <= rounds < 1 << ROUND_BITS:
+        raise ValueError("rounds must be 0 to 7")
+    table = B.store(docs, id_col, text_col, block_bytes=block_bytes)
     bits = B.key_bits(table)
+    rolling = W.Rolling(prime_bits)
+    rest = candidates(table, bits, min_words, rounds)
 
-    def parts(row):
-        data, offsets = B.texts(row)
-        start, end, offsets = words(data, offsets)
-        keys = word_keys(data, start, end)
-        return data, start, end, offsets, keys, *anchors(keys, offsets, min_words)
-
-    def symbols(row):
-        return B.Keys(parts(row)[-1], bits).messages(row.block, short=True)
+    def shared(row) -> tuple[np.ndarray, W.Windows]:
+        _, alive, words, offsets = _unpacked(row.state)
+        at = np.flatnonzero(alive)
+        keys = rolling.keys(rolling.of_numbers(words), min_words)[at] if len(at) else np.zeros(0, np.uint64)
+        tags = [words[np.maximum(at - 1, 0)].astype(np.uint64), words[at + min_words - 1].astype(np.uint64)]
+        return words, W.Windows(at, keys, tags, bits, offsets[:-1])
 
-    shared = scratch.stored(B.repeated(B.each(table, symbols, B.MESSAGE), 1, short=True), "symbols")
+    verified = W.judged(B.each(rest, lambda row: shared(row)[1].messages(row.block), W.MESSAGE), bits)
 
-    def candidates(row, answers):
-        data, start, end, offsets, keys, window, found = parts(row)
-        window = window[B.Keys(found, bits).answered(answers[answers.kind == 1])]
-        return data, start, end, offsets, window, B.span_keys(B.sums(keys), window, window + min_words)
+    def settle(row, answers):
+        words, own = shared(row)
+        return own.state(row.block, answers, lambda at: words[at : at + min_words].tobytes())
 
-    def windows(row, answers):
-        return B.Keys(candidates(row, answers)[-1], bits).messages(row.block)
+    state = B.by_block(B.meet(rest, verified, settle, W.STATE), like=table)
 
-    verified = B.repeated(B.meet(table, shared, windows, B.MESSAGE), 2)
+    def contents(row, at):
+        words = _unpacked(row.state)[2]
+        return [words[i : i + min_words].tobytes() for i in at.tolist()]
 
-    def cut(row, answers):
-        data, start, end, offsets, window, keys = candidates(row, answers)
-        window = window[B.Keys(keys, bits).answered(answers[answers.kind == 2])]
-        steps = np.zeros(len(start) + 1, np.int32)
-        np.add.at(steps, window, 1)
-        np.add.at(steps, window + min_words, -1)
-        gone = np.cumsum(steps[:-1]) > 0
-        raw, rows = data.tobytes(), []
-        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+    def cut(row, found):
+        texts = texts_of(row)
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+        runs = np.frombuffer(found["runs"].iloc[0], np.int64).reshape(-1, 2) if len(found) else np.zeros((0, 2), np.int64)
+        gone = W.covered(runs, min_words, int(offsets[-1]))
+        rows = []
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             own = gone[a:b]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-            kept = b" ".join([raw[x:y] for x, y in zip(start[a:b][~own].tolist(), end[a:b][~own].tolist(), strict=True)])
-            rows.append((row.ids[i], b - a, int(own.sum()), [{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)], kept.decode("utf-8", "replace")))
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+            left, at = [], 0
+            for x, y in edge:
+                left += texts[i][at:x]
+                at = y
+            rows.append((row.ids[i], b - a, int(own.sum()), [{"start": x, "end": y} for x, y in edge], b" ".join(left + texts[i][at:]).decode("utf-8", "replace")))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept"])
         return out.astype({"doc_id": "Int64"})
 
-    return B.meet(table, shared.unionByName(verified), cut, OUT)
+    return B.meet(table, W.proved(state, rest, contents, min_words), cut, OUT)
 
 
 def op7_recompression(spark, sf_dir: str) -> DataFrame:
