@@ -133,7 +133,8 @@ def raw(data: bytes) -> bytes:
 
 def expand(data: bytes, dtype) -> np.ndarray:
     """The numbers that squeeze() got."""
-    planes = np.frombuffer(raw(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    planes, width = np.frombuffer(raw(data), np.uint8), np.dtype(dtype).itemsize
+    planes = planes.reshape(width, len(planes) // width)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
