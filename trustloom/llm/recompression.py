@@ -92,7 +92,7 @@ class Symbols:
         n = len(self.sym)
         if not n:
             none = np.zeros(0, np.int64)
-            return self, np.zeros(0, bool), (none,) * 4
+            return Symbols(none, none, none, np.zeros(0, bool)), np.zeros(0, bool), (none,) * 4
         sym, left, right, first = self.sym, self.left, self.right, self.first
         # runs: a run ends because its neighbours differ; past the text's ends there is no telling
         fresh = np.ones(n, bool)
