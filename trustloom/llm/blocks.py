@@ -100,14 +100,25 @@ def by_block(rows: DataFrame, n: int | None = None, like: DataFrame | None = Non
     table = f"blocks_{uuid.uuid4().hex}"
     rows.write.format("parquet").option("compression", "none").option("path", scratch.path(spark, "blocks")).bucketBy(n, "block").saveAsTable(table)
     out = spark.table(table)
-    out._buckets = n
+    out._buckets, out._table = n, table
     return out
 
 
+def _drop(spark, table: str) -> None:
+    at = spark.sql(f"describe table extended {table}").filter("col_name = 'Location'").first()
+    spark.sql(f"drop table if exists {table}")
+    scratch.delete(spark, at.data_type)
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a block table that nothing reads any more: what was made of it has been written."""
+    _drop(table.sparkSession, table._table)
+
+
 def drop_tables(spark) -> None:
-    """Take all block tables out of the catalogue, when nothing that was made of them will be read again."""
+    """Delete all block tables of the catalogue, when no result that was made of them will be read again."""
     for t in spark.catalog.listTables(pattern="blocks_*"):
-        spark.sql(f"drop table if exists {t.name}")
+        _drop(spark, t.name)
 
 
 def key_bits(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

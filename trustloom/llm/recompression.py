@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -197,24 +198,29 @@ def name_symbols(round_: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _ordered(words: list[bytes], bits: int) -> tuple[list[bytes], np.ndarray]:
-    """Different words in order of key range and bytes, and the cuts between ranges."""
-    words = sorted(words)
-    bucket = np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - bits) for w in words), np.int64, len(words))
+    """Different words in order of key range, else as they came, and the cuts between ranges."""
+    bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return [words[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
 
 
 def _packed(symbols: Symbols, alive: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """What a block keeps from round to round."""
-    arrays = (symbols.sym, np.diff(symbols.left, prepend=0), symbols.right - symbols.left, symbols.first.astype(np.uint8), np.packbits(alive), words, offsets)
+    """What a block keeps from round to round; before the first, the symbols are the words."""
+    arrays = [np.packbits(alive), words, offsets]
+    if len(symbols.sym) < len(words) or not np.array_equal(symbols.sym, words):
+        arrays += [symbols.sym, np.diff(symbols.left, prepend=0), symbols.right - symbols.left, symbols.first.astype(np.uint8)]
     return [B.squeeze(np.ascontiguousarray(x)) for x in arrays]
 
 
 def _unpacked(state: list[bytes]) -> tuple[Symbols, np.ndarray, np.ndarray, np.ndarray]:
-    kinds = (np.int64, np.int64, np.int64, np.uint8, np.uint8, np.int64, np.int64)
-    sym, left, size, first, alive, words, offsets = (B.expand(x, k) for x, k in zip(state, kinds, strict=True))
-    left = np.cumsum(left)
-    return Symbols(sym, left, left + size, first.astype(bool)), np.unpackbits(alive, count=len(words)).astype(bool), words, offsets
+    alive, words, offsets, *rest = (B.expand(x, k) for x, k in zip(state, (np.uint8, np.int64, np.int64, np.int64, np.int64, np.int64, np.uint8)))
+    if rest:
+        sym, left, size, first = rest
+        left = np.cumsum(left)
+        symbols = Symbols(sym, left, left + size, first.astype(bool))
+    else:
+        symbols = Symbols.of_words(words, offsets)
+    return symbols, np.unpackbits(alive, count=len(words)).astype(bool), words, offsets
 
 
 def _squeezed(symbols: Symbols, window: int, alive: np.ndarray, words: np.ndarray) -> tuple[Symbols, np.ndarray]:
@@ -227,11 +233,11 @@ def _squeezed(symbols: Symbols, window: int, alive: np.ndarray, words: np.ndarra
 
 
 def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> DataFrame:
-    """block, state: after the rounds, the windows of each block whose symbols are all shared, and the names of their words."""
+    """A block table: after the rounds, the windows of each block whose symbols are all shared, and the names of their words."""
     table = docs_blocks
 
     def vocabulary(row):
-        seen = Counter(w for text in texts_of(row) for w in text)
+        seen = Counter(chain.from_iterable(texts_of(row)))
         words, cuts = _ordered(list(seen), bits)
         squeeze = zstandard.ZstdCompressor(level=3).compress
         often = np.fromiter((seen[w] > 1 for w in words), bool, len(words))
@@ -250,9 +256,7 @@ def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> D
 
     def read(row, answers):
         texts = texts_of(row)
-        seen: dict[bytes, int] = {}
-        for text in texts:
-            seen.update(dict.fromkeys(text, 0))
+        seen = dict.fromkeys(chain.from_iterable(texts), 0)
         words, cuts = _ordered(list(seen), bits)
         at = 0
         for b, numbers in sorted(zip(answers["bucket"].tolist(), answers["names"], strict=True)):
@@ -260,7 +264,7 @@ def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> D
                 seen[words[at]] = x
                 at += 1
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
-        ids = np.fromiter((seen[w] for text in texts for w in text), np.int64, int(offsets[-1]))
+        ids = np.fromiter(map(seen.__getitem__, chain.from_iterable(texts)), np.int64, int(offsets[-1]))
         alive = B.whole(offsets, window, len(ids))
         symbols, ids = _squeezed(Symbols.of_words(ids, offsets), window, alive, ids)
         return rows_of(row.block, 0, symbols, alive, ids, offsets)
@@ -276,8 +280,9 @@ def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> D
             symbols, words = _squeezed(symbols, window, alive, words)
             return rows_of(row.block, r, symbols, alive, words, offsets)
 
-        state = B.by_block(B.meet(state.filter("kind = 0").select("block", "state"), answers, advance, SYMBOLS), like=table)
-    return state.select("block", "state")
+        last, state = state, B.by_block(B.meet(state.filter("kind = 0").select("block", "state"), answers, advance, SYMBOLS), like=table)
+        B.forget(last)
+    return state
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 35, rounds: int = ROUNDS, block_bytes: int = B.BLOCK_BYTES, prime_bits: int = 31) -> DataFrame:
@@ -291,7 +296,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = B.store(docs, id_col, text_col, block_bytes=block_bytes)
     bits = B.key_bits(table)
     rolling = W.Rolling(prime_bits)
-    rest = candidates(table, bits, min_words, rounds)
+    rest = candidates(table, bits, min_words, rounds).select("block", "state")
 
     def shared(row) -> tuple[np.ndarray, W.Windows]:
         _, alive, words, offsets = _unpacked(row.state)

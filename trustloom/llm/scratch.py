@@ -2,7 +2,8 @@
 
 Intermediate results that are read more than once are written below the shared folder that the cluster
 names in ``spark.checkpoint.dir``; a lost executor then costs a re-read, never a recomputation of the
-whole lineage. Where that setting is absent (tests, a laptop) a folder is made once per session.
+whole lineage. Where that setting is absent a folder is made once per session on a local master (tests, a laptop); on a cluster
+that is an error, since executors can't see each other's folders.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def folder(spark: SparkSession) -> str:
     """The shared folder of the session."""
     found = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_DIR} must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(_DIR, found)
     return found.rstrip("/")
@@ -29,6 +32,13 @@ def path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    """Delete what is at a path of any file system that Spark knows."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back."""
     spark, to = df.sparkSession, path(df.sparkSession, name)
