@@ -51,6 +51,51 @@ def test_chi_square():
 
 def test_kd_tree():
     points = np.random.default_rng(2).standard_normal((500, 3))
-    order, cuts = K.kd_tree(points, 20)
+    order, nodes, boxes = K.kd_tree(points, 20)
     assert sorted(order.tolist()) == list(range(500))
-    assert cuts[0] == 0 and cuts[-1] == 500 and all(0 < b - a <= 20 for a, b in zip(cuts, cuts[1:]))
+    leaves = sorted((a, b) for a, b, left, _ in nodes.tolist() if left < 0)
+    assert leaves[0][0] == 0 and leaves[-1][1] == 500 and all(0 < b - a <= 20 for a, b in leaves)
+    assert all(x[1] == y[0] for x, y in zip(leaves, leaves[1:]))
+    for (a, b, _, _), box in zip(nodes.tolist(), boxes):
+        assert (points[order[a:b]] >= box[0]).all() and (points[order[a:b]] <= box[1]).all()
+
+
+def test_cells():
+    points = np.random.default_rng(3).standard_normal((400, 3))
+    points[:150] = points[0]
+    cells = K.Cells(points, 16)
+    at = cells.of(points)
+    assert 4 <= len(cells.boxes) <= 16 and len({*at[:150].tolist()}) == 1
+    for p, c in zip(points, at.tolist()):
+        assert (p >= cells.boxes[c][0]).all() and (p <= cells.boxes[c][1]).all()
+
+
+def test_repeated_rows(spark):
+    """21 rows (1, v) and 27 rows equal in vector: each row is a candidate of its own."""
+    v, w = [0.17, 0.2, -0.3], [0.1, 0.3, 0.1]
+    rows = [(20, v)] + [(1, v)] * 21 + [(100 + i, v) for i in range(27)]
+    got = sorted((r["rank"], r.vec_id) for r in K.largest_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect())
+    assert got == [(i + 1, 1) for i in range(20)]
+    rows = [(20, v), (1, v), (1, v), (1, v), (2, w), (20, w)]
+    got = sorted((r["rank"], r.vec_id, r.score) for r in K.largest_products(spark.createDataFrame(rows[:-1], "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect())
+    assert [(r, i) for r, i, _ in got] == [(1, 1), (2, 1), (3, 1), (4, 2)]
+    assert got[0][2] == sum(x * x for x in v)
+    got = K.largest_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == sorted([(1, 1), (2, 1), (3, 1), (4, 2)] + [(1, 2), (2, 1), (3, 1), (4, 1)])
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_recall_over_many_cells(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in K.largest_products(df, F.col("vec_id") % 20 == 0, block_rows=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 20):
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(got)
