@@ -189,7 +189,7 @@ def test_long_lines_may_differ_in_three_words(spark, monkeypatch):
     rnd = random.Random(4)
     data, lines = [], []
     for i in range(40):
-        w = [f"w{rnd.randrange(500)}" for _ in range(rnd.choice((18, 20, 24, 60)))]
+        w = [f"w{rnd.randrange(500)}" for _ in range(rnd.choice((14, 15, 16, 18, 20, 23, 24, 60)))]
         lines.append(w)
         for edits in (1, 2, 3, 4):
             own = list(w)
@@ -200,7 +200,7 @@ def test_long_lines_may_differ_in_three_words(spark, monkeypatch):
     rnd.shuffle(lines)
     lines += [["same"] * 30, ["same"] * 32, ["same"] * 34, ["t", *["u"] * 24], ["t", *["u"] * 28]]
     data = [(i, " ".join(w)) for i, w in enumerate(lines)]
-    gone = {i for i, w in enumerate(lines) if any(plain_distance(v, w) <= (3 if min(len(v), len(w)) >= 20 else 1) for v in lines[:i] if len(set(v) - set(w)) <= 3)}
+    gone = {i for i, w in enumerate(lines) if any(plain_distance(v, w) <= min(3, min(len(v), len(w)) // 8) for v in lines[:i] if len(set(v) - set(w)) <= 3)}
     df = spark.createDataFrame(data, "doc_id long, text string")
     for part in (line_dedup.PART, 4):
         monkeypatch.setattr(line_dedup, "PART", part)

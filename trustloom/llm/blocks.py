@@ -127,10 +127,10 @@ def key_bits(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(6, int(total // bucket_bytes).bit_length())
 
 
-def dealt(messages: DataFrame, bits: int) -> DataFrame:
+def dealt(messages: DataFrame, bits: int, *more: str) -> DataFrame:
     """Messages by key range, over tasks whose number grows with that of the key ranges."""
     n = max(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // RANGES_PER_TASK)
-    return messages.repartition(n, "bucket")
+    return messages.repartition(n, *more, "bucket")
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -247,7 +247,7 @@ class Keys:
         out = self.messages(block)
         out["kind"], out["tags"] = kind, None
         if tags is not None:
-            t = tags[self.order].astype(np.uint32)
+            t = tags[self.order]
             low = np.minimum.reduceat(t, self.where) if len(t) else t
             differ = low != np.maximum.reduceat(t, self.where) if len(t) else np.zeros(0, bool)
             parts = [slice(a, a + n) for a, n in zip(self.cuts[out["bucket"].to_numpy(int)], out["n"], strict=True)]
@@ -285,7 +285,7 @@ def _differing(pdf: pd.DataFrame) -> pd.DataFrame:
     """As _repeated, but a key's bit is set if it came with different tags."""
     keys = [np.frombuffer(x, "<u8") for x in pdf["keys"]]
     local = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["local"], pdf["n"], strict=True)]
-    k, t = np.concatenate(keys), np.concatenate([np.frombuffer(x, "<u4") for x in pdf["tags"]])
+    k, t = np.concatenate(keys), np.concatenate([np.frombuffer(x, "<u8") for x in pdf["tags"]])
     order = np.lexsort((t, k))
     s, t = k[order], t[order]
     mixed = s[1:][(s[1:] == s[:-1]) & (t[1:] != t[:-1])]
@@ -298,13 +298,13 @@ def _differing(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "kind": pdf["kind"], "bucket": pdf["bucket"], "n": pdf["n"], "bits": bits})
 
 
-def repeated_by_kind(messages: DataFrame) -> DataFrame:
+def repeated_by_kind(messages: DataFrame, bits: int) -> DataFrame:
     """Answers to tagged messages of several kinds at once."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         return _differing(pdf) if pdf["tags"].notna().any() else _repeated(int(pdf["kind"].iloc[0]), 8)(pdf)
 
-    return messages.groupBy("kind", "bucket").applyInPandas(answer, ANSWER)
+    return dealt(messages, bits, "kind").groupBy("kind", "bucket").applyInPandas(answer, ANSWER)
 
 
 def repeated(messages: DataFrame, kind: int, short: bool = False) -> DataFrame:

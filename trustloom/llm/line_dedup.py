@@ -1,17 +1,18 @@
 """Near-duplicate lines by a deletion-neighbourhood join; the earliest of each kind stays.
 
-A line is its words. Lines are equal if their words are; lines of at least `min_words` words are also near if one word
-inserted, deleted or replaced makes them equal, and lines of LONG words or more if LONG_EDITS words do. A line goes if an equal or near line stands earlier (smaller document id,
-then smaller line number). Near lines agree on their first or their last half (one edit can't touch both), so only lines that share a half
+A line is its words. Lines are equal if their words are; they are near if so few words inserted, deleted or replaced make them equal as
+`bound` allows: one for each full WORDS_PER_EDIT words of the shorter line, EDITS at most. A line goes if an equal or near line stands earlier (smaller document id,
+then smaller line number). Lines one edit apart agree on their first or their last half (one edit can't touch both), so only lines that share a half
 with a different line, anywhere in the corpus, emit variants: the half's key with the other half whole and with each of
-its words deleted, hashed to 128 bits. Two lines are near exactly if they share a variant with the same deleted place, or one's whole
+its words deleted, hashed to 124 bits from running sums, so that the work grows with the line and not with its square. Two lines are near exactly if they share a variant with the same deleted place, or one's whole
 with the other's deletion; both are minima per variant, so a template that thousands of lines fill in makes no pairs. What is found
 is verified by edit distance.
 
-For more than one edit the variants would be too many. Long lines within LONG_EDITS edits share a run of GRAM words, even one of the
+For more than one edit the variants would be too many. Such lines share a run of GRAM words, even one of the
 few that are least by hash in each (an edit touches GRAM runs at most). Only lines that share such a run with a different line
-travel, once per shared run; lines that share one are compared in parts of bounded size, the earliest first, by counts of their words and
-then by edit distance. A line emits the first partner found, never all.
+travel, as signatures (parities of word hashes, of which an edit changes two at most), once per shared run; those that share one are compared in parts of bounded size. A
+line emits the earliest and the most alike of the lines that may be near, never all, and these are verified by edit distance. A line that had more
+to offer, and neither verified, is compared with all of them by its words.
 
 Lines without words (blank) always stay. Null and empty texts stay as they are. Lines at the same place, in rows that repeat an
 id, don't count as earlier than each other. Null ids come last. Very long texts and lines are kept whole. Empty tables give empty
@@ -21,6 +22,7 @@ results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,29 +32,82 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import scratch
+from . import windows as W
 from .memory import release
 
-MIN_WORDS = 8
-LONG, LONG_EDITS = 20, 3
-#: LONG - LONG_EDITS untouched words in LONG_EDITS + 1 stretches: one has as many words as this.
+WORDS_PER_EDIT, EDITS = 8, 3
+#: Words of the shortest lines that two edits are allowed for.
+LONG = 2 * WORDS_PER_EDIT
+#: At e edits, e * WORDS_PER_EDIT - e untouched words lie in e + 1 stretches: one has as many words as this.
 GRAM = 5
-LEAST = GRAM * LONG_EDITS + 1
+LEAST = GRAM * EDITS + 1
 #: Lines of one part of those that share a run; rows and bytes that a task compares, about.
 PART, TASK_ROWS, TASK_BYTES = 1024, 20_000, 8 << 20
 LAST = (1 << 63) - 1
-LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, grams array<long>, words string"
+LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, grams array<long>, signs array<long>, words string"
 VARIANTS = "variant binary, pos int, lid binary"
 
 
-def _halves(words: list[str]) -> list[tuple[int, str]]:
-    """(signed size, text) of the stretches that a near line must share one of: positive from the start, negative from the end."""
-    n = len(words)
-    sizes = sorted({n // 2, (n + 1) // 2})
-    return [x for h in sizes for x in ((h, " ".join(words[:h])), (-h, " ".join(words[n - h :])))]
-
-
-def _half_key(size: int, text: str) -> int:
-    return xxhash.xxh64_intdigest(text, seed=size & 0xFFFFFFFF)
+def bound(words: int) -> int:
+    """Edits that are allowed between two lines, by the words of the shorter one."""
+    return min(EDITS, words // WORDS_PER_EDIT)
+
+
+def _halves(n: int) -> list[int]:
+    """Signed sizes of the stretches of n words that a line one edit apart must share one of: positive from the start, negative from the end."""
+    return [x for h in sorted({n // 2, (n + 1) // 2}) for x in (h, -h)]
+
+
+class Hashed:
+    """Some lines by the hashes of their words."""
+
+    def __init__(self, lines: list[list[str]]):
+        self.size = np.fromiter(map(len, lines), np.int64, len(lines))
+        known = dict.fromkeys(chain.from_iterable(lines), 0)
+        known = dict(zip(known, map(xxhash.xxh64_intdigest, known)))
+        self.words = np.fromiter(map(known.__getitem__, chain.from_iterable(lines)), np.uint64, int(self.size.sum()))
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, signed size, key) of all halves: equal halves have equal keys, and keys only choose what is looked at."""
+        n = self.size
+        some, more = n // 2, (n + 1) // 2
+        line = np.concatenate([np.arange(len(n))] * 2 + [np.flatnonzero(some != more)] * 2)
+        odd = some != more
+        size = np.concatenate([some, -some, more[odd], -more[odd]])
+        a = np.where(size > 0, self.start[line], self.end[line] + size)
+        b = np.where(size > 0, self.start[line] + size, self.end[line])
+        key = B.mix(B.span_keys(B.sums(self.words), a, b) + size.astype(np.uint64))
+        order = np.argsort(line, kind="stable")
+        return line[order], size[order], key[order]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key of 44 bits): of each line the LEAST different runs of GRAM words that are least by key."""
+        h, none = self.words, np.zeros(0, np.uint64)
+        if len(h) < GRAM:
+            return none.astype(np.int64), none
+        key = np.zeros(len(h) - GRAM + 1, np.uint64)
+        for i in range(GRAM):
+            key = (key ^ h[i : i + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        key = B.mix(key)
+        owner = np.repeat(np.arange(len(self.size), dtype=np.uint64), self.size)[: len(key)]
+        fits = np.arange(len(key)) + GRAM <= np.repeat(self.end, self.size)[: len(key)]
+        both = np.sort(owner[fits] << np.uint64(44) | key[fits] >> np.uint64(20))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        owner = (both >> np.uint64(44)).astype(np.int64)
+        few = np.arange(len(owner)) - np.searchsorted(owner, owner) < LEAST
+        return owner[few], both[few] << np.uint64(20)
+
+    def signs(self) -> np.ndarray:
+        """Two words of 64 parities for each line: how often, modulo 2, its words' hashes have each residue."""
+        one, out = np.uint64(1), np.zeros((len(self.size), 2), np.uint64)
+        full = np.flatnonzero(self.size)
+        for i in range(2 if len(full) else 0):
+            bits = one << (self.words >> np.uint64(6 * i) & np.uint64(63))
+            out[full, i] = np.bitwise_xor.reduceat(bits, self.start[full])
+        return out
 
 
 def _within(a: list[str], b: list[str], edits: int) -> bool:
@@ -69,30 +124,7 @@ def _within(a: list[str], b: list[str], edits: int) -> bool:
 
 def near(a: list[str], b: list[str]) -> bool:
     """Whether so many inserted, deleted or replaced words, at most, as the shorter one's length allows make two lines equal."""
-    return _within(a, b, LONG_EDITS if min(len(a), len(b)) >= LONG else 1)
-
-
-def _grams(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): of each line the LEAST different runs of GRAM words that are least by hash."""
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    if not len(size):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(w) for words in lines for w in words), np.uint64, int(size.sum()))
-    end = np.cumsum(size)
-    owner = np.repeat(np.arange(len(lines)), size)
-    start = np.flatnonzero(np.arange(len(h)) + GRAM <= end[owner])
-    key = np.zeros(len(start), np.uint64)
-    for i in range(GRAM):
-        key = B.mix(key * np.uint64(0x9E3779B97F4A7C15) + h[start + i])
-    owner = owner[start]
-    order = np.lexsort((key, owner))
-    owner, key = owner[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    owner, key = owner[new], key[new]
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    return owner[rank < LEAST], key[rank < LEAST]
+    return _within(a, b, bound(min(len(a), len(b))))
 
 
 def _lines(row) -> Iterator[tuple[int, int, list[str]]]:
@@ -106,21 +138,52 @@ def _lines(row) -> Iterator[tuple[int, int, list[str]]]:
                 yield i, n, words
 
 
+_ROLL = W.Rolling(31, 23), W.Rolling(31, 29)
+
+
+def _deleted(other: Hashed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, deleted place or -1, 124 bits as four numbers): each sequence whole and without each of its words, in linear time."""
+    n, p = len(other.words), np.uint64(_ROLL[0].prime)
+    owner = np.repeat(np.arange(len(other.size)), other.size)
+    at, start, end = np.arange(n), other.start[owner], other.end[owner]
+    parts = []
+    for roll in _ROLL:
+        for base, v in zip(roll.bases, roll.of_numbers(other.words), strict=True):
+            up, down = roll.powers(base, n + 1), roll.powers(pow(base, -1, roll.prime), n + 2)
+            x = v * up[:n]
+            running = np.zeros(n + 1, np.uint64)
+            np.cumsum((x & p) + (x >> np.uint64(31)), out=running[1:])
+            head = (running[at] - running[start]) % p * down[start] % p
+            tail = (running[end] - running[at + 1]) % p * down[start + 1] % p
+            whole = (running[other.end] - running[other.start]) % p * down[other.start] % p
+            parts.append(np.concatenate([whole, (head + tail) % p]).astype(np.uint32))
+    return np.concatenate([np.arange(len(other.size)), owner]), np.concatenate([np.full(len(other.size), -1), at - start]), np.stack(parts, axis=1)
+
+
 def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     digest = xxhash.xxh3_128_digest
+
+    def made(lids: list, kept: list, other: list) -> pd.DataFrame:
+        owner, place, key = _deleted(Hashed(other))
+        key ^= np.frombuffer(b"".join(kept), np.uint32).reshape(-1, 4)[owner]
+        raw = key.tobytes()
+        return pd.DataFrame({"variant": [raw[i : i + 16] for i in range(0, len(raw), 16)], "pos": place.astype(np.int32), "lid": [lids[i] for i in owner.tolist()]})
+
     for pdf in frames:
-        out: list[tuple] = []
+        lids, kept, other, held = [], [], [], 0
         for lid, text, halves in zip(pdf["lid"], pdf["words"], pdf["halves"], strict=True):
             words = text.split(" ")
             for size in halves:
-                kept, other = (words[:size], words[size:]) if size > 0 else (words[size:], words[:size])
-                base = f"{size} {' '.join(kept)}\n"
-                out.append((digest(base + " ".join(other)), -1, lid))
-                out += [(digest(base + " ".join(other[:i] + other[i + 1 :])), i, lid) for i in range(len(other))]
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["variant", "pos", "lid"])
-                out = []
-        yield pd.DataFrame(out, columns=["variant", "pos", "lid"])
+                own, rest = (words[:size], words[size:]) if size > 0 else (words[size:], words[:size])
+                lids.append(lid)
+                kept.append(digest(f"{size} {' '.join(own)}"))
+                other.append(rest)
+                held += len(rest)
+            if held > 50_000:
+                yield made(lids, kept, other)
+                lids, kept, other, held = [], [], [], 0
+        if lids:
+            yield made(lids, kept, other)
 
 
 def _near_drops(cand: DataFrame) -> DataFrame:
@@ -136,114 +199,145 @@ def _near_drops(cand: DataFrame) -> DataFrame:
     cuts = rows.filter("not whole").join(place, ["variant", "pos"]).join(least, "variant").select("o", F.least(earlier("same"), earlier("self")).alias("p"))
     wholes = rows.filter("whole").join(least, "variant").select("o", earlier("cut").alias("p"))
     found = cuts.union(wholes).filter("p is not null").groupBy(F.col("o.lid").alias("lid")).agg(F.min("p").alias("p")).select("lid", F.col("p.lid").alias("partner"))
+    return _verified(found, cand)
+
+
+def _verified(found: DataFrame, cand: DataFrame) -> DataFrame:
+    """The rows (lid, partner) of found whose lines are near by edit distance."""
 
     @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+    def holds(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([near(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     texts = cand.select("lid", "words")
     both = found.join(texts, "lid").join(texts.select(F.col("lid").alias("partner"), F.col("words").alias("other")), "partner")
-    return both.filter(verified("words", "other")).select("lid", "partner")
+    return both.filter(holds("words", "other")).select("lid", "partner")
 
 
-def _first_partners(pdf: pd.DataFrame) -> list[tuple]:
-    """(lid, partner) of lines that have an earlier near line among these."""
+def _compared(pdf: pd.DataFrame) -> list[tuple]:
+    """(lid, partner, sure) of the lines that ask: the earliest and the most alike of the earlier lines that may be near, and whether these are all.
+
+    With words, the partner is verified and sure.
+    """
     pdf = pdf.sort_values(["doc", "line"], kind="stable")
-    place, lids = list(zip(pdf["doc"], pdf["line"], strict=True)), pdf["lid"].tolist()
-    words = [x.split(" ") for x in pdf["words"]]
-    counts = np.zeros((len(words), 64), np.int32)
-    for i, x in enumerate(words):
-        np.add.at(counts[i], np.fromiter((xxhash.xxh64_intdigest(w) & 63 for w in x), np.int64, len(x)), 1)
+    doc, line, size = (pdf[c].to_numpy(np.int64) for c in ("doc", "line", "size"))
+    signs = np.stack(pdf["signs"]).view(np.uint64)
+    lids, asks = pdf["lid"].tolist(), pdf["asks"].to_numpy(bool)
+    words = [x.split(" ") for x in pdf["words"]] if "words" in pdf else None
+    # lines at the same place don't count as earlier than each other
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
+    before = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     out = []
-    for i in range(1, len(words)):
-        few = np.flatnonzero(np.abs(counts[:i] - counts[i]).sum(axis=1) <= 2 * LONG_EDITS)
-        partner = next((j for j in few.tolist() if place[j] < place[i] and near(words[j], words[i])), None)
-        if partner is not None:
-            out.append((lids[i], lids[partner]))
+    for i in np.flatnonzero(asks & (before > 0)).tolist():
+        n = before[i]
+        allowed = np.minimum(EDITS, np.minimum(size[:n], size[i]) // WORDS_PER_EDIT)
+        away = np.bitwise_count(signs[:n] ^ signs[i])
+        few = np.flatnonzero((away <= 2 * allowed[:, None]).all(axis=1) & (np.abs(size[:n] - size[i]) <= allowed))
+        if words is not None:
+            few = [j for j in few.tolist() if near(words[j], words[i])][:1]
+            out += [(lids[i], lids[j], True) for j in few]
+        elif len(few):
+            best = {int(few[0]), int(few[np.argmin(away[few].sum(axis=1, dtype=np.int64))])}
+            out += [(lids[i], lids[j], len(few) == len(best)) for j in sorted(best)]
     return out
 
 
-def _far_drops(cand: DataFrame) -> DataFrame:
-    """lid: long lines that have an earlier near line. cand: lid, words, grams, first (their earliest place)."""
-    rows = scratch.stored(cand.select("lid", "first.doc", "first.line", "words", F.explode("grams").alias("gram")), "grams")
+def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
+    """lid, partner, sure among lines that share a run (gram, lid, doc, line, size, signs, asks and, to verify at once, words)."""
     sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
     large = scratch.stored(sizes.filter(F.col("n") > PART).select("gram", F.ceil(F.col("n") / PART).alias("parts")), "large")
-    total = rows.agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("size")).first()
-    tasks = max(1, total.n // TASK_ROWS, (total["size"] or 0) // TASK_BYTES)
+    tasks = max(1, rows.count() // TASK_ROWS, n_bytes // TASK_BYTES)
     own = F.pmod(F.xxhash64("lid"), "parts")
     parted = rows.join(large, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
     parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    unit = F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other"))
-    parted = parted.withColumn("unit", unit).withColumn("task", F.when(F.col("parts") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(tasks))))
+    pair = F.struct("gram", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    parted = parted.withColumn("unit", F.xxhash64(pair)).withColumn("task", F.when(F.col("parts") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(tasks))))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        order = pdf["unit"].to_numpy().argsort(kind="stable")
-        pdf = pdf.iloc[order]
+        pdf = pdf.iloc[pdf["unit"].to_numpy().argsort(kind="stable")]
         cuts = np.flatnonzero(np.diff(pdf["unit"].to_numpy())) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True):
             if b - a > 1:
-                out += _first_partners(pdf.iloc[a:b])
+                out += _compared(pdf.iloc[a:b])
         release()
-        return pd.DataFrame(out, columns=["lid", "partner"])
+        return pd.DataFrame(sorted(set(out)), columns=["lid", "partner", "sure"])
 
-    found = parted.select("task", "unit", "lid", "doc", "line", "words").groupBy("task").applyInPandas(compare, "lid binary, partner binary")
-    return found.select("lid").distinct()
+    return parted.drop("gram", "parts", "own", "other").groupBy("task").applyInPandas(compare, "lid binary, partner binary, sure boolean")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _far_drops(cand: DataFrame) -> DataFrame:
+    """lid: long lines that have an earlier near line. cand: lid, words, grams, signs, first (their earliest place)."""
+    rows = cand.select(F.explode("grams").alias("gram"), "lid", "first.doc", "first.line", (F.size(F.split("words", " "))).alias("size"), "signs", F.lit(True).alias("asks"))
+    rows = scratch.stored(rows, "grams")
+    found = _partners(rows, 0).groupBy("lid", "partner").agg(F.min("sure").alias("sure"))
+    found = scratch.stored(found, "found")
+    sure = scratch.stored(_verified(found.select("lid", "partner"), cand).select("lid").distinct(), "sure")
+    rest = scratch.stored(found.filter("not sure").select("lid").distinct().join(sure, "lid", "left_anti"), "rest")
+    if rest.isEmpty():
+        return sure
+    # lines that had more to offer than what was tried: their runs again, with words
+    asking = rows.drop("asks").join(rest.withColumn("asks", F.lit(True)), "lid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    runs = asking.filter("asks").select("gram").distinct()
+    worded = scratch.stored(asking.join(runs, "gram").join(cand.select("lid", "words"), "lid"), "worded")
+    n_bytes = worded.agg(F.sum(F.length("words"))).first()[0] or 0
+    return sure.union(_partners(worded, n_bytes).select("lid")).distinct()
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with the text rewritten, and _n_lines, _n_removed."""
     rest = [c for c in docs.columns if c != text_col]
     table = B.store(docs, id_col, text_col, carry=rest)
     bits = B.key_bits(table)
 
     def scan(row):
-        """All lines with words: (row, number), text, key; and the half keys of each different long line, in order."""
-        spots, lines, keys, halves, tags, sizes = [], [], [], [], [], {}
-        long: dict[int, list[str]] = {}
+        """All lines with words: (row, number), text, key; and of each different one that may be near another: halves, runs, signatures."""
+        spots, lines, keys = [], [], []
+        some: dict[int, list[str]] = {}
         for r, n, words in _lines(row):
             line = " ".join(words)
             key = xxhash.xxh64_intdigest(line)
             spots.append((r, n))
             lines.append(line)
             keys.append(key)
-            if len(words) >= min_words and key not in sizes:
-                own = _halves(words)
-                sizes[key] = (len(halves), [h for h, _ in own])
-                halves += [_half_key(*h) for h in own]
-                tags += [key & 0xFFFFFFFF] * len(own)
-                if len(words) >= max(LONG, min_words):
-                    long[key] = words
-        owner, grams = _grams(list(long.values()))
-        who = np.asarray(list(long), np.uint64)[owner]
-        return spots, lines, keys, sizes, B.Keys(np.asarray(keys, np.uint64), bits), B.Keys(np.asarray(halves, np.uint64), bits), np.asarray(tags, np.uint64), B.Keys(grams, bits), grams, who
+            if len(words) >= WORDS_PER_EDIT:
+                some.setdefault(key, words)
+        every = np.fromiter(some, np.uint64, len(some))
+        own = Hashed(list(some.values()))
+        who, size, halves = own.halves()
+        long = np.flatnonzero(own.size >= LONG)
+        far = Hashed([words for words in some.values() if len(words) >= LONG])
+        which, grams = far.grams()
+        near_by = every[who], size, B.Keys(halves, bits)
+        runs = every[long][which], grams, B.Keys(grams, bits)
+        return spots, lines, keys, B.Keys(np.asarray(keys, np.uint64), bits), near_by, runs, (every[long], far)
 
     def ask(row):
-        *_, lines, halves, tags, runs, _, who = scan(row)
-        return pd.concat([lines.tagged(row.block, 1), halves.tagged(row.block, 2, tags), runs.tagged(row.block, 3, who & np.uint64(0xFFFFFFFF))])
+        *_, by_line, (key, _, halves), (who, _, runs), _ = scan(row)
+        return pd.concat([by_line.tagged(row.block, 1), halves.tagged(row.block, 2, key), runs.tagged(row.block, 3, who)])
 
-    answers = scratch.stored(B.repeated_by_kind(B.each(table, ask, B.TAGGED)), "lines")
+    answers = scratch.stored(B.repeated_by_kind(B.each(table, ask, B.TAGGED), bits), "lines")
 
     def emit(row, said):
-        spots, lines, keys, sizes, by_line, by_half, _, by_run, grams, who = scan(row)
+        spots, lines, keys, by_line, (key, size, halves), (who, grams, runs), (long, far) = scan(row)
         again = by_line.answered(said[said.kind == 1])
-        shared = by_half.answered(said[said.kind == 2])
-        met = by_run.answered(said[said.kind == 3])
-        runs: dict[int, list[int]] = {}
-        for key, gram in zip(who[met].tolist(), grams[met].view(np.int64).tolist(), strict=True):
-            runs.setdefault(key, []).append(gram)
-        near_by = {key for key, (at, own) in sizes.items() if shared[at : at + len(own)].any()}
+        shared, met = halves.answered(said[said.kind == 2]), runs.answered(said[said.kind == 3])
+        own_halves: dict[int, list[int]] = {}
+        for k, h in zip(key[shared].tolist(), size[shared].tolist(), strict=True):
+            own_halves.setdefault(k, []).append(h)
+        own_runs: dict[int, list[int]] = {}
+        for k, g in zip(who[met].tolist(), grams[met].view(np.int64).tolist(), strict=True):
+            own_runs.setdefault(k, []).append(g)
+        signs = dict(zip(long.tolist(), far.signs().view(np.int64).tolist(), strict=True)) if own_runs else {}
         out = []
-        for i in np.flatnonzero(again | np.fromiter((k in near_by or k in runs for k in keys), bool, len(keys))).tolist():
-            (r, n), key = spots[i], keys[i]
-            at, own = sizes[key] if key in near_by else (0, [])
-            own = [h for h, s in zip(own, shared[at : at + len(own)], strict=True) if s]
-            doc = row.ids[r]
-            out.append((xxhash.xxh3_128_digest(lines[i]), LAST if doc is None or doc != doc else int(doc), n, row.block, r, own, runs.get(key, []), lines[i] if own or key in runs else None))
-        return pd.DataFrame(out, columns=["lid", "doc", "line", "block", "row", "halves", "grams", "words"])
+        for i in np.flatnonzero(again | np.fromiter((k in own_halves or k in own_runs for k in keys), bool, len(keys))).tolist():
+            (r, n), k = spots[i], keys[i]
+            doc, found, run = row.ids[r], own_halves.get(k, []), own_runs.get(k, [])
+            out.append((xxhash.xxh3_128_digest(lines[i]), LAST if doc is None or doc != doc else int(doc), n, row.block, r, found, run, signs[k] if run else None, lines[i] if found or run else None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
     places = scratch.stored(B.meet(table, answers, emit, LINES), "places")
-    first = scratch.stored(places.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("words").alias("words"), F.max("halves").alias("halves"), F.max("grams").alias("grams")), "first")
+    first = scratch.stored(places.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("words").alias("words"), F.max("halves").alias("halves"), F.max("grams").alias("grams"), F.max("signs").alias("signs")), "first")
     drops = scratch.stored(_near_drops(first.filter("size(halves) > 0")), "near")
     drops = drops.select("lid").union(scratch.stored(_far_drops(first.filter("size(grams) > 0")), "far")).distinct()
     verdict = scratch.stored(first.select("lid", "first").join(drops.select("lid", F.lit(True).alias("gone")), "lid", "left"), "verdict")

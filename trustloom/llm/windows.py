@@ -43,7 +43,8 @@ class Rolling:
     def of_numbers(self, x: np.ndarray) -> list[np.ndarray]:
         return [B.mix(x.astype(np.uint64) * np.uint64(odd)) % np.uint64(self.prime) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
-    def _powers(self, base: int, n: int) -> np.ndarray:
+    def powers(self, base: int, n: int) -> np.ndarray:
+        """The first n powers of a number, modulo the prime."""
         out, p = np.ones(1, np.uint64), self.prime
         while len(out) < n:
             out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)])
@@ -54,7 +55,7 @@ class Rolling:
         n, p, bits = max(0, len(values[0]) - length + 1), np.uint64(self.prime), np.uint64(self.bits)
         out = np.zeros(n, np.uint64)
         size = min(n, B.SLICE)
-        powers = [(self._powers(b, size + length), self._powers(pow(b, -1, self.prime), size)) for b in self.bases] if n else []
+        powers = [(self.powers(b, size + length), self.powers(pow(b, -1, self.prime), size)) for b in self.bases] if n else []
         for a in range(0, n, B.SLICE):
             b = min(a + B.SLICE, n)
             for v, (up, down) in zip(values, powers, strict=True):
