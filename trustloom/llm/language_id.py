@@ -3,16 +3,19 @@
 Two small GRUs read a stretch of bytes from either end; a softmax over both states labels every position, and a
 document's probabilities are the mean over all positions of the whole text. Texts are cut into stretches of a fixed number of
 bytes so that all stretches advance together; nothing is left out. The network is trained in numpy by
-backpropagation through time on a bounded sample of labelled rows (`sample`, the smallest hashes of the text win, so
-that the choice doesn't depend on partitioning); languages are the labels that the training rows hold.
+backpropagation through time on a bounded sample of labelled rows (`sample`; of different texts the smallest hashes win, so
+that the choice doesn't depend on partitioning), of which it reads PLACES stretches spread evenly over the whole text; languages are the labels
+that the training rows hold, all of them.
 
 Nulls, and texts with no letter: `und`, score 0. Very long texts: stretch by stretch, in bounded batches. No training rows:
-every text with letters is `und` with score 0. Repeated rows get a row each; null ids stay null. The label, the
-source and the id are never inputs of a prediction.
+every text with letters is `und` with score 0. Repeated rows get a row each; null ids stay null. Ties of probability: the label that
+sorts first. The label, the source and the id are never inputs of a prediction. Columns of docs that are named like the two answers are replaced by
+them; other columns stay whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -27,10 +30,10 @@ STRETCH = 96
 BATCH = 2048
 #: What stands for no byte.
 PAD = 256
-#: Labelled rows that training uses, and bytes of each.
-SAMPLE, SAMPLE_BYTES = 1600, 1536
-#: Passes over the sample, and updates at least: a small sample is gone over more often.
-EPOCHS, STEPS = 4, 400
+#: Labelled rows that training uses, and stretches of each.
+SAMPLE, PLACES = 1600, 16
+#: Updates, whatever the sample's size, and stretches in each.
+UPDATES, UPDATE_ROWS = 400, 256
 LETTER = r"\p{L}"
 
 
@@ -163,18 +166,17 @@ class Network:
         rng = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.w.items()}
         square = {k: np.zeros_like(v) for k, v in self.w.items()}
-        step, epochs = 0, max(EPOCHS, -(-STEPS // max(1, -(-len(x) // 256))))
-        for epoch in range(epochs):
-            order = rng.permutation(len(x))
-            for a in range(0, len(order), 256):
-                part = order[a : a + 256]
-                step += 1
-                now = rate * (1 - (epoch + a / len(order)) / epochs) + 1e-4
-                for k, g in self.gradients(x[part], mask[part], y[part]).items():
-                    g = np.clip(g, -1, 1)
-                    mean[k] = np.float32(0.9) * mean[k] + np.float32(0.1) * g
-                    square[k] = np.float32(0.99) * square[k] + np.float32(0.01) * g * g
-                    self.w[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        order = np.zeros(0, np.int64)
+        for step in range(1, UPDATES + 1) if len(x) else ():
+            if len(order) < UPDATE_ROWS:  # the sample is gone over again in another order
+                order = np.concatenate([order, *[rng.permutation(len(x)) for _ in range(-(-UPDATE_ROWS // len(x)))]])
+            part, order = order[:UPDATE_ROWS], order[UPDATE_ROWS:]
+            now = rate * (1 - (step - 1) / UPDATES) + 1e-4
+            for k, g in self.gradients(x[part], mask[part], y[part]).items():
+                g = np.clip(g, -1, 1)
+                mean[k] = np.float32(0.9) * mean[k] + np.float32(0.1) * g
+                square[k] = np.float32(0.99) * square[k] + np.float32(0.01) * g * g
+                self.w[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
 
@@ -201,7 +203,7 @@ def pooled(net: Network, texts: Iterable[bytes]) -> np.ndarray:
         ids = np.asarray([i for i, _ in pending])[owner]
         for a in range(0, len(x), BATCH):
             real = mask[a : a + BATCH].T
-            p = net.positions(np.where(real, x[a : a + BATCH].T, PAD).astype(np.intp), ready)
+            p = net.positions(np.where(real, x[a : a + BATCH].T.astype(np.intp), PAD), ready)
             p *= real
             for row, share in zip(ids[a : a + BATCH].tolist(), p.sum(axis=1).T, strict=True):
                 total[row] += share
@@ -225,17 +227,23 @@ def pooled(net: Network, texts: Iterable[bytes]) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str, lang_col: str, sample: int = SAMPLE) -> Network:
     """Train on at most `sample` labelled rows, as many of each language as there are, copies once."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = {r.lang: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}  # as many as there are languages
     langs = sorted(counts)
     if not langs:
         return Network.fresh(langs)
     each, parts = max(1, sample // len(langs)), 1 << 20
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(parts, 4 * each * parts // n + 1))])
-    few = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(parts)) < F.element_at(share, F.col("lang")))
-    few = few.select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text")).dropDuplicates(["lang", "h"])
+    few = rows.filter(F.pmod("h", F.lit(parts)) < F.element_at(share, F.col("lang")))
+    last = F.greatest(F.length("text") - STRETCH, F.lit(0))
+    # a short text whole: its stretches would overlap
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.substring("text", F.floor(last * i / (PLACES - 1)).cast("int") + 1, F.lit(STRETCH)))
+    pieces = F.when(F.length("text") <= STRETCH * PLACES, F.array("text")).otherwise(spread)
+    few = few.select("lang", "h", pieces.alias("pieces")).dropDuplicates(["lang", "h"])
     best = few.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(parts)), "h"))).filter(F.col("at") <= each)
-    some = sorted(best.select("lang", "h", "text").collect())
-    return Network.fresh(langs).train([r.text.encode()[:SAMPLE_BYTES] for r in some], [langs.index(r.lang) for r in some])
+    some = sorted(best.select("lang", "h", "pieces").collect())
+    texts = [(p.encode("utf-8", "replace"), langs.index(r.lang)) for r in some for p in r.pieces]
+    return Network.fresh(langs).train([t for t, _ in texts], [y for _, y in texts])
 
 
 def predict(docs: DataFrame, net: Network, text_col: str, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -255,7 +263,10 @@ def predict(docs: DataFrame, net: Network, text_col: str, lang_out: str = "lang_
 
     some = F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False))
     said = label(F.when(some, F.col(text_col)))
-    return docs.withColumn("_said", said).withColumn(lang_out, F.when(some, F.col("_said.lang")).otherwise("und")).withColumn(score_out, F.when(some, F.col("_said.score")).otherwise(0.0)).drop("_said")
+    both = f"_said_{uuid.uuid4().hex}"
+    lang, score = F.when(some, F.col(both)["lang"]).otherwise("und"), F.when(some, F.col(both)["score"]).otherwise(0.0)
+    rest = [c for c in docs.columns if c not in (lang_out, score_out)]
+    return docs.withColumn(both, said).select(*rest, lang.alias(lang_out), score.alias(score_out))
 
 
 def held_out(id_col: str) -> Column:
