@@ -2,23 +2,27 @@
 
 Texts are sequences of lower-cased words. The CGK walk embeds a sequence by reading it with a pointer that stays or moves on
 by a random bit of (step, word): a small edit distance becomes a small Hamming distance, because two walks that differ
-at an edit soon fall into step again. Every window of a document (each fourth start, as long as the items of its size class allow:
-an item of n words holds a whole window at whatever start) is embedded `walks` times; each embedding is
-sampled at a few coordinates `samples` times, and the samples are looked up among those of all windows of all items. What is found is
+at an edit soon fall into step again. Windows are sized by the item: as long as the words that the allowed edits must leave of it have room for,
+at every start (`classes`). A document's windows, at every second to fourth start by their size, are embedded a number of times; each embedding is
+sampled at a few coordinates `samples` times, and the samples are looked up among those of all windows of all items. How many
+embeddings it takes to meet the target recall, at all the edits allowed, is found by trial on random words (`walks_for`). What is found is
 verified: the edit distance, in words, between the item and the best stretch of the document around the hit (exact,
-bit-parallel) must not exceed (1 - similarity) of the item's words. Verification sees no window boundaries.
+bit-parallel) must not exceed (1 - similarity) of the item's words. Verification sees no window boundaries. Items too short for a window (under 7
+words at a similarity of 0.8) must occur exactly.
 
-The items are bounded by the benchmark, not by the corpus: their number is counted, and a benchmark of more than ITEMS items is
-taken in several passes. Documents are neither shuffled nor gathered: the answer is a column.
+The items are bounded by the benchmark, not by the corpus: their number is counted, and a benchmark of more than `per_pass` items is
+taken in several passes, one after another over stored documents. Documents are neither shuffled nor gathered in one pass: the answer is a column.
 
-Nulls and empty texts match nothing, null and short items (under `min_words` words: too short to tell from ordinary
-phrases) take no part. Repeated rows get a row each; repeated items are reported with the smallest id. Null item ids take no part. No
-items: nothing matches.
+Nulls and empty texts match nothing, null items and items without words take no part. Repeated rows get a row each; repeated items are reported with
+the smallest id. Null item ids take no part. No items: nothing matches. Ties: of several stretches with the least distance, the first. A column
+of docs that is named like the answer is replaced by it; other columns stay whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,14 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from . import scratch
 from .memory import release, small_batches
 
 ITEMS = 20_000
-STRIDE = 4
-#: Window length by the least number of words of an item.
-SIZES = ((23, 20), (15, 12), (8, 5))
+#: Words of a window, and of a step between the starts that are looked at in documents.
+WINDOWS = ((20, 4), (12, 4), (8, 3), (5, 2))
+#: Target recall of an item at all the edits allowed, embeddings at most, and trials that choose their number.
+RECALL, MOST_WALKS, TRIALS = 0.97, 24, 400
 MATCHES = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 _CHUNK = 1 << 20
+_STRIP = 1 << 14
 
 
 def _letters() -> np.ndarray:
@@ -74,20 +81,85 @@ def coordinates(size: int, samples: int, width: int, seed: int) -> list[np.ndarr
 
 
 def sampled_walks(keys: np.ndarray, start: np.ndarray, size: int, walk: int, samples: int, width: int) -> np.ndarray:
-    """One key per (sample, window): the words that a CGK walk reads at the sampled steps."""
+    """One key per (sample, window): the words that a CGK walk reads at the sampled steps. keys go on for 2 * size beyond the last start."""
     symbols = B.mix(keys * np.uint64(2 * walk + 1) + np.uint64(walk))
     picks = coordinates(size, samples, width, 100 * size + walk)
+    wanted: dict[int, list[int]] = {}
+    for i, pick in enumerate(picks):
+        for step in pick.tolist():
+            wanted.setdefault(step, []).append(i)
     out = np.zeros((samples, len(start)), np.uint64)
-    at = start.astype(np.int64)
-    for step in range(max(p[-1] for p in picks) + 1):
-        seen = symbols[at]
-        for i, pick in enumerate(picks):
-            if step in pick:
-                out[i] = out[i] * np.uint64(0x9E3779B97F4A7C15) + seen
-        at += ((seen >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+    moved, one = symbols.view(np.int64), np.int64(1)
+    for a in range(0, len(start), _STRIP):  # small arrays stay in the cache
+        at = start[a : a + _STRIP].astype(np.int64)
+        seen, bit = np.empty_like(at), np.empty_like(at)
+        for step in range(max(wanted) + 1):
+            np.take(moved, at, out=seen, mode="clip")
+            for i in wanted.get(step, ()):
+                part = out[i, a : a + _STRIP]
+                part *= np.uint64(0x9E3779B97F4A7C15)
+                part += seen.view(np.uint64)
+            np.right_shift(seen, np.int64(step % 64), out=bit)
+            bit &= one
+            at += bit
     return out ^ (out >> np.uint64(29))
 
 
+def classes(similarity: float) -> list[tuple[int, int, int]]:
+    """(least words of an item, window, stride): whatever the edits, an item of so many words keeps room for a window at a start that is looked at."""
+    out = []
+    for size, stride in WINDOWS:
+        least = max([n + 1 for n in range(1, 1000) if n - allowed(n, similarity) < size + stride - 1], default=1)
+        if least < 1000:
+            out.append((least, size, stride))
+    return out
+
+
+def allowed(words: int, similarity: float) -> int:
+    return int(words * (1 - similarity) + 1e-9)
+
+
+def edited(words: list[int], edits: int, rng: np.random.Generator) -> list[int]:
+    """So many random deletions, replacements and insertions."""
+    out = list(words)
+    for _ in range(edits):
+        kind, p = rng.integers(3), int(rng.integers(len(out)))
+        out[p : p + (kind < 2)] = [] if kind == 0 else [int(rng.integers(1 << 62))]
+    return out
+
+
+@lru_cache(maxsize=64)
+def walks_for(least: int, most: int, size: int, stride: int, similarity: float, samples: int, width: int, recall: float) -> int:
+    """The number of embeddings that finds items of least to most words, with all the edits allowed, as often as recall says."""
+    rng = np.random.default_rng(1)
+    items, docs = [], []
+    for i in range(TRIALS):
+        n = least + i % max(1, min(most, least + 12) - least + 1)
+        items.append(rng.integers(1 << 62, size=n).tolist())
+        around = rng.integers(1 << 62, size=2 * size + int(rng.integers(stride))).tolist()
+        docs.append([*around, *edited(items[-1], allowed(n, similarity), rng), *rng.integers(1 << 62, size=2 * size).tolist()])
+
+    def windows(texts: list[list[int]], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, owner, start = [], [], []
+        for i, w in enumerate(texts):
+            own = range(0, len(w) - size + 1, step)
+            owner += [i] * len(own)
+            start += [len(flat) + x for x in own]
+            flat += w
+        return np.asarray(flat + [0] * (2 * size), np.uint64), np.asarray(owner), np.asarray(start)
+
+    (a, a_owner, a_start), (b, b_owner, b_start) = windows(items, 1), windows(docs, stride)
+    found = np.zeros(TRIALS, bool)
+    for walk in range(MOST_WALKS):
+        mine, theirs = (sampled_walks(*x, size, walk, samples, width) for x in ((a, a_start), (b, b_start)))
+        for x, y in zip(mine, theirs, strict=True):
+            mark = B.mix(a_owner.astype(np.uint64)), B.mix(b_owner.astype(np.uint64))
+            found[b_owner[np.isin(y ^ mark[1], x ^ mark[0])]] = True
+        if found.mean() >= recall:
+            return walk + 1
+    return MOST_WALKS
+
+
 def best_stretch(pattern: list[int], text: list[int]) -> tuple[int, int]:
     """The least edit distance between the pattern and any stretch of text, and where the first such stretch ends."""
     n = len(pattern)
@@ -111,51 +183,80 @@ def best_stretch(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Items:
     """The items of one pass with the samples of all their windows."""
 
-    def __init__(self, rows: list[tuple[int, str]], min_words: int, walks: int, samples: int, width: int):
-        self.walks, self.samples, self.width = walks, samples, width
+    def __init__(self, rows: list[tuple[int, str]], similarity: float = 0.8, recall: float = RECALL, samples: int = 3, width: int = 4):
+        self.samples, self.width = samples, width
         ids, texts = [r[0] for r in rows], [r[1] for r in rows]
         keys, offsets = word_keys(texts)
         seen: dict[tuple, int] = {}
         for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
             words = tuple(keys[a:b].tolist())
-            if len(words) >= min_words:
+            if words:
                 seen[words] = min(ids[i], seen.get(words, ids[i]))
         self.items = [(i, list(w)) for w, i in sorted(seen.items(), key=lambda x: x[1])]
-        self.tables = []
-        for c, (least, size) in enumerate(SIZES):
-            most = SIZES[c - 1][0] if c else 1 << 62
+        self.tables: list[tuple] = []
+        most = 1 << 62
+        for least, size, stride in classes(similarity):
             own = [(n, w) for n, (_, w) in enumerate(self.items) if least <= len(w) < most]
-            if not own:
-                continue
-            flat = np.asarray([k for _, w in own for k in w] + [0] * (2 * size), np.uint64)
-            base = np.concatenate([[0], np.cumsum([len(w) for _, w in own])])
-            at = [(n, o, base[j] + o) for j, (n, w) in enumerate(own) for o in range(len(w) - size + 1)]
-            item, offset, start = (np.asarray(x) for x in zip(*at))
-            for walk in range(walks):
-                for sample, found in enumerate(sampled_walks(flat, start, size, walk, samples, width)):
-                    order = np.argsort(found, kind="stable")
-                    maybe = np.zeros(1 << 20, bool)
-                    maybe[(found & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                    self.tables.append((size, walk, sample, found[order], item[order], offset[order], maybe))
+            if own:
+                for walk in range(walks_for(least, most - 1, size, stride, similarity, samples, width, recall)):
+                    self._index(own, size, stride, walk)
+            most = least
+        self.short: dict[int, tuple] = {}
+        for size in sorted({len(w) for _, w in self.items if len(w) < most}):
+            own = [(n, w) for n, (_, w) in enumerate(self.items) if len(w) == size]
+            found = self._runs(np.asarray([k for _, w in own for k in w], np.uint64), np.arange(len(own)) * size, size)
+            self.short[size] = self._sorted(found, np.asarray([n for n, _ in own]), np.zeros(len(own), np.int64))
+
+    @staticmethod
+    def _sorted(found: np.ndarray, item: np.ndarray, offset: np.ndarray) -> tuple:
+        order = np.argsort(found, kind="stable")
+        maybe = np.zeros(1 << 20, bool)
+        maybe[(found & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return found[order], item[order], offset[order], maybe
+
+    @staticmethod
+    def _runs(keys: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(start), np.uint64)
+        for i in range(size):
+            out = B.mix(out * np.uint64(0x9E3779B97F4A7C15) + keys[start + i])
+        return out
+
+    def _index(self, own: list, size: int, stride: int, walk: int) -> None:
+        flat = np.asarray([k for _, w in own for k in w] + [0] * (2 * size), np.uint64)
+        base = np.concatenate([[0], np.cumsum([len(w) for _, w in own])])
+        at = [(n, o, base[j] + o) for j, (n, w) in enumerate(own) for o in range(len(w) - size + 1)]
+        item, offset, start = (np.asarray(x) for x in zip(*at))
+        for sample, found in enumerate(sampled_walks(flat, start, size, walk, self.samples, self.width)):
+            self.tables.append((size, stride, walk, sample, *self._sorted(found, item, offset)))
+
+    @staticmethod
+    def _starts(offsets: np.ndarray, size: int, stride: int) -> np.ndarray:
+        count = np.diff(offsets)
+        fits = np.where(count < size, 0, (count - size) // stride + 1)
+        return np.repeat(offsets[:-1] - stride * (np.cumsum(fits) - fits), fits) + stride * np.arange(fits.sum())
+
+    @staticmethod
+    def _looked_up(own: np.ndarray, start: np.ndarray, known, item, offset, maybe) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = np.flatnonzero(maybe[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        lo, hi = np.searchsorted(known, own[some], "left"), np.searchsorted(known, own[some], "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(start[some], n), item[at], offset[at]
 
     def hits(self, keys: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window starts, items, offsets in the items) that share a sample."""
-        count = np.diff(offsets)
+        for size, table in self.short.items():
+            start = self._starts(offsets, size, 1)
+            yield self._looked_up(self._runs(keys, start, size), start, *table)
         last: tuple | None = None
-        for size, walk, sample, known, item, offset, maybe in self.tables:
-            if last is None or last[:2] != (size, walk):
-                fits = np.maximum(0, (count - size) // STRIDE + 1)
-                fits[count < size] = 0
-                start = np.repeat(offsets[:-1] - STRIDE * np.concatenate([[0], np.cumsum(fits)[:-1]]), fits) + STRIDE * np.arange(fits.sum())
-                padded = np.append(keys, np.zeros(2 * size, np.uint64))
-                parts = [sampled_walks(padded, start[a : a + _CHUNK // 16], size, walk, self.samples, self.width) for a in range(0, len(start), _CHUNK // 16)]
-                last = (size, walk, start, np.concatenate(parts, axis=1) if parts else np.zeros((self.samples, 0), np.uint64))
-            start, own = last[2], last[3][sample]
-            some = np.flatnonzero(maybe[(own & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(known, own[some], "left"), np.searchsorted(known, own[some], "right")
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
-            yield np.repeat(start[some], n), item[at], offset[at]
+        start, sampled, padded = np.zeros(0, np.int64), np.zeros((0, 0), np.uint64), keys
+        for size, stride, walk, sample, *table in self.tables:
+            if last is None or last[0] != size:
+                start, padded = self._starts(offsets, size, stride), np.append(keys, np.zeros(2 * size, np.uint64))
+            if last != (size, walk):
+                sampled = sampled_walks(padded, start, size, walk, self.samples, self.width)
+            last = (size, walk)
+            yield self._looked_up(sampled[sample], start, *table)
 
     def match(self, texts: list[str], similarity: float) -> list[list[dict]]:
         keys, offsets = word_keys(texts)
@@ -167,7 +268,7 @@ class Items:
             for d, n, s in {(int(a), int(b), int(c)) for a, b, c in zip(doc, item, start - offset, strict=True)} - tried:
                 tried.add((d, n, s))
                 pattern = self.items[n][1]
-                bound = int(len(pattern) * (1 - similarity) + 1e-9)
+                bound = allowed(len(pattern), similarity) if len(pattern) not in self.short else 0
                 if n in found[d] and found[d][n][0] == 0:
                     continue
                 words = keys.tolist() if words is None else words
@@ -183,12 +284,12 @@ class Items:
         return [[{"item_id": self.items[n][0], "start": lo, "end": hi, "edits": e} for n, (e, lo, hi) in sorted(x.items())] for x in found]
 
 
-def matches(text_col: str, items: list[tuple[int, str]], similarity: float = 0.8, min_words: int = 8, walks: int = 4, samples: int = 3, width: int = 4) -> Column:
+def matches(text_col: str, items: list[tuple[int, str]], similarity: float = 0.8, recall: float = RECALL, samples: int = 3, width: int = 4) -> Column:
     """A column with the items that a text contains, up to the edits allowed."""
 
     @F.pandas_udf(MATCHES)
     def of(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Items(items, min_words, walks, samples, width)
+        index = Items(items, similarity, recall, samples, width)
         for texts in frames:
             out, part, held = [], [], 0
             for x in texts:
@@ -204,16 +305,24 @@ def matches(text_col: str, items: list[tuple[int, str]], similarity: float = 0.8
     return of(F.col(text_col))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "matches", similarity: float = 0.8) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "matches", similarity: float = 0.8, recall: float = RECALL, per_pass: int = ITEMS) -> DataFrame:
     """docs with one more column: the benchmark items that the whole text contains."""
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
-    passes = max(1, -(-items.count() // ITEMS))
-    columns = []
-    for n in range(passes):
-        rows = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == n).collect()]
-        columns.append(matches(text_col, rows, similarity))
-    return docs.withColumn(out, columns[0] if passes == 1 else F.array_sort(F.concat(*columns)))
+    passes = max(1, -(-items.count() // per_pass))
+
+    def taken(n: int) -> list[tuple[int, str]]:
+        """The items of one pass; equal texts come in the same one."""
+        return [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == n).collect()]
+
+    if passes == 1:
+        return docs.withColumn(out, matches(text_col, taken(0), similarity, recall))
+    name = f"_row_{uuid.uuid4().hex}"
+    rows = scratch.stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    found = [scratch.stored(rows.select(name, matches(text_col, taken(n), similarity, recall).alias("m")).filter("size(m) > 0"), "pass") for n in range(passes)]
+    every = reduce(DataFrame.unionByName, found).groupBy(name).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m")).withColumnRenamed("m", f"{name}_m")
+    none = F.array().cast(MATCHES)
+    return rows.join(every, name, "left").withColumn(out, F.coalesce(f"{name}_m", none)).drop(name, f"{name}_m")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
