@@ -37,6 +37,8 @@ _HASHES = 1 << 15
 WIDE_RADIUS = 18
 WIDE_TILE = 4096
 _RESIDUES = 64
+#: Names of a pair of tiles.
+PAIR = ["p_left", "p_left_part", "p_right", "p_right_part"]
 _PAIRS = 1 << 16
 #: Members and bytes of one part of a component of candidates.
 PART, PART_BYTES = 512, 8 << 20
@@ -91,7 +93,6 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple
 
 def links(prints: DataFrame, col: str, radius: int = 4, tile: int = TILE) -> DataFrame:
     """a, b: enough links between different fingerprints within the radius to connect all that are connected."""
-    spark = prints.sparkSession
     some = prints.select(F.col(col).alias("f"), F.bit_count(col).cast("int").alias("ones"))
     sizes = {r.ones: r["count"] for r in some.groupBy("ones").count().collect()}  # 65 rows at most
     cuts = [max(1, -(-sizes.get(i, 0) // tile)) for i in range(65)]
@@ -101,16 +102,13 @@ def links(prints: DataFrame, col: str, radius: int = 4, tile: int = TILE) -> Dat
     first = tiles.select("ones", "part", F.explode(F.sequence("ones", F.col("ones") + radius)).alias("ones2"))
     second = tiles.select(F.col("ones").alias("ones2"), F.col("part").alias("part2"))
     pairs = first.join(second, "ones2").filter("ones2 > ones or part2 >= part")
-    named = pairs.withColumn("pair", F.struct("ones", "part", "ones2", "part2"))
-    ends = named.select("pair", "ones", "part", F.lit(0).alias("side")).union(named.filter("ones2 <> ones or part2 <> part").select("pair", "ones2", "part2", F.lit(1)))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = ends.join(tiles, ["ones", "part"]).select(F.xxhash64("pair").alias("pair"), "side", "fs").repartition(n, "pair")
+    dealt = _deal(tiles, pairs, ["ones", "part"], ["ones2", "part2"], ["fs"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [np.asarray(x, np.int64).view(np.uint64) for x in pdf.sort_values("side").fs]
         return pd.DataFrame(_forest(lists[0], lists[-1], radius, len(lists) == 1), columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("pair").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy(*PAIR).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -166,12 +164,12 @@ def _forest_of(node: np.ndarray, label: np.ndarray) -> pd.DataFrame:
 
 
 def _deal(tiles: DataFrame, pairs: DataFrame, left: list[str], right: list[str], values: list[str]) -> DataFrame:
-    """pair, side, values: the tiles of each pair; a tile paired with itself comes once."""
+    """PAIR, side, values: the tiles of each pair, which goes by its two tiles' names; a tile paired with itself comes once."""
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = pairs.withColumn("pair", F.xxhash64(*left, *right))
+    named = pairs.select(*left, *right, *[F.col(c).alias(p) for c, p in zip(left + right, PAIR, strict=True)])
     other = " or ".join(f"{a} <> {b}" for a, b in zip(left, right, strict=True))
-    ends = named.select("pair", *left, F.lit(0).alias("side")).union(named.filter(other).select("pair", *right, F.lit(1)))
-    return ends.join(tiles, left).select("pair", "side", *values).repartition(n, "pair")
+    ends = named.select(*PAIR, *left, F.lit(0).alias("side")).union(named.filter(other).select(*PAIR, *right, F.lit(1)))
+    return ends.join(tiles, left).select(*PAIR, "side", *values).repartition(n, *PAIR)
 
 
 def candidates(nodes: DataFrame, radius: int, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
@@ -212,7 +210,7 @@ def candidates(nodes: DataFrame, radius: int, similarity: float, tile: int = WID
         release()
         return _forest_of(node, _rooted(label))
 
-    return dealt.groupBy("pair").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy(*PAIR).applyInPandas(compare, "a long, b long")
 
 
 def _rooted(label: np.ndarray) -> np.ndarray:
@@ -246,7 +244,7 @@ def similar_links(members: DataFrame, similarity: float) -> DataFrame:
         release()
         return _forest_of(node, _rooted(label))
 
-    return dealt.groupBy("pair").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy(*PAIR).applyInPandas(compare, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
