@@ -2,13 +2,14 @@
 
 The URLs that the rules allow and those that they block train two variable-order Markov models over characters: orders 0 to ORDER,
 each smoothed into the next shorter one in proportion to how many different characters followed the context
-(Witten-Bell). The score of a URL is the mean, over its characters, of the difference of the two log-likelihoods; the threshold is
-calibrated on the URLs that have a rule, where the share of allowed URLs below it and that of blocked URLs above it are
+(Witten-Bell). The score of a URL is the mean, over its lower-cased characters, of the difference of the two log-likelihoods. The models learn from four fifths
+of the URLs that have a rule (by a hash of the URL, so copies stay together); the threshold is
+calibrated on the rest, where the share of allowed URLs below it and that of blocked URLs above it are
 least in sum. All statistics cover all rows. Positions are counted per distinct (context, character) before they meet the model,
 and scoring joins them salted by page, since a few of them occur in almost every URL.
 
 Null and malformed URLs (no `://`): empty host and path, no rule, and the model's verdict on the text (a null or empty URL has
-score 0). No allowed or no blocked URLs: all scores are what the smoothing gives, the threshold is 0. Repeated rows and ids get a row
+score 0). No allowed or no blocked URLs to learn from: all scores are what the smoothing gives; none to calibrate with: the threshold is 0. Repeated rows and ids get a row
 each. Other columns are not read.
 """
 
@@ -21,6 +22,8 @@ from . import scratch
 
 ORDER = 4
 SALT = 32
+#: One of so many folds calibrates.
+FOLDS = 5
 #: Bins of the calibration's histogram; the scores between -RANGE and RANGE are told apart.
 BINS, RANGE = 4096, 8.0
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -71,23 +74,25 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, said = judged(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("said", said)
+    held = F.crc32(F.encode(F.coalesce("url", F.lit("")), "UTF-8")) % FOLDS == 0
+    rows = rows.select("page_id", F.lower("url").alias("low"), held.alias("calibrates"), host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("said", said)
     rows = scratch.stored(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
 
-    padded = F.concat(F.lit(" " * ORDER), F.lower("url"))
-    places = F.explode(F.sequence(F.lit(1), F.length("url")))
-    known = rows.filter(F.length("url") > 0)
-    at = known.select("row", "said", padded.alias("text"), places.alias("i")).select("row", "said", F.expr(f"substring(text, i, {ORDER + 1})").alias("gram"))
+    padded = F.concat(F.lit(" " * ORDER), F.col("low"))
+    places = F.explode(F.sequence(F.lit(1), F.length("low")))
+    taught = F.when(~F.col("calibrates"), F.col("said"))
+    known = rows.filter(F.length("low") > 0)
+    at = known.select("row", taught.alias("said"), padded.alias("text"), places.alias("i")).select("row", "said", F.expr(f"substring(text, i, {ORDER + 1})").alias("gram"))
     grams = scratch.stored(at.groupBy("gram").agg(F.count_if(F.col("said") == "allow").alias("allow"), F.count_if(F.col("said") == "block").alias("block")), "grams")
 
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALT)])).alias("salt")
     values = scratch.stored(_model(grams), "values").select("gram", "value", salts)
     counted = at.groupBy("row", "gram").count().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
     sums = counted.join(values, ["gram", "salt"]).groupBy("row").agg(F.sum(F.col("value") * F.col("count")).alias("total"))
-    scored = scratch.stored(rows.join(sums, "row", "left").withColumn("score", F.coalesce(F.col("total") / F.length("url"), F.lit(0.0))), "scored")
+    scored = scratch.stored(rows.join(sums, "row", "left").withColumn("score", F.coalesce(F.col("total") / F.length("low"), F.lit(0.0))), "scored")
 
     bin_ = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + RANGE) * (BINS / (2 * RANGE))))).cast("int")
-    histogram = scored.filter("said is not null").groupBy(bin_.alias("bin")).agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b"))
+    histogram = scored.filter("said is not null and calibrates").groupBy(bin_.alias("bin")).agg(F.count_if(F.col("said") == "allow").alias("a"), F.count_if(F.col("said") == "block").alias("b"))
     threshold, allowed, blocked, missed, least = 0.0, 0, 0, 0, None
     bins = sorted(histogram.collect())  # BINS rows at most
     allowed, blocked = sum(r.a for r in bins), sum(r.b for r in bins)
