@@ -112,7 +112,7 @@ def test_similar_parts(spark, monkeypatch):
 
 def test_leaks(spark, stages):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    items = decontaminate.Items(bench, 8, 1, 1, 1).items
+    items = decontaminate.Items(bench).items
     kept = Counter(stages[4].collect())
     for r in stages[3].collect():
         words = decontaminate.word_keys([r.text])[0].tolist()

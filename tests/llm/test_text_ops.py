@@ -236,6 +236,36 @@ def test_decontaminate(spark):
     assert all(not r.matches for r in decontaminate.leaks(df, bench.limit(0)).collect())
 
 
+def test_recall_at_all_the_edits_allowed():
+    """Items of every length from 7 to 60 words with a fifth of the words edited, inside longer texts."""
+    import numpy as np
+
+    rng, rnd = np.random.default_rng(5), random.Random(5)
+    for n in range(7, 61):
+        items = [(i, [int(x) for x in rng.integers(10**9, size=n)]) for i in range(40)]
+        index = decontaminate.Items([(i, " ".join(f"w{x}" for x in w)) for i, w in items])
+        docs = []
+        for _, w in items:
+            own = decontaminate.edited(w, decontaminate.allowed(n, 0.8), rng)
+            docs.append(" ".join(f"w{x}" for x in [*rng.integers(10**9, size=rnd.randrange(50)), *own, *rng.integers(10**9, size=rnd.randrange(50))]))
+        found = index.match(docs, 0.8)
+        hits = sum(any(m["item_id"] == i for m in x) for i, x in enumerate(found))
+        assert hits >= 0.9 * 40, n
+        assert all(m["item_id"] == i for i, x in enumerate(found) for m in x)
+
+
+def test_passes_short_items_and_clashing_columns(spark):
+    bench = spark.createDataFrame([(i, f"one two w{i} four five six w{i} eight nine ten x{i}") for i in range(30)] + [(90, "red fox"), (91, "Fox!"), (92, "")], "item_id long, text string")
+    docs = [(i, f"so one two w{i} four five six w{i} eight nine TEN x{i} end" if i < 30 else "a red, fox" if i == 30 else "nothing", i, [1.0]) for i in range(40)]
+    df = spark.createDataFrame(docs + docs[:1], "doc_id long, text string, m int, matches array<double>")
+    want = Counter((i, (i,) if i < 30 else (90, 91) if i == 30 else ()) for i in [*range(40), 0])
+    for per_pass in (20_000, 7):
+        got = decontaminate.leaks(df, bench, per_pass=per_pass)
+        assert got.columns == df.columns
+        assert Counter((r.doc_id, tuple(sorted(m.item_id for m in r.matches))) for r in got.collect()) == want
+        assert all(r.m == r.doc_id for r in got.collect())
+
+
 def test_best_stretch():
     assert decontaminate.best_stretch([1, 2, 3, 4], [9, 1, 2, 4, 8]) == (1, 4)
     assert decontaminate.best_stretch([1, 2], [1, 2]) == (0, 2)
@@ -258,6 +288,55 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(train, empty, "text").collect()} == {"und"}
 
 
+def plain_states(w, side, data, h):
+    """One GRU, number by number, as its equations say."""
+    import numpy as np
+
+    out, state = [], np.zeros(h)
+    for c in data:
+        a, g = w[f"{side}x"][c].astype(float), state @ w[f"{side}h"].astype(float)
+        z, r = (1 / (1 + np.exp(-(a[i * h : i * h + h] + g[i * h : i * h + h]))) for i in (0, 1))
+        state = state + z * (np.tanh(a[2 * h :] + r * g[2 * h :]) - state)
+        out.append(state)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 5, 95, 96, 97, 191, 192, 200])
+def test_prediction_is_the_trained_network(n):
+    """What predicts against what is trained, and both against a plain network, stretch by stretch."""
+    import numpy as np
+
+    rnd, h = random.Random(n), language_id.HIDDEN
+    net = language_id.Network.fresh(["a", "b", "c"])
+    text = bytes(rnd.randrange(256) for _ in range(n))
+    want = np.zeros(3)
+    for a in range(0, n, language_id.STRETCH):
+        own = text[a : a + language_id.STRETCH]
+        states = np.hstack([plain_states(net.w, "f", own, h), plain_states(net.w, "b", own[::-1], h)[::-1]])
+        z = states @ net.w["out"] + net.w["bias"]
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        want += (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+    got = language_id.pooled(net, [b"x" * 150, text, b""])
+    assert np.abs(got[1] - want / n).max() < 1e-5
+    x, mask, owner = language_id.stretches([text])
+    s, _, _ = net.states(x, mask)
+    z = s @ net.w["out"] + net.w["bias"]
+    p = np.exp(z - z.max(axis=2, keepdims=True))
+    p = (p / p.sum(axis=2, keepdims=True))[mask]
+    assert np.abs(p.mean(axis=0) - got[1]).max() < 1e-5
+
+
+def test_many_languages_and_clashing_columns(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"l{i:02}", f"{letters[i % 26]}{letters[i // 26]} " * 20, 1.5, "own") for i in range(70)]
+    df = spark.createDataFrame(rows, "lang string, text string, score double, _said string")
+    net = language_id.fit(df, "text", "lang", sample=70)
+    assert len(net.langs) == 70
+    got = language_id.predict(df, net, "text")
+    assert got.columns == ["lang", "text", "_said", "lang_pred", "score"]
+    assert all(r._said == "own" and 0 <= r.score <= 1 for r in got.collect())
+
+
 def test_gradients():
     import numpy as np
 
@@ -299,6 +378,47 @@ def test_url_rules(spark):
     assert url_filter.url_verdicts(df.filter("url is null")).first().score == 0.0
 
 
+def test_url_model(spark):
+    """Scores, threshold and verdicts of the model against a plain version."""
+    import math
+    import zlib
+
+    rnd = random.Random(7)
+    words = {"com": ["news", "shop", "blog", "wiki"], "net": ["casino", "bet", "xxx", "win"], "org": ["news", "casino", "shop", "bet"]}
+    urls = [f"http://{rnd.choice(words[t])}{rnd.randrange(9)}.{t}/{'es/' if t == 'net' else ''}{rnd.choice(words[t])}" for t in ("com", "net", "org") for _ in range(60)] + ["http://İİ.org/shop", None, "", "x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_verdicts(df).collect()}
+    order = url_filter.ORDER
+    low = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i long, u string").selectExpr("i", "lower(u) as u").collect()
+    low = {r.i: r.u or "" for r in low}
+    said = {i: "allow" if got[i].rule == "com/" else "block" if got[i].rule else None for i in got}
+    held = {i: zlib.crc32((urls[i] or "").encode()) % 5 == 0 for i in got}
+    grams = {s: [Counter() for _ in range(order + 1)] for s in ("allow", "block")}
+    for i, s in said.items():
+        if s and not held[i]:
+            text = " " * order + low[i]
+            for j in range(len(low[i])):
+                for k in range(order + 1):
+                    grams[s][k][text[j + order - k : j + order + 1]] += 1
+
+    def prob(s, gram):
+        k = len(gram) - 1
+        below = prob(s, gram[1:]) if k else 1 / 256
+        follow = [n for g, n in grams[s][k].items() if g[:-1] == gram[:-1]]
+        return (grams[s][k][gram] + len(follow) * below) / (sum(follow) + len(follow)) if follow else below
+
+    score = {}
+    for i, u in low.items():
+        text = " " * order + u
+        score[i] = sum(math.log(prob("allow", text[j : j + order + 1]) / prob("block", text[j : j + order + 1])) for j in range(len(u))) / len(u) if u else 0.0
+        assert abs(score[i] - got[i].score) < 1e-9
+    threshold = got[0].threshold
+    errors = lambda t: sum(score[i] < t for i in score if held[i] and said[i] == "allow") / max(1, sum(held[i] and said[i] == "allow" for i in score)) + sum(score[i] >= t for i in score if held[i] and said[i] == "block") / max(1, sum(held[i] and said[i] == "block" for i in score))
+    assert errors(threshold) <= min(errors(t) for t in score.values()) + 1e-9
+    assert all(got[i].verdict == (said[i] or ("allow" if score[i] >= threshold else "block")) for i in got)
+    assert any(said[i] is None and got[i].verdict == "block" for i in got) and any(said[i] is None and got[i].verdict == "allow" for i in got)
+
+
 def test_warc(spark):
     pages = [(1, "http://a.B/x", "é\r\n\r\nz"), (2, "http://a.B/x", "é\r\n\r\nz"), (3, None, None), (4, "q\n r", ""), (None, "http://c/", "é\r\n\r\nz"), (5, "http://a.b/y", "solo"), (5, "http://a.b/y", "solo")]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
