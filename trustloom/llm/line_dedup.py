@@ -22,6 +22,7 @@ results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from itertools import chain
 
 import numpy as np
@@ -44,6 +45,8 @@ LEAST = GRAM * EDITS + 1
 #: Lines of one part of those that share a run; rows and bytes that a task compares, about.
 PART, TASK_ROWS, TASK_BYTES = 1024, 20_000, 8 << 20
 LAST = (1 << 63) - 1
+#: Earlier lines of a unit that are compared for many units at once.
+_FEW = 24
 LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, grams array<long>, signs array<long>, words string"
 VARIANTS = "variant binary, pos int, lid binary"
 
@@ -63,12 +66,20 @@ class Hashed:
 
     def __init__(self, lines: list[list[str]]):
         self.size = np.fromiter(map(len, lines), np.int64, len(lines))
-        known = dict.fromkeys(chain.from_iterable(lines), 0)
-        known = dict(zip(known, map(xxhash.xxh64_intdigest, known)))
-        self.words = np.fromiter(map(known.__getitem__, chain.from_iterable(lines)), np.uint64, int(self.size.sum()))
+        self.words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lines)), np.uint64, int(self.size.sum()))
+        self._place()
+
+    def _place(self) -> None:
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
 
+    def only(self, some: np.ndarray) -> Hashed:
+        """Those of the lines that a mask chooses."""
+        out = copy(self)
+        out.words, out.size = self.words[np.repeat(some, self.size)], self.size[some]
+        out._place()
+        return out
+
     def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(line, signed size, key) of all halves: equal halves have equal keys, and keys only choose what is looked at."""
         n = self.size
@@ -214,32 +225,60 @@ def _verified(found: DataFrame, cand: DataFrame) -> DataFrame:
     return both.filter(holds("words", "other")).select("lid", "partner")
 
 
-def _compared(pdf: pd.DataFrame) -> list[tuple]:
-    """(lid, partner, sure) of the lines that ask: the earliest and the most alike of the earlier lines that may be near, and whether these are all.
+def _reduced(i: np.ndarray, j: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all (i, j, away): for each i the least j and the j least away, and whether these are all there are."""
+    order = np.lexsort((j, i))
+    i, j, away = i[order], j[order], away[order]
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(i)))
+    alike = np.lexsort((j, away, i))[first] if len(i) else first
+    both = n - (alike != first) <= 1
+    other = alike != first
+    return np.concatenate([i[first], i[alike[other]]]), np.concatenate([j[first], j[alike[other]]]), np.concatenate([both, both[other]])
+
+
+def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
+    """(lid, partner, sure) of the rows that ask: the earliest and the most alike of the earlier lines of their unit that may be near, and whether these are all.
 
     With words, the partner is verified and sure.
     """
-    pdf = pdf.sort_values(["doc", "line"], kind="stable")
-    doc, line, size = (pdf[c].to_numpy(np.int64) for c in ("doc", "line", "size"))
-    signs = np.stack(pdf["signs"]).view(np.uint64)
-    lids, asks = pdf["lid"].tolist(), pdf["asks"].to_numpy(bool)
-    words = [x.split(" ") for x in pdf["words"]] if "words" in pdf else None
+    doc, line, size = (rows[c].to_numpy(np.int64) for c in ("doc", "line", "size"))
+    order = np.lexsort((line, doc, unit))
+    unit, doc, line, size = unit[order], doc[order], line[order], size[order]
+    signs, asks = np.stack(rows["signs"].to_numpy()).view(np.uint64)[order], rows["asks"].to_numpy(bool)[order]
+    lids = [rows["lid"].iat[i] for i in order.tolist()]
+    n = len(unit)
+    new = np.concatenate([[True], unit[1:] != unit[:-1]])
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     # lines at the same place don't count as earlier than each other
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
-    before = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    out = []
-    for i in np.flatnonzero(asks & (before > 0)).tolist():
-        n = before[i]
-        allowed = np.minimum(EDITS, np.minimum(size[:n], size[i]) // WORDS_PER_EDIT)
-        away = np.bitwise_count(signs[:n] ^ signs[i])
-        few = np.flatnonzero((away <= 2 * allowed[:, None]).all(axis=1) & (np.abs(size[:n] - size[i]) <= allowed))
-        if words is not None:
-            few = [j for j in few.tolist() if near(words[j], words[i])][:1]
-            out += [(lids[i], lids[j], True) for j in few]
-        elif len(few):
-            best = {int(few[0]), int(few[np.argmin(away[few].sum(axis=1, dtype=np.int64))])}
-            out += [(lids[i], lids[j], len(few) == len(best)) for j in sorted(best)]
-    return out
+    fresh = new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])
+    before = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+
+    def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        allowed = np.minimum(EDITS, np.minimum(size[i], size[j]) // WORDS_PER_EDIT)
+        away = np.bitwise_count(signs[i] ^ signs[j]).astype(np.int64)
+        ok = (away <= 2 * allowed[..., None]).all(axis=-1) & (np.abs(size[i] - size[j]) <= allowed)
+        return i[ok], j[ok], away[ok].sum(axis=-1)
+
+    some = np.flatnonzero(asks & (before > start))
+    words = [x.split(" ") for x in rows["words"].iloc[order]] if "words" in rows else None
+    if words is not None:
+        found = []
+        for i in some.tolist():
+            j = np.arange(start[i], before[i])
+            _, few, _ = close(np.full(len(j), i), j)
+            found += [(lids[i], lids[j], True) for j in [j for j in few.tolist() if near(words[j], words[i])][:1]]
+        return found
+    small = some[before[some] - start[some] <= _FEW]
+    parts = [(np.zeros(0, np.int64),) * 3]
+    for back in range(1, int((small - start[small]).max(initial=0)) + 1):  # all units side by side
+        i = small[(small - back >= start[small]) & (small - back < before[small])]
+        parts.append(close(i, i - back))
+    out = [_reduced(*(np.concatenate(x) for x in zip(*parts)))]
+    for i in some[before[some] - start[some] > _FEW].tolist():
+        j = np.arange(start[i], before[i])
+        out.append(_reduced(*close(np.full(len(j), i), j)))
+    return [(lids[i], lids[j], bool(sure)) for a, b, c in out for i, j, sure in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)]
 
 
 def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
@@ -254,14 +293,9 @@ def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
     parted = parted.withColumn("unit", F.xxhash64(pair)).withColumn("task", F.when(F.col("parts") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(tasks))))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        pdf = pdf.iloc[pdf["unit"].to_numpy().argsort(kind="stable")]
-        cuts = np.flatnonzero(np.diff(pdf["unit"].to_numpy())) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True):
-            if b - a > 1:
-                out += _compared(pdf.iloc[a:b])
+        out = pd.DataFrame(sorted(set(_compared(pdf["unit"].to_numpy(), pdf))), columns=["lid", "partner", "sure"])
         release()
-        return pd.DataFrame(sorted(set(out)), columns=["lid", "partner", "sure"])
+        return out
 
     return parted.drop("gram", "parts", "own", "other").groupBy("task").applyInPandas(compare, "lid binary, partner binary, sure boolean")
 
@@ -305,8 +339,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         every = np.fromiter(some, np.uint64, len(some))
         own = Hashed(list(some.values()))
         who, size, halves = own.halves()
-        long = np.flatnonzero(own.size >= LONG)
-        far = Hashed([words for words in some.values() if len(words) >= LONG])
+        long = own.size >= LONG
+        far = own.only(long)
         which, grams = far.grams()
         near_by = every[who], size, B.Keys(halves, bits)
         runs = every[long][which], grams, B.Keys(grams, bits)
