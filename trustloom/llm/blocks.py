@@ -47,7 +47,7 @@ ANSWER = "block long, kind int, bucket int, n int, bits binary"
 def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, base = 0, TaskContext.get().partitionId() << 32
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         ids: list[int | None] = []
         sizes: list[int] = []
         parts: list[bytes] = []
@@ -238,8 +238,8 @@ class Keys:
             part = slice(self.cuts[b], self.cuts[b + 1])
             keys = self.unique[part]
             if short:
-                keys = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
-            rows.append((int(b), block, len(keys), keys.tobytes(), np.packbits(self.often[part]).tobytes()))
+                keys = np.diff(((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))
+            rows.append((int(b), block, len(keys), squeeze(keys) if short else keys.tobytes(), np.packbits(self.often[part]).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "local"])
 
     def tagged(self, block: int, kind: int, tags: np.ndarray | None = None) -> pd.DataFrame:
@@ -265,9 +265,9 @@ class Keys:
         return out
 
 
-def _repeated(kind: int, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _repeated(kind: int, short: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, f"<u{width}") for x in pdf["keys"]]
+        keys = [np.cumsum(expand(x, np.uint32), dtype=np.uint32) if short else np.frombuffer(x, "<u8") for x in pdf["keys"]]
         local = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["local"], pdf["n"], strict=True)]
         s = np.sort(np.concatenate(keys))
         twice = s[1:][s[1:] == s[:-1]]
@@ -302,19 +302,14 @@ def repeated_by_kind(messages: DataFrame, bits: int) -> DataFrame:
     """Answers to tagged messages of several kinds at once."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _differing(pdf) if pdf["tags"].notna().any() else _repeated(int(pdf["kind"].iloc[0]), 8)(pdf)
+        return _differing(pdf) if pdf["tags"].notna().any() else _repeated(int(pdf["kind"].iloc[0]))(pdf)
 
     return dealt(messages, bits, "kind").groupBy("kind", "bucket").applyInPandas(answer, ANSWER)
 
 
-def repeated(messages: DataFrame, kind: int, short: bool = False) -> DataFrame:
-    """Answers (columns ANSWER): a key's bit is set if it occurs more than once in the corpus."""
-    return messages.groupBy("bucket").applyInPandas(_repeated(kind, 4 if short else 8), ANSWER)
-
-
 def shared(messages: DataFrame, bits: int) -> DataFrame:
-    """As repeated(), of 32-bit parts of the keys: a filter, with a set bit more now and then."""
-    return dealt(messages, bits).groupBy("bucket").applyInPandas(_repeated(1, 4), ANSWER)
+    """Answers (columns ANSWER) to short messages: a bit is set if the key occurs more than once in the corpus, and for others now and then."""
+    return dealt(messages, bits).groupBy("bucket").applyInPandas(_repeated(1, short=True), ANSWER)
 
 
 def meet(blocks: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:

@@ -96,7 +96,7 @@ class Windows:
             for b in np.flatnonzero(np.diff(k.cuts)):
                 part = slice(k.cuts[b], k.cuts[b + 1])
                 own = k.unique[part]
-                flags = np.packbits(np.concatenate([k.often[part], base[part]])).tobytes()
+                flags = B.squeeze(np.packbits(np.concatenate([k.often[part], base[part]])))
                 rows.append((int(b), block, len(own), B.squeeze(np.diff(own, prepend=np.uint64(0))), flags, [B.squeeze(t[part]) for t in firsts]))
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "flags", "tags"])
 
@@ -154,7 +154,7 @@ def covered(runs: np.ndarray, length: int, n: int) -> np.ndarray:
 def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     n = pdf["n"].tolist()
     keys = np.concatenate([np.cumsum(B.expand(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]])
-    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=2 * m).reshape(2, m).astype(bool) for x, m in zip(pdf["flags"], n, strict=True)]
+    flags = [np.unpackbits(B.expand(x, np.uint8), count=2 * m).reshape(2, m).astype(bool) for x, m in zip(pdf["flags"], n, strict=True)]
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     first = np.ones(len(s), bool)
