@@ -156,7 +156,7 @@ def test_mapping_decision(spark):
 
 def test_model(spark):
     nodes = spark.createDataFrame([("v", "Acme", "vendor", 2), ("g", "grp", "attribute_group", 0), ("d", "t.csv", "dataset", 0)], "id string, name string, entity_type string, alias_count long")
-    edges = spark.createDataFrame([("d", "g", "contains_reference", None, 0.9, "t"), ("d", "v", "co_occurs_with", "USES_VENDOR", 0.8, "t"), ("v", "d", "maps_to_atum", None, 0.8, "t")], "from_id string, to_id string, edge_type string, label string, confidence double, dataset string")
+    edges = spark.createDataFrame([("d", "g", "contains_reference", None, 0.9, "t"), ("d", "v", "co_occurs_with", "USES_VENDOR", 0.8, "t"), ("v", "d", "maps_to_category", None, 0.8, "t")], "from_id string, to_id string, edge_type string, label string, confidence double, dataset string")
     classes = spark.createDataFrame([("v", "resource_tower", "IT", "Storage", "IT > Storage", 0.9), ("v", "cost_pool", "Outside Services", None, "Outside Services", 0.7), ("v", "resource_tower", "IT", "Compute", "IT > Compute", 0.5)], "id string, layer string, level_1 string, level_2 string, path string, confidence double")
     datasets = spark.createDataFrame([("t", "t.csv", 3)], "dataset string, file_name string, row_count long")
     objs = A.objects(nodes, classes, A.entity_sources(edges, datasets))

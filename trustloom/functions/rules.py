@@ -44,26 +44,26 @@ ROLE_PATTERNS = (
 
 # Names (without spaces, underscores and hyphens) whose role is certain.
 ROLE_OVERRIDES = {
-    "vendor": "vendorname vendor vendorid supplier suppliername supplierid manufacturer",
-    "cost_center": "costcenter costcentre costcentername",
-    "business_unit": "businessunit bu buname",
-    "department": "department departmentname departmentdescription",
-    "application": "application applicationname app appconsumer",
-    "cloud_provider": "cloudprovider cloudvendor csp",
-    "infrastructure_asset": "storagedeviceid serverid assetid",
-    "project": "projectid projectname",
-    "person": "owner costcenterowner manager contact contactname createdby updatedby",
-    "identifier": "journalid voucherid invoicenumber ponumber",
+    "vendor": ("vendorname", "vendor", "vendorid", "supplier", "suppliername", "supplierid", "manufacturer"),
+    "cost_center": ("costcenter", "costcentre", "costcentername"),
+    "business_unit": ("businessunit", "bu", "buname"),
+    "department": ("department", "departmentname", "departmentdescription"),
+    "application": ("application", "applicationname", "app", "appconsumer"),
+    "cloud_provider": ("cloudprovider", "cloudvendor", "csp"),
+    "infrastructure_asset": ("storagedeviceid", "serverid", "assetid"),
+    "project": ("projectid", "projectname"),
+    "person": ("owner", "costcenterowner", "manager", "contact", "contactname", "createdby", "updatedby"),
+    "identifier": ("journalid", "voucherid", "invoicenumber", "ponumber"),
 }
 
 # Labels of edges, by column name, by role, and by the roles of two values in one row.
 EDGE_NAME_LABELS = (("manufacturer", "HAS_MANUFACTURER"), ("location", "LOCATED_IN"), ("platform", "USES_PLATFORM"))
 PAIR_LABELS = (("cost_center", "vendor", "USES_VENDOR"), ("department", "vendor", "USES_VENDOR"), ("project", "vendor", "CONTRACTED_WITH"), ("application", "cloud_provider", "HOSTED_BY"), ("infrastructure_asset", "vendor", "MANUFACTURED_BY"))
 DOMAINS = (("storage", "Storage Domain"), ("cost|finance|gl|ledger|account", "Finance Domain"), ("hr|employee|payroll", "HR Domain"), ("aws|azure|gcp|cloud", "Cloud Domain"), ("app", "Application Domain"))
-INTERNAL_TYPES = ("dataset", "attribute_group", "atum_category")
+INTERNAL_TYPES = ("dataset", "attribute_group", "taxonomy_category")
 
 # Currency codes, and what stands for some of them.
-CURRENCIES = "USD EUR GBP JPY CNY INR CAD AUD CHF NZD HKD SGD KRW MXN BRL ZAR SEK NOK DKK PLN".split()
+CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CNY", "INR", "CAD", "AUD", "CHF", "NZD", "HKD", "SGD", "KRW", "MXN", "BRL", "ZAR", "SEK", "NOK", "DKK", "PLN")
 CURRENCY_SYNONYMS = {"$": "USD", "dollar": "USD", "dollars": "USD", "us": "USD", "euro": "EUR", "euros": "EUR", "pound": "GBP", "pounds": "GBP", "yen": "JPY", "yuan": "CNY", "rupee": "INR", "rupees": "INR"}
 
 # Penalties and weights of the readiness score.

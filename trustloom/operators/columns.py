@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..sources.tables import upsert
 
 
 def classify_columns(profile: DataFrame, patterns=rules.ROLE_PATTERNS) -> DataFrame:
@@ -18,10 +19,10 @@ def classify_columns(profile: DataFrame, patterns=rules.ROLE_PATTERNS) -> DataFr
     return out.withColumn("role_confidence", F.when(F.col("is_technical"), 0.9).when(F.col("role") == "other", 0.3).otherwise(0.65))
 
 
-def override_roles(classified: DataFrame, overrides: dict[str, str] = rules.ROLE_OVERRIDES) -> DataFrame:
+def override_roles(classified: DataFrame, overrides: dict[str, tuple[str, ...]] = rules.ROLE_OVERRIDES) -> DataFrame:
     """Names that are certain, over any classifier; a plus sign marks a joined label, which is a description."""
     spark = classified.sparkSession
-    table = spark.createDataFrame([(n, r) for r, names in overrides.items() for n in names.split()], "norm string, sure string")
+    table = spark.createDataFrame([(n, r) for r, names in overrides.items() for n in names], "norm string, sure string")
     out = classified.withColumn("norm", F.regexp_replace(F.lower("column_name"), r"[\s_-]", "")).join(F.broadcast(table), "norm", "left")
     sure = F.when(F.col("column_name").contains("+"), F.lit("description")).otherwise(F.col("sure"))
     out = out.withColumn("sure", sure)
@@ -61,6 +62,11 @@ def list_relationships(relationships: DataFrame, dataset: str) -> DataFrame:
     return relationships.filter((F.col("from_dataset") == dataset) | (F.col("to_dataset") == dataset)).orderBy(F.desc("confidence"))
 
 
+def update_columns(columns: DataFrame, updates: DataFrame) -> DataFrame:
+    """The catalogue's columns with what updates say of them (dataset, column_name and any of role, role_confidence, is_technical)."""
+    return upsert(columns, updates.join(columns.select("dataset", "column_name"), ["dataset", "column_name"], "left_semi"), ["dataset", "column_name"])
+
+
 def pair_id_columns(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(columns to embed, pairs id_column/name_column): per table and role, IDs beside exactly one name become its property."""
     w = Window.partitionBy("dataset", "role")

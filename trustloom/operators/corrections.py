@@ -76,13 +76,16 @@ def review_state(items: DataFrame, events: DataFrame, key: str, transitions=TRAN
 def apply_corrections(cells: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells with corrected values, corrections with their affected row counts).
 
-    A value matches a correction by its trimmed lower-case form. Where several match one cell, the last by (confidence, original)
+    Currency codes come out in upper case; a cell that a date correction touched also has its date in date_value. A value matches a correction by its trimmed lower-case form. Where several match one cell, the last by (confidence, original)
     wins; every one that matches is counted.
     """
     fix = approved.filter("corrected is not null").withColumn("norm", text.normalised(F.col("original")))
     w = Window.partitionBy("dataset", "column_name", "norm").orderBy("confidence", F.desc("original"))
-    last = fix.withColumn("_at", F.row_number().over(w)).groupBy("dataset", "column_name", "norm").agg(F.max_by("corrected", "_at").alias("new"))
+    kind = F.col("correction_type") if "correction_type" in fix.columns else F.lit(None).cast("string")
+    fix = fix.withColumn("_kind", kind).withColumn("corrected", F.when(F.col("_kind") == "normalize_currency", F.upper("corrected")).otherwise(F.col("corrected")))
+    last = fix.withColumn("_at", F.row_number().over(w)).groupBy("dataset", "column_name", "norm").agg(F.max_by("corrected", "_at").alias("new"), F.max_by("_kind", "_at").alias("_kind"))
     keyed = cells.withColumn("norm", text.normalised(F.col("value")))
-    out = keyed.join(last, ["dataset", "column_name", "norm"], "left").withColumn("was", F.col("value")).withColumn("value", F.coalesce("new", "value")).drop("norm", "new")
+    out = keyed.join(last, ["dataset", "column_name", "norm"], "left").withColumn("was", F.col("value")).withColumn("value", F.coalesce("new", "value"))
+    out = out.withColumn("date_value", F.when(F.col("_kind") == "normalize_date", F.try_to_date("value"))).drop("norm", "new", "_kind")
     hits = keyed.groupBy("dataset", "column_name", "norm").agg(F.count("*").alias("affected_rows"))
-    return out, fix.join(hits, ["dataset", "column_name", "norm"], "left").drop("norm").fillna({"affected_rows": 0})
+    return out, fix.join(hits, ["dataset", "column_name", "norm"], "left").drop("norm", "_kind").fillna({"affected_rows": 0})

@@ -36,7 +36,7 @@ def objects(nodes: DataFrame, classes: DataFrame, sources: DataFrame) -> DataFra
 def relationships(edges: DataFrame, nodes: DataFrame, datasets: DataFrame) -> DataFrame:
     """Edges between business entities or tables, with the names of their ends and of the evidence."""
     group = nodes.filter("entity_type = 'attribute_group'").select("id")
-    some = edges.filter("edge_type <> 'maps_to_atum'")
+    some = edges.filter("edge_type <> 'maps_to_category'")
     for end in ("from_id", "to_id"):
         some = some.join(group.withColumnRenamed("id", end), end, "left_anti")
     name = lambda s: nodes.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type"))
@@ -70,12 +70,11 @@ def model_warnings(objs: DataFrame, rels: DataFrame, sources: DataFrame) -> Data
     w = sources.filter("not is_ready").agg(F.count("*").alias("late"))
     names = sources.filter("not is_ready").orderBy("file_name").limit(5).agg(F.array_join(F.array_sort(F.collect_list("file_name")), ", ").alias("names"))
     c = F.col
-    # fixed values: the texts
     said = F.array(
-        F.when(c("n") == 0, F.struct(F.lit(1).alias("seq"), F.lit("No business objects in the context graph — rebuild the Enterprise Context Model (Stage 4) first.").alias("warning"))),
-        F.when(c("open") > 0, F.struct(F.lit(2).alias("seq"), F.format_string("%d of %d object(s) have no approved ATUM classification and will load into Apptio unallocated. Approve more Stage 6 mappings to close the gap.", "open", "n").alias("warning"))),
-        F.when(c("late") > 0, F.struct(F.lit(3).alias("seq"), F.concat(c("late").cast("string"), F.lit(f" source dataset(s) score below the {READY} TBM-readiness threshold: "), c("names"), F.when(c("late") > 5, ", …").otherwise(""), F.lit(".")).alias("warning"))),
-        F.when((c("rels") == 0) & (c("n") > 0), F.struct(F.lit(4).alias("seq"), F.lit("No relationships were preserved — Apptio will not be able to allocate cost across these objects.").alias("warning"))),
+        F.when(c("n") == 0, F.struct(F.lit(1).alias("seq"), F.lit("No business objects in the context graph — rebuild the graph first.").alias("warning"))),
+        F.when(c("open") > 0, F.struct(F.lit(2).alias("seq"), F.format_string("%d of %d object(s) have no approved classification and stay unallocated. Approve more mappings to close the gap.", "open", "n").alias("warning"))),
+        F.when(c("late") > 0, F.struct(F.lit(3).alias("seq"), F.concat(c("late").cast("string"), F.lit(f" source dataset(s) score below the {READY} readiness threshold: "), c("names"), F.when(c("late") > 5, ", …").otherwise(""), F.lit(".")).alias("warning"))),
+        F.when((c("rels") == 0) & (c("n") > 0), F.struct(F.lit(4).alias("seq"), F.lit("No relationships were preserved — cost can't be allocated across these objects.").alias("warning"))),
     )
     return o.join(r, F.lit(True)).join(w, F.lit(True)).join(names, F.lit(True)).select(F.inline(F.filter(said, lambda x: x.isNotNull())))
 

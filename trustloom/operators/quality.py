@@ -150,7 +150,7 @@ def recommendations() -> Column:
     )
     found = F.filter(F.array(*[F.when(when, F.lit(t)) for when, t in advice]), lambda x: x.isNotNull())
     high = reduce(lambda a, k: a & (c(k) >= 0.95), rules.READINESS_WEIGHTS, F.lit(True))
-    default = F.when(high, "Dataset is TBM-ready with high quality scores").otherwise("Continue monitoring data quality metrics")
+    default = F.when(high, "Dataset is ready, with high quality scores").otherwise("Continue monitoring data quality metrics")
     return F.when(F.size(found) > 0, found).otherwise(F.array(default))
 
 

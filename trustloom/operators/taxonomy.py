@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..sources import scratch
 from ..sources import tables as S
 from .corrections import review_state
 
@@ -96,6 +97,25 @@ def decide_mapping(ranked: DataFrame, least: float = 0.35, sure: float = 0.85) -
     return out.select("id", F.when(~weak, F.col("b.category")).alias("category"), F.when(~weak, F.col("b.path")).alias("path"), status.alias("status"), F.when(weak, F.col("b.score")).otherwise(F.col("b.final")).alias("confidence"), F.when(weak, "unresolved").otherwise(F.col("b.method")).alias("method"), F.when(weak, "No taxonomy candidate reached the minimum confidence threshold.").otherwise(why).alias("reasoning"), rest.alias("alternatives"))
 
 
+def run_mapping(inputs: DataFrame, distances: DataFrame, taxonomy: DataFrame, verdicts: DataFrame | None = None, fallback: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chain for one layer: (mappings, counts as metric, n).
+
+    inputs: id, context_text, canonical_name (null if the anchor is no known entity). distances: id, category, distance. fallback: the ids whose vectors
+    are hashes. Contexts with no candidate are skipped.
+    """
+    ranked = rank_candidates(inputs, distances, taxonomy)
+    mappings = scratch.stored(decide_mapping(ranked if verdicts is None else apply_mapping_verdicts(ranked, verdicts)), "mappings")
+    own = inputs.select("id", F.col("canonical_name").isNotNull().alias("linked")).join(mappings.select("id", "category", "status"), "id", "left")
+    weak = fallback.select("id", F.lit(True).alias("weak")).distinct() if fallback is not None else inputs.select("id").limit(0).withColumn("weak", F.lit(True))
+    c = F.col
+    tests = {
+        "candidates": F.lit(True), "mapped": c("category").isNotNull(), "auto": c("status") == "approved", "review": c("status") == "suggested",
+        "unresolved": c("status") == "unresolved", "linked": c("linked"), "skipped": c("status").isNull(), "fallback": c("weak").isNotNull(),
+    }
+    wide = own.join(weak, "id", "left").agg(*[F.count_if(x).alias(k) for k, x in tests.items()])
+    return mappings, wide.unpivot([], list(tests), "metric", "n")
+
+
 def upsert_mappings(existing: DataFrame, incoming: DataFrame, replace: bool = False) -> DataFrame:
     """Fresh mappings over old ones; an approved or overridden status stays unless replace."""
     keep = F.when(F.col("old.status").isin("approved", "overridden") & F.lit(not replace), F.col("old.status")).otherwise(F.coalesce("new.status", "old.status"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import scratch
 
 
 def distinct_values(cells: DataFrame, limit: int | None = 500) -> DataFrame:
@@ -29,12 +32,15 @@ def hash_embed(values: DataFrame, key: str, col: str, dim: int = 1536) -> DataFr
     return raw.join(norm, "key").select("key", "idx", (F.col("v") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
-def attach_vectors(values: DataFrame, given: DataFrame | None, key: str) -> DataFrame:
-    """Each value's own vector if one is supplied, else none; embedding_source tells which ones fall back to the hash."""
-    if given is None:
-        return values.withColumn("vector", F.lit(None).cast("array<double>")).withColumn("embedding_source", F.lit("hash"))
-    both = values.join(given.select(key, "vector"), key, "left")
-    return both.withColumn("embedding_source", F.when(F.col("vector").isNotNull(), "given").otherwise("hash"))
+def attach_vectors(values: DataFrame, given: DataFrame | None, key: str, text_col: str | None = None, dim: int = 1536) -> DataFrame:
+    """Each value's own vector if one is supplied, else the hash vector of its text (the key itself by default); embedding_source tells which."""
+    kind = "array<double>"
+    both = values.withColumn("vector", F.lit(None).cast(kind)) if given is None else values.join(given.select(key, F.col("vector").cast(kind).alias("vector")), key, "left")
+    bare = both.filter("vector is null").select(F.col(key).alias("_key"), F.col(text_col or key).cast("string").alias("_text")).dropDuplicates(["_key"])
+    hashed = hash_embed(bare, "_key", "_text", dim).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("_w"))
+    dense = F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0))))
+    filled = both.join(hashed, both[key] == hashed["key"], "left").withColumn("embedding_source", F.when(F.col("vector").isNotNull(), "given").otherwise("hash"))
+    return filled.withColumn("vector", dense).select(*values.columns, "vector", "embedding_source")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,29 +62,111 @@ def sparse_distances(vectors: DataFrame, pairs: DataFrame | None = None) -> Data
 
 def signatures(col: Column, dim: int, planes: int, tables: int, seed: int = 17) -> Column:
     """An array of `tables` random-hyperplane signatures of a dense vector: equal ones make a pair a candidate."""
-    import numpy as np
-
     w = np.random.default_rng(seed).standard_normal((tables, planes, dim))
     bit = lambda p: F.when(dot(col, F.array(*[F.lit(float(x)) for x in p])) > 0, 1).otherwise(0)
     return F.array(*[sum(((bit(p)) * (1 << i) for i, p in enumerate(t)), F.lit(t_no << planes)) for t_no, t in enumerate(w)])
 
 
+#: Vectors of one tile.
+TILE = 2048
+
+
+def _tile_pairs(vectors: DataFrame, by: str) -> DataFrame:
+    """by, tile, other, own, more: the tiles of each group (columns by, id, grp, v) and of every pair of its tiles both, as lists of rows.
+
+    Tiles are of bounded size, so a large group is many tasks. Each tile goes to as many tasks as its group has tiles.
+    """
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = vectors.groupBy(by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    dealt = vectors.join(sizes, by).withColumn("tile", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    tiles = scratch.stored(dealt.groupBy(by, "parts", "tile").agg(F.collect_list(F.struct("id", "grp", F.col("v").cast("array<double>").alias("v"))).alias("own")), "tiles")
+    left = tiles.select(by, "tile", F.explode(F.sequence("tile", F.col("parts") - 1)).alias("other"), "own")
+    right = tiles.select(by, F.col("tile").alias("other"), F.col("own").alias("more"))
+    return left.join(right, [by, "other"]).repartition(n, by, "tile", "other").select("tile", "other", "own", "more")
+
+
+def _block(rows) -> tuple[list, np.ndarray, np.ndarray]:
+    """Ids, groups and unit vectors; vectors with a null component count as zero there, zero ones are 1 from all."""
+    x = np.nan_to_num(np.asarray([[0.0 if c is None else c for c in r["v"]] for r in rows], float))
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return [r["id"] for r in rows], np.asarray([r["grp"] for r in rows], object), x / np.where(norm > 0, norm, 1)
+
+
 def similar_pairs(vectors: DataFrame, max_distance: float, limit: int | None = 30, method: str = "exact", dim: int | None = None, planes: int = 8, tables: int = 12) -> DataFrame:
     """a, b, distance: pairs of different groups (columns id, grp, v) under max_distance, nearest first.
 
-    exact compares every pair of different groups, block by block; lsh compares those that share a signature (an approximation).
+    exact compares tiles of unit vectors with each other as matrix products, and of each pair of tiles keeps what can be among the nearest; its work grows with
+    the square of the rows. lsh compares those that share a signature (an approximation, see lsh_recall): the choice for large tables.
     """
     a, b = (vectors.select(F.col("id").alias(s), F.col("grp").alias(f"g_{s}"), F.col("v").alias(f"v_{s}")) for s in "ab")
     if method == "lsh":
         own = vectors.select("id", "grp", F.explode(signatures(F.col("v"), dim, planes, tables)).alias("sig"))
         both = own.toDF("a", "g_a", "sig").join(own.toDF("b", "g_b", "sig"), "sig").filter("a < b and g_a <> g_b").select("a", "b").distinct()
-        pairs = both.join(a, "a").join(b, "b")
     else:
-        pairs = a.join(b, (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")))
+        kind = vectors.schema["id"].dataType.simpleString()
+
+        def compare(frames):
+            for pdf in frames:
+                for row in pdf.itertuples(index=False):
+                    (ids, grp, x), (other_ids, other_grp, y) = _block(row.own), _block(row.more)
+                    away = 1 - x @ y.T
+                    away[grp[:, None] == other_grp[None, :]] = np.inf
+                    if row.tile == row.other:
+                        away[np.tril_indices(len(ids))] = np.inf
+                    top = max_distance
+                    if limit is not None and away.size > limit:
+                        top = min(top, float(np.partition(away.ravel(), limit - 1)[limit - 1]))
+                    hits = np.argwhere((away <= top + 1e-9) & np.isfinite(away)).tolist()
+                    yield pd.DataFrame([sorted((ids[i], other_ids[j])) for i, j in hits], columns=["a", "b"])
+
+        both = _tile_pairs(vectors.select(F.lit(0).alias("all"), "id", "grp", "v"), "all").mapInPandas(_joined(compare, ["a", "b"]), f"a {kind}, b {kind}")
+    pairs = both.join(a, "a").join(b, "b")
     found = pairs.select("a", "b", cosine_distance(F.col("v_a"), F.col("v_b")).alias("distance")).filter(F.col("distance") < max_distance)
     return found if limit is None else found.orderBy("distance", "a", "b").limit(limit)
 
 
+def _joined(work, columns: list[str], rows: int = 10_000):
+    """work's many small frames as few larger ones."""
+
+    def run(frames):
+        held, n = [], 0
+        for pdf in work(frames):
+            held.append(pdf)
+            n += len(pdf)
+            if n >= rows:
+                yield pd.concat(held)
+                held, n = [], 0
+        yield pd.concat(held) if held else pd.DataFrame(columns=columns)
+
+    return run
+
+
+def match_within(vectors: DataFrame, by: str, max_distance: float) -> DataFrame:
+    """a, b: enough links between the rows of one group (columns by, id, v) under max_distance to connect all that are connected.
+
+    A pair of tiles emits a spanning forest of its links, never the links themselves.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def compare(frames):
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                (ids, _, x), (other_ids, _, y) = _block(row.own), _block(row.more)
+                same = row.tile == row.other
+                names = ids if same else ids + other_ids
+                label, shift = np.arange(len(names)), 0 if same else len(ids)
+                near = 1 - x @ y.T < max_distance
+                for i in np.flatnonzero(near.any(axis=1)).tolist():
+                    own = np.unique(label[np.append(np.flatnonzero(near[i]) + shift, i)])
+                    if len(own) > 1:
+                        label[np.isin(label, own)] = own[0]
+                moved = np.flatnonzero(label != np.arange(len(names))).tolist()
+                yield pd.DataFrame([(names[i], names[label[i]]) for i in moved], columns=["a", "b"])
+
+    rows = vectors.select(by, "id", F.lit(0).alias("grp"), "v").filter(F.col(by).isNotNull())
+    return _tile_pairs(rows, by).mapInPandas(_joined(compare, ["a", "b"]), f"a {kind}, b {kind}")
+
+
 def nearest_k(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     """query, item, distance, rank: the k nearest items (id, v) of each query (id, v).
 

@@ -34,10 +34,10 @@ def _cells_of_roles(spark, sf_dir):
     return B.cells(spark, sf_dir, NAMED).join(F.broadcast(B.role_table(spark).select("dataset", "column_name")), ["dataset", "column_name"])
 
 
-@query(f"select dataset, column_name, value from (select *, row_number() over (partition by dataset, column_name order by value) as rn from {_values}) where rn <= 500")
+@query(f"select dataset, column_name, value from {_values}")
 def distinct_values(spark, sf_dir):
-    """V1: the first 500 values of each column with a role."""
-    return V.distinct_values(_cells_of_roles(spark, sf_dir)).select("dataset", "column_name", "value")
+    """V1: all values of each column with a role."""
+    return V.distinct_values(_cells_of_roles(spark, sf_dir), None).select("dataset", "column_name", "value")
 
 
 _hash = """(with t as (select distinct {col} as key, lower(trim({col})) as s from {table}),
@@ -57,11 +57,15 @@ def hash_embed(spark, sf_dir):
     return _part_vectors(spark, sf_dir).select("key", F.col("idx").cast("long").alias("idx"), F.round("w", 6).alias("w"))
 
 
-@query("select case when e.vec_id is null then 'hash' else 'given' end as embedding_source, count(*) as n from documents d left join embeddings e on e.vec_id = d.doc_id group by 1")
+@query(f"""select p.p_partkey as key, case when e.vec_id is null then 'hash' else 'given' end as embedding_source, case when e.vec_id is null then 1536 else len(e.embedding) end as dim,
+round(case when e.vec_id is null then h.total else list_sum(cast(e.embedding as double[])) end, 6) as total
+from part p left join embeddings e on e.vec_id = p.p_partkey * 3 left join (select key, sum(w) as total from {_part_hash} group by 1) h on h.key = p.p_name""")
 def attach_vectors(spark, sf_dir):
-    """V3: documents with a vector of their own, and those that fall back to the hash."""
-    given = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return V.attach_vectors(B.table(spark, sf_dir, "documents").select("doc_id"), given, "doc_id").groupBy("embedding_source").agg(F.count("*").alias("n"))
+    """V3: a vector for every part: its own where one is given, else the hash vector of its name."""
+    given = B.table(spark, sf_dir, "embeddings").filter("vec_id % 3 = 0").select((F.col("vec_id") / 3).cast("long").alias("p_partkey"), F.col("embedding").alias("vector"))
+    out = V.attach_vectors(B.table(spark, sf_dir, "part").select("p_partkey", "p_name"), given, "p_partkey", "p_name")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return out.select(F.col("p_partkey").alias("key"), "embedding_source", F.size("vector").cast("long").alias("dim"), F.round(total, 6).alias("total"))
 
 
 @query(f"select dataset, column_name, count(*) as n_values from {_values} where not (dataset = 'supplier' and column_name = 'suppkey') group by all")
@@ -142,9 +146,8 @@ select node, min(reach) as component from walk group by 1""")
 def match_within_role(spark, sf_dir):
     """Vectors of one label within 0.7 of each other, connected."""
     e = B.table(spark, sf_dir, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, "label").filter("a < b").filter(V.cosine_distance(F.col("va"), F.col("vb")) < 0.7).select("a", "b")
-    return R.connected_components(pairs, e.select("vec_id"))
+    links = V.match_within(e.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "label", 0.7)
+    return R.connected_components(links, e.select("vec_id"))
 
 
 @query(f"select role, lower(value) as norm, min(value) as representative, cast(sum(n) as bigint) as n from {_values} group by 1, 2")
@@ -329,14 +332,14 @@ def entity_aliases(spark, sf_dir):
     return G.entity_aliases(_containment(spark, sf_dir).select(F.col("entity").alias("id"), "dataset", "column_name", "weight", F.col("entity").alias("value")), "cost_center:building").select("id", "dataset", "column_name", "weight")
 
 
-_supply = "(select distinct 's' || l_suppkey as from_id, 'p' || l_partkey as to_id from lineitem where l_discount >= 0.09 and l_quantity >= 45)"
+_supply = "(select distinct 's' || l_suppkey as from_id, 'p' || l_partkey as to_id from lineitem)"
 _walk = """with recursive e as (select from_id as a, to_id as b from {edges} union select to_id, from_id from {edges}),
 walk(id, depth) as (select '{seed}', 0 union select e.b, w.depth + 1 from walk w join e on e.a = w.id where w.depth < {depth})
 select id, min(depth) as depth from walk group by 1"""
 
 
 def _supplies(spark, sf_dir):
-    li = B.table(spark, sf_dir, "lineitem").filter("l_discount >= 0.09 and l_quantity >= 45")
+    li = B.table(spark, sf_dir, "lineitem")
     return li.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("from_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("to_id")).distinct()
 
 

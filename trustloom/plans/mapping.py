@@ -67,10 +67,10 @@ def row_context(spark, sf_dir):
 _dedup = f"(select anchor_column, lower(anchor_value) as anchor_key, arg_min(anchor_value, row_no) as anchor_value, arg_min(context_text, row_no) as context_text, count(*) as occurrences, min(row_no) as first_row from {_ctx} group by 1, 2)"
 
 
-@query(f"select anchor_key, anchor_value, context_text, occurrences, first_row from {_dedup} order by first_row limit 150")
+@query(f"select anchor_key, anchor_value, context_text, occurrences, first_row from {_dedup}")
 def dedupe_context(spark, sf_dir):
-    """M4."""
-    return M.dedupe_context(_contexts(spark, sf_dir)).select("anchor_key", "anchor_value", "context_text", "occurrences", "first_row")
+    """M4: all of them; the operator's limit is for what a costly caller takes."""
+    return M.dedupe_context(_contexts(spark, sf_dir), None).select("anchor_key", "anchor_value", "context_text", "occurrences", "first_row")
 
 
 _aliases = "(select lower(trim(p_name)) as anchor_key, min(trim(p_type)) as canonical_name from part group by 1 having count(*) > 20)"
@@ -132,10 +132,15 @@ r as (select *, round(cast(0.6 as double) * similarity + cast(0.2 as double) * l
 select *, row_number() over (partition by id order by score desc, distance, category) as rank from r)"""
 
 
-def _rank(spark, sf_dir):
+def _near(spark, sf_dir):
     inputs, tax = _inputs(spark, sf_dir), scratch.stored(_taxonomy(spark, sf_dir), "taxonomy")
     q, t = V.hash_embed(inputs, "id", "context_text"), V.hash_embed(tax, "category", "search_text")
     d = q.join(t.select(F.col("key").alias("category"), "idx", F.col("w").alias("wt")), "idx").groupBy(F.col("key").alias("id"), "category").agg(F.round(1 - F.sum(F.col("w") * F.col("wt")), 9).alias("distance"))
+    return inputs, d, tax
+
+
+def _rank(spark, sf_dir):
+    inputs, d, tax = _near(spark, sf_dir)
     return scratch.stored(M.rank_candidates(inputs, d, tax), "ranked"), inputs
 
 
@@ -162,10 +167,19 @@ def _decide(spark, sf_dir):
 
 @query(f"select id, category, status, confidence, case when status = 'unresolved' then 'unresolved' else 'hybrid' end as method from {_decided}")
 def decide_mapping(spark, sf_dir):
-    """The whole chain for one layer."""
+    """M10."""
     return _decide(spark, sf_dir).select("id", "category", "status", "confidence", "method")
 
 
+@query(f"""select 'candidates' as metric, count(*) as n from {_input} union all select 'mapped', count(category) from {_decided} union all select 'auto', count(*) from {_decided} where status = 'approved'
+union all select 'review', count(*) from {_decided} where status = 'suggested' union all select 'unresolved', count(*) from {_decided} where status = 'unresolved' union all select 'linked', count(canonical_name) from {_input}
+union all select 'skipped', count(*) from {_input} i where not exists (select 1 from {_decided} d where d.id = i.id) union all select 'fallback', count(*) from {_input}""")
+def run_mapping(spark, sf_dir):
+    """The whole chain for one layer, and its counts; all vectors are hashes here."""
+    inputs, d, tax = _near(spark, sf_dir)
+    return M.run_mapping(inputs, d, tax, fallback=inputs)[1]
+
+
 @query(f"select id, status, confidence from {_decided} where status = 'unresolved'")
 def list_mappings(spark, sf_dir):
     """M12, M18."""
@@ -287,8 +301,8 @@ def model_summary(spark, sf_dir):
     return A.model_summary(objs, rels, sources)
 
 
-@query(f"""select 2 as seq, count(*) filter (mapping_confidence is null) || ' of ' || count(*) || ' object(s) have no approved ATUM classification and will load into Apptio unallocated. Approve more Stage 6 mappings to close the gap.' as warning from {_objects}
-union all select 3, '2 source dataset(s) score below the 0.7 TBM-readiness threshold: orders.parquet, supplier.parquet.'""")
+@query(f"""select 2 as seq, count(*) filter (mapping_confidence is null) || ' of ' || count(*) || ' object(s) have no approved classification and stay unallocated. Approve more mappings to close the gap.' as warning from {_objects}
+union all select 3, '2 source dataset(s) score below the 0.7 readiness threshold: orders.parquet, supplier.parquet.'""")
 def model_warnings(spark, sf_dir):
     """A7."""
     objs, rels, sources, *_ = _model(spark, sf_dir)
@@ -301,11 +315,13 @@ def filter_objects(spark, sf_dir):
     return A.filter_objects(_model(spark, sf_dir)[0], "vendor").select("id", "name")
 
 
-@query(f"select list_transform([entity_type], lambda t: upper(t[1]) || t[2:])[1] || 's' as sheet, id, coalesce(cost_pool, '') as cost_pool, coalesce(resource_tower, '') as resource_tower, coalesce(sources, '') as sources from {_objects} where not contains(entity_type, '_')")
+@query(f"select array_to_string(list_transform(string_split(entity_type, '_'), lambda t: upper(t[1]) || t[2:]), ' ') || 's' as sheet, id, coalesce(cost_pool, '') as cost_pool, coalesce(resource_tower, '') as resource_tower, coalesce(sources, '') as sources from {_objects}")
 def export_model(spark, sf_dir):
-    """Objects as they are exported."""
-    objs = _model(spark, sf_dir)[0]
-    return A.sheet_rows(objs.filter("not contains(entity_type, '_')")).select("sheet", "id", "cost_pool", "resource_tower", "sources")
+    """The model, exported to a place of its own and read back: its objects, a folder per type."""
+    objs, rels, sources, *_ = _model(spark, sf_dir)
+    to = scratch.path(spark, "model")
+    A.export_model(objs, rels, sources, A.model_summary(objs, rels, sources), to)
+    return spark.read.parquet(f"{to}/objects").select("sheet", "id", "cost_pool", "resource_tower", "sources")
 
 
 @query("select dataset, column_name, value as corrected, count(*) as n from " + quality._fixed + " where column_name = 'currency' group by 1, 2, 3")
@@ -315,8 +331,8 @@ def write_corrected_copy(spark, sf_dir):
 
     cells = quality._cells(spark, sf_dir).filter("column_name = 'currency'")
     fixed, _ = K.apply_corrections(cells, quality._proposed_corrections(spark, sf_dir))
-    back = scratch.stored(fixed.select("dataset", "column_name", F.col("value").alias("corrected")), "billing_corrected")
-    return back.groupBy("dataset", "column_name", "corrected").agg(F.count("*").alias("n"))
+    to = S.write_corrected_copy(fixed.select("dataset", "column_name", F.col("value").alias("corrected")), scratch.path(spark, "billing"), "1")
+    return spark.read.parquet(to).groupBy("dataset", "column_name", "corrected").agg(F.count("*").alias("n"))
 
 
 @query("select n_name as nation, o_orderstatus as status, round(sum(o_totalprice), 2) as cost, count(*) as n from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by rollup (n_name, o_orderstatus)")

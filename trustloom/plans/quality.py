@@ -266,15 +266,14 @@ def review_state(spark, sf_dir):
     return K.review_state(items, _review_events(spark, sf_dir), "item")
 
 
-_fixed = f"(select c.dataset, c.column_name, c.value as was, coalesce(p.corrected, c.value) as value from ({_c}) c left join (select dataset, column_name, lower(trim(original)) as norm, arg_max(corrected, (confidence, -rk)) as corrected from (select *, row_number() over (order by original) as rk from {_proposed}) group by 1, 2, 3) p on p.dataset = c.dataset and p.column_name = c.column_name and p.norm = lower(trim(c.value)) where c.column_name in ('currency', 'due_date', 'brand'))"
+_fixed = f"(select c.dataset, c.column_name, c.value as was, coalesce(p.corrected, c.value) as value from ({_c}) c left join (select dataset, column_name, lower(trim(original)) as norm, arg_max(corrected, (confidence, -rk)) as corrected from (select *, row_number() over (order by original) as rk from {_proposed}) group by 1, 2, 3) p on p.dataset = c.dataset and p.column_name = c.column_name and p.norm = lower(trim(c.value)))"
 
 
-@query(f"select dataset, column_name, value, count(*) as n, count(*) filter (was <> value) as changed from {_fixed} group by 1, 2, 3")
+@query(f"select dataset, column_name, value, count(*) as n, count(*) filter (was is distinct from value) as changed from {_fixed} group by 1, 2, 3")
 def apply_corrections(spark, sf_dir):
     """Q19, Q20: all proposals approved and applied to all cells; what stands there then."""
-    cells = _cells(spark, sf_dir).filter(F.col("column_name").isin("currency", "due_date", "brand"))
-    out, _ = K.apply_corrections(cells, _proposed_corrections(spark, sf_dir))
-    return out.groupBy("dataset", "column_name", "value").agg(F.count("*").alias("n"), F.count_if(F.col("was") != F.col("value")).alias("changed"))
+    out, _ = K.apply_corrections(_cells(spark, sf_dir), _proposed_corrections(spark, sf_dir))
+    return out.groupBy("dataset", "column_name", "value").agg(F.count("*").alias("n"), F.count_if(~F.col("was").eqNullSafe(F.col("value"))).alias("changed"))
 
 
 @query(f"select p.dataset, p.column_name, p.original, coalesce(h.n, 0) as affected_rows from {_proposed} p left join (select dataset, column_name, lower(trim(value)) as norm, count(*) as n from ({_c}) group by 1, 2, 3) h on h.dataset = p.dataset and h.column_name = p.column_name and h.norm = lower(trim(p.original))")
@@ -297,7 +296,7 @@ def readiness(spark, sf_dir):
     return Q.list_readiness(_scores(spark, sf_dir)[0]).select("dataset", "source_type", "completeness", "validity", "consistency", "uniqueness", "overall", "issue_count", "critical_issue_count")
 
 
-@query(f"""select dataset, case when advice = '' then case when completeness >= 0.95 and validity >= 0.95 and consistency >= 0.95 and uniqueness >= 0.95 then 'Dataset is TBM-ready with high quality scores' else 'Continue monitoring data quality metrics' end else advice end as recommendations from
+@query(f"""select dataset, case when advice = '' then case when completeness >= 0.95 and validity >= 0.95 and consistency >= 0.95 and uniqueness >= 0.95 then 'Dataset is ready, with high quality scores' else 'Continue monitoring data quality metrics' end else advice end as recommendations from
 (select r.*, concat_ws('; ', case when completeness < 0.8 then 'Add missing required columns based on the canonical schema for this source type' end, case when validity < 0.8 and k.d > 0 then 'Normalize date formats to ISO 8601 (YYYY-MM-DD)' end, case when validity < 0.8 and k.c > 0 then 'Standardize currency codes to ISO 4217' end, case when validity < 0.8 and k.m > 0 then 'Review and fill missing required values' end,
 case when consistency < 0.9 and k.r > 0 then 'Resolve entity reference mismatches by adding missing entities to the knowledge graph or correcting values' end, case when uniqueness < 0.95 then 'Review and remove duplicate rows to ensure data integrity' end, case when k.o > 0 then 'Investigate outlier values to determine if they are data entry errors' end, case when k.s > 0 then 'Align column data types with canonical schema expectations' end) as advice
 from {_ready} r left join (select dataset, count(*) filter (issue_type = 'invalid_date') as d, count(*) filter (issue_type = 'invalid_currency') as c, count(*) filter (issue_type = 'missing_value') as m, count(*) filter (issue_type = 'invalid_reference') as r, count(*) filter (issue_type = 'outlier') as o, count(*) filter (issue_type = 'schema_mismatch') as s from {_all} group by 1) k on k.dataset = r.dataset)""")

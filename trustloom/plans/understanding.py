@@ -163,8 +163,8 @@ def classify_columns(spark, sf_dir):
     return C.classify_columns(P.profile_columns(B.cells(spark, sf_dir))).select("dataset", "column_name", "role", "role_confidence", "is_technical")
 
 
-_OVER = {"cost_center": "mktsegment", "identifier": "orderkey linenumber", "vendor": "suppkey"}
-_over = B.sql_values([(n, r) for r, ns in _OVER.items() for n in ns.split()])
+_OVER = {"cost_center": ("mktsegment",), "identifier": ("orderkey", "linenumber"), "vendor": ("suppkey",)}
+_over = B.sql_values([(n, r) for r, ns in _OVER.items() for n in ns])
 
 
 @query(f"""select c.dataset, c.column_name, coalesce(o.sure, c.role) as role, cast(case when o.sure is not null then 1.0 else c.role_confidence end as double) as role_confidence,
@@ -241,7 +241,7 @@ def list_relationships(spark, sf_dir):
 
 @query(f"""select k.dataset, k.column_name, k.role from {_known} k where k.role <> 'identifier' and not (k.dataset = 'supplier' and k.column_name = 'suppkey')""")
 def pair_id_columns(spark, sf_dir):
-    """The columns left once an ID is a property of the name beside it (supplier key and supplier name)."""
+    """The columns left once an ID is a property of the name beside it (supplier key and supplier name)."""
     named = _roles(spark, sf_dir).withColumn("column_name", F.when(F.col("column_name") == "suppkey", "suppkey_id").otherwise(F.col("column_name")))
     rest, _ = C.pair_id_columns(named)
     return rest.filter("role <> 'identifier'").select("dataset", "column_name", "role")
@@ -251,3 +251,11 @@ def pair_id_columns(spark, sf_dir):
 def embeddable_columns(spark, sf_dir):
     """C12."""
     return C.embeddable_columns(_roles(spark, sf_dir)).select("dataset", "column_name", "role")
+
+
+@query(f"select dataset, column_name, case when role = 'identifier' then 'other' else role end as role, is_technical or role = 'identifier' as is_technical from {_known}")
+def columns_update(spark, sf_dir):
+    """Identifiers become technical columns without a role."""
+    known = _roles(spark, sf_dir).select("dataset", "column_name", "role", "is_technical")
+    updates = known.filter("role = 'identifier'").select("dataset", "column_name", F.lit("other").alias("role"), F.lit(True).alias("is_technical"))
+    return C.update_columns(known, updates)
