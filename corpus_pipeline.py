@@ -4,7 +4,7 @@ Each stage gets what its predecessor kept and returns the columns of documents,
 
 1. language ID: a document stays if its pooled language probability is MIN_SCORE at least; texts without a letter (null and empty ones
    among them) go. The network learns from the rows that have a label, on a bounded sample.
-2. line dedup: lines that stand earlier in the corpus, whole or but for one word (three, from 20 words), go; every document stays, and n_chars is counted anew.
+2. line dedup: lines that stand earlier in the corpus, whole or but for one word in eight (three at most), go; every document stays, and n_chars is counted anew.
 3. SimHash near-dedup: of each component one document stays, the one with the smallest id (five words a shingle, as for all stages on
    shingles; two texts are linked if their sets of shingles have a Jaccard similarity of 0.8 at least).
 4. benchmark decontamination: documents that contain a benchmark item, at a similarity of 0.8 or more, go.
