@@ -6,9 +6,12 @@ import random
 import re
 import struct
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from trustloom.llm import bpe, decontaminate, language_id, line_dedup, recompression, scratch, simhash, suffix_dedup, url_filter, warc
 from trustloom.llm.components import components
@@ -454,3 +457,18 @@ def test_empty_tables_and_blank_texts(spark, work):
     df = frame(spark, [None, "", " \n "])
     assert work(df).count() == 3
     assert work(df.limit(0)).count() == 0
+
+
+def test_lines_of_a_block():
+    letters = list("ab c\n\t\x1c\x0b\x85\xa0     　é漢‐​")
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        found = [None if rng.random() < 0.1 else "".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(rng.integers(0, 30))]
+        raw = [(t or "").encode() for t in found]
+        data = b"".join(raw)
+        lines = line_dedup.Lines(SimpleNamespace(sizes=[len(x) for x in raw], data=zstandard.compress(data), n_bytes=len(data)))
+        want = [(r, n, x.split()) for r, t in enumerate(found) for n, x in enumerate((t or "").split("\n")) if x.split()]
+        assert list(zip(lines.row.tolist(), lines.number.tolist())) == [w[:2] for w in want]
+        assert [lines.line(i).decode().split(" ") for i in range(len(want))] == [w[2] for w in want]
+        names = dict(zip([x for *_, w in want for x in w], lines.hashed().words.tolist(), strict=True))
+        assert len(set(names.values())) == len(names) and lines.size.tolist() == [len(w[2]) for w in want]

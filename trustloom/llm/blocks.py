@@ -193,6 +193,11 @@ def span_keys(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((running[end] - running[start]) * powers(len(running))[1][start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """A number for each byte, to be summed by sums()."""
+    return _BYTE[data]
+
+
 def byte_keys(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first position, keys of all byte windows of this length that start in the slice), slice by slice."""
     up, down = powers(SLICE + length)

@@ -21,6 +21,7 @@ results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from copy import copy
 from itertools import chain
@@ -48,7 +49,10 @@ LAST = (1 << 63) - 1
 #: Earlier lines of a unit that are compared for many units at once.
 _FEW = 24
 LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, grams array<long>, signs array<long>, words string"
-VARIANTS = "variant binary, pos int, lid binary"
+VARIANTS = "variant binary, pos int, doc long, line int, lid binary"
+#: Bytes of white space, and white space of several bytes in UTF-8: what separates words, as in str.split().
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def bound(words: int) -> int:
@@ -64,11 +68,16 @@ def _halves(n: int) -> list[int]:
 class Hashed:
     """Some lines by the hashes of their words."""
 
-    def __init__(self, lines: list[list[str]]):
-        self.size = np.fromiter(map(len, lines), np.int64, len(lines))
-        self.words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lines)), np.uint64, int(self.size.sum()))
+    def __init__(self, words: np.ndarray, size: np.ndarray):
+        """words: of all lines, one after another; size: words of each line."""
+        self.words, self.size = words, size
         self._place()
 
+    @classmethod
+    def of(cls, lines: list[list[str]]) -> Hashed:
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        return cls(np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lines)), np.uint64, int(size.sum())), size)
+
     def _place(self) -> None:
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
@@ -138,15 +147,54 @@ def near(a: list[str], b: list[str]) -> bool:
     return _within(a, b, bound(min(len(a), len(b))))
 
 
-def _lines(row) -> Iterator[tuple[int, int, list[str]]]:
-    """(row in the block, line number, words) of all lines that have words."""
-    data, offsets = B.texts(row)
-    raw = data.tobytes()
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        for n, line in enumerate(raw[a:b].decode("utf-8", "replace").split("\n")):
-            words = line.split()
-            if words:
-                yield i, n, words
+class Lines:
+    """The lines of a block that have words: row in the block, number in the text, and where the words lie."""
+
+    def __init__(self, row):
+        self.data, offsets = B.texts(row)
+        n = len(self.data)
+        space, edge = _SPACE[self.data], np.zeros(n + 1, bool)
+        for m in _WIDE.finditer(self.data):
+            space[m.start() : m.end()] = True
+        edge[offsets] = True
+        before, after = edge.copy(), edge
+        before[1:] |= space
+        after[:n] |= space
+        self.start, self.end = np.flatnonzero(~space & before[:n]), np.flatnonzero(~space & after[1:]) + 1
+        breaks = np.flatnonzero(self.data == 10)
+        text, past = np.searchsorted(offsets, self.start, "right") - 1, np.searchsorted(breaks, self.start)
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (past[1:] != past[:-1])
+        self.first = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.first, len(text)))
+        self.row = text[self.first]
+        self.number = past[self.first] - np.searchsorted(breaks, offsets)[self.row]
+        # lines whose words have one blank between them are cut out as they stand
+        single = new.copy()
+        single[1:] |= (self.start[1:] - self.end[:-1] == 1) & (self.data[self.end[:-1]] == 32)
+        self.plain = np.logical_and.reduceat(single, self.first) if len(self.first) else single
+        last = self.first + self.size - 1
+        self.spans = list(zip(self.start[self.first].tolist(), self.end[last].tolist(), self.plain.tolist(), strict=True))
+        self.raw = self.data.tobytes()
+
+    def line(self, i: int) -> bytes:
+        """The words of a line, one blank between them."""
+        a, b, plain = self.spans[i]
+        return self.raw[a:b] if plain else " ".join(self.raw[a:b].decode("utf-8", "replace").split()).encode()
+
+    def keys(self) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(self.line(i)) for i in range(len(self.spans))), np.uint64, len(self.spans))
+
+    def hashed(self) -> Hashed:
+        """All lines by hashes of their words: equal words have equal ones, and they only choose what is looked at."""
+        out, i = np.empty(len(self.start), np.uint64), 0
+        while i < len(out):  # words of one slice of the block
+            a = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, a + B.SLICE, "right")))
+            running = B.sums(B.letters(self.data[a : self.end[j - 1]]))
+            out[i:j] = B.span_keys(running, self.start[i:j] - a, self.end[i:j] - a)
+            i = j
+        return Hashed(out, self.size)
 
 
 _ROLL = W.Rolling(31, 23), W.Rolling(31, 29)
@@ -175,14 +223,15 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     digest = xxhash.xxh3_128_digest
 
     def made(lids: list, kept: list, other: list) -> pd.DataFrame:
-        owner, place, key = _deleted(Hashed(other))
+        owner, place, key = _deleted(Hashed.of(other))
         key ^= np.frombuffer(b"".join(kept), np.uint32).reshape(-1, 4)[owner]
         raw = key.tobytes()
-        return pd.DataFrame({"variant": [raw[i : i + 16] for i in range(0, len(raw), 16)], "pos": place.astype(np.int32), "lid": [lids[i] for i in owner.tolist()]})
+        doc, line, lid = (np.array(x, t)[owner] for x, t in zip(zip(*lids, strict=True), (np.int64, np.int32, object), strict=True))
+        return pd.DataFrame({"variant": [raw[i : i + 16] for i in range(0, len(raw), 16)], "pos": place.astype(np.int32), "doc": doc, "line": line, "lid": lid})
 
     for pdf in frames:
         lids, kept, other, held = [], [], [], 0
-        for lid, text, halves in zip(pdf["lid"], pdf["words"], pdf["halves"], strict=True):
+        for *lid, text, halves in zip(pdf["doc"], pdf["line"], pdf["lid"], pdf["words"], pdf["halves"], strict=True):
             words = text.split(" ")
             for size in halves:
                 own, rest = (words[:size], words[size:]) if size > 0 else (words[size:], words[:size])
@@ -200,15 +249,15 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _near_drops(cand: DataFrame) -> DataFrame:
     """lid, partner: lines that have an earlier near line. cand: lid, words, halves, first (their earliest place)."""
     n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = scratch.stored(cand.select("lid", "words", "halves").repartition(n).mapInPandas(_variants, VARIANTS), "variants")
-    shared = emitted.groupBy("variant").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).filter("a < b").select("variant")
-    rows = emitted.join(shared, "variant").join(cand.select("lid", F.struct(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "lid").alias("o")), "lid")
-    rows = scratch.stored(rows.select("variant", "pos", "o").withColumn("whole", F.col("pos") == -1), "shared")
-    least = scratch.stored(rows.groupBy("variant").agg(F.min(F.when(~F.col("whole"), F.col("o"))).alias("cut"), F.min(F.when(F.col("whole"), F.col("o"))).alias("self")), "least")
-    place = scratch.stored(rows.filter("not whole").groupBy("variant", "pos").agg(F.min("o").alias("same")), "place")
+    emitted = cand.select("first.doc", "first.line", "lid", "words", "halves").repartition(n).mapInPandas(_variants, VARIANTS)
+    emitted = scratch.stored(emitted.select("variant", "pos", F.struct("doc", "line", "lid").alias("o"), (F.col("pos") == -1).alias("whole")), "variants")
+    ends = F.min("o.lid").alias("a"), F.max("o.lid").alias("b"), F.min(F.when(~F.col("whole"), F.col("o"))).alias("cut"), F.min(F.when(F.col("whole"), F.col("o"))).alias("self")
+    least = emitted.groupBy("variant").agg(*ends).filter("a < b").drop("a", "b")
+    rows = scratch.stored(emitted.join(least, "variant"), "shared")
+    place = rows.filter("not whole").groupBy("variant", "pos").agg(F.min("o").alias("same"))
     earlier = lambda c: F.when(F.col(c) < F.col("o"), F.col(c))
-    cuts = rows.filter("not whole").join(place, ["variant", "pos"]).join(least, "variant").select("o", F.least(earlier("same"), earlier("self")).alias("p"))
-    wholes = rows.filter("whole").join(least, "variant").select("o", earlier("cut").alias("p"))
+    cuts = rows.filter("not whole").join(place, ["variant", "pos"]).select("o", F.least(earlier("same"), earlier("self")).alias("p"))
+    wholes = rows.filter("whole").select("o", earlier("cut").alias("p"))
     found = cuts.union(wholes).filter("p is not null").groupBy(F.col("o.lid").alias("lid")).agg(F.min("p").alias("p")).select("lid", F.col("p.lid").alias("partner"))
     return _verified(found, cand)
 
@@ -325,26 +374,19 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = B.key_bits(table)
 
     def scan(row):
-        """All lines with words: (row, number), text, key; and of each different one that may be near another: halves, runs, signatures."""
-        spots, lines, keys = [], [], []
-        some: dict[int, list[str]] = {}
-        for r, n, words in _lines(row):
-            line = " ".join(words)
-            key = xxhash.xxh64_intdigest(line)
-            spots.append((r, n))
-            lines.append(line)
-            keys.append(key)
-            if len(words) >= WORDS_PER_EDIT:
-                some.setdefault(key, words)
-        every = np.fromiter(some, np.uint64, len(some))
-        own = Hashed(list(some.values()))
+        """All lines with words and their keys; and of each different one that may be near another: halves, runs, signatures."""
+        lines = Lines(row)
+        keys = lines.keys()
+        some, once = np.flatnonzero(lines.size >= WORDS_PER_EDIT), np.zeros(len(keys), bool)
+        once[some[np.unique(keys[some], return_index=True)[1]]] = True
+        every, own = keys[once], lines.hashed().only(once)
         who, size, halves = own.halves()
         long = own.size >= LONG
         far = own.only(long)
         which, grams = far.grams()
         near_by = every[who], size, B.Keys(halves, bits)
         runs = every[long][which], grams, B.Keys(grams, bits)
-        return spots, lines, keys, B.Keys(np.asarray(keys, np.uint64), bits), near_by, runs, (every[long], far)
+        return lines, keys, B.Keys(keys, bits), near_by, runs, (every[long], far)
 
     def ask(row):
         *_, by_line, (key, _, halves), (who, _, runs), _ = scan(row)
@@ -353,7 +395,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     answers = scratch.stored(B.repeated_by_kind(B.each(table, ask, B.TAGGED), bits), "lines")
 
     def emit(row, said):
-        spots, lines, keys, by_line, (key, size, halves), (who, grams, runs), (long, far) = scan(row)
+        lines, keys, by_line, (key, size, halves), (who, grams, runs), (long, far) = scan(row)
         again = by_line.answered(said[said.kind == 1])
         shared, met = halves.answered(said[said.kind == 2]), runs.answered(said[said.kind == 3])
         own_halves: dict[int, list[int]] = {}
@@ -363,11 +405,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for k, g in zip(who[met].tolist(), grams[met].view(np.int64).tolist(), strict=True):
             own_runs.setdefault(k, []).append(g)
         signs = dict(zip(long.tolist(), far.signs().view(np.int64).tolist(), strict=True)) if own_runs else {}
-        out = []
-        for i in np.flatnonzero(again | np.fromiter((k in own_halves or k in own_runs for k in keys), bool, len(keys))).tolist():
-            (r, n), k = spots[i], keys[i]
-            doc, found, run = row.ids[r], own_halves.get(k, []), own_runs.get(k, [])
-            out.append((xxhash.xxh3_128_digest(lines[i]), LAST if doc is None or doc != doc else int(doc), n, row.block, r, found, run, signs[k] if run else None, lines[i] if found or run else None))
+        out, at = [], np.flatnonzero(again | np.isin(keys, key[shared]) | np.isin(keys, who[met]))
+        for i, r, n, k in zip(at.tolist(), lines.row[at].tolist(), lines.number[at].tolist(), keys[at].tolist(), strict=True):
+            doc, found, run, line = row.ids[r], own_halves.get(k, []), own_runs.get(k, []), lines.line(i)
+            out.append((xxhash.xxh3_128_digest(line), LAST if doc is None or doc != doc else int(doc), n, row.block, r, found, run, signs[k] if run else None, line.decode("utf-8", "replace") if found or run else None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
     places = scratch.stored(B.meet(table, answers, emit, LINES), "places")
@@ -386,10 +427,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         data, offsets = B.texts(row)
         raw, rows = data.tobytes(), []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            lines = raw[a:b].decode("utf-8", "replace").split("\n")
-            kept = [x for n, x in enumerate(lines) if n not in drop[i]] if i in drop else lines
-            text = None if row.sizes[i] < 0 else "\n".join(kept)
-            rows.append((text, 0 if text is None else len(lines), len(lines) - len(kept), row.extra[i]))
+            text, removed = raw[a:b].decode("utf-8", "replace"), len(drop.get(i, ()))
+            n_lines = text.count("\n") + 1
+            if removed:
+                text = "\n".join([x for n, x in enumerate(text.split("\n")) if n not in drop[i]])
+            rows.append((None, 0, 0, row.extra[i]) if row.sizes[i] < 0 else (text, n_lines, removed, row.extra[i]))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed", "extra"])
 
     out = B.meet(table, cut, rewrite, "text string, n_lines long, n_removed long, extra string")
