@@ -135,7 +135,11 @@ def dealt(messages: DataFrame, bits: int, *more: str) -> DataFrame:
 
 def squeeze(x: np.ndarray) -> bytes:
     """Numbers byte plane by byte plane, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+    rows = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+    planes = np.empty(rows.T.shape, np.uint8)
+    for i in range(x.itemsize):  # plane by plane: far faster than one copy of the transposed numbers
+        planes[i] = rows[:, i]
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def raw(data: bytes) -> bytes:
@@ -146,7 +150,10 @@ def expand(data: bytes, dtype) -> np.ndarray:
     """The numbers that squeeze() got."""
     planes, width = np.frombuffer(raw(data), np.uint8), np.dtype(dtype).itemsize
     planes = planes.reshape(width, len(planes) // width)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    rows = np.empty(planes.T.shape, np.uint8)
+    for i in range(width):
+        rows[:, i] = planes[i]
+    return rows.view(dtype).ravel()
 
 
 def texts(row) -> tuple[np.ndarray, np.ndarray]:

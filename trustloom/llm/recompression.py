@@ -19,13 +19,12 @@ a text longer than a block makes a block of its own.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,14 +40,51 @@ OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,
 VOCABULARY = "bucket int, block long, n int, words binary, often binary"
 NAMES = "block long, round int, bucket int, n int, names binary"
 SYMBOLS = "block long, kind int, state array<binary>, bucket int, n int, parts array<binary>, often binary"
+#: Bytes of white space.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _SYMBOLS = [c.split()[0] for c in SYMBOLS.split(", ")]
 
 
-def texts_of(row) -> list[list[bytes]]:
-    """The words of each text of a block: bytes.split() cuts at exactly the white space that is meant."""
-    data, offsets = B.texts(row)
-    raw = data.tobytes()
-    return [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+class Words:
+    """The words of a block, `[^\\x20\\x09-\\x0D]+`: where each lies, which of the different ones it is, and where the texts start."""
+
+    def __init__(self, row):
+        self.data, self.texts = B.texts(row)
+        n = len(self.data)
+        inside, edge = ~_SPACE[self.data], np.zeros(n + 1, bool)
+        edge[self.texts] = True
+        before, after = edge[:n].copy(), edge[1:].copy()
+        before[1:] |= ~inside[:-1]
+        after[:-1] |= ~inside[1:]
+        self.start, self.end = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+        self.offsets = np.searchsorted(self.start, self.texts)
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(self.data[inside])]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), buffers).dictionary_encode()
+        self.code, self.different = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+    def ordered(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the different words by key range, and the cuts between ranges."""
+        bucket = (np.fromiter(map(xxhash.xxh64_intdigest, self.different), np.uint64, len(self.different)) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+
+    def without(self, gone: np.ndarray) -> list[bytes]:
+        """Each text's words that aren't gone, joined by one space."""
+        n, kept = len(self.data), ~gone
+        start, past = self.start[kept], self.end[kept]
+        ends = np.zeros(n + 1, bool)
+        ends[self.texts] = True
+        open_ = ~ends[past]  # the byte after the word is white space of the same text
+        out, steps = self.data.copy(), np.zeros(n + 1, np.int8)
+        out[past[open_]] = 32
+        past = past + open_
+        steps[start] += 1
+        steps[past] -= 1
+        mask = np.cumsum(steps[:n], dtype=np.int8).astype(bool)
+        cuts = np.concatenate([[0], np.cumsum(mask)])[self.texts].tolist()
+        raw = out[mask].tobytes()
+        return [raw[a:b].rstrip(b" ") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def name(numbers: np.ndarray, bucket: int, bits: int, round_: int) -> np.ndarray:
@@ -197,13 +233,6 @@ def name_symbols(round_: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return numbered
 
 
-def _ordered(words: list[bytes], bits: int) -> tuple[list[bytes], np.ndarray]:
-    """Different words in order of key range, else as they came, and the cuts between ranges."""
-    bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return [words[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-
-
 def _packed(symbols: Symbols, alive: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """What a block keeps from round to round; before the first, the symbols are the words."""
     arrays = [np.packbits(alive), words, offsets]
@@ -237,10 +266,10 @@ def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> D
     table = docs_blocks
 
     def vocabulary(row):
-        seen = Counter(chain.from_iterable(texts_of(row)))
-        words, cuts = _ordered(list(seen), bits)
+        own = Words(row)
+        order, cuts = own.ordered(bits)
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        often = np.fromiter((seen[w] > 1 for w in words), bool, len(words))
+        words, often = [own.different[i] for i in order.tolist()], np.bincount(own.code, minlength=len(order))[order] > 1
         rows = [(int(b), row.block, int(cuts[b + 1] - cuts[b]), squeeze(b" ".join(words[cuts[b] : cuts[b + 1]])), np.packbits(often[cuts[b] : cuts[b + 1]]).tobytes()) for b in np.flatnonzero(np.diff(cuts))]
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "words", "often"])
 
@@ -255,16 +284,12 @@ def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> D
         return out.astype({"bucket": "Int32", "n": "Int32"})
 
     def read(row, answers):
-        texts = texts_of(row)
-        seen = dict.fromkeys(chain.from_iterable(texts), 0)
-        words, cuts = _ordered(list(seen), bits)
-        at = 0
-        for b, numbers in sorted(zip(answers["bucket"].tolist(), answers["names"], strict=True)):
-            for x in name(B.expand(numbers, np.uint32), b, bits, 0).tolist():
-                seen[words[at]] = x
-                at += 1
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
-        ids = np.fromiter(map(seen.__getitem__, chain.from_iterable(texts)), np.int64, int(offsets[-1]))
+        own = Words(row)
+        order, cuts = own.ordered(bits)
+        names, offsets = np.zeros(len(order), np.int64), own.offsets
+        for b, numbers in zip(answers["bucket"].tolist(), answers["names"], strict=True):
+            names[order[cuts[b] : cuts[b + 1]]] = name(B.expand(numbers, np.uint32), b, bits, 0)
+        ids = names[own.code]
         alive = B.whole(offsets, window, len(ids))
         symbols, ids = _squeezed(Symbols.of_words(ids, offsets), window, alive, ids)
         return rows_of(row.block, 0, symbols, alive, ids, offsets)
@@ -318,19 +343,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return [words[i : i + min_words].tobytes() for i in at.tolist()]
 
     def cut(row, found):
-        texts = texts_of(row)
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
+        own = Words(row)
+        offsets = own.offsets
         runs = np.frombuffer(found["runs"].iloc[0], np.int64).reshape(-1, 2) if len(found) else np.zeros((0, 2), np.int64)
         gone = W.covered(runs, min_words, int(offsets[-1]))
         rows = []
-        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-            own = gone[a:b]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-            left, at = [], 0
-            for x, y in edge:
-                left += texts[i][at:x]
-                at = y
-            rows.append((row.ids[i], b - a, int(own.sum()), [{"start": x, "end": y} for x, y in edge], b" ".join(left + texts[i][at:]).decode("utf-8", "replace")))
+        for i, (a, b, left) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), own.without(gone), strict=True)):
+            some = gone[a:b]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], some.astype(np.int8), [0]]))).reshape(-1, 2).tolist() if some.any() else []
+            rows.append((row.ids[i], b - a, int(some.sum()), [{"start": x, "end": y} for x, y in edge], left.decode("utf-8", "replace")))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept"])
         return out.astype({"doc_id": "Int64"})
 
