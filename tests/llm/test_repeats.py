@@ -3,8 +3,11 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
+import zstandard
 
 from trustloom.llm import blocks, recompression, suffix_dedup
 from trustloom.llm import windows as W
@@ -122,3 +125,27 @@ def test_rolling_keys_are_the_polynomials():
             key = key << 32 | sum(int(letters[c]) * pow(base, j, r.prime) for j, c in enumerate(x[i : i + 20].tolist())) % r.prime
         want.append(key)
     assert got.tolist() == blocks.mix(np.asarray(want, np.uint64)).tolist()
+
+
+def test_words_of_a_block():
+    """Words, their coding and what is left of a text, against bytes.split(); texts meet without white space between them."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        texts = [bytes(rng.choice(list(b"ab \n\t\x0b\x1cz"), rng.integers(0, 12)).astype(np.uint8)) for _ in range(rng.integers(1, 5))]
+        data = b"".join(texts)
+        row = SimpleNamespace(sizes=[len(t) for t in texts], n_bytes=len(data), data=zstandard.ZstdCompressor().compress(data))
+        own, words = recompression.Words(row), [t.split() for t in texts]
+        flat = [w for ws in words for w in ws]
+        assert np.diff(own.offsets).tolist() == [len(ws) for ws in words]
+        code, different, cuts = own.coded(6)
+        assert [different[i] for i in code.tolist()] == flat and sorted(different) == sorted(set(flat)) and cuts[-1] == len(different)
+        gone = rng.random(len(flat)) < 0.4
+        kept = iter(gone.tolist())
+        assert own.without(gone) == [b" ".join([w for w in ws if not next(kept)]) for ws in words]
+
+
+@pytest.mark.parametrize("dtype", [np.uint8, np.uint16, np.uint32, np.int64, np.uint64])
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_packed_numbers_come_back(dtype, n):
+    x = np.random.default_rng(3).integers(0, 200, n).astype(dtype)
+    assert np.array_equal(blocks.expand(blocks.squeeze(x), dtype), x)

@@ -46,7 +46,7 @@ _SYMBOLS = [c.split()[0] for c in SYMBOLS.split(", ")]
 
 
 class Words:
-    """The words of a block, `[^\\x20\\x09-\\x0D]+`: where each lies, which of the different ones it is, and where the texts start."""
+    """The words of a block, `[^\\x20\\x09-\\x0D]+`: where each lies, and where the texts start."""
 
     def __init__(self, row):
         self.data, self.texts = B.texts(row)
@@ -58,16 +58,18 @@ class Words:
         after[:-1] |= ~inside[1:]
         self.start, self.end = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
         self.offsets = np.searchsorted(self.start, self.texts)
-        ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
-        buffers = [None, pa.py_buffer(ends), pa.py_buffer(self.data[inside])]
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), buffers).dictionary_encode()
-        self.code, self.different = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
-    def ordered(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """An order of the different words by key range, and the cuts between ranges."""
-        bucket = (np.fromiter(map(xxhash.xxh64_intdigest, self.different), np.uint64, len(self.different)) >> np.uint64(64 - bits)).astype(np.int64)
+    def coded(self, bits: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Which of the different words each one is, these in order of key range, and the cuts between ranges."""
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(self.data[~_SPACE[self.data]])]
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), buffers).dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return place[found.indices.to_numpy()], [words[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
 
     def without(self, gone: np.ndarray) -> list[bytes]:
         """Each text's words that aren't gone, joined by one space."""
@@ -266,10 +268,9 @@ def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> D
     table = docs_blocks
 
     def vocabulary(row):
-        own = Words(row)
-        order, cuts = own.ordered(bits)
+        code, words, cuts = Words(row).coded(bits)
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        words, often = [own.different[i] for i in order.tolist()], np.bincount(own.code, minlength=len(order))[order] > 1
+        often = np.bincount(code, minlength=len(words)) > 1
         rows = [(int(b), row.block, int(cuts[b + 1] - cuts[b]), squeeze(b" ".join(words[cuts[b] : cuts[b + 1]])), np.packbits(often[cuts[b] : cuts[b + 1]]).tobytes()) for b in np.flatnonzero(np.diff(cuts))]
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "words", "often"])
 
@@ -285,11 +286,11 @@ def candidates(docs_blocks: DataFrame, bits: int, window: int, rounds: int) -> D
 
     def read(row, answers):
         own = Words(row)
-        order, cuts = own.ordered(bits)
-        names, offsets = np.zeros(len(order), np.int64), own.offsets
+        code, words, cuts = own.coded(bits)
+        names, offsets = np.zeros(len(words), np.int64), own.offsets
         for b, numbers in zip(answers["bucket"].tolist(), answers["names"], strict=True):
-            names[order[cuts[b] : cuts[b + 1]]] = name(B.expand(numbers, np.uint32), b, bits, 0)
-        ids = names[own.code]
+            names[cuts[b] : cuts[b + 1]] = name(B.expand(numbers, np.uint32), b, bits, 0)
+        ids = names[code]
         alive = B.whole(offsets, window, len(ids))
         symbols, ids = _squeezed(Symbols.of_words(ids, offsets), window, alive, ids)
         return rows_of(row.block, 0, symbols, alive, ids, offsets)
