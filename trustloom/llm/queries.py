@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .decontaminate import op8_decontaminate
+from .html_text import op12_html_text
 from .language_id import op9_language_id
+from .lexical import SQL as LEXICAL_SQL
+from .lexical import op11_lexical
 from .line_dedup import op6_line_dedup
 from .merkle import SQL as MERKLE_SQL
 from .merkle import op13_merkle
@@ -15,7 +18,7 @@ from .suffix_dedup import op4_suffix_dedup
 from .url_filter import op1_url_filter
 from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_warc, op4_suffix_dedup, op5_simhash, op6_line_dedup, op7_recompression, op8_decontaminate, op9_language_id, op10_projected_knn, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe, op3_warc, op4_suffix_dedup, op5_simhash, op6_line_dedup, op7_recompression, op8_decontaminate, op9_language_id, op10_projected_knn, op11_lexical, op12_html_text, op13_merkle)}
 
 SQL: dict[str, str] = {
     "op3_warc": r"""with p as (select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
@@ -33,5 +36,6 @@ gone as (select distinct doc_id, unnest(generate_series(i, i + 34)) as p from re
 word as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as p from d),
 kept as (select word.doc_id, count(gone.p) as n_removed, string_agg(x, ' ' order by word.p) filter (gone.p is null) as t from word left join gone on gone.doc_id = word.doc_id and gone.p = word.p group by 1)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(k.n_removed, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from d left join kept k on k.doc_id = d.doc_id""",
+    "op11_lexical": LEXICAL_SQL,
     "op13_merkle": MERKLE_SQL,
 }
