@@ -1,11 +1,11 @@
 """Merkle manifest of a table: a leaf per row, a tree per group, a tree over the groups' roots, and a proof per leaf.
 
 Leaves are numbered inside their group through one range exchange (rows to ranges; offsets from the counts of ranges, so no group is held by a task). Levels are built
-a band at a time: 2**width nodes, which share an ancestor, meet in a row, and all levels up to that ancestor are folded there. What is stored are node rows
-(tree, node, parent, sibling, and on which side it stands). Proofs are then climbed: for each band a recursive query starts with the leaves,
-joins a row's node with the stored rows, appends the sibling, folds the digest and goes on with the parent. Low bands join by
-exchange, where a node is met by few leaves; high bands hold few nodes, are counted, and are broadcast if they are
-at most BROADCAST_NODES. A row's result is kept as a table per band, so that no query is deeper than a band.
+STEP at a time: 2**STEP nodes, which share an ancestor, meet in a row, and all levels up to that ancestor are folded there. What is stored are node rows
+that link to the ancestor, with the siblings on the way. Proofs are then climbed: a recursive query starts with the leaves,
+joins a row's node with the stored rows, appends the siblings, folds the digest and goes on with the ancestor. Low steps join by
+exchange, two in a query, where a node is met by few leaves; as soon as all node rows above are at most BROADCAST_NODES (they are counted), one query climbs the rest and broadcasts them.
+A row's result is kept as a table per query.
 
 Nulls: a null field is written as `-`; null groups are one group, the first; null keys come first in it and are never tampered with. Repeated rows and rows that repeat a key are leaves of
 their own (ordered by key, then digest). Empty texts count as texts of no bytes. Very long texts are hashed where they are read; only digests move. Other columns aren't read. No rows: no leaves.
@@ -13,15 +13,17 @@ their own (ordered by key, then digest). Empty texts count as texts of no bytes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Levels per band below LOW, and above it.
-NARROW, WIDE, LOW = 4, 8, 8
-#: A band with at most so many node rows (of about 80 bytes) is broadcast.
-BROADCAST_NODES = 100_000
+#: Levels that a node row climbs.
+STEP = 4
+#: At most so many node rows (of about 250 bytes) are broadcast.
+BROADCAST_NODES = 50_000
 #: Rows that repeat group, key and digest are dealt to ranges by so many salts.
 SALT = 1024
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -74,38 +76,33 @@ def node_id(level, at) -> Column:
     return F.shiftleft(level.cast("long"), 48) + at
 
 
-def _band(nodes: DataFrame, low: int, width: int) -> DataFrame:
-    """The node rows of levels low to low + width, from tree, height, at and digest of level low."""
-    above = F.least(F.lit(width), F.col("height") - low)
-    rows = nodes.groupBy("tree", "height", F.shiftright("at", width).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]).alias("first"))
+def _step(nodes: DataFrame, level: int) -> DataFrame:
+    """The node rows of a level (tree, height, at, digest): node, parent (STEP levels up or the root), siblings on the way, and up: the parent's digest, on its first row only."""
+    above = F.least(F.lit(STEP), F.col("height") - level)
+    rows = nodes.groupBy("tree", "height", F.shiftright("at", STEP).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]).alias("first"))
     pair = lambda last, i: _sha(F.concat(hexed(F.get(last, 2 * i)), F.coalesce(hexed(F.get(last, 2 * i + 1)), F.lit(""))))
-    step = lambda last: F.transform(F.sequence(F.lit(0), F.floor((F.size(last) - 1) / 2).cast("int")), lambda i: pair(last, i))
-    grown = F.aggregate(F.sequence(F.lit(1), F.lit(width)), F.array("first"), lambda done, j: F.when(j <= above, F.concat(done, F.array(step(F.element_at(done, -1))))).otherwise(done))
-    level = rows.select("tree", "height", "block", F.posexplode(grown).alias("up", "row"))
-    each = level.select("tree", "height", "block", "up", "row", F.posexplode("row").alias("i", "digest"))
-    at = F.col("block") * F.expr(f"shiftleft(1L, {width} - up)") + F.col("i")
-    top = (F.col("up") == width) | (F.col("up") + low == F.col("height"))
-    here = each.select("tree", "height", (F.col("up") + low).alias("level"), at.alias("at"), "digest", F.get("row", F.col("i").bitwiseXOR(F.lit(1))).alias("near"), (F.col("i") % 2 == 1).alias("is_right"), top.alias("is_top"))
-    parent = F.when(~F.col("is_top"), node_id(F.col("level") + 1, F.shiftright("at", 1)))
-    return here.select("tree", "height", "level", "at", node_id(F.col("level"), F.col("at")).alias("node"), parent.alias("parent"), "digest", F.when(~F.col("is_top"), F.col("near")).alias("sibling"), "is_right", "is_top")
+    halved = lambda last: F.transform(F.sequence(F.lit(0), F.floor((F.size(last) - 1) / 2).cast("int")), lambda i: pair(last, i))
+    grown = F.aggregate(F.sequence(F.lit(1), above), F.array("first"), lambda done, _: F.concat(done, F.array(halved(F.element_at(done, -1)))))
+    each = rows.withColumn("rows", grown).select("tree", "height", "block", "rows", F.posexplode("first").alias("i", "digest")).withColumn("above", F.size("rows") - 1)
+    beside = F.expr("transform(slice(rows, 1, above), (row, j) -> get(row, shiftright(i, j) ^ 1))")
+    at = F.shiftleft("block", STEP) + F.col("i")
+    parent = node_id(F.col("above") + level, F.expr(f"shiftright(shiftleft(block, {STEP}) + i, above)"))
+    return each.select("tree", "height", node_id(F.lit(level), at).alias("node"), parent.alias("parent"), beside.alias("siblings"), F.when(F.col("i") == 0, F.get(F.element_at("rows", -1), F.lit(0))).alias("up"))
 
 
 def built(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """(node rows band by band, roots: tree, root) of leaves (tree, height, at, digest); a tree ends at its own height."""
-    bands, low = [], 0
-    highest = leaves.agg(F.max("height")).first()[0]
-    level = leaves.select("tree", "height", "at", "digest")
-    while highest is not None and (low < highest or not bands):
-        width = NARROW if low < LOW else WIDE
-        bands.append(scratch.stored(_band(level, low, width), "nodes"))
-        low += width
-        level = bands[-1].filter(f"level = {low} and height > {low}").select("tree", "height", "at", "digest")
-    if not bands:
-        return [], leaves.select("tree", F.col("digest").alias("root"))
-    roots = [b.filter("level = height").select("tree", F.col("digest").alias("root")) for b in bands]
-    for more in roots[1:]:
-        roots[0] = roots[0].union(more)
-    return bands, roots[0]
+    """(node rows step by step, roots: tree, root) of leaves (tree, height, at, digest); a tree ends at its own height."""
+    steps, level = [], 0
+    highest = leaves.agg(F.max("height")).first()[0] or 0
+    roots = leaves.filter("height = 0").select("tree", F.col("digest").alias("root"))
+    below = leaves.filter("height > 0").select("tree", "height", "at", "digest")
+    while level < highest:
+        steps.append(scratch.stored(_step(below, level), "nodes"))
+        tops = steps[-1].filter("up is not null")
+        roots = roots.union(tops.filter(f"height <= {level + STEP}").select("tree", "up"))
+        below = tops.filter(f"height > {level + STEP}").select("tree", "height", F.expr("parent & ((1L << 48) - 1)").alias("at"), F.col("up").alias("digest"))
+        level += STEP
+    return steps, roots
 
 
 CLIMB = """
@@ -113,34 +110,34 @@ with recursive climb(tree, node, folded, proof, {names}) as (
   select tree, node, folded, proof, {names} from {{starts}}
   union all
   select {hint} c.tree, n.parent,
-         unhex(sha2(case when n.sibling is null then lower(hex(c.folded)) when n.is_right then concat(lower(hex(n.sibling)), lower(hex(c.folded))) else concat(lower(hex(c.folded)), lower(hex(n.sibling))) end, 256)),
-         concat(c.proof, coalesce(n.sibling, X'')), {carried}
-  from climb c join {{nodes}} n on n.tree = c.tree and n.node = c.node where n.parent is not null
+         aggregate(sequence(0, size(n.siblings) - 1), c.folded, (d, i) -> unhex(sha2(
+           case when n.siblings[i] is null then lower(hex(d)) when shiftright(n.node, i) & 1 = 1 then concat(lower(hex(n.siblings[i])), lower(hex(d))) else concat(lower(hex(d)), lower(hex(n.siblings[i]))) end, 256))),
+         aggregate(n.siblings, c.proof, (p, s) -> concat(p, coalesce(s, X''))), {carried}
+  from climb c join {{nodes}} n on n.tree = c.tree and n.node = c.node
 )
 select * from climb where shiftright(node, 48) = least(height, {top})
 """
 
 
-def climbed(starts: DataFrame, bands: list[DataFrame]) -> DataFrame:
+def climbed(starts: DataFrame, steps: list[DataFrame]) -> DataFrame:
     """starts (tree, height, node, folded, proof and others), each row at its root: proof with the siblings' digests appended, folded with theirs folded in."""
     spark, low = starts.sparkSession, 0
     before = spark.conf.get(_ROWS)
-    for band in bands:
-        width = NARROW if low < LOW else WIDE
+    rows = [s.count() for s in steps]
+    while low < len(steps):
+        small = sum(rows[low:]) <= BROADCAST_NODES
+        high = len(steps) if small else min(low + 2, len(steps))
+        nodes = reduce(DataFrame.union, [s.select("tree", "node", "parent", "siblings") for s in steps[low:high]])
         others = [c for c in starts.columns if c not in ("tree", "node", "folded", "proof")]
-        tick = lambda c: f"`{c}`"
-        hint = "/*+ broadcast(n) */" if band.count() <= BROADCAST_NODES else ""
-        query = CLIMB.format(names=", ".join(map(tick, others)), carried=", ".join(f"c.{tick(c)}" for c in others), hint=hint, top=low + width)
-        nodes = band.filter("parent is not null").select("tree", "node", "parent", "sibling", "is_right")
-        spark.conf.set(_ROWS, "-1")  # a row per leaf and level: as many as there are
+        query = CLIMB.format(names=", ".join(f"`{c}`" for c in others), carried=", ".join(f"c.`{c}`" for c in others), hint="/*+ broadcast(n) */" if small else "", top=high * STEP)
+        spark.conf.set(_ROWS, "-1")  # a row per leaf and step: as many as there are
         try:
             to = scratch.path(spark, "climb")
             done = spark.sql(query, starts=starts, nodes=nodes)
             done.write.option("compression", "zstd").parquet(to)
         finally:
             spark.conf.set(_ROWS, before)
-        starts = spark.read.schema(done.schema).parquet(to)
-        low += width
+        starts, low = spark.read.schema(done.schema).parquet(to), high
     return starts
 
 
@@ -156,14 +153,14 @@ def manifest(rows: DataFrame, key: str = "doc_id", group: str = "lang", fields=F
     other = F.when(F.coalesce(when, F.lit(False)), other) if when is not None and tampered else F.lit(None).cast("binary")
     leaves, trees = numbered(rows.select(of(key).alias("key"), of(group).alias("grp"), leaf.alias("digest"), other.alias("other")), "grp", ["key", "digest"])
     leaves = scratch.stored(leaves.withColumn("height", _height("size")), "leaves")
-    bands, roots = built(leaves)
+    steps, roots = built(leaves)
     tops = roots.select(F.lit(-1).cast("long").alias("tree"), F.col("tree").alias("at"), F.col("root").alias("digest"))
     size = trees.count()
     tops = scratch.stored(tops.withColumn("height", F.lit((size - 1).bit_length() if size else 0)), "subroots")
     upper, root = built(tops)
 
     start = leaves.select("tree", "height", node_id(F.lit(0), F.col("at")).alias("node"), F.coalesce("other", "digest").alias("folded"), F.expr("X''").alias("proof"), "key", F.col("digest").alias("leaf"))
-    below = climbed(start, bands)
+    below = climbed(start, steps)
     below = below.select(F.lit(-1).cast("long").alias("tree"), F.lit((size - 1).bit_length() if size else 0).alias("height"), node_id(F.lit(0), F.col("tree")).alias("node"), "folded", "proof", "key", "leaf", F.col("tree").alias("own"))
     done = climbed(below, upper)
     ends = tops.select(F.col("at").alias("own"), F.col("digest").alias("subroot"))
