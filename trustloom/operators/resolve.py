@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..sources import scratch
+from . import vectors
 
 
 def entity_rows(values: DataFrame, columns: DataFrame) -> DataFrame:
@@ -49,19 +50,13 @@ def canonical_names(members: DataFrame) -> DataFrame:
     return counted.withColumn("_at", F.row_number().over(w)).filter("_at = 1").select("component", F.col("value").alias("canonical_name"))
 
 
-def cluster_confidence(members: DataFrame, distances: DataFrame) -> DataFrame:
-    """component, size, confidence: 1 - the largest distance between two members; pairs that distances lacks are 1 apart.
+def cluster_confidence(members: DataFrame, values: DataFrame) -> DataFrame:
+    """component, size, confidence: 1 - the largest distance between two members. members: node, component; values: node, v.
 
-    Chains may hold members further apart than the threshold, so all pairs count; they are counted, not listed: if fewer
-    pairs have a distance than there are pairs, the missing ones are 1 apart and the confidence is 0.
+    Chains may hold members further apart than the threshold, so all pairs count; bounds from three members decide most of them (vectors.widest).
     """
-    size = members.groupBy("component").agg(F.count("*").alias("size"))
-    m = members.select("node", "component")
-    inside = distances.join(m.toDF("a", "component"), "a").join(m.toDF("b", "cb"), "b").filter("component = cb")
-    far = inside.groupBy("component").agg(F.max("distance").alias("far"), F.count("*").alias("known"))
-    pairs = F.col("size") * (F.col("size") - 1) / 2
-    most = F.when(F.coalesce("known", F.lit(0)) < pairs, F.greatest(F.lit(1.0), F.coalesce("far", F.lit(1.0)))).otherwise(F.coalesce("far", F.lit(0.0)))
-    return size.join(far, "component", "left").select("component", "size", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - most)).alias("confidence"))
+    wide = vectors.widest(members.join(values, "node").select("component", F.col("node").alias("id"), "v"), "component")
+    return wide.select("component", "size", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("far"))).alias("confidence"))
 
 
 def aliases(entities: DataFrame, members: DataFrame) -> DataFrame:
@@ -73,9 +68,9 @@ def dataset_nodes(datasets: DataFrame, embedded: DataFrame) -> DataFrame:
     return datasets.join(embedded.select("dataset").distinct(), "dataset", "left_semi")
 
 
-def vector_source_stats(vectors: DataFrame) -> DataFrame:
+def vector_source_stats(attached: DataFrame) -> DataFrame:
     """Share of values whose vector is a hash or unknown, and the warning that goes with it."""
     weak = F.coalesce("embedding_source", F.lit("unknown")).isin("hash", "unknown")
-    out = vectors.agg(F.count("*").alias("total"), F.count_if(weak).alias("weak"))
+    out = attached.agg(F.count("*").alias("total"), F.count_if(weak).alias("weak"))
     share = F.when(F.col("total") > 0, F.col("weak") / F.col("total")).otherwise(0.0)
     return out.withColumn("weak_share", share).withColumn("warning", F.when(F.col("weak") == F.col("total"), "all vectors are hashes").when(F.col("weak") > 0, "some vectors are hashes"))

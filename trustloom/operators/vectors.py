@@ -67,62 +67,191 @@ def signatures(col: Column, dim: int, planes: int, tables: int, seed: int = 17)
     return F.array(*[sum(((bit(p)) * (1 << i) for i, p in enumerate(t)), F.lit(t_no << planes)) for t_no, t in enumerate(w)])
 
 
-#: Vectors of one tile.
-TILE = 2048
+#: Rows and bytes of one tile; pivots, and the rows that they are chosen from.
+TILE, TILE_BYTES, PIVOTS, SAMPLE = 2048, 1 << 20, 12, 2048
+#: Angles are compared with so much to spare: more than rounding can move them.
+SPARE = 1e-6
 
 
-def _tile_pairs(vectors: DataFrame, by: str) -> DataFrame:
-    """by, tile, other, own, more: the tiles of each group (columns by, id, grp, v) and of every pair of its tiles both, as lists of rows.
+def _unit(lists) -> np.ndarray:
+    """Unit vectors as rows; a null component counts as zero, and a zero vector stays zero."""
+    x = np.nan_to_num(np.asarray([[0.0 if c is None else c for c in v] for v in lists], float))
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
+
+
+def pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
+    """Up to n unit vectors, each as far as can be from those before it, from SAMPLE rows (id, v) at most."""
+    rows = vectors.select(F.xxhash64("id").alias("h"), "v").orderBy("h").limit(SAMPLE).collect()
+    x = _unit([r["v"] for r in rows]) if rows else np.zeros((0, 1))
+    x = x[(x * x).sum(axis=1) > 0.5]
+    chosen: list[int] = []
+    nearest = np.full(len(x), np.inf)
+    while len(chosen) < min(n, len(x)):
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, np.arccos(np.clip(x @ x[chosen[-1]], -1, 1)))
+        nearest[chosen] = -1
+    return x[chosen]
+
+
+def turned(vectors: DataFrame, points: np.ndarray) -> DataFrame:
+    """vectors with turns (the angles to the points, of a zero vector none), cell (the nearest point, or -1) and turn (the angle to it)."""
+
+    @F.pandas_udf("cell int, turns array<double>")
+    def measure(v: pd.Series) -> pd.DataFrame:
+        x = _unit(v)
+        zero = (x * x).sum(axis=1) < 0.5
+        turns = np.arccos(np.clip(x @ points.T, -1, 1)) if len(points) else np.zeros((len(x), 0))
+        cell = np.where(zero | (turns.shape[1] == 0), -1, turns.argmin(axis=1) if turns.shape[1] else 0)
+        return pd.DataFrame({"cell": cell.astype("int32"), "turns": list(turns)})
+
+    out = vectors.withColumn("_m", measure("v")).select(*vectors.columns, "_m.cell", "_m.turns")
+    return out.withColumn("turn", F.when(F.col("cell") >= 0, F.get("turns", F.col("cell"))).otherwise(0.0))
+
+
+def tiles(rows: DataFrame, by: str) -> DataFrame:
+    """by, tile, size, low, high, ids, groups, x: rows (by, id, grp, v, turns, cell, turn) in tiles of bounded size whose members turn alike from the pivots.
 
-    Tiles are of bounded size, so a large group is many tasks. Each tile goes to as many tasks as its group has tiles.
+    One range exchange; a tile is a run of one group and cell, so a group of any size is many tiles. low and high are the least and the largest angle to each
+    pivot; x is the matrix of unit vectors, row by row. Zero vectors are tiles of their own whose angles can be anything.
     """
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = vectors.groupBy(by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    dealt = vectors.join(sizes, by).withColumn("tile", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    tiles = scratch.stored(dealt.groupBy(by, "parts", "tile").agg(F.collect_list(F.struct("id", "grp", F.col("v").cast("array<double>").alias("v"))).alias("own")), "tiles")
-    left = tiles.select(by, "tile", F.explode(F.sequence("tile", F.col("parts") - 1)).alias("other"), "own")
-    right = tiles.select(by, F.col("tile").alias("other"), F.col("own").alias("more"))
-    return left.join(right, [by, "other"]).repartition(n, by, "tile", "other").select("tile", "other", "own", "more")
-
-
-def _block(rows) -> tuple[list, np.ndarray, np.ndarray]:
-    """Ids, groups and unit vectors; vectors with a null component count as zero there, zero ones are 1 from all."""
-    x = np.nan_to_num(np.asarray([[0.0 if c is None else c for c in r["v"]] for r in rows], float))
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return [r["id"] for r in rows], np.asarray([r["grp"] for r in rows], object), x / np.where(norm > 0, norm, 1)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [by, "cell", "turn", F.xxhash64("id")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(by, "id", "grp", "v", "turns", "cell")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (by, "id", "grp")}
+
+    def cut(frames):
+        from pyspark import TaskContext
+
+        part, made, held, key, size = TaskContext.get().partitionId(), 0, [], None, 0
+
+        def tile():
+            nonlocal made, held, size
+            if not held:
+                return
+            run, made, held, size = pd.concat(held), made + 1, [], 0
+            x = _unit(run["v"])
+            turns = np.stack(run["turns"].to_numpy()) if len(run["turns"].iloc[0]) else np.zeros((len(run), 0))
+            free = run["cell"].iloc[0] < 0
+            low, high = (np.zeros(turns.shape[1]), np.full(turns.shape[1], math.pi)) if free else (turns.min(axis=0), turns.max(axis=0))
+            yield pd.DataFrame({by: [key[0]], "tile": [(part << 32) + made], "size": [len(run)], "low": [low], "high": [high], "ids": [run["id"].tolist()], "groups": [run["grp"].tolist()], "x": [x.ravel()]})
+
+        for pdf in frames:
+            for now, run in pdf.groupby([by, "cell"], sort=False, dropna=False):
+                at, most = 0, max(16, min(TILE, TILE_BYTES // (8 * max(1, len(run["v"].iloc[0])))))
+                if key is None or now != key:
+                    yield from tile()
+                    key = now
+                while at < len(run):
+                    piece = run.iloc[at : at + most - size]
+                    held.append(piece)
+                    at, size = at + len(piece), size + len(piece)
+                    if size >= most:
+                        yield from tile()
+        yield from tile()
+
+    return scratch.stored(dealt.mapInPandas(cut, f"`{by}` {kind[by]}, tile long, size int, low array<double>, high array<double>, ids array<{kind['id']}>, groups array<{kind['grp']}>, x array<double>"), "tiles")
+
+
+def tile_pairs(made: DataFrame, by: str, keep: Column, given: DataFrame | None = None) -> DataFrame:
+    """by, own, guest: the pairs of different tiles of a group that keep lets through; either may be the owner.
+
+    keep is over low_a, high_a, low_b, high_b and the columns of `given`, one row per group.
+    """
+    a, b = (made.select(by, *[F.col(c).alias(f"{c}_{s}") for c in ("tile", "low", "high")]) for s in "ab")
+    both = (a if given is None else a.join(given, by)).join(b, by).filter("tile_a < tile_b").filter(keep)
+    first = F.col("tile_a").bitwiseXOR(F.col("tile_b")) % 2 == 0  # so that no tile owns all its pairs
+    return both.select(by, F.when(first, F.col("tile_a")).otherwise(F.col("tile_b")).alias("own"), F.when(first, F.col("tile_b")).otherwise(F.col("tile_a")).alias("guest"))
+
+
+def can_meet(angle: float) -> Column:
+    """Tile pairs that may hold a pair at most this angle apart: by the triangle inequality no pivot tells them further apart."""
+    gap = lambda i: F.greatest(F.get("low_a", i) - F.get("high_b", i), F.get("low_b", i) - F.get("high_a", i))
+    return F.forall(F.sequence(F.lit(0), F.size("low_a")), lambda i: F.coalesce(gap(i), F.lit(0.0)) <= angle + SPARE)
+
+
+def compared(made: DataFrame, pairs: DataFrame | None, by: str, work, schema: str) -> DataFrame:
+    """work(own, guest) over every tile with itself (guest None) and over the pairs; a tile travels once as owner, and once per pair as guest.
+
+    own and guest are rows with ids, groups and x as a matrix. Owners come first in the order of their task, so that one tile and one guest are held at a time.
+    """
+    n = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    body = made.select(by, "tile", "size", "ids", "groups", "x")
+    stream = body.select(by, F.col("tile").alias("own"), F.lit(0).alias("turn"), *body.columns[1:])
+    if pairs is not None:
+        guests = pairs.join(body.withColumnRenamed("tile", "guest"), [by, "guest"]).withColumnRenamed("guest", "tile")
+        stream = stream.union(guests.select(by, "own", F.lit(1).alias("turn"), *body.columns[1:]))
+    dealt = stream.repartition(n, by, "own").sortWithinPartitions(by, "own", "turn", "tile")
+
+    def run(frames):
+        own = None
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                tile = (row[0], list(row.ids), np.asarray(row.groups, object), np.asarray(row.x, float).reshape(row.size, -1))
+                if row.turn == 0:
+                    own = tile
+                yield from work(own, None if row.turn == 0 else tile)
+
+    columns = [c.split()[0].strip("`") for c in schema.split(", ")]
+    return dealt.mapInPandas(_joined(run, columns), schema)
+
+
+def _angle(distance: float) -> float:
+    return math.acos(max(-1.0, min(1.0, 1 - distance)))
+
+
+def _tiled(vectors: DataFrame, by: str, max_distance: float) -> DataFrame:
+    """Tiles of vectors (by, id, grp, v) around pivots of all of them. Zero vectors, 1 from all, take part only if that is near."""
+    rows = turned(vectors, pivots(vectors))
+    return tiles(rows if max_distance > 1 else rows.filter("cell >= 0"), by)
+
+
+def skipped_share(vectors: DataFrame, by: str, max_distance: float) -> tuple[int, int]:
+    """(pairs of different tiles that are compared, pairs there are) for a bound on the distance; vectors: by, id, v."""
+    made = _tiled(vectors.select(by, "id", F.lit(0).alias("grp"), "v").filter(F.col(by).isNotNull()), by, max_distance)
+    there = made.groupBy(by).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    return tile_pairs(made, by, can_meet(_angle(max_distance))).count(), int(there or 0)
 
 
 def similar_pairs(vectors: DataFrame, max_distance: float, limit: int | None = 30, method: str = "exact", dim: int | None = None, planes: int = 8, tables: int = 12) -> DataFrame:
-    """a, b, distance: pairs of different groups (columns id, grp, v) under max_distance, nearest first.
+    """a, b, distance: pairs of different groups (columns id, grp, v) under max_distance, nearest first; limit None: all of them, which may be very many.
 
-    exact compares tiles of unit vectors with each other as matrix products, and of each pair of tiles keeps what can be among the nearest; its work grows with
-    the square of the rows. lsh compares those that share a signature (an approximation, see lsh_recall): the choice for large tables.
+    exact first looks for near pairs inside tiles; the limit-th nearest of them bounds the angle, and only tile pairs that may hold
+    a nearer one are compared. lsh compares rows that share a signature (an approximation, see lsh_recall).
     """
+    kind = vectors.schema["id"].dataType.simpleString()
     a, b = (vectors.select(F.col("id").alias(s), F.col("grp").alias(f"g_{s}"), F.col("v").alias(f"v_{s}")) for s in "ab")
+
+    def exactly(both: DataFrame) -> DataFrame:
+        found = both.join(a, "a").join(b, "b").select("a", "b", cosine_distance(F.col("v_a"), F.col("v_b")).alias("distance")).filter(F.col("distance") < max_distance)
+        return found if limit is None else found.orderBy("distance", "a", "b").limit(limit)
+
     if method == "lsh":
         own = vectors.select("id", "grp", F.explode(signatures(F.col("v"), dim, planes, tables)).alias("sig"))
-        both = own.toDF("a", "g_a", "sig").join(own.toDF("b", "g_b", "sig"), "sig").filter("a < b and g_a <> g_b").select("a", "b").distinct()
-    else:
-        kind = vectors.schema["id"].dataType.simpleString()
-
-        def compare(frames):
-            for pdf in frames:
-                for row in pdf.itertuples(index=False):
-                    (ids, grp, x), (other_ids, other_grp, y) = _block(row.own), _block(row.more)
-                    away = 1 - x @ y.T
-                    away[grp[:, None] == other_grp[None, :]] = np.inf
-                    if row.tile == row.other:
-                        away[np.tril_indices(len(ids))] = np.inf
-                    top = max_distance
-                    if limit is not None and away.size > limit:
-                        top = min(top, float(np.partition(away.ravel(), limit - 1)[limit - 1]))
-                    hits = np.argwhere((away <= top + 1e-9) & np.isfinite(away)).tolist()
-                    yield pd.DataFrame([sorted((ids[i], other_ids[j])) for i, j in hits], columns=["a", "b"])
-
-        both = _tile_pairs(vectors.select(F.lit(0).alias("all"), "id", "grp", "v"), "all").mapInPandas(_joined(compare, ["a", "b"]), f"a {kind}, b {kind}")
-    pairs = both.join(a, "a").join(b, "b")
-    found = pairs.select("a", "b", cosine_distance(F.col("v_a"), F.col("v_b")).alias("distance")).filter(F.col("distance") < max_distance)
-    return found if limit is None else found.orderBy("distance", "a", "b").limit(limit)
+        return exactly(own.toDF("a", "g_a", "sig").join(own.toDF("b", "g_b", "sig"), "sig").filter("a < b and g_a <> g_b").select("a", "b").distinct())
+
+    def near(bound: float):
+        def work(own, guest):
+            nonlocal bound
+            _, ids, grp, x = own
+            _, other_ids, other_grp, y = guest or own
+            away = 1 - x @ y.T
+            away[grp[:, None] == other_grp[None, :]] = np.inf
+            if guest is None:
+                away[np.tril_indices(len(ids))] = np.inf
+            if limit is not None and away.size > limit:
+                bound = min(bound, float(np.partition(away.ravel(), limit - 1)[limit - 1]))
+            hits = np.argwhere((away <= bound + 1e-9) & np.isfinite(away)).tolist()
+            yield pd.DataFrame([sorted((ids[i], other_ids[j])) for i, j in hits], columns=["a", "b"])
+
+        return work
+
+    made = _tiled(vectors.select(F.lit(0).alias("all"), "id", "grp", "v"), "all", max_distance)
+    bound, schema = max_distance, f"a {kind}, b {kind}"
+    if limit is not None:
+        inside = exactly(compared(made, None, "all", near(bound), schema)).agg(F.count("*").alias("n"), F.max("distance").alias("far")).first()
+        bound = inside.far if inside.n == limit else bound
+    return exactly(compared(made, tile_pairs(made, "all", can_meet(_angle(bound))), "all", near(bound), schema))
 
 
 def _joined(work, columns: list[str], rows: int = 10_000):
@@ -144,27 +273,59 @@ def _joined(work, columns: list[str], rows: int = 10_000):
 def match_within(vectors: DataFrame, by: str, max_distance: float) -> DataFrame:
     """a, b: enough links between the rows of one group (columns by, id, v) under max_distance to connect all that are connected.
 
-    A pair of tiles emits a spanning forest of its links, never the links themselves.
+    Only tile pairs that may hold a near pair are compared; each emits a spanning forest of its links, never the links themselves.
     """
     kind = vectors.schema["id"].dataType.simpleString()
 
-    def compare(frames):
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                (ids, _, x), (other_ids, _, y) = _block(row.own), _block(row.more)
-                same = row.tile == row.other
-                names = ids if same else ids + other_ids
-                label, shift = np.arange(len(names)), 0 if same else len(ids)
-                near = 1 - x @ y.T < max_distance
-                for i in np.flatnonzero(near.any(axis=1)).tolist():
-                    own = np.unique(label[np.append(np.flatnonzero(near[i]) + shift, i)])
-                    if len(own) > 1:
-                        label[np.isin(label, own)] = own[0]
-                moved = np.flatnonzero(label != np.arange(len(names))).tolist()
-                yield pd.DataFrame([(names[i], names[label[i]]) for i in moved], columns=["a", "b"])
-
-    rows = vectors.select(by, "id", F.lit(0).alias("grp"), "v").filter(F.col(by).isNotNull())
-    return _tile_pairs(rows, by).mapInPandas(_joined(compare, ["a", "b"]), f"a {kind}, b {kind}")
+    def work(own, guest):
+        _, ids, _, x = own
+        _, other_ids, _, y = guest or own
+        names = ids if guest is None else ids + other_ids
+        label, shift = np.arange(len(names)), 0 if guest is None else len(ids)
+        near = 1 - x @ y.T < max_distance
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            linked = np.unique(label[np.append(np.flatnonzero(near[i]) + shift, i)])
+            if len(linked) > 1:
+                label[np.isin(label, linked)] = linked[0]
+        moved = np.flatnonzero(label != np.arange(len(names))).tolist()
+        yield pd.DataFrame([(names[i], names[label[i]]) for i in moved], columns=["a", "b"])
+
+    made = _tiled(vectors.select(by, "id", F.lit(0).alias("grp"), "v").filter(F.col(by).isNotNull()), by, max_distance)
+    return compared(made, tile_pairs(made, by, can_meet(_angle(max_distance))), by, work, f"a {kind}, b {kind}")
+
+
+def widest(vectors: DataFrame, by: str) -> DataFrame:
+    """by, size, far: the largest cosine distance between two rows of a group (by, id, v); 0 for a row alone.
+
+    Three members are the group's pivots: its first, the one furthest from that, and the one furthest from the second. The angles between them
+    are a lower bound; what two tiles can hold is at most the sum of their largest angles to a pivot, so only pairs of tiles that may exceed the bound are compared.
+    A zero vector is 1 from all others.
+    """
+    rows = vectors.select(by, "id", F.col("v").cast("array<double>").alias("v")).withColumn("zero", dot(F.col("v"), F.col("v")) <= 0)
+    sizes = rows.groupBy(by).agg(F.count("*").alias("size"), F.max("zero").alias("has_zero"))
+    some = rows.filter("not zero").drop("zero")
+    turn = lambda p: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), 1 - cosine_distance(F.col("v"), F.col(p)))))
+    first = some.groupBy(by).agg(F.min_by("v", "id").alias("p0"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    some = some.join(first, by).withColumn("t0", turn("p0")).drop("p0")
+    second = some.groupBy(by).agg(F.max_by("v", F.struct("t0", "id")).alias("p1"))
+    some = scratch.stored(some.join(second, by).withColumn("t1", turn("p1")).drop("p1"), "turned")
+    third = some.groupBy(by).agg(F.max_by("v", F.struct("t1", "id")).alias("p2"))
+    some = some.join(third, by).withColumn("turns", F.array("t0", "t1", turn("p2"))).drop("p2")
+    made = tiles(some.select(by, "id", F.lit(0).alias("grp"), "v", "turns", F.lit(0).alias("cell"), F.col("t1").alias("turn")), by)
+    # the pivots are members, so their angles are angles of pairs
+    least = made.groupBy(by).agg(F.max(F.array_max("high")).alias("least"))
+    sums = [F.get("high_a", F.lit(i)) + F.get("high_b", F.lit(i)) for i in range(3)]
+    pairs = tile_pairs(made, by, F.least(*sums) > F.col("least") - SPARE, least)
+
+    def work(own, guest):
+        _, _, _, x = own
+        y = (guest or own)[3]
+        yield pd.DataFrame([(own[0], float(max(0.0, (1 - x @ y.T).max())) if len(x) > 1 or guest is not None else 0.0)], columns=[by, "far"])
+
+    kind = vectors.schema[by].dataType.simpleString()
+    far = compared(made, pairs, by, work, f"`{by}` {kind}, far double").groupBy(by).agg(F.max("far").alias("far"))
+    zero = F.when(F.col("has_zero") & (F.col("size") > 1), 1.0).otherwise(0.0)
+    return sizes.join(far, by, "left").select(by, "size", F.greatest(F.coalesce("far", F.lit(0.0)), zero).alias("far"))
 
 
 def nearest_k(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:

@@ -116,16 +116,16 @@ select node, min(reach) as component from walk group by 1)"""
 def _resolved(spark, sf_dir):
     from ..sources import scratch
 
-    vectors = scratch.stored(_part_vectors(spark, sf_dir), "vectors")
-    distances = scratch.stored(V.sparse_distances(vectors), "distances")
     names = B.table(spark, sf_dir, "part").select(F.col("p_name").alias("node")).distinct()
-    return names, distances, scratch.stored(R.connected_components(distances.filter("distance < 0.15"), names), "components")
+    values = scratch.stored(V.attach_vectors(names, None, "node").select("node", F.col("vector").alias("v")), "vectors")
+    links = V.match_within(values.select(F.lit("part").alias("role"), F.col("node").alias("id"), "v"), "role", 0.15)
+    return values, scratch.stored(R.connected_components(links, names), "components")
 
 
 @query(f"select c.component, arg_max(p.p_name, (p.n, -p.rk)) as canonical_name, count(*) as aliases from {_comp} c join (select p_name, count(*) as n, row_number() over (order by p_name) as rk from part group by 1) p on p.p_name = c.node group by 1")
 def resolve_entities(spark, sf_dir):
     """Part names, matched by their hash vectors, connected, and named by the most frequent value."""
-    _, _, comp = _resolved(spark, sf_dir)
+    _, comp = _resolved(spark, sf_dir)
     counts = B.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("node")).agg(F.count("*").alias("n"))
     members = comp.join(counts, "node").select("component", F.col("node").alias("value"), "n")
     return R.canonical_names(members).join(members.groupBy("component").agg(F.count("*").alias("aliases")), "component")
@@ -135,8 +135,8 @@ def resolve_entities(spark, sf_dir):
 from (select component, count(*) as size from {_comp} group by 1) s left join (select ca.component, max(n.distance) as far, count(*) as known from {_near} n join {_comp} ca on ca.node = n.a join {_comp} cb on cb.node = n.b where ca.component = cb.component group by 1) d on d.component = s.component""")
 def cluster_confidence(spark, sf_dir):
     """E6."""
-    _, distances, comp = _resolved(spark, sf_dir)
-    out = R.cluster_confidence(comp, distances)
+    values, comp = _resolved(spark, sf_dir)
+    out = R.cluster_confidence(comp, values)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
