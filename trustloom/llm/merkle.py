@@ -23,7 +23,9 @@ from . import scratch
 #: Levels that a node row climbs.
 STEP = 4
 #: At most so many node rows (of about 250 bytes) are broadcast.
-BROADCAST_NODES = 50_000
+BROADCAST_NODES = 100_000
+#: Rows of one file of climbed leaves, about.
+FILE_ROWS = 20_000
 #: Rows that repeat group, key and digest are dealt to ranges by so many salts.
 SALT = 1024
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -113,7 +115,7 @@ with recursive climb(tree, node, folded, proof, {names}) as (
          aggregate(sequence(0, size(n.siblings) - 1), c.folded, (d, i) -> unhex(sha2(
            case when n.siblings[i] is null then lower(hex(d)) when shiftright(n.node, i) & 1 = 1 then concat(lower(hex(n.siblings[i])), lower(hex(d))) else concat(lower(hex(d)), lower(hex(n.siblings[i]))) end, 256))),
          aggregate(n.siblings, c.proof, (p, s) -> concat(p, coalesce(s, X''))), {carried}
-  from climb c join {{nodes}} n on n.tree = c.tree and n.node = c.node
+  from climb c join {{nodes}} n on n.tree = c.tree and n.node = c.node where shiftright(c.node, 48) < least(c.height, {top})
 )
 select * from climb where shiftright(node, 48) = least(height, {top})
 """
@@ -124,6 +126,7 @@ def climbed(starts: DataFrame, steps: list[DataFrame]) -> DataFrame:
     spark, low = starts.sparkSession, 0
     before = spark.conf.get(_ROWS)
     rows = [s.count() for s in steps]
+    files = max(1, starts.count() // FILE_ROWS)
     while low < len(steps):
         small = sum(rows[low:]) <= BROADCAST_NODES
         high = len(steps) if small else min(low + 2, len(steps))
@@ -134,7 +137,7 @@ def climbed(starts: DataFrame, steps: list[DataFrame]) -> DataFrame:
         try:
             to = scratch.path(spark, "climb")
             done = spark.sql(query, starts=starts, nodes=nodes)
-            done.write.option("compression", "zstd").parquet(to)
+            done.coalesce(files).write.option("compression", "zstd").parquet(to)
         finally:
             spark.conf.set(_ROWS, before)
         starts, low = spark.read.schema(done.schema).parquet(to), high
