@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..sources import scratch
+from ..sources import tables as S
+from . import profile as profiles
 
 
 def column_sets(cells: DataFrame) -> DataFrame:
@@ -25,29 +27,97 @@ def key_decision(overlap, uniq_a, uniq_b, name_sim, type_match, min_overlap: flo
     return is_match, pk_is_a, F.round(confidence, 3)
 
 
-def column_overlap(cells: DataFrame, profile: DataFrame) -> DataFrame:
-    """For columns of different tables with similar names: shared values, overlap, uniqueness of both, type match.
+#: Hashes of a column's sketch.
+SKETCH = 1024
 
-    profile: dataset, column_name, row_count, inferred_type, is_technical. Pairs are chosen from the profile alone; only the
-    columns in a pair are read, and the sets meet in one equi-join on (pair, value).
-    """
+
+def _pairs(tables: dict[str, DataFrame], profile: DataFrame, rename) -> list[dict]:
+    """Pairs of columns of different tables with similar names, from the profile alone: as many as the catalogue gives."""
     p = profile.filter("not is_technical").select("dataset", "column_name", "row_count", "inferred_type")
     a, b = (p.select(*[F.col(c).alias(f"{s}_{c}") for c in p.columns]) for s in "ab")
     sim = text.name_similarity(F.col("a_column_name"), F.col("b_column_name"))
-    pairs = a.join(b, F.col("a_dataset") < F.col("b_dataset")).withColumn("name_sim", sim).filter("name_sim > 0")
-    pairs = scratch.stored(pairs, "pairs")
-    used = pairs.select("a_dataset", "a_column_name").union(pairs.select("b_dataset", "b_column_name")).distinct().toDF("dataset", "column_name")
-    sets = scratch.stored(column_sets(cells.join(F.broadcast(used), ["dataset", "column_name"])), "sets")
-    sizes = sets.groupBy("dataset", "column_name").agg(F.count("*").alias("size"))
-    of = lambda s, df: df.select(*[F.col(c).alias(c if c == "value" else f"{s}_{c}") for c in df.columns])
-    key = ["a_dataset", "a_column_name", "b_dataset", "b_column_name"]
-    sided = pairs.select(*key)
-    left = sided.join(of("a", sets), ["a_dataset", "a_column_name"])
-    shared = left.join(of("b", sets), ["b_dataset", "b_column_name", "value"]).groupBy(*key).agg(F.count("*").alias("shared"))
-    out = pairs.join(shared, key, "left").join(of("a", sizes), key[:2], "left").join(of("b", sizes), key[2:], "left")
-    same = F.when((F.col("a_inferred_type") == F.col("b_inferred_type")) & (F.col("a_inferred_type") != "unknown"), 1.0).otherwise(0.5)
+    known = {(n, rename(f.name)): profiles.kind_of(f.dataType) for n, df in tables.items() for f in df.schema.fields}
+    found = a.join(b, F.col("a_dataset") < F.col("b_dataset")).withColumn("name_sim", sim).filter("name_sim > 0").collect()
+    out = []
+    for r in found:
+        kinds = {known[r.a_dataset, r.a_column_name], known[r.b_dataset, r.b_column_name]}
+        typed = len(kinds) == 1 and kinds <= {"int", "time", "date"}
+        out.append(r.asDict() | {"pair": len(out), "form": "code" if typed else "word"})
+    return out
+
+
+def _sets(tables: dict[str, DataFrame], pairs: list[dict], rename) -> DataFrame:
+    """dataset, column_name, form, code, word: the different trimmed, non-empty values of the columns in a pair, as typed codes where both sides have one type. Only these columns are read."""
+    frames = []
+    for name, df in tables.items():
+        cells = []
+        for f in df.schema.fields:
+            forms = {p["form"] for p in pairs for s in "ab" if (p[f"{s}_dataset"], p[f"{s}_column_name"]) == (name, rename(f.name))}
+            for form in sorted(forms):
+                c = F.col(f"`{f.name}`")
+                code = profiles.code_of(c, profiles.kind_of(f.dataType)) if form == "code" else F.lit(None).cast("long")
+                word = F.lit(None).cast("string") if form == "code" else text.trimmed(S.as_text(c, f.dataType))
+                cells.append(F.struct(F.lit(rename(f.name)).alias("column_name"), F.lit(form).alias("form"), code.alias("code"), word.alias("word")))
+        if cells:
+            frames.append(df.select(F.lit(name).alias("dataset"), F.inline(F.array(*cells))).filter("code is not null or word <> ''"))
+    return reduce(DataFrame.unionByName, frames).distinct()
+
+
+def overlap_bounds(sets: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair, bound: at most so many values are shared, from k-minimum-value sketches and ranges alone.
+
+    Below the smaller of two sketches' largest hashes both sets are known, so what they share there is counted; above it at most all that is left of the
+    smaller side is shared. Integers share at most as many values as their ranges have in common. A column of at most SKETCH values is known whole.
+    """
+    hashed = sets.withColumn("h", F.xxhash64(F.coalesce(F.col("code").cast("string"), F.col("word"))))
+    w = Window.partitionBy("dataset", "column_name", "form").orderBy("h")
+    key = ["dataset", "column_name", "form"]
+    sketch = scratch.stored(hashed.select(*key, "h").withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= SKETCH).drop("_at"), "sketches")
+    tops = sketch.groupBy(*key).agg(F.max("h").alias("top"), F.count("*").alias("kept")).join(sizes, key)
+    # a sketch that holds the whole set knows it up to the largest hash there is
+    tops = tops.select(*key, "size", "low", "high", F.when(F.col("kept") >= F.col("size"), F.lit((1 << 63) - 1)).otherwise(F.col("top")).alias("top"))
+    side = lambda df, s: df.select(*[F.col(c).alias(c if c == "form" else f"{s}_{c}") for c in df.columns])
+    ends = pairs.join(side(tops, "a"), ["a_dataset", "a_column_name", "form"]).join(side(tops, "b"), ["b_dataset", "b_column_name", "form"]).withColumn("top", F.least("a_top", "b_top"))
+    ends = scratch.stored(ends.select("pair", "form", "a_dataset", "a_column_name", "b_dataset", "b_column_name", "a_size", "b_size", "a_low", "a_high", "b_low", "b_high", "top"), "ends")
+    below = lambda s: ends.join(side(sketch, s), [f"{s}_dataset", f"{s}_column_name", "form"]).filter(F.col(f"{s}_h") <= F.col("top")).select("pair", F.col(f"{s}_h").alias("h"))
+    a, b = below("a"), below("b")
+    known = a.withColumn("s", F.lit(1)).unionByName(b.withColumn("s", F.lit(2))).groupBy("pair", "h").agg(F.sum("s").alias("s"))
+    known = known.groupBy("pair").agg(F.count_if(F.col("s") == 3).alias("both"), F.count_if(F.col("s").isin(1, 3)).alias("in_a"), F.count_if(F.col("s").isin(2, 3)).alias("in_b"))
+    counted = ends.join(known, "pair", "left").fillna(0, ["both", "in_a", "in_b"])
+    by_sketch = F.col("both") + F.least(F.col("a_size") - F.col("in_a"), F.col("b_size") - F.col("in_b"))
+    common = F.greatest(F.lit(0), F.least("a_high", "b_high").cast("double") - F.greatest("a_low", "b_low").cast("double") + 1)
+    return counted.select("pair", F.when(F.col("form") == "code", F.least(by_sketch.cast("double"), common)).otherwise(by_sketch.cast("double")).alias("bound"))
+
+
+def column_overlap(tables: dict[str, DataFrame], profile: DataFrame, min_overlap: float = 0.0, min_uniqueness: float = 0.0, rename=S.strip_prefix) -> DataFrame:
+    """For columns of different tables with similar names: shared values, overlap, uniqueness of both, type match, and joined.
+
+    profile: dataset, column_name, row_count, inferred_type, is_technical. Pairs are chosen from the profile; only the columns in a pair are read. With bounds, a pair
+    whose sets can't reach min_overlap by their sketches, or neither of which is unique enough, isn't joined: its shared and overlap are null.
+    """
+    spark = profile.sparkSession
+    found = _pairs(tables, profile, rename)
+    schema = "a_dataset string, a_column_name string, a_row_count long, a_inferred_type string, b_dataset string, b_column_name string, b_row_count long, b_inferred_type string, name_sim double, pair int, form string"
+    names = [c.split()[0] for c in schema.split(", ")]
+    pairs = spark.createDataFrame([tuple(p[n] for n in names) for p in found], schema)
+    sets = scratch.stored(_sets(tables, found, rename), "sets") if found else spark.createDataFrame([], "dataset string, column_name string, form string, code long, word string")
+    key = ["dataset", "column_name", "form"]
+    sizes = scratch.stored(sets.groupBy(*key).agg(F.count("*").alias("size"), F.min("code").alias("low"), F.max("code").alias("high")), "sizes")
+    of = lambda s: sizes.select(F.col("dataset").alias(f"{s}_dataset"), F.col("column_name").alias(f"{s}_column_name"), "form", F.col("size").alias(f"{s}_size"))
+    sided = pairs.join(of("a"), ["a_dataset", "a_column_name", "form"], "left").join(of("b"), ["b_dataset", "b_column_name", "form"], "left")
     least = F.least("a_size", "b_size")
-    return out.withColumns({"shared": F.coalesce("shared", F.lit(0)), "overlap": F.when(least > 0, F.coalesce("shared", F.lit(0)) / least).otherwise(0.0), "uniq_a": F.coalesce(F.col("a_size") / F.col("a_row_count"), F.lit(0.0)), "uniq_b": F.coalesce(F.col("b_size") / F.col("b_row_count"), F.lit(0.0)), "type_match": same})
+    sided = sided.withColumns({"uniq_a": F.coalesce(F.col("a_size") / F.col("a_row_count"), F.lit(0.0)), "uniq_b": F.coalesce(F.col("b_size") / F.col("b_row_count"), F.lit(0.0))})
+    may = F.greatest("uniq_a", "uniq_b") >= min_uniqueness
+    if min_overlap > 0:
+        sided = sided.join(overlap_bounds(sets, sizes, pairs.select("pair", "form", "a_dataset", "a_column_name", "b_dataset", "b_column_name")), "pair", "left")
+        may = may & (F.coalesce(F.col("bound") / least, F.lit(0.0)) >= min_overlap)
+    sided = scratch.stored(sided.withColumn("joined", may), "pairs")
+    asked = F.broadcast(sided.filter("joined").select("pair", "form", "a_dataset", "a_column_name", "b_dataset", "b_column_name"))  # as many as the catalogue gives
+    in_ = lambda s: asked.join(sets.withColumnsRenamed({"dataset": f"{s}_dataset", "column_name": f"{s}_column_name"}), [f"{s}_dataset", f"{s}_column_name", "form"]).select("pair", "code", "word")
+    met = in_("a").unionByName(in_("b")).groupBy("pair", "code", "word").agg(F.count("*").alias("sides")).filter("sides = 2")
+    out = sided.join(met.groupBy("pair").agg(F.count("*").alias("shared")), "pair", "left").withColumn("shared", F.when(F.col("joined"), F.coalesce("shared", F.lit(0))))
+    same = F.when((F.col("a_inferred_type") == F.col("b_inferred_type")) & (F.col("a_inferred_type") != "unknown"), 1.0).otherwise(0.5)
+    return out.withColumns({"overlap": F.when(~F.col("joined"), F.lit(None).cast("double")).when(least > 0, F.col("shared") / least).otherwise(0.0), "type_match": same})
 
 
 def discover_foreign_keys(overlaps: DataFrame) -> DataFrame:

@@ -1,11 +1,209 @@
-"""Column profiles from the cell table."""
+"""Column profiles: of whole tables by typed values, or of a cell table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules, text
+from ..sources import scratch
+from ..sources import tables as S
+
+#: Integers whose sketch promises so many different values, and DENSE of them in each stretch of 32768 numbers, are counted by bitmaps.
+MANY, DENSE = 50_000, 64
+#: Floating-point columns below this are kept as millionths in a long; others as text.
+LARGEST = 1e12
+
+
+class Fact(NamedTuple):
+    """What one pass over a table tells of a column. kind: int, double, time, date or text; route: how its different values are found."""
+
+    col: int
+    dataset: str
+    column_name: str
+    ordinal: int
+    native_type: str
+    kind: str
+    rows: int
+    sketched: int | None
+    low: int | None
+    high: int | None
+    route: str
+
+
+def kind_of(t: T.DataType) -> str:
+    kinds = ((T.ByteType, "int"), (T.ShortType, "int"), (T.IntegerType, "int"), (T.LongType, "int"), (T.FloatType, "double"), (T.DoubleType, "double"), (T.TimestampType, "time"), (T.DateType, "date"))
+    return next((k for c, k in kinds if type(t) is c), "text")
+
+
+def code_of(c: Column, kind: str) -> Column:
+    """A typed value as a long: two values of a column have one code exactly if they have one text."""
+    if kind == "double":
+        x = c.cast("double") * 1e6
+        # next to a whole number of millionths rounding is beyond doubt; elsewhere it is decimal
+        exact = F.abs(x - F.rint(x)) < 1e-3
+        return F.when(exact & (F.abs(x) < 1e15), F.rint(x).cast("long")).otherwise((c.cast("decimal(38,6)") * 1_000_000).cast("long"))
+    return {"int": lambda: c.cast("long"), "time": lambda: F.unix_micros(c), "date": lambda: F.unix_date(c).cast("long")}[kind]()
+
+
+def _text(code: Column, kind: Column) -> Column:
+    decimal = (code.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(38,6)").cast("string")
+    time = F.date_format(F.timestamp_micros(code), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.when(kind == "int", code.cast("string")).when(kind == "double", decimal).when(kind == "time", time).when(kind == "date", F.date_from_unix_date(F.when(kind == "date", code).cast("int")).cast("string"))
+
+
+def measure(tables: dict[str, DataFrame], rename=S.strip_prefix) -> list[Fact]:
+    """First phase: one aggregate per table with its rows, the ends of its numeric columns' ranges, and sketches of how many different integers its integer columns hold. As many rows as columns reach the driver."""
+    frames, found = [], []
+    for name, df in tables.items():
+        fields = [f for f in df.schema.fields if S.is_atomic(f.dataType)]
+        aggs = []
+        for i, f in enumerate(fields):
+            c, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
+            ends = (F.min(c).cast("double"), F.max(c).cast("double")) if kind in ("int", "double") else (F.lit(None).cast("double"),) * 2
+            whole = (F.min(c).cast("long"), F.max(c).cast("long")) if kind == "int" else (F.lit(None).cast("long"),) * 2
+            aggs.append(F.struct(F.lit(i).alias("i"), (F.approx_count_distinct(c) if kind == "int" else F.lit(None).cast("long")).alias("sketched"), ends[0].alias("least"), ends[1].alias("most"), whole[0].alias("low"), whole[1].alias("high")))
+        if fields:
+            frames.append(df.agg(F.count("*").alias("rows"), F.array(*aggs).alias("a")).select(F.lit(name).alias("dataset"), "rows", F.inline("a")))
+            found += [(name, i, f) for i, f in enumerate(fields)]
+    seen = {(r.dataset, r.i): r for r in (reduce(DataFrame.unionByName, frames).collect() if frames else [])}
+    out = []
+    for col, (name, i, f) in enumerate(found):
+        r, kind = seen[name, i], kind_of(f.dataType)
+        if kind == "double" and (r.most is not None and not max(abs(r.least), abs(r.most)) < LARGEST):  # also where the largest is not a number
+            kind = "text"
+        dense = kind == "int" and r.sketched >= MANY and ((r.high - r.low) // 32768 + 1) * DENSE <= r.sketched
+        out.append(Fact(col, name, rename(f.name), i, f.dataType.simpleString(), kind, r.rows, r.sketched, r.low, r.high, "bitmap" if dense else "values"))
+    return out
+
+
+def _columns_of(tables: dict[str, DataFrame], facts: list[Fact], route: str) -> DataFrame | None:
+    """col, code, word: the cells of the columns of one route; only these columns are read, and a typed value isn't made a text."""
+    frames = []
+    for name, df in tables.items():
+        fields = [f for f in df.schema.fields if S.is_atomic(f.dataType)]
+        mine = [x for x in facts if x.dataset == name and x.route == route]
+        if mine:
+            cell = lambda x: F.struct(F.lit(x.col).alias("col"), (F.lit(None).cast("long") if x.kind == "text" else code_of(F.col(f"`{fields[x.ordinal].name}`"), x.kind)).alias("code"), (S.as_text(F.col(f"`{fields[x.ordinal].name}`"), fields[x.ordinal].dataType) if x.kind == "text" else F.lit(None).cast("string")).alias("word"))
+            frames.append(df.select(F.inline(F.array(*[cell(x) for x in mine]))))
+    return reduce(DataFrame.union, frames) if frames else None
+
+
+def typed_values(tables: dict[str, DataFrame], facts: list[Fact]) -> DataFrame:
+    """col, code, word, n: each different value of the columns that bitmaps don't count, with its rows. One exchange of typed values for all tables."""
+    cells = _columns_of(tables, facts, "values")
+    return cells.groupBy("col", "code", "word").agg(F.count("*").alias("n"))
+
+
+def fact_table(spark, facts: list[Fact]) -> DataFrame:
+    """The facts as a table: as small as the catalogue."""
+    schema = "col int, dataset string, column_name string, ordinal int, native_type string, kind string, rows long, sketched long, low long, high long, route string"
+    return spark.createDataFrame([tuple(f) for f in facts], schema)
+
+
+def texts(values: DataFrame, facts: list[Fact]) -> DataFrame:
+    """dataset, column_name, ordinal, native_type, value, n: typed values as text, each made once."""
+    named = values.join(F.broadcast(fact_table(values.sparkSession, facts)), "col")
+    return named.select("dataset", "column_name", "ordinal", "native_type", F.when(F.col("kind") == "text", F.col("word")).otherwise(_text(F.col("code"), F.col("kind"))).alias("value"), "n")
+
+
+def profile_and_values(tables: dict[str, DataFrame], samples: int = 5, rename=S.strip_prefix) -> tuple[DataFrame, DataFrame]:
+    """(profile, every different value of every column as text with its count) from one exchange: for what looks at values as well."""
+    facts = [f._replace(route="values") for f in measure(tables, rename)]
+    values = scratch.stored(typed_values(tables, facts), "values")
+    return _profile(tables, facts, values, samples), texts(values, facts)
+
+
+def _order(code: Column, kind: Column) -> tuple[list[Column], Column]:
+    """(what parts codes, what orders them): inside a part, texts order as codes do. Numbers are parted by sign and length."""
+    size = F.abs(code)
+    digits = sum((F.when(size >= 10**k, 1).otherwise(0) for k in range(1, 19)), F.lit(1))
+    # a fraction has six places, so its whole part is one digit at least; instants all have one length
+    digits = F.when(kind == "double", F.greatest(digits, F.lit(7))).when(kind == "int", digits).otherwise(0)
+    return [code < 0, digits], F.when(kind.isin("int", "double"), size).otherwise(code)
+
+
+def _first_codes(values: DataFrame, samples: int) -> DataFrame:
+    """col, kind, code: the different codes that can be among the first texts of their column."""
+    parts, order = _order(F.col("code"), F.col("kind"))
+    w = Window.partitionBy("col", *parts).orderBy(order)
+    return values.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= samples).select("col", "kind", "code")
+
+
+def _first_bits(maps: DataFrame, samples: int) -> DataFrame:
+    """col, kind, code: the same from bitmaps (col, stretch, bits). Of each sign and length only the first stretches are unpacked: those after the first hold a number each."""
+    sized = maps.filter("filled > 0").withColumn("low", F.when(F.col("stretch") > 0, (F.col("stretch") - 1) * 32768 + 1).otherwise(-F.col("stretch") * 32768))
+    lengths = F.filter(F.sequence(F.lit(1), F.lit(19)), lambda k: (F.length(F.col("low").cast("string")) <= k) & (F.length((F.col("low") + 32767).cast("string")) >= k))
+    each = sized.withColumn("digits", F.explode(lengths))
+    w = Window.partitionBy("col", F.col("stretch") > 0, "digits").orderBy("low")
+    few = each.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= samples + 1).select("col", "stretch", "bits").distinct()
+
+    def unpack(frames):
+        for pdf in frames:
+            for col, stretch, bits in pdf.itertuples(index=False):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")).astype(np.int64)
+                code = (stretch - 1) * 32768 + at + 1 if stretch > 0 else stretch * 32768 - at
+                yield pd.DataFrame({"col": col, "kind": "int", "code": code})
+
+    return _first_codes(few.mapInPandas(unpack, "col int, kind string, code long"), samples)
+
+
+def profile_tables(tables: dict[str, DataFrame], samples: int = 5, rename=S.strip_prefix) -> DataFrame:
+    """The profile of profile_columns from whole tables, in two phases.
+
+    A sketch per column (measure) tells which integers can be counted by bitmaps: those are grouped by stretches of 32768 numbers, a bit per number, and never by
+    value. All other columns meet in one exchange of typed values; what is parsed as date or number are the different texts of text columns.
+    """
+    facts = measure(tables, rename)
+    values = scratch.stored(typed_values(tables, facts), "values") if any(f.route == "values" for f in facts) else None
+    return _profile(tables, facts, values, samples)
+
+
+def _profile(tables: dict[str, DataFrame], facts: list[Fact], values: DataFrame | None, samples: int) -> DataFrame:
+    spark = next(iter(tables.values())).sparkSession
+    named = F.broadcast(fact_table(spark, facts))
+    parts, first = [], []
+    if values is not None:
+        values = values.join(named.select("col", "kind"), "col")
+        v = F.col("word")
+        blank = F.when(F.col("kind") == "text", v.isNull() | (v == "")).otherwise(F.col("code").isNull())
+        typed = F.col("kind") != "text"
+        is_date = F.when(typed, F.col("kind").isin("time", "date")).otherwise(text.parsed_date(v).isNotNull() & (F.length(v) >= 8))
+        is_number = F.when(typed, F.col("kind").isin("int", "double")).otherwise(v.try_cast("double").isNotNull())
+        parts.append(
+            values.groupBy("col").agg(
+                F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("nulls"),
+                F.count("*").alias("distinct_count"),
+                F.count_if(~blank).alias("filled"),
+                F.every(blank | is_date).alias("dates"),
+                F.every(blank | is_number).alias("numbers"),
+            )
+        )
+        some = values.filter(~blank)
+        words = some.filter("kind = 'text'").select("col", F.col("word").alias("value"))
+        first += [words.withColumn("_at", F.row_number().over(Window.partitionBy("col").orderBy("value"))).filter(F.col("_at") <= samples).drop("_at"), _first_codes(some.filter(typed), samples).select("col", _text(F.col("code"), F.col("kind")).alias("value"))]
+    dense = _columns_of(tables, facts, "bitmap")
+    if dense is not None:
+        maps = scratch.stored(dense.groupBy("col", F.bitmap_bucket_number("code").alias("stretch")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits"), F.count("code").alias("filled"), F.count_if(F.col("code").isNull()).alias("nulls")), "bitmaps")
+        # where the number is null there is no bit
+        counted = maps.groupBy("col").agg(F.sum("nulls").alias("nulls"), F.sum(F.when(F.col("filled") > 0, F.bitmap_count("bits")).otherwise(0)).alias("bits"), F.sum("filled").alias("filled"))
+        parts.append(counted.select("col", "nulls", (F.col("bits") + F.when(F.col("nulls") > 0, 1).otherwise(0)).alias("distinct_count"), "filled", F.lit(False).alias("dates"), F.lit(True).alias("numbers")))
+        first.append(_first_bits(maps, samples).select("col", F.col("code").cast("string").alias("value")))
+    stats = reduce(DataFrame.unionByName, parts)
+    ranked = reduce(DataFrame.unionByName, first).withColumn("_at", F.row_number().over(Window.partitionBy("col").orderBy("value"))).filter(F.col("_at") <= samples)
+    ranked = ranked.groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    kind = F.when(F.col("filled") == 0, "unknown").when(F.col("dates"), "date").when(F.col("numbers"), "number").otherwise("string")
+    out = stats.join(ranked, "col", "left").join(named, "col").withColumn("inferred_type", kind)
+    return out.select(
+        "dataset", "column_name", "ordinal", F.col("rows").alias("row_count"), "nulls", (F.col("nulls") / F.col("rows")).alias("null_share"), "distinct_count", "inferred_type",
+        ((F.col("distinct_count") == F.col("rows")) & (F.col("rows") > 0)).alias("is_key"), "samples",
+    )
 
 
 def distinct_values(cells: DataFrame) -> DataFrame:

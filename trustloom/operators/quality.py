@@ -44,9 +44,16 @@ def schema_mismatches(columns: DataFrame, schemas: DataFrame) -> DataFrame:
     return _issue(some, "schema_mismatch", F.lit("warning"), F.lit(None))
 
 
+def counted(cells: DataFrame) -> DataFrame:
+    """dataset, column_name, value, n: each different value with its rows; a table that has n is one already (profile.value_counts)."""
+    if "n" in cells.columns:
+        return cells.select("dataset", "column_name", "value", "n")
+    return cells.groupBy("dataset", "column_name", "value").agg(F.count("*").alias("n"))
+
+
 def _bad_values(cells: DataFrame, value: Column, bad: Column, keep: int | None = None) -> DataFrame:
-    """Different bad values of each column (the first `keep` by value), with the rows that hold them."""
-    found = cells.select("dataset", "column_name", value.alias("value"), bad.alias("bad")).filter("bad").groupBy("dataset", "column_name", "value").agg(F.count("*").alias("n"))
+    """Different bad values of each column (the first `keep` by value), with the rows that hold them. A value is tested once, however many rows hold it."""
+    found = counted(cells).select("dataset", "column_name", value.alias("value"), bad.alias("bad"), "n").filter("bad").groupBy("dataset", "column_name", "value").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("dataset", "column_name").orderBy("value")
     ranked = found.withColumn("_at", F.row_number().over(w))
     first = ranked.filter(F.col("_at") <= (5 if keep is None else min(5, keep))).groupBy("dataset", "column_name").agg(F.array_sort(F.collect_list("value")).alias("samples"))
@@ -69,8 +76,8 @@ def invalid_dates(cells: DataFrame, profile: DataFrame) -> DataFrame:
 def outliers(cells: DataFrame, profile: DataFrame, sigmas: float = 3, least: int = 10) -> DataFrame:
     """Numeric columns with values more than `sigmas` deviations from their mean: two aggregates over the different values."""
     numeric = profile.filter("inferred_type = 'number'").select("dataset", "column_name")
-    v = cells.join(F.broadcast(numeric), ["dataset", "column_name"]).withColumn("x", F.col("value").try_cast("double")).filter("x is not null")
-    v = v.groupBy("dataset", "column_name", "x").agg(F.count("*").alias("n"), F.min("value").alias("value"))
+    v = counted(cells.join(F.broadcast(numeric), ["dataset", "column_name"])).withColumn("x", F.col("value").try_cast("double")).filter("x is not null")
+    v = v.groupBy("dataset", "column_name", "x").agg(F.sum("n").alias("n"), F.min("value").alias("value"))
     total = F.sum("n")
     stats = v.groupBy("dataset", "column_name").agg(total.alias("rows"), (F.sum(F.col("x") * F.col("n")) / total).alias("mean"))
     spread = v.join(F.broadcast(stats), ["dataset", "column_name"]).groupBy("dataset", "column_name", "rows", "mean").agg(F.sqrt(F.sum(F.col("n") * (F.col("x") - F.col("mean")) ** 2) / F.first("rows")).alias("std"))
@@ -84,7 +91,7 @@ def outliers(cells: DataFrame, profile: DataFrame, sigmas: float = 3, least: int
 def invalid_references(cells: DataFrame, columns: DataFrame, names: DataFrame) -> DataFrame:
     """Values of embeddable columns that aren't canonical names of their type, where the type has any. names: role, canonical_name."""
     some = columns.filter(F.col("role").isin(*rules.EMBEDDABLE_ROLES)).join(names.select("role").distinct(), "role", "left_semi").select("dataset", "column_name", "role")
-    values = cells.join(F.broadcast(some), ["dataset", "column_name"]).filter("value <> ''").groupBy("dataset", "column_name", "role", "value").agg(F.count("*").alias("n"))
+    values = counted(cells).join(F.broadcast(some), ["dataset", "column_name"]).filter("value <> ''")
     known = names.select("role", F.lower("canonical_name").alias("norm")).distinct()
     bad = values.withColumn("norm", text.normalised(F.col("value"))).join(known, ["role", "norm"], "left_anti")
     w = Window.partitionBy("dataset", "column_name").orderBy("value")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import profile as P
 from ..sources import tables as S
 
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -40,6 +41,10 @@ def cells(spark: SparkSession, sf_dir: str, names=STAR) -> DataFrame:
     return S.all_cells(star(spark, sf_dir, names))
 
 
+def profile(spark: SparkSession, sf_dir: str, names=STAR) -> DataFrame:
+    return P.profile_tables(star(spark, sf_dir, names))
+
+
 def headers(spark: SparkSession, sf_dir: str, names=STAR) -> DataFrame:
     """dataset, column_name, ordinal, from the tables' own schemas: no data is read for them."""
     rows = [(n, S.strip_prefix(c), i) for n, df in star(spark, sf_dir, names).items() for i, c in enumerate(df.columns)]

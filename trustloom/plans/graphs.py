@@ -186,12 +186,11 @@ _decided = f"""(select *, uniq_a >= uniq_b as pk_is_a, case when uniq_a >= uniq_
 least(cast(0.98 as double), cast(0.45 as double) * overlap + cast(0.3 as double) * uniq + cast(0.15 as double) * name_sim + cast(0.1 as double) * type_match) as conf from {_overlap})"""
 
 
-def _overlaps(spark, sf_dir):
+def _overlaps(spark, sf_dir, min_overlap=0.0, min_uniqueness=0.0):
     from ..sources import scratch
 
-    cells = B.cells(spark, sf_dir)
-    profile = scratch.stored(P.profile_columns(cells).withColumn("is_technical", F.col("column_name").rlike("_id$")), "profile")
-    return G.column_overlap(cells, profile)
+    profile = scratch.stored(B.profile(spark, sf_dir).withColumn("is_technical", F.col("column_name").rlike("_id$")), "profile")
+    return G.column_overlap(B.star(spark, sf_dir), profile, min_overlap, min_uniqueness)
 
 
 @query(f"select a_dataset, a_column_name, b_dataset, b_column_name, name_sim, shared, overlap, uniq_a, uniq_b, type_match from {_overlap}")
@@ -205,14 +204,15 @@ def key_decision(spark, sf_dir):
     """G3."""
     c = F.col
     is_match, pk_is_a, _ = G.key_decision(c("overlap"), c("uniq_a"), c("uniq_b"), c("name_sim"), c("type_match"))
-    return _overlaps(spark, sf_dir).select("a_dataset", "a_column_name", "b_dataset", "b_column_name", is_match.alias("is_match"), pk_is_a.alias("pk_is_a"))
+    found = _overlaps(spark, sf_dir, 0.6, 0.9)
+    return found.select("a_dataset", "a_column_name", "b_dataset", "b_column_name", F.coalesce(is_match, F.lit(False)).alias("is_match"), pk_is_a.alias("pk_is_a"))
 
 
 @query(f"""select from_dataset, to_dataset, label, weight, round(conf, 3) as confidence from (select *, row_number() over (partition by from_dataset, to_dataset order by round(conf, 3) desc, weight desc, label) as rn from
 (select case when pk_is_a then b_dataset else a_dataset end as from_dataset, case when pk_is_a then a_dataset else b_dataset end as to_dataset, case when pk_is_a then b_column_name else a_column_name end as label, shared as weight, conf from {_decided} where overlap >= 0.6 and uniq >= 0.9)) where rn = 1""")
 def discover_foreign_keys(spark, sf_dir):
     """Foreign keys between all star tables."""
-    return G.discover_foreign_keys(_overlaps(spark, sf_dir))
+    return G.discover_foreign_keys(_overlaps(spark, sf_dir, 0.6, 0.9))
 
 
 # --- the sales graph ------------------------------------------------------------------------------------------

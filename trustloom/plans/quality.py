@@ -57,7 +57,17 @@ def _cells(spark, sf_dir):
 
 
 def _profile(spark, sf_dir):
-    return scratch.stored(P.profile_columns(_cells(spark, sf_dir)), "profile")
+    return scratch.stored(P.profile_tables(dirty(spark, sf_dir), rename=str), "profile")
+
+
+def _profile_and_values(spark, sf_dir):
+    profile, values = P.profile_and_values(dirty(spark, sf_dir), rename=str)
+    return scratch.stored(profile, "profile"), scratch.stored(values, "values")
+
+
+def _column(spark, sf_dir, dataset, column):
+    """The cells of one column: nothing else is read."""
+    return S.cells(dirty(spark, sf_dir)[dataset].select(column), dataset, rename=str)
 
 
 def _columns(spark, profile):
@@ -73,8 +83,7 @@ def _names(spark, sf_dir):
 
 
 def _issues(spark, sf_dir):
-    cells = scratch.stored(_cells(spark, sf_dir), "cells")
-    profile = scratch.stored(P.profile_columns(cells), "profile")
+    profile, cells = _profile_and_values(spark, sf_dir)
     columns = _columns(spark, profile)
     schemas = Q.canonical_schemas(columns, REQUIRED)
     parts = [Q.missing_values(profile), Q.schema_mismatches(columns, schemas), Q.invalid_currencies(cells), Q.invalid_dates(cells, profile), Q.outliers(cells, profile), Q.invalid_references(cells, columns, _names(spark, sf_dir)), Q.duplicates(dirty(spark, sf_dir)["shipments"], "shipments", ["task", "line"])]
@@ -122,7 +131,7 @@ def canonical_schemas(spark, sf_dir):
 @query(_missing)
 def issues_missing(spark, sf_dir):
     """Q3."""
-    return Q.missing_values(P.profile_columns(_cells(spark, sf_dir))).select(*_PLAIN)
+    return Q.missing_values(_profile(spark, sf_dir)).select(*_PLAIN)
 
 
 @query(f"select dataset, column_name, issue_type, severity from ({_mismatch})")
@@ -135,20 +144,21 @@ def issues_schema(spark, sf_dir):
 @query(f"select i.*, s.samples from ({_currency}) i join (select dataset, column_name, string_agg(code, '|' order by code) as samples from (select distinct dataset, column_name, upper(trim(value)) as code from ({_c}) where contains(lower(column_name), 'currency') and upper(trim(value)) not in ({_codes}, '')) group by 1, 2) s on s.dataset = i.dataset and s.column_name = i.column_name")
 def issues_currency(spark, sf_dir):
     """Q5."""
-    return Q.invalid_currencies(_cells(spark, sf_dir)).withColumn("samples", F.array_join("samples", "|"))
+    return Q.invalid_currencies(_column(spark, sf_dir, "billing", "currency")).withColumn("samples", F.array_join("samples", "|"))
 
 
 @query(_dates)
 def issues_date(spark, sf_dir):
     """Q6."""
-    cells = _cells(spark, sf_dir)
-    return Q.invalid_dates(cells, _profile(spark, sf_dir)).select(*_PLAIN)
+    profile, values = _profile_and_values(spark, sf_dir)
+    return Q.invalid_dates(values, profile).select(*_PLAIN)
 
 
 @query(_outliers)
 def issues_outlier(spark, sf_dir):
     """Q7."""
-    return Q.outliers(_cells(spark, sf_dir), _profile(spark, sf_dir)).select(*_PLAIN)
+    profile, values = _profile_and_values(spark, sf_dir)
+    return Q.outliers(values, profile).select(*_PLAIN)
 
 
 @query("select event_type as dataset, count(*) as affected_rows from (select event_type, value, avg(value) over (partition by event_type) as m, stddev_pop(value) over (partition by event_type) as s from events) where abs(value - m) > 3 * s group by 1")
@@ -161,7 +171,8 @@ def outliers_by_group(spark, sf_dir):
 @query(_refs)
 def issues_reference(spark, sf_dir):
     """Q8."""
-    return Q.invalid_references(_cells(spark, sf_dir), _columns(spark, _profile(spark, sf_dir)), _names(spark, sf_dir)).select(*_PLAIN)
+    profile, values = _profile_and_values(spark, sf_dir)
+    return Q.invalid_references(values, _columns(spark, profile), _names(spark, sf_dir)).select(*_PLAIN)
 
 
 @query(_dups)
@@ -196,7 +207,8 @@ _proposed = f"(({_prop_cur}) union all ({_prop_date}) union all ({_prop_trim}))"
 
 
 def _values(spark, sf_dir, column):
-    return _cells(spark, sf_dir).filter((F.col("column_name") == column) & F.col("value").isNotNull()).select("dataset", "column_name", "value").distinct()
+    dataset = next(d for d, (_, cols) in DIRTY.items() if column in cols)
+    return _column(spark, sf_dir, dataset, column).filter(F.col("value").isNotNull()).select("dataset", "column_name", "value").distinct()
 
 
 def _proposed_corrections(spark, sf_dir):

@@ -111,20 +111,20 @@ def fallback_source(spark, sf_dir):
 @query(B.sql_profile())
 def profile_columns(spark, sf_dir):
     """The profile of every column of the star tables."""
-    out = P.profile_columns(B.cells(spark, sf_dir))
+    out = B.profile(spark, sf_dir)
     return out.select("dataset", "column_name", "ordinal", "row_count", "nulls", "distinct_count", "inferred_type", "is_key", F.array_join("samples", "|").alias("samples"))
 
 
 @query(f"select dataset, column_name, inferred_type from ({B.sql_profile()})")
 def infer_type(spark, sf_dir):
     """P2."""
-    return P.profile_columns(B.cells(spark, sf_dir)).select("dataset", "column_name", "inferred_type")
+    return B.profile(spark, sf_dir).select("dataset", "column_name", "inferred_type")
 
 
 @query(f"select dataset, column_name, distinct_count from ({B.sql_profile()}) where is_key")
 def candidate_keys(spark, sf_dir):
     """P3."""
-    return P.profile_columns(B.cells(spark, sf_dir)).filter("is_key").select("dataset", "column_name", "distinct_count")
+    return B.profile(spark, sf_dir).filter("is_key").select("dataset", "column_name", "distinct_count")
 
 
 _SOURCES = """with kw as (select * from ({kw}) as k(pref, source_type, keyword)),
@@ -160,7 +160,7 @@ case when is_technical then 0.9 when role = 'other' then 0.3 else 0.65 end as ro
 @query(f"select dataset, column_name, role, cast(role_confidence as double) as role_confidence, is_technical from {_classified}")
 def classify_columns(spark, sf_dir):
     """Roles by name patterns and samples."""
-    return C.classify_columns(P.profile_columns(B.cells(spark, sf_dir))).select("dataset", "column_name", "role", "role_confidence", "is_technical")
+    return C.classify_columns(B.profile(spark, sf_dir)).select("dataset", "column_name", "role", "role_confidence", "is_technical")
 
 
 _OVER = {"cost_center": ("mktsegment",), "identifier": ("orderkey", "linenumber"), "vendor": ("suppkey",)}
@@ -172,7 +172,7 @@ case when o.sure is not null then o.sure = 'identifier' else c.is_technical end
 from {_classified} c left join ({_over}) as o(norm, sure) on o.norm = regexp_replace(lower(c.column_name), '[\\s_-]', '', 'g')""")
 def override_roles(spark, sf_dir):
     """Names that are certain, here from a table that fits the driver's headers."""
-    return C.override_roles(C.classify_columns(P.profile_columns(B.cells(spark, sf_dir))), _OVER).select("dataset", "column_name", "role", "role_confidence", "is_technical")
+    return C.override_roles(C.classify_columns(B.profile(spark, sf_dir)), _OVER).select("dataset", "column_name", "role", "role_confidence", "is_technical")
 
 
 @query(f"""select c.dataset, c.column_name, coalesce(v.role, c.role) as role, cast(case when v.role is not null then 0.5 else c.role_confidence end as double) as role_confidence
@@ -181,7 +181,7 @@ def role_verdicts(spark, sf_dir):
     """The role table as an outside verdict, one of its roles unknown."""
     v = B.role_table(spark).withColumn("role", F.when(F.col("role") == "project", "no such role").otherwise(F.col("role")))
     v = v.withColumn("role_confidence", F.lit(None).cast("double")).withColumn("is_technical", F.lit(False))
-    return C.apply_role_verdicts(C.classify_columns(P.profile_columns(B.cells(spark, sf_dir))), v).select("dataset", "column_name", "role", "role_confidence")
+    return C.apply_role_verdicts(C.classify_columns(B.profile(spark, sf_dir)), v).select("dataset", "column_name", "role", "role_confidence")
 
 
 @query(f"select s.dataset, s.source_type || ' dataset with ' || n.n || ' columns' as business_purpose, t.row_count from ({_sources_sql}) s join (select dataset, count(distinct column_name) as n from {B.sql_columns()} group by 1) n on n.dataset = s.dataset join ({B.sql_counts()}) t on t.dataset = s.dataset")
@@ -210,7 +210,7 @@ _overlap = lambda a, b: f"cast(len(list_intersect({_lists(a)}, {_lists(b)})) as
 @query(f"select a.dataset as a, a.column_name as a_column, b.dataset as b, b.column_name as b_column, {_overlap('a.samples', 'b.samples')} as overlap from {_profile} a join {_profile} b on a.dataset < b.dataset where a.inferred_type = b.inferred_type")
 def value_overlap(spark, sf_dir):
     """Shared samples of columns of one type in different tables (catalogue-sized)."""
-    p = P.profile_columns(B.cells(spark, sf_dir)).select("dataset", "column_name", "inferred_type", "samples")
+    p = B.profile(spark, sf_dir).select("dataset", "column_name", "inferred_type", "samples")
     a, b = p.toDF("a", "a_column", "inferred_type", "sa"), p.toDF("b", "b_column", "inferred_type", "sb")
     return a.join(b, "inferred_type").filter("a < b").select("a", "a_column", "b", "b_column", text.value_overlap(F.col("sa"), F.col("sb")).alias("overlap"))
 
@@ -224,7 +224,7 @@ from (select * from {_known} where not is_technical and role not in {_in(rules.U
 
 
 def _roles(spark, sf_dir):
-    return B.with_roles(P.profile_columns(B.cells(spark, sf_dir)))
+    return B.with_roles(B.profile(spark, sf_dir))
 
 
 @query(f"select * from {_related}")
