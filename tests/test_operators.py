@@ -179,6 +179,4 @@ def test_ingest_goes_on_after_a_failure(spark, tmp_path):
 
 def test_written_versions(spark, tmp_path):
     df = spark.range(3)
-    a, b = S.replace_table(df, str(tmp_path / "t")), S.replace_table(df, str(tmp_path / "t"))
-    assert a != b
     assert spark.read.parquet(S.write_corrected_copy(df, str(tmp_path / "c"), "s1")).count() == 3

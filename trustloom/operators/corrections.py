@@ -13,6 +13,10 @@ from ..functions import rules, text
 TRANSITIONS = {"approve": (("pending",), "approved"), "reject": (("pending", "approved"), "rejected"), "bulk_approve": (("pending",), "approved"), "apply": (("approved",), "applied")}
 
 
+#: Which of the four values an issue's status may take; any may follow any.
+ISSUE_STATUS = ("open", "acknowledged", "resolved", "ignored")
+
+
 def _proposals(df: DataFrame, kind: str, corrected, confidence: float) -> DataFrame:
     out = df.select("dataset", "column_name", F.lit(kind).alias("correction_type"), F.col("value").alias("original"), corrected.alias("corrected"), F.lit(confidence).alias("confidence"))
     return out.filter("corrected is not null")
@@ -73,6 +77,21 @@ def review_state(items: DataFrame, events: DataFrame, key: str, transitions=TRAN
     return items.select(key).distinct().join(log.select(key, F.transform("log", lambda e: F.struct(e["seq"].cast("bigint").alias("seq"), e["action"].alias("action"))).alias("log")), key, "left").select(key, folded.alias("status"))
 
 
+def issue_status(issues: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """issues with status: the last valid change of each (keys, status, seq), open where there is none. Values that no issue can have change nothing."""
+    last = changes.filter(F.col("status").isin(*ISSUE_STATUS)).groupBy(*keys).agg(F.max_by("status", F.struct("seq", "status")).alias("status"))
+    same = [issues[k].eqNullSafe(last[k]) for k in keys]
+    return issues.drop("status").join(last, reduce(lambda a, b: a & b, same), "left").select(*[issues[c] for c in issues.columns if c != "status"], F.coalesce(last["status"], F.lit("open")).alias("status"))
+
+
+def apply_all(tables: dict[str, DataFrame], approved: DataFrame, at_once: int = 4, deadline: float | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(corrected cells by table, a run per table): each table's corrections in a run of its own; one that fails or takes too long leaves the others as they are. tables: cells by name."""
+    from ..sources import runs
+
+    work = lambda name, cells: lambda: apply_corrections(cells, approved.filter(F.col("dataset") == name))[0]
+    return runs.run_all(approved.sparkSession, {n: work(n, c) for n, c in tables.items()}, at_once, deadline)
+
+
 def apply_corrections(cells: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells with corrected values, corrections with their affected row counts).
 

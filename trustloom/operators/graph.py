@@ -205,6 +205,48 @@ def trace(edges: DataFrame, seeds: DataFrame, max_depth: int = 6, keep=None) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, keep=None) -> DataFrame:
+    """seed, id, depth: what each seed (seed, id) reaches within max_depth undirected steps over the edges that keep selects.
+
+    All seeds walk at once: a step joins the last frontier with the edges, and a node that a seed has reached doesn't come again for it.
+    """
+    some = edges if keep is None else edges.filter(keep)
+    both = scratch.stored(some.select("from_id", "to_id").union(some.select("to_id", "from_id")).distinct().toDF("id", "next"), "steps")
+    parts = [scratch.stored(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)), "reached")]
+    for depth in range(1, max_depth + 1):
+        fresh = both.join(parts[-1].select("seed", "id"), "id").select("seed", F.col("next").alias("id")).distinct()
+        fresh = reduce(lambda f, p: f.join(p.select("seed", "id"), ["seed", "id"], "left_anti"), parts, fresh)
+        parts.append(scratch.stored(fresh.withColumn("depth", F.lit(depth)), "reached"))
+        if parts[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts)
+
+
+def domain_seeds(nodes: DataFrame, domain: str) -> DataFrame:
+    """seed, id: the dataset nodes (id, name, entity_type) of a business domain, each a seed of its own."""
+    some = nodes.filter((F.col("entity_type") == "dataset") & (text.domain(F.col("name")) == domain))
+    return some.select(F.col("id").alias("seed"), "id")
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, without=("co_occurs_with",)) -> tuple[DataFrame, DataFrame]:
+    """(seed, id, depth; the induced edges): what lies around datasets. Edges of the types in `without` aren't walked, but they are among the induced ones."""
+    around = reach(edges, seeds, hops, ~F.col("edge_type").isin(*without) if without else None)
+    return around, induced(edges, around)
+
+
+def collapsed(nodes: DataFrame, edges: DataFrame, groups: DataFrame, exclusive: bool = False, parent_type: str = "contains_reference") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that stay visible when the groups (id) are collapsed: their children go, with all edges that lose an end.
+
+    exclusive: a child goes only if all its visible parents are collapsed; one that another group also holds stays.
+    """
+    held = edges.filter(F.col("edge_type") == parent_type).select(F.col("from_id").alias("id"), F.col("to_id").alias("child")).join(nodes.select("id"), "id", "left_semi")
+    closed = groups.select("id").distinct().withColumn("closed", F.lit(True))
+    parents = held.join(closed, "id", "left").groupBy("child").agg(F.count_if(F.col("closed")).alias("shut"), F.count("*").alias("all"))
+    gone = parents.filter(F.col("shut") == F.col("all") if exclusive else F.col("shut") > 0).select(F.col("child").alias("id"))
+    left = nodes.join(gone, "id", "left_anti")
+    return left, induced(edges, left)
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are among nodes (id)."""
     ids = nodes.select("id").distinct()

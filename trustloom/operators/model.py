@@ -107,3 +107,30 @@ def month_over_month(facts: DataFrame, key: str, when: str, amount: str) -> Data
     """Cost per month and its change from the month before that has any. An extension."""
     m = facts.groupBy(key, F.trunc(when, "month").alias("month")).agg(F.sum(amount).alias("cost"))
     return m.withColumn("change", F.col("cost") - F.lag("cost").over(Window.partitionBy(key).orderBy("month")))
+
+
+def _monthly(facts: DataFrame, keys: list[str], when: str, amount: str) -> DataFrame:
+    """keys, month_no (months since year 0), cost."""
+    month_no = (F.year(when) * 12 + F.month(when) - 1).cast("long")
+    return facts.filter(F.col(when).isNotNull()).groupBy(*keys, month_no.alias("month_no")).agg(F.sum(amount).alias("cost"))
+
+
+def cost_spikes(facts: DataFrame, keys: list[str], when: str, amount: str, months: int = 6, sigmas: float = 2.0, least: int = 3) -> DataFrame:
+    """keys, month_no, cost, mean, deviation, known, gap, is_spike: each month against the months before it. An extension.
+
+    The frame is a range of calendar months that ends before the current one: months without cost are gaps in it, not rows, so `known` tells how many it holds and gap how many
+    months lie empty just before. A spike exceeds the mean by so many deviations, where `least` months are known.
+    """
+    before = Window.partitionBy(*keys).orderBy("month_no").rangeBetween(-months, -1)
+    out = _monthly(facts, keys, when, amount).select("*", F.avg("cost").over(before).alias("mean"), F.stddev_pop("cost").over(before).alias("deviation"), F.count("cost").over(before).alias("known"), (F.col("month_no") - F.lag("month_no").over(Window.partitionBy(*keys).orderBy("month_no")) - 1).alias("gap"))
+    return out.withColumn("is_spike", (F.col("known") >= least) & F.coalesce(F.col("cost") > F.col("mean") + sigmas * F.col("deviation"), F.lit(False)))
+
+
+def new_services(facts: DataFrame, service: str, when: str, amount: str, months: int = 3) -> DataFrame:
+    """service, first_month_no, first_cost, early_cost (of its first `months` calendar months), months_seen, is_new: whether it first appeared in the last `months` months of all. An extension."""
+    m = _monthly(facts, [service], when, amount)
+    own = Window.partitionBy(service).orderBy("month_no")
+    first = m.withColumn("early", F.sum("cost").over(own.rangeBetween(0, months - 1)))
+    by = first.groupBy(service).agg(F.min("month_no").alias("first_month_no"), F.min_by("cost", "month_no").alias("first_cost"), F.min_by("early", "month_no").alias("early_cost"), F.count("*").alias("months_seen"))
+    last = m.agg(F.max("month_no").alias("last"))
+    return by.join(F.broadcast(last), F.lit(True)).withColumn("is_new", F.col("first_month_no") > F.col("last") - months).drop("last")

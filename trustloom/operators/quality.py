@@ -171,3 +171,26 @@ def quality_report(issues: DataFrame, scores: DataFrame, corrections: DataFrame)
     mean = scores.agg(F.avg("overall").alias("n")).select(F.lit("mean_score").alias("metric"), F.lit("all").alias("key"), "n")
     low = scores.agg(F.count_if(F.col("overall") < 0.7).cast("double").alias("n")).select(F.lit("below_0.7").alias("metric"), F.lit("all").alias("key"), "n")
     return reduce(DataFrame.unionByName, [by(issues, "issue_type", "issue_type"), by(issues, "severity", "severity"), by(corrections, "correction", "status"), mean, low])
+
+
+def report_board(issues: DataFrame, scores: DataFrame, corrections: DataFrame, worst: int = 10, latest: int = 20, below: float = 0.7) -> DataFrame:
+    """section, place, dataset, detail, value: the parts of a report that are lists, and the counts above them.
+
+    summary: issues, critical ones, open ones, pending corrections, tables scored, mean score. worst: the tables that score below `below`, lowest first, with their advice.
+    issues, corrections: the latest ones, the last in their own order first. issues: with status and seq; corrections: with status and seq.
+    """
+    def ranked(df, section, order, n, detail, value):
+        top = df.orderBy(*order).limit(n)  # a top-k report
+        return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select(F.lit(section).alias("section"), "place", "dataset", detail.alias("detail"), value.cast("double").alias("value"))
+
+    counts = [
+        (issues, "issues", F.count("*")), (issues, "critical", F.count_if(F.col("severity").isin("critical", "error"))), (issues, "open", F.count_if(F.col("status") == "open")),
+        (corrections, "pending", F.count_if(F.col("status") == "pending")), (scores, "scored", F.count("*")), (scores, "mean", F.round(F.coalesce(F.avg("overall"), F.lit(0.0)), 3)),
+    ]
+    summary = [df.agg(n.cast("double").alias("value")).select(F.lit("summary").alias("section"), F.lit(i + 1).alias("place"), F.lit(None).cast("string").alias("dataset"), F.lit(name).alias("detail"), "value") for i, (df, name, n) in enumerate(counts)]
+    parts = [
+        *summary, ranked(scores.filter(F.col("overall") < below), "worst", ["overall", "dataset"], worst, F.array_join("recommendations", "; "), F.col("overall")),
+        ranked(issues, "issues", [F.desc("seq")], latest, F.concat_ws("/", "column_name", "issue_type", "severity", "status"), F.col("affected_rows")),
+        ranked(corrections, "corrections", [F.desc("seq")], latest, F.concat_ws("/", "column_name", "correction_type", "original", "corrected"), F.col("confidence")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

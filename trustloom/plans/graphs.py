@@ -377,3 +377,82 @@ def graph_build_stats(spark, sf_dir):
     """G17."""
     nodes, edges = _graph(spark, sf_dir)
     return G.build_stats(nodes, edges, _containment(spark, sf_dir))
+
+
+# --- the graph of tables, their columns and the values in them ----------------------------------------------------
+
+#: Where each column of the graph comes from: node name of its table, group, role, SQL of the values.
+PLACES = (
+    ("cloud_suppliers", "name", "vendor", "select s_name as v from supplier"),
+    ("cloud_suppliers", "nation", "business_unit", "select n_name as v from supplier join nation on n_nationkey = s_nationkey"),
+    ("app_parts", "brand", "application", "select p_brand as v from part"),
+    ("customer_accounts", "segment", "cost_center", "select c_mktsegment as v from customer"),
+    ("customer_accounts", "nation", "business_unit", "select n_name as v from customer join nation on n_nationkey = c_nationkey"),
+    ("cost_orders", "priority", "project", "select o_orderpriority as v from orders"),
+)
+LINKS = (("cost_orders", "customer_accounts"), ("shipped_items", "cost_orders"), ("shipped_items", "app_parts"), ("shipped_items", "cloud_suppliers"))
+_held = " union all ".join(f"select distinct '{d}' as dataset, '{c}' as column_name, '{r}' as role, '{r}:' || lower(trim(v)) as entity from ({q}) where trim(v) <> ''" for d, c, r, q in PLACES)
+_tables = sorted({d for d, *_ in PLACES} | {x for link in LINKS for x in link})
+_tree_edges = f"""(select 'd:' || dataset as from_id, 'g:' || dataset || '.' || column_name as to_id, 'has_attribute' as edge_type from ({_held}) group by all union all select 'g:' || dataset || '.' || column_name, entity, 'contains_reference' from ({_held})
+union all select * from ({B.sql_values([(f"d:{a}", f"d:{b}", "foreign_key") for a, b in LINKS])}) as l(from_id, to_id, edge_type) union all select from_id, to_id, 'co_occurs_with' from (select distinct 'cost_center:' || lower(trim(c_mktsegment)) as from_id, 'project:' || lower(trim(o_orderpriority)) as to_id from orders join customer on c_custkey = o_custkey))"""
+_tree_nodes = f"(select * from ({B.sql_values([(f'd:{d}', d, 'dataset') for d in _tables])}) as t(id, name, entity_type) union all select distinct 'g:' || dataset || '.' || column_name, column_name, 'attribute_group' from ({_held}) union all select distinct entity, entity, role from ({_held}))"
+
+
+def _tree(spark, sf_dir):
+    """(nodes, edges): tables, their columns as groups, the values in them, foreign keys, and which segments meet which priorities."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from ..sources import scratch
+
+    t = lambda n: B.table(spark, sf_dir, n)
+    nation = F.broadcast(t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")))
+    values = {
+        ("cloud_suppliers", "name"): t("supplier").select(F.col("s_name").alias("v")), ("cloud_suppliers", "nation"): t("supplier").select(F.col("s_nationkey").alias("k")).join(nation, "k").select("v"),
+        ("app_parts", "brand"): t("part").select(F.col("p_brand").alias("v")), ("customer_accounts", "segment"): t("customer").select(F.col("c_mktsegment").alias("v")),
+        ("customer_accounts", "nation"): t("customer").select(F.col("c_nationkey").alias("k")).join(nation, "k").select("v"), ("cost_orders", "priority"): t("orders").select(F.col("o_orderpriority").alias("v")),
+    }
+    held = [values[d, c].filter(text.trimmed(F.col("v")) != "").select(F.lit(d).alias("dataset"), F.lit(c).alias("column_name"), F.lit(r).alias("role"), F.concat(F.lit(r + ":"), text.normalised(F.col("v"))).alias("entity")).distinct() for d, c, r, _ in PLACES]
+    held = scratch.stored(reduce(DataFrame.union, held), "held")
+    group = F.concat(F.lit("g:"), "dataset", F.lit("."), "column_name")
+    owns = held.select(F.concat(F.lit("d:"), "dataset").alias("from_id"), group.alias("to_id"), F.lit("has_attribute").alias("edge_type")).distinct()
+    holds = held.select(group.alias("from_id"), F.col("entity").alias("to_id"), F.lit("contains_reference").alias("edge_type"))
+    links = spark.createDataFrame([(f"d:{a}", f"d:{b}", "foreign_key") for a, b in LINKS], "from_id string, to_id string, edge_type string")
+    meet = t("orders").select("o_custkey", "o_orderpriority").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    meet = meet.select(F.concat(F.lit("cost_center:"), text.normalised(F.col("c_mktsegment"))).alias("from_id"), F.concat(F.lit("project:"), text.normalised(F.col("o_orderpriority"))).alias("to_id"), F.lit("co_occurs_with").alias("edge_type")).distinct()
+    nodes = spark.createDataFrame([(f"d:{d}", d, "dataset") for d in _tables], "id string, name string, entity_type string")
+    nodes = nodes.union(held.select(group.alias("id"), F.col("column_name").alias("name"), F.lit("attribute_group").alias("entity_type")).distinct()).union(held.select(F.col("entity").alias("id"), F.col("entity").alias("name"), F.col("role").alias("entity_type")).distinct())
+    return scratch.stored(nodes, "nodes"), scratch.stored(owns.union(holds).union(links).union(meet), "edges")
+
+
+_around = f"""(with recursive s as (select id from {_tree_nodes} where entity_type = 'dataset' and {_domain.format(c="name")} = 'Finance Domain'), e as (select from_id as a, to_id as b from {_tree_edges} where edge_type <> 'co_occurs_with' union select to_id, from_id from {_tree_edges} where edge_type <> 'co_occurs_with'),
+walk(seed, id, depth) as (select id, id, 0 from s union select w.seed, e.b, w.depth + 1 from walk w join e on e.a = w.id where w.depth < 2) select seed, id, min(depth) as depth from walk group by 1, 2)"""
+
+
+@query(f"select * from {_around}")
+def domain_neighbourhood(spark, sf_dir):
+    """Which table of the finance domain reaches what in two steps, without walking over co-occurrence."""
+    nodes, edges = _tree(spark, sf_dir)
+    return G.neighbourhood(edges, G.domain_seeds(nodes, "Finance Domain"))[0]
+
+
+@query(f"select from_id, to_id, edge_type from {_tree_edges} where from_id in (select id from {_around}) and to_id in (select id from {_around})")
+def neighbourhood_edges(spark, sf_dir):
+    """The edges between what the finance domain reaches, co-occurrence among them."""
+    nodes, edges = _tree(spark, sf_dir)
+    return G.neighbourhood(edges, G.domain_seeds(nodes, "Finance Domain"))[1].select("from_id", "to_id", "edge_type")
+
+
+_shut = "select to_id as child, count(*) as n, count(*) filter (from_id = 'g:customer_accounts.nation') as shut from {e} where edge_type = 'contains_reference' group by 1"
+
+
+@query(f"""with c as ({_shut.format(e=_tree_edges)}), a as (select id from {_tree_nodes} where id not in (select child from c where shut > 0)), x as (select id from {_tree_nodes} where id not in (select child from c where shut = n))
+select from_id, to_id, edge_type, from_id in (select id from a) and to_id in (select id from a) as stays_plain from {_tree_edges} where from_id in (select id from x) and to_id in (select id from x)""")
+def collapsed_groups(spark, sf_dir):
+    """The edges left when the customers' nations are collapsed: nations that suppliers have too stay, unless any collapsed parent hides a child."""
+    nodes, edges = _tree(spark, sf_dir)
+    groups = spark.createDataFrame([("g:customer_accounts.nation",)], "id string")
+    plain = G.collapsed(nodes, edges, groups)[1].select("from_id", "to_id", "edge_type", F.lit(True).alias("kept"))
+    left = G.collapsed(nodes, edges, groups, exclusive=True)[1].select("from_id", "to_id", "edge_type")
+    return left.join(plain, ["from_id", "to_id", "edge_type"], "left").select("from_id", "to_id", "edge_type", F.coalesce("kept", F.lit(False)).alias("stays_plain"))

@@ -348,3 +348,24 @@ def month_over_month(spark, sf_dir):
     """Extension: monthly cost and its change."""
     out = A.month_over_month(B.table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"), "status", "o_orderdate", "o_totalprice")
     return out.select("status", F.date_format("month", "yyyy-MM").alias("month"), F.round("cost", 2).alias("cost"), F.round("change", 2).alias("change"))
+
+
+_month_no = lambda c: f"year({c}) * 12 + month({c}) - 1"
+
+
+@query(f"""select *, known >= 3 and coalesce(cost > mean + 2 * deviation, false) as is_spike from (select status, segment, month_no, cost, avg(cost) over w as mean, stddev_pop(cost) over w as deviation, count(cost) over w as known, month_no - lag(month_no) over (partition by status, segment order by month_no) - 1 as gap
+from (select o_orderstatus as status, c_mktsegment as segment, {_month_no("o_orderdate")} as month_no, sum(o_totalprice) as cost from orders join customer on c_custkey = o_custkey group by all) window w as (partition by status, segment order by month_no range between 6 preceding and 1 preceding))""")
+def cost_spikes(spark, sf_dir):
+    """Extension: months whose cost leaves the range of the six before, by status and segment."""
+    t = lambda n: B.table(spark, sf_dir, n)
+    facts = t("orders").select("o_custkey", "o_orderdate", "o_totalprice", F.col("o_orderstatus").alias("status")).join(t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")), "o_custkey")
+    return A.cost_spikes(facts, ["status", "segment"], "o_orderdate", "o_totalprice")
+
+
+@query(f"""with m as (select l_partkey as service, {_month_no("l_shipdate")} as month_no, sum(l_extendedprice) as cost from lineitem where l_shipdate is not null group by all),
+e as (select *, sum(cost) over (partition by service order by month_no range between current row and 2 following) as early from m)
+select service, min(month_no) as first_month_no, round(arg_min(cost, month_no), 4) as first_cost, round(arg_min(early, month_no), 4) as early_cost, count(*) as months_seen, min(month_no) > (select max(month_no) from m) - 3 as is_new from e group by 1""")
+def new_services(spark, sf_dir):
+    """Extension: when each part was first shipped, what it cost then, and whether that is lately."""
+    out = A.new_services(B.table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "service"), "service", "l_shipdate", "l_extendedprice")
+    return out.withColumns({"first_cost": F.round("first_cost", 4), "early_cost": F.round("early_cost", 4)})

@@ -323,3 +323,52 @@ def quality_report(spark, sf_dir):
     """Q24, Q25."""
     scores, issues = _scores(spark, sf_dir)
     return Q.quality_report(issues, scores, _proposed_corrections(spark, sf_dir).withColumn("status", F.lit("pending"))).withColumn("n", F.round("n", 6))
+
+
+@query(f"select dataset, 'ok' as status, count(*) as row_count, count(*) filter (was is distinct from value) as changed from {_fixed} group by 1 union all select 'broken', 'failed', null, null")
+def apply_all(spark, sf_dir):
+    """Q20: every table's corrections in a run of its own; one whose column is missing fails alone."""
+    from functools import reduce
+
+    fixes = _proposed_corrections(spark, sf_dir)
+    tables = {d: S.cells(df, d, rename=str) for d, df in dirty(spark, sf_dir).items()} | {"broken": spark.range(1)}
+    done, log = K.apply_all(tables, fixes)
+    changed = [df.agg(F.count_if(~F.col("was").eqNullSafe(F.col("value"))).alias("changed")).select(F.lit(n).alias("name"), "changed") for n, df in done.items()]
+    return log.join(reduce(lambda a, b: a.union(b), changed), "name", "left").select(F.col("name").alias("dataset"), "status", "row_count", "changed")
+
+
+_changes = "(select 'shipments' as dataset, case l_linenumber % 3 when 0 then 'flag' when 1 then 'remark' end as column_name, case when l_linenumber % 3 = 2 then 'duplicate' else 'missing_value' end as issue_type, case l_linenumber % 5 when 0 then 'open' when 1 then 'acknowledged' when 2 then 'resolved' when 3 then 'ignored' else 'done' end as status, l_orderkey * 100 + l_linenumber as seq from lineitem)"
+_stated = f"(select i.*, coalesce(c.status, 'open') as status from {_all} i left join (select dataset, column_name, issue_type, arg_max(status, (seq, status)) as status from {_changes} where status in ('open', 'acknowledged', 'resolved', 'ignored') group by all) c on c.dataset = i.dataset and c.column_name is not distinct from i.column_name and c.issue_type = i.issue_type)"
+
+
+def _stated_issues(spark, sf_dir, issues):
+    """Issues with the status that changes, read from the line items, leave them in."""
+    changes = B.table(spark, sf_dir, "lineitem").selectExpr(
+        "'shipments' as dataset", "case l_linenumber % 3 when 0 then 'flag' when 1 then 'remark' end as column_name", "case when l_linenumber % 3 = 2 then 'duplicate' else 'missing_value' end as issue_type",
+        "case l_linenumber % 5 when 0 then 'open' when 1 then 'acknowledged' when 2 then 'resolved' when 3 then 'ignored' else 'done' end as status", "l_orderkey * 100 + l_linenumber as seq",
+    )
+    return K.issue_status(issues, changes, ["dataset", "column_name", "issue_type"])
+
+
+@query(f"select dataset, column_name, issue_type, severity, status from {_stated}")
+def issue_status(spark, sf_dir):
+    """Q18: issues with the last of four states that was set; other words count as nothing."""
+    return _stated_issues(spark, sf_dir, _issues(spark, sf_dir)[0]).select("dataset", "column_name", "issue_type", "severity", "status")
+
+
+_advice = SQL["recommendations"]
+_seq_i = f"(select *, row_number() over (order by dataset, issue_type, column_name nulls first) as seq from {_stated})"
+
+
+@query(f"""with i as {_seq_i}, s as {_ready}, p as (select *, row_number() over (order by dataset desc, column_name desc, original desc) as place from {_proposed})
+select 'summary' as section, 1 as place, cast(null as varchar) as dataset, 'issues' as detail, cast(count(*) as double) as value from i union all select 'summary', 2, null, 'critical', count(*) filter (severity in ('critical', 'error')) from i union all select 'summary', 3, null, 'open', count(*) filter (status = 'open') from i
+union all select 'summary', 4, null, 'pending', count(*) from p union all select 'summary', 5, null, 'scored', count(*) from s union all select 'summary', 6, null, 'mean', round(avg(overall), 3) from s
+union all select 'worst', row_number() over (order by s.overall, s.dataset), s.dataset, a.recommendations, s.overall from s join ({_advice}) a on a.dataset = s.dataset where s.overall < 0.7 qualify row_number() over (order by s.overall, s.dataset) <= 10
+union all select 'issues', row_number() over (order by seq desc), dataset, concat_ws('/', column_name, issue_type, severity, status), affected_rows from i qualify row_number() over (order by seq desc) <= 20
+union all select 'corrections', place, dataset, concat_ws('/', column_name, correction_type, original, corrected), confidence from p where place <= 20""")
+def report_board(spark, sf_dir):
+    """Q24, Q25: the whole report: counts, the ten worst tables, the latest issues and corrections."""
+    scores, issues = _scores(spark, sf_dir)
+    order = F.struct("dataset", "issue_type", F.coalesce("column_name", F.lit("")))
+    corrections = _proposed_corrections(spark, sf_dir).withColumn("status", F.lit("pending")).withColumn("seq", F.struct("dataset", "column_name", "original"))
+    return Q.report_board(_stated_issues(spark, sf_dir, issues).withColumn("seq", order), scores, corrections)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import columns as C
 from ..operators import profile as P
+from ..sources import runs, scratch, versions
 from ..sources import tables as S
 from . import base as B
 
@@ -78,6 +79,40 @@ def replace_table(spark, sf_dir):
     return S.valid_edges(edges, nodes).join(own, "from_id", "left_semi").select(S.stable_id(F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id")
 
 
+@query(f"select dataset, 'ok' as status, row_count from ({B.sql_counts()}) union all select 'no_such_table', 'failed', null")
+def ingest_batch(spark, sf_dir):
+    """All star tables as runs of their own, several at once, and one that isn't there."""
+    name = lambda p: p.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet")
+    paths = [f"{sf_dir}/{n}.parquet" for n in (*B.STAR, "no_such_table")]
+    _, log = S.ingest_batch(spark, paths, lambda path, df: S.cells(df, name(path)).filter("ordinal = 0"))
+    return log.select(F.substring_index(F.substring_index("name", "/", -1), ".", 1).alias("dataset"), "status", "row_count")
+
+
+@query("select cast(2 as integer) as version, sha256(concat_ws('|', cast(o_custkey as varchar), cast(o_orderkey as varchar))) as id, o_custkey as from_id, o_orderkey as to_id from orders where o_custkey <> o_orderkey and o_custkey in (select c_custkey from customer)")
+def graph_versions(spark, sf_dir):
+    """A graph written as it comes, replaced as a whole by one whose edges have both ends, and read through its manifest."""
+    orders = B.table(spark, sf_dir, "orders")
+    edges = orders.select(F.col("o_custkey").alias("from_id"), F.col("o_orderkey").alias("to_id"))
+    customers = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    base = scratch.path(spark, "graph")
+    first = versions.replace_tables({"nodes": customers, "edges": edges}, base)
+    last = versions.read_tables(spark, base)
+    sound = last["edges"].filter("from_id <> to_id").join(last["nodes"].withColumnRenamed("id", "from_id"), "from_id", "left_semi")
+    second = versions.replace_tables({"nodes": last["nodes"], "edges": sound.select(S.stable_id(F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id")}, base, expected=first)
+    return versions.read_tables(spark, base)["edges"].withColumn("version", F.lit(second))
+
+
+@query("""with e as (select user_id, event_id, ts, event_type, event_type = 'signup' as s, event_type in ('purchase', 'error') as f from events),
+n as (select *, sum(case when s then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as run_no from e where s or f),
+r as (select user_id, run_no, min(epoch_us(ts)) filter (s) as started_us, arg_max(epoch_us(ts), (ts, event_id)) filter (f) as finished_us, arg_max(event_type, (ts, event_id)) filter (f) as last, count(*) filter (f) as finish_count from n where run_no > 0 group by all)
+select user_id, cast(run_no as bigint) as run_no, started_us, finished_us, case when finish_count > 0 then last when run_no < max(run_no) over (partition by user_id) then 'abandoned' else 'running' end as status, finish_count, (finished_us - started_us) / 1000000 as seconds from r""")
+def run_log(spark, sf_dir):
+    """The runs that the event log tells of: a signup starts one, purchases and errors finish it."""
+    kind = F.col("event_type")
+    out = runs.intervals(B.table(spark, sf_dir, "events"), ["user_id"], "ts", ["ts", "event_id"], kind == "signup", kind.isin("purchase", "error"), kind)
+    return out.select("user_id", "run_no", F.unix_micros(F.col("started").cast("timestamp")).alias("started_us"), F.unix_micros(F.col("finished").cast("timestamp")).alias("finished_us"), "status", "finish_count", "seconds")
+
+
 _TAXONOMY = """select distinct 'resource_tower' as layer, trim(p_type) as level_1, trim(p_brand) as level_2, p_size > 45 as is_retired,
 concat_ws(' > ', trim(p_type), trim(p_brand)) as path, concat_ws('. ', trim(p_type), trim(p_brand), 'size ' || p_size) as search_text from part where trim(p_type) <> '' and trim(p_brand) <> ''"""
 

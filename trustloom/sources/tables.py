@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,17 +53,11 @@ def all_cells(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def ingest_batch(spark: SparkSession, paths: list[str], work) -> tuple[dict[str, DataFrame], DataFrame]:
-    """work(path, table) for each path; a table that fails doesn't stop the others. Results, and the run log."""
-    done, log = {}, []
-    for path in paths:
-        began = time.time()
-        try:
-            done[path] = work(path, read_table(spark, path))
-            log.append((path, "ok", None, began))
-        except Exception as e:  # noqa: BLE001  whatever one table does wrong is its own run's error
-            log.append((path, "failed", str(e)[:500], began))
-    return done, spark.createDataFrame(log, "path string, status string, error string, began double")
+def ingest_batch(spark: SparkSession, paths: list[str], work, at_once: int = 4, deadline: float | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """work(path, table) for each path, several at once; a table that fails or takes too long doesn't stop the others. Results by path, and a row per run."""
+    from . import runs
+
+    return runs.run_all(spark, {p: (lambda p=p: work(p, read_table(spark, p))) for p in paths}, at_once, deadline)
 
 
 def latest_state(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -75,7 +67,13 @@ def latest_state(events: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], keep: dict[str, Column] | None = None) -> DataFrame:
-    """Rows of existing with those of incoming over them. keep: for a column, the expression over `old` and `new` that decides."""
+    """Rows of existing with those of incoming over them. keep: for a column, the expression over `old` and `new` that decides.
+
+    Of incoming rows with one key the largest counts, by its other columns in their order: the same one in every run.
+    """
+    others = [c for c in incoming.columns if c not in keys]
+    if others:
+        incoming = incoming.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in others])
     rest = [c for c in existing.columns if c not in keys]
     old, new = existing.withColumn("_old", F.lit(True)).alias("old"), incoming.dropDuplicates(keys).withColumn("_new", F.lit(True)).alias("new")
     both = old.join(new, keys, "full")
@@ -102,13 +100,6 @@ def stable_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def replace_table(df: DataFrame, base: str) -> str:
-    """Write a new version of a table beside the old ones; readers switch by taking the path returned."""
-    to = f"{base.rstrip('/')}/v{time.time_ns()}"
-    df.write.mode("errorifexists").parquet(to)
-    return to
-
-
 def write_corrected_copy(df: DataFrame, base: str, stamp: str) -> str:
     """Never over the source: to a new place that carries a time stamp."""
     to = f"{base.rstrip('/')}_corrected_{stamp}"
