@@ -23,7 +23,7 @@ from . import scratch
 #: Levels that a node row climbs.
 STEP = 4
 #: At most so many node rows (of about 250 bytes) are broadcast.
-BROADCAST_NODES = 100_000
+BROADCAST_NODES = 20_000
 #: Rows of one file of climbed leaves, about.
 FILE_ROWS = 20_000
 #: Rows that repeat group, key and digest are dealt to ranges by so many salts.
