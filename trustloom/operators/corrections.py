@@ -108,3 +108,20 @@ def apply_corrections(cells: DataFrame, approved: DataFrame) -> tuple[DataFrame,
     out = out.withColumn("date_value", F.when(F.col("_kind") == "normalize_date", F.try_to_date("value"))).drop("norm", "new", "_kind")
     hits = keyed.groupBy("dataset", "column_name", "norm").agg(F.count("*").alias("affected_rows"))
     return out, fix.join(hits, ["dataset", "column_name", "norm"], "left").drop("norm", "_kind").fillna({"affected_rows": 0})
+
+
+def corrected_table(df: DataFrame, dataset: str, approved: DataFrame) -> DataFrame:
+    """A whole table with its corrections, all other columns as they are. Only columns that have a correction are joined; their values keep text type.
+
+    A value matches by its trimmed lower-case form, as in apply_corrections, and so does what wins where several match.
+    """
+    fixed = [r.column_name for r in approved.filter((F.col("dataset") == dataset) & F.col("corrected").isNotNull()).select("column_name").distinct().collect()]  # names of columns
+    out = df
+    for c in (c for c in df.columns if c in fixed):
+        fix = approved.filter((F.col("dataset") == dataset) & (F.col("column_name") == c) & F.col("corrected").isNotNull())
+        code = F.when(F.col("correction_type") == "normalize_currency", F.upper("corrected")).otherwise(F.col("corrected"))
+        w = Window.partitionBy("_norm").orderBy(F.desc("confidence"), "original")
+        best = fix.select(text.normalised(F.col("original")).alias("_norm"), code.alias("_new"), "confidence", "original").withColumn("_at", F.row_number().over(w)).filter("_at = 1").select("_norm", "_new")
+        own = out.withColumn("_norm", text.normalised(F.col(f"`{c}`").cast("string")))
+        out = own.join(best, "_norm", "left").withColumn(c, F.coalesce("_new", F.col(f"`{c}`").cast("string"))).select(*df.columns)
+    return out

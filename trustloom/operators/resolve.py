@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..sources import scratch
+from ..sources import tables as S
 from . import vectors
 
 
@@ -74,3 +75,13 @@ def vector_source_stats(attached: DataFrame) -> DataFrame:
     out = attached.agg(F.count("*").alias("total"), F.count_if(weak).alias("weak"))
     share = F.when(F.col("total") > 0, F.col("weak") / F.col("total")).otherwise(0.0)
     return out.withColumn("weak_share", share).withColumn("warning", F.when(F.col("weak") == F.col("total"), "all vectors are hashes").when(F.col("weak") > 0, "some vectors are hashes"))
+
+
+def embed_entities(existing: DataFrame | None, values: DataFrame, given: DataFrame | None = None, dim: int = 1536) -> DataFrame:
+    """dataset, column_name, value, vector, embedding_source: a vector for every value, over those there were.
+
+    values: dataset, column_name, value. A value that stands in several columns is embedded once. given: value, vector.
+    """
+    made = vectors.attach_vectors(values.select("value").distinct(), given, "value", dim=dim)
+    fresh = values.select("dataset", "column_name", "value").distinct().join(made, "value").select("dataset", "column_name", "value", "vector", "embedding_source")
+    return fresh if existing is None else S.upsert(existing, fresh, ["dataset", "column_name", "value"])

@@ -45,10 +45,14 @@ def row_context(df: DataFrame, roles: dict[str, str], row: Column, source_type:
 
 
 def dedupe_context(contexts: DataFrame, limit: int | None = 150) -> DataFrame:
-    """One context per (anchor column, lower-case value): the first row's text, and how many rows there are. limit: contexts kept, by first row."""
-    out = contexts.groupBy("anchor_column", F.lower("anchor_value").alias("anchor_key")).agg(F.min(F.struct("row_no", "anchor_value", "context_text")).alias("f"), F.count("*").alias("occurrences"))
-    out = out.select("anchor_column", "anchor_key", F.col("f.anchor_value").alias("anchor_value"), F.col("f.context_text").alias("context_text"), "occurrences", F.col("f.row_no").alias("first_row"))
-    return out if limit is None else out.orderBy("first_row").limit(limit)
+    """One context per (dataset, if there is such a column, anchor column, lower-case value): the first row's text, and how many rows there are. limit: contexts kept of each dataset, by first row."""
+    by = ["dataset"] if "dataset" in contexts.columns else []
+    out = contexts.groupBy(*by, "anchor_column", F.lower("anchor_value").alias("anchor_key")).agg(F.min(F.struct("row_no", "anchor_value", "context_text")).alias("f"), F.count("*").alias("occurrences"))
+    out = out.select(*by, "anchor_column", "anchor_key", F.col("f.anchor_value").alias("anchor_value"), F.col("f.context_text").alias("context_text"), "occurrences", F.col("f.row_no").alias("first_row"))
+    if limit is None or not by:
+        return out if limit is None else out.orderBy("first_row", "anchor_column", "anchor_key").limit(limit)
+    first = Window.partitionBy(*by).orderBy("first_row", "anchor_column", "anchor_key")
+    return out.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= limit).drop("_at")
 
 
 def resolve_anchor(contexts: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -127,12 +131,36 @@ def list_mappings(mappings: DataFrame, status: str | None = None) -> DataFrame:
     return some.orderBy(F.desc("confidence"), "id")
 
 
+def mapping_list(mappings: DataFrame, datasets: DataFrame, columns: DataFrame, taxonomy: DataFrame, **filters) -> DataFrame:
+    """Mappings with what they are about, the most confident first: file_name of their dataset, role of their column, and the category's layer and path (null where none was found).
+
+    mappings: dataset, column_name, value, category, status, confidence. datasets: dataset, file_name. columns: dataset, column_name, role. taxonomy: category, layer, path. filters: column = value.
+    """
+    out = mappings.drop("path").join(datasets.select("dataset", "file_name"), "dataset").join(columns.select("dataset", "column_name", "role"), ["dataset", "column_name"]).join(taxonomy.select("category", "layer", "path"), "category", "left")
+    for c, v in filters.items():
+        out = out.filter(F.col(c) == v)
+    return out.orderBy(F.desc("confidence"), "file_name", "value")
+
+
+def approved_mappings(mappings: DataFrame, taxonomy: DataFrame, datasets: DataFrame, aliases: DataFrame) -> DataFrame:
+    """entity, category, layer, path, file_name, value, confidence of approved and overridden mappings, for every entity that the value is an alias of.
+
+    aliases: dataset, column_name, value, entity; they meet by dataset, column and the value in lower case.
+    """
+    good = mappings.drop("path").filter(F.col("status").isin("approved", "overridden")).withColumn("_key", F.lower("value"))
+    known = aliases.select("dataset", "column_name", F.lower("value").alias("_key"), "entity").distinct()
+    out = good.join(taxonomy.select("category", "layer", "path"), "category").join(datasets.select("dataset", "file_name"), "dataset").join(known, ["dataset", "column_name", "_key"])
+    return out.select("entity", "category", "layer", "path", "file_name", "value", "confidence")
+
+
 def review_mappings(mappings: DataFrame, events: DataFrame) -> DataFrame:
-    """Mappings after review. events: id, action, seq, category (for an override, which is certain)."""
+    """Mappings after review. events: id, action, seq, category (for an override, which is certain); with reviewer and at, the last event's are kept as reviewed_by and reviewed_at."""
     log = events.join(mappings.select("id", F.col("status").alias("start")), "id")
     state = review_state(mappings, events, "id", {k: (tuple({*v[0], "pending"}), v[1]) for k, v in TRANSITIONS.items()})
     last = log.filter("action = 'override'").groupBy("id").agg(F.max_by("category", "seq").alias("new"))
     out = mappings.join(state.withColumnRenamed("status", "folded"), "id", "left").join(last, "id", "left")
+    if "reviewer" in events.columns:
+        out = out.join(events.groupBy("id").agg(F.max_by("reviewer", "seq").alias("reviewed_by"), F.max_by("at", "seq").alias("reviewed_at")), "id", "left")
     over = F.col("folded") == "overridden"
     return out.withColumns({"status": F.when(F.col("folded") == "pending", F.col("status")).otherwise(F.coalesce("folded", "status")), "category": F.when(over, F.coalesce("new", "category")).otherwise(F.col("category")), "confidence": F.when(over, 1.0).otherwise(F.col("confidence")), "method": F.when(over, "manual_override").otherwise(F.col("method"))}).drop("folded", "new")
 

@@ -171,6 +171,32 @@ def vector_source_stats(spark, sf_dir):
     return R.vector_source_stats(V.attach_vectors(B.table(spark, sf_dir, "documents").select("doc_id"), given, "doc_id"))
 
 
+_all_values = "(select distinct dataset, column_name, role, value from " + _values + ")"
+
+
+@query(f"""with h as {_hash.format(col="value", table=_all_values)}, t as (select key, count(*) as filled, round(sum(w), 6) as total from h group by 1),
+old as (select dataset, column_name, value from {_all_values} where length(value) % 2 = 0 union all select 'part', 'name', 'a value that went')
+select coalesce(v.dataset, o.dataset) as dataset, coalesce(v.column_name, o.column_name) as column_name, coalesce(v.value, o.value) as value, case when v.value is null then 'given' else 'hash' end as embedding_source, case when v.value is null then 1.0 else t.total end as total
+from {_all_values} v full join old o on o.dataset = v.dataset and o.column_name = v.column_name and o.value = v.value left join t on t.key = v.value""")
+def embedded_values(spark, sf_dir):
+    """V4: a vector for every value of every column with a role, written over the vectors that there were; one of a value that went stays."""
+    values = V.distinct_values(_cells_of_roles(spark, sf_dir), None).select("dataset", "column_name", "value")
+    old = values.filter(F.length("value") % 2 == 0).union(spark.createDataFrame([("part", "name", "a value that went")], "dataset string, column_name string, value string"))
+    old = old.withColumns({"vector": F.array(F.lit(1.0)), "embedding_source": F.lit("given")})
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6)
+    return R.embed_entities(old, values).select("dataset", "column_name", "value", "embedding_source", total.alias("total"))
+
+
+@query(f"select v.dataset, v.column_name, v.value, v.role, coalesce(lower(c.component), lower(v.value)) as component from {_all_values} v left join {_comp} c on v.role = 'service' and lower(trim(c.node)) = lower(v.value)")
+def value_to_entity(spark, sf_dir):
+    """Every raw value's entity: part names by their clusters, other values by their normal form."""
+    _, comp = _resolved(spark, sf_dir)
+    rows = R.entity_rows(V.distinct_values(_cells_of_roles(spark, sf_dir), None), B.role_table(spark))
+    names = comp.select(F.lit("service").alias("role"), text.normalised(F.col("node")).alias("norm"), text.normalised(F.col("component")).alias("component")).distinct()
+    others = rows.filter("role <> 'service'").select("role", text.normalised(F.col("value")).alias("norm")).distinct().withColumn("component", F.col("norm"))
+    return R.aliases(rows, names.unionByName(others))
+
+
 # --- keys -----------------------------------------------------------------------------------------------------
 
 _norm = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"

@@ -232,6 +232,49 @@ def mapping_report(spark, sf_dir):
     return M.mapping_report(_decide(spark, sf_dir)).withColumn("n", F.round("n", 6))
 
 
+_two = f"(select 'part' as dataset, * from {_ctx} union all select 'customer', c_custkey, 'c_mktsegment', trim(c_mktsegment), 'Dataset type: Accounts. c_mktsegment: ' || trim(c_mktsegment) from customer)"
+
+
+@query(f"select dataset, anchor_key, arg_min(context_text, row_no) as context_text, count(*) as occurrences from (select *, lower(anchor_value) as anchor_key from {_two}) group by 1, 2")
+def dedupe_by_dataset(spark, sf_dir):
+    """M4: contexts of two tables, each table's for itself."""
+    own = M.row_context(B.table(spark, sf_dir, "customer"), {"c_mktsegment": "cost_center"}, F.col("c_custkey"), "Accounts")
+    both = _contexts(spark, sf_dir).withColumn("dataset", F.lit("part")).unionByName(own.withColumn("dataset", F.lit("customer")))
+    return M.dedupe_context(both, None).select("dataset", "anchor_key", "context_text", "occurrences")
+
+
+def _placed(mappings):
+    return mappings.withColumns({"dataset": F.lit("part"), "column_name": F.lit("name"), "value": F.col("id")})
+
+
+def _catalogue(spark, sf_dir):
+    files = B.row_counts(spark, sf_dir).select("dataset", F.concat("dataset", F.lit(".parquet")).alias("file_name"))
+    return files, _columns(spark, sf_dir).select("dataset", "column_name", "role")
+
+
+@query(f"select d.id as value, 'part.parquet' as file_name, 'service' as role, d.status, d.confidence, t.layer, t.path from {_decided} d left join {_tax} t on t.category = d.category")
+def mapping_list(spark, sf_dir):
+    """Mappings with their file, column and category; those without a category stay."""
+    files, columns = _catalogue(spark, sf_dir)
+    return M.mapping_list(_placed(_decide(spark, sf_dir)), files, columns, _taxonomy(spark, sf_dir)).select("value", "file_name", "role", "status", "confidence", "layer", "path")
+
+
+@query(f"select a.entity, r.category, t.layer, t.path, 'part.parquet' as file_name, r.id as value, cast(r.confidence as double) as confidence from {_reviewed} r join {_tax} t on t.category = r.category join (select distinct lower(trim(p_name)) as id, 'service:' || trim(p_type) as entity from part) a on a.id = r.id where r.status in ('approved', 'overridden')")
+def approved_mappings(spark, sf_dir):
+    """What review approved, with category, file and every entity whose alias the value is."""
+    files, _ = _catalogue(spark, sf_dir)
+    aliases = B.table(spark, sf_dir, "part").select(F.lit("part").alias("dataset"), F.lit("name").alias("column_name"), F.trim("p_name").alias("value"), F.concat(F.lit("service:"), F.trim("p_type")).alias("entity"))
+    return M.approved_mappings(_placed(_review(spark, sf_dir)), _taxonomy(spark, sf_dir), files, aliases)
+
+
+@query(f"select d.id, case e.action when 'approve' then 'approved' when 'reject' then 'rejected' else 'overridden' end as status, 'reviewer ' || e.k as reviewed_by, e.k as reviewed_at from {_decided} d join (select lower(trim(p_name)) as id, case min(p_size) % 3 when 0 then 'approve' when 1 then 'reject' else 'override' end as action, max(p_partkey) as k from part group by 1) e on e.id = d.id")
+def review_trail(spark, sf_dir):
+    """Who reviewed a mapping last, and when."""
+    e = B.table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_name")).alias("id")).agg(F.expr("case min(p_size) % 3 when 0 then 'approve' when 1 then 'reject' else 'override' end").alias("action"), F.lit("x").alias("category"), F.max("p_partkey").alias("at"))
+    e = e.withColumns({"seq": F.lit(2).cast("long"), "reviewer": F.concat(F.lit("reviewer "), F.col("at"))})
+    return M.review_mappings(_decide(spark, sf_dir), e).select("id", "status", "reviewed_by", "reviewed_at")
+
+
 # --- the output model ------------------------------------------------------------------------------------------
 # Nodes and edges of the sales graph; a class for every application, in two layers, from the parts that carry it.
 
@@ -369,3 +412,16 @@ def new_services(spark, sf_dir):
     """Extension: when each part was first shipped, what it cost then, and whether that is lately."""
     out = A.new_services(B.table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "service"), "service", "l_shipdate", "l_extendedprice")
     return out.withColumns({"first_cost": F.round("first_cost", 4), "early_cost": F.round("early_cost", 4)})
+
+
+_whole = quality._fixed
+_best = f"(select lower(trim(original)) as norm, arg_max(corrected, (confidence, -rk)) as corrected from (select *, row_number() over (order by original) as rk from {quality._proposed}) where dataset = 'billing' and column_name = 'currency' group by 1)"
+
+
+@query(f"select c_custkey as account, coalesce(f.corrected, b.currency) as currency, b.amount from (select c_custkey, {quality.DIRTY['billing'][1]['currency']} as currency, {quality.DIRTY['billing'][1]['amount']} as amount from customer) b left join {_best} f on f.norm = lower(trim(b.currency))")
+def corrected_table(spark, sf_dir):
+    """A whole table with its corrections, written beside the source and read back with all columns."""
+    from ..operators import corrections as K
+
+    fixed = K.corrected_table(quality.dirty(spark, sf_dir)["billing"], "billing", quality._proposed_corrections(spark, sf_dir))
+    return spark.read.parquet(S.write_corrected_copy(fixed, scratch.path(spark, "billing"), "1"))

@@ -372,3 +372,10 @@ def report_board(spark, sf_dir):
     order = F.struct("dataset", "issue_type", F.coalesce("column_name", F.lit("")))
     corrections = _proposed_corrections(spark, sf_dir).withColumn("status", F.lit("pending")).withColumn("seq", F.struct("dataset", "column_name", "original"))
     return Q.report_board(_stated_issues(spark, sf_dir, issues).withColumn("seq", order), scores, corrections)
+
+
+@query(f"select value, strftime(case when was is distinct from value or regexp_matches(value, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') then try_cast(value as date) end, '%Y-%m-%d') as date_value, count(*) as n from {_fixed} where column_name = 'due_date' group by 1, 2")
+def applied_dates(spark, sf_dir):
+    """Q19: what date corrections leave in their cells, as text and as dates."""
+    out, _ = K.apply_corrections(_column(spark, sf_dir, "schedule", "due_date"), _proposed_corrections(spark, sf_dir))
+    return out.groupBy("value", F.date_format("date_value", "yyyy-MM-dd").alias("date_value")).agg(F.count("*").alias("n"))

@@ -294,3 +294,17 @@ def columns_update(spark, sf_dir):
     known = _roles(spark, sf_dir).select("dataset", "column_name", "role", "is_technical")
     updates = known.filter("role = 'identifier'").select("dataset", "column_name", F.lit("other").alias("role"), F.lit(True).alias("is_technical"))
     return C.update_columns(known, updates)
+
+
+_codes = "(select 'S-' || s_suppkey as code, s_name as name from supplier)"
+_five = lambda c: f"(select {c} as v from {_codes} where trim({c}) <> '' group by 1 order by 1 limit 5)"
+_coded = lambda c: f"(select count(*) filter (length(trim(v)) <= 10 and regexp_matches(trim(v), '^[A-Za-z]{{0,6}}[-_ ]?\\d+[A-Za-z0-9-]*$')) >= 0.6 * count(*) from {_five(c)})"
+
+
+@query(f"select 'deals' as dataset, 'Supplier Name' as column_name, case when {_coded('code')} and not {_coded('name')} then 'Supplier' end as id_column")
+def paired_codes(spark, sf_dir):
+    """Two columns that both look like names; the one whose values are shaped like codes becomes the other's property."""
+    deals = B.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S-"), F.col("s_suppkey")).alias("Supplier"), F.col("s_name").alias("Supplier Name"))
+    columns = P.profile_tables({"deals": deals}, rename=str).withColumn("role", F.lit("vendor"))
+    rest, pairs = C.pair_id_columns(columns)
+    return rest.select("dataset", "column_name").join(pairs.select("dataset", F.col("name_column").alias("column_name"), "id_column"), ["dataset", "column_name"], "left")

@@ -43,6 +43,7 @@ def run_all(spark: SparkSession, works: dict[str, Callable[[], DataFrame]], at_o
 
         watcher = threading.Thread(target=inherit(watch), daemon=True)
         sc.addJobTag(tag)
+        sc.setInterruptOnCancel(True)
         try:
             if deadline is not None:
                 watcher.start()
@@ -58,6 +59,7 @@ def run_all(spark: SparkSession, works: dict[str, Callable[[], DataFrame]], at_o
         finally:
             over.set()
             sc.removeJobTag(tag)
+            sc.setInterruptOnCancel(False)
 
     with ThreadPoolExecutor(at_once) as pool:
         log = list(pool.map(inherit(lambda nw: run(*nw)), works.items()))
