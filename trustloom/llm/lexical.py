@@ -4,8 +4,8 @@
 2. A document's vector holds for each of its terms what the term adds per unit of weight. Vectors are dealt by their heaviest term (salted, so that a term of any
    frequency spreads) and sorted by it, so that neighbours share heavy terms. A tree stands over the vectors of a batch, another over the items; a node holds the
    largest value of each coordinate below it.
-3. The product of two nodes' maxima bounds every score between them. From the two roots down, a pair is left out with all below it if its bound is under the
-   weakest k-th score of the node's items; where leaves meet, scores are computed exactly. Tasks begin with the k-th scores of one part in SEED of the
+3. The product of two nodes' maxima bounds every score between them. From the two roots down, level by level, a pair is left out with all below it if its bound is under the
+   weakest k-th score of the node's items; where an item and a leaf of documents meet, scores are computed exactly. Tasks begin with the k-th scores of one part in SEED of the
    documents, found in the same way: these can only be too low, so nothing is lost.
 4. Each task's best go to one window per item.
 
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from . import memory, scratch
 
-#: Items of one pass, about; documents of a batch and of a leaf; items of a leaf.
-ITEMS, BATCH, LEAF, ITEM_LEAF = 1024, 4096, 64, 8
+#: Items of one pass, about; documents of a batch and of a leaf. A leaf of the items' tree is one item.
+ITEMS, BATCH, LEAF = 512, 1024, 4
+#: Bounds are computed in single precision and raised by more than its rounding of a few thousand products.
+RAISED = np.float32(1.001)
 SEED, SALT = 16, 64
 _NONE = -(1 << 63)
 #: Digits, letters and all bytes beyond ASCII stay, A-Z become small, all else parts terms.
@@ -97,42 +99,32 @@ def vectors(found: DataFrame, weights: np.ndarray, docs: int, length: int) -> Da
 
 
 class ItemTree:
-    """Items in leaves of a few that share heavy terms. Each node has its terms, their largest weights, its items and its children."""
+    """Levels of nodes over the items, leaves first; a node covers two of the level below, and holds the largest weight of each term. Items that share heavy terms are neighbours."""
 
     def __init__(self, items: list[np.ndarray], weights: np.ndarray):
         by_weight = [sorted(t.tolist(), key=lambda x: (-weights[x], x)) for t in items]
-        order = sorted(range(len(items)), key=lambda i: by_weight[i])
-        level = []
-        self.nodes: list[tuple] = []
-        for i in range(0, len(order), ITEM_LEAF):
-            members = order[i : i + ITEM_LEAF]
-            own = np.unique(np.concatenate([items[m] for m in members]))
-            table = np.zeros((len(own), len(members)))
-            for j, m in enumerate(members):
-                at = np.searchsorted(own, items[m])
-                table[at, j] = weights[items[m]]
-            index = np.full(len(weights), -1, np.int32)
-            index[own] = np.arange(len(own))
-            level.append(self._add(own, table.max(axis=1), np.array(members), (), table, index))
-        while len(level) > 1:
-            up = []
-            for i in range(0, len(level), 2):
-                pair = level[i : i + 2]
-                if len(pair) == 1:
-                    up.append(pair[0])
-                    continue
-                own = np.unique(np.concatenate([self.nodes[p][0] for p in pair]))
-                most = np.zeros(len(own))
-                for p in pair:
-                    at = np.searchsorted(own, self.nodes[p][0])
-                    most[at] = np.maximum(most[at], self.nodes[p][1])
-                up.append(self._add(own, most, np.concatenate([self.nodes[p][2] for p in pair]), tuple(pair), None, None))
-            level = up
-        self.root = level[0]
-
-    def _add(self, *node) -> int:
-        self.nodes.append(node)
-        return len(self.nodes) - 1
+        self.order = np.array(sorted(range(len(items)), key=lambda i: by_weight[i]))
+        self.terms = [items[i] for i in self.order]
+        self.weights = [weights[t].astype(float) for t in self.terms]
+        leaves = np.zeros((len(items), len(weights)), np.float32)
+        for row, own in enumerate(self.terms):
+            leaves[row, own] = weights[own]
+        self.levels = halved(leaves)
+
+    def least(self, of_items: np.ndarray) -> list[np.ndarray]:
+        """For each level the weakest score that a node's items ask for."""
+        out = [np.maximum(of_items[self.order], 1.0)]
+        while len(out[-1]) > 1:
+            out.append(np.minimum.reduceat(out[-1], np.arange(0, len(out[-1]), 2)))
+        return out
+
+
+def halved(rows: np.ndarray) -> list[np.ndarray]:
+    """rows, and above them the maxima of two and two, up to one."""
+    out = [rows]
+    while len(out[-1]) > 1:
+        out.append(np.maximum.reduceat(out[-1], np.arange(0, len(out[-1]), 2), axis=0))
+    return out
 
 
 class Best:
@@ -160,41 +152,35 @@ class Best:
 
 
 def dual(tree: ItemTree, best: Best, ids: np.ndarray, own: np.ndarray, values: np.ndarray, ends: np.ndarray, width: int) -> tuple[int, int]:
-    """Walk both trees over one batch of documents; (leaf pairs scored, leaf pairs there are)."""
+    """Walk both trees over one batch of documents, level by level; (pairs of an item and a leaf that are scored, pairs there are)."""
     leaves = -(-len(ids) // LEAF)
-    doc = np.repeat(np.arange(len(ids)), np.diff(ends))
-    tops = [np.zeros((leaves, width))]
-    np.maximum.at(tops[0], (doc // LEAF, own), values.astype(float))
-    while len(tops[-1]) > 1:
-        below = tops[-1]
-        if len(below) % 2:
-            below = np.vstack([below, np.zeros((1, width))])
-        tops.append(np.maximum(below[::2], below[1::2]))
-    scored, todo = 0, [(tree.root, len(tops) - 1, 0)]
-    while todo:
-        node, level, at = todo.pop()
-        terms_, most, members, children, table, index = tree.nodes[node]
-        if most @ tops[level][at, terms_] < best.least[members].min():
-            continue
-        if level and (not children or len(members) <= (LEAF << level)):  # the larger side is opened first; the more promising half is walked first
-            halves = [h for h in (2 * at, 2 * at + 1) if h < len(tops[level - 1])]
-            todo += [(node, level - 1, h) for h in sorted(halves, key=lambda h: most @ tops[level - 1][h, terms_])]
-        elif children:
-            todo += [(c, level, at) for c in children]
+    dense = np.zeros((leaves * LEAF, width), np.float32)  # values are at most a million: exact
+    dense[np.repeat(np.arange(len(ids)), np.diff(ends)), own] = values
+    tops, least = halved(dense.reshape(leaves, LEAF, width).max(axis=1)), tree.least(best.least)
+    a, b, alive = len(tree.levels) - 1, len(tops) - 1, np.ones((1, 1), bool)
+    while True:
+        rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(rows):
+            return 0, leaves * len(tree.order)
+        bound = (tree.levels[a][rows] @ tops[b][cols].T) * RAISED
+        alive[np.ix_(rows, cols)] &= bound >= least[a][rows][:, None]
+        if a == b == 0:
+            break
+        if b and (not a or LEAF << b >= 1 << a):  # the larger side is opened
+            b -= 1
+            alive = np.repeat(alive, 2, axis=1)[:, : len(tops[b])]
         else:
-            scored += 1
-            low, high = at * LEAF, min(len(ids), (at + 1) * LEAF)
-            a, b = ends[low], ends[high]
-            place = index[own[a:b]]
-            hit = np.flatnonzero(place >= 0)
-            dense = np.zeros((high - low, len(terms_)))
-            dense[doc[a:b][hit] - low, place[hit]] = values[a:b][hit]
-            scores = dense @ table  # whole numbers far below 2**53: exact
-            reached = (scores >= best.least[members]) & (scores > 0)
-            for j in np.flatnonzero(reached.any(axis=0)).tolist():
-                rows = np.flatnonzero(reached[:, j])
-                best.add(int(members[j]), scores[rows, j].astype(np.int64), ids[low + rows])
-    return scored, leaves * sum(1 for n in tree.nodes if not n[3])
+            a -= 1
+            alive = np.repeat(alive, 2, axis=0)[: len(tree.levels[a])]
+    for row in np.flatnonzero(alive.any(axis=1)).tolist():
+        docs = (np.flatnonzero(alive[row])[:, None] * LEAF + np.arange(LEAF)).ravel()
+        docs = docs[docs < len(ids)]
+        scores = dense[np.ix_(docs, tree.terms[row])].astype(float) @ tree.weights[row]  # whole numbers far below 2**53: exact
+        item = int(tree.order[row])
+        hit = (scores >= best.least[item]) & (scores > 0)
+        if hit.any():
+            best.add(item, scores[hit].astype(np.int64), ids[docs[hit]])
+    return int(alive.sum()), leaves * len(tree.order)
 
 
 def best_of(dealt: DataFrame, tree: ItemTree, n_items: int, width: int, k: int, floor: np.ndarray, walked=None) -> DataFrame:
