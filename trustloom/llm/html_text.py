@@ -29,6 +29,8 @@ from .url_filter import host_of
 
 #: A winning path has this share of its host's votes at least.
 SHARE = 0.02
+#: A container inside another is the core of it with this share of its gain.
+MOST = 0.75
 #: Winners of so many bytes are broadcast; more are joined with pages by host and salt.
 BROADCAST_BYTES, SALT = 8 << 20, 32
 
@@ -253,7 +255,20 @@ class Page:
                 best, most = i, self.gain[i]
         while best and self.tag[best] in PARTS:
             best = self.parent[best]
-        return best
+        return self._core(best)
+
+    def _core(self, top: int) -> int:
+        """Of nested containers that hold most of what a container gains, and its title if it has one, the innermost: what stands beside it is no article. What is marked up as one stays whole."""
+        titles = [0] * len(self.tag)
+        for at, _, _, heading in self.blocks:
+            titles[at] += heading == 1 and not self.gone[at]
+        for i in range(len(self.tag) - 1, 0, -1):
+            titles[self.parent[i]] += titles[i]
+        for i in range(top + 1, len(self.tag)):  # in the order of the page a container comes before what it holds
+            marked = self.tag[top] in ("article", "main") or self.label[top].endswith(".@")
+            if not marked and self.parent[i] == top and not self.gone[i] and self.tag[i] not in PARTS and self.gain[i] >= MOST * self.gain[top] > 0 and titles[i] == titles[top]:
+                top = i
+        return top
 
     def path(self, i: int) -> str:
         names = []
