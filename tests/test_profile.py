@@ -41,6 +41,12 @@ def test_values_as_text(spark):
     assert got == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_numbers_that_are_none(spark):
+    df = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (1e300,), (None,)], "x double")
+    got, want = P.profile_tables({"t": df}).first(), P.profile_columns(S.cells(df, "t")).first()
+    assert got.asDict() == want.asDict() and got.distinct_count == 5
+
+
 def keys(spark):
     part = lambda lo, hi, name: spark.range(lo, hi).select(F.col("id").alias("key"), F.concat(F.lit(name), F.col("id")).alias("name"))
     big = spark.range(60_000).select((F.col("id") % 5000).alias("key"), F.lit("same").alias("note"))

@@ -76,7 +76,7 @@ def measure(tables: dict[str, DataFrame], rename=S.strip_prefix) -> list[Fact]:
     out = []
     for col, (name, i, f) in enumerate(found):
         r, kind = seen[name, i], kind_of(f.dataType)
-        if kind == "double" and (r.most is not None and not max(abs(r.least), abs(r.most)) < LARGEST):  # also where the largest is not a number
+        if kind == "double" and r.most is not None and not (abs(r.least) < LARGEST and abs(r.most) < LARGEST):  # also where one is not a number
             kind = "text"
         dense = kind == "int" and r.sketched >= MANY and ((r.high - r.low) // 32768 + 1) * DENSE <= r.sketched
         out.append(Fact(col, name, rename(f.name), i, f.dataType.simpleString(), kind, r.rows, r.sketched, r.low, r.high, "bitmap" if dense else "values"))

@@ -19,7 +19,8 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options
 def as_text(c: Column, kind: T.DataType) -> Column:
     """One text form for each type: doubles with six places, timestamps with microseconds, numbers and texts as they are."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.cast("decimal(38,6)").cast("string")
+        fits = ~F.isnan(c) & (F.abs(c) < 1e31)  # what no decimal holds is written as it is
+        return F.when(c.isNull() | fits, c.cast("decimal(38,6)").cast("string")).otherwise(c.cast("string"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return c.cast("string")
