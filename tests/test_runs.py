@@ -18,13 +18,13 @@ from trustloom.sources import tables as S
 def test_a_run_that_fails_or_hangs_ends_alone(spark):
     @F.udf("long")
     def slow(x):
-        time.sleep(60)
+        time.sleep(120)
         return x
 
     works = {"good": lambda: spark.range(7), "bad": lambda: spark.range(3).select("no_such_column"), "breaks": lambda: spark.range(1).select(F.raise_error(F.lit("broken cell")).alias("x")), "hangs": lambda: spark.range(1).select(slow("id").alias("x"))}
     began = time.time()
     done, log = runs.run_all(spark, works, deadline=15)
-    assert time.time() - began < 50
+    assert time.time() - began < 100
     got = {r.name: r for r in log.collect()}
     assert {n: r.status for n, r in got.items()} == {"good": "ok", "bad": "failed", "breaks": "failed", "hangs": "cancelled"}
     assert got["good"].row_count == 7 and got["good"].error is None and done.keys() == {"good"} and done["good"].count() == 7
