@@ -287,34 +287,44 @@ _sources = f"(select id, string_agg(file_name, '; ' order by file_name) as sourc
 _objects = f"""(select n.id, n.name, n.entity_type, w.cost_pool, w.resource_tower, w.mapping_confidence, s.sources from {_nodes} n left join (select id, max(case when layer = 'cost_pool' then level_1 end) as cost_pool, max(case when layer = 'resource_tower' then coalesce(level_2, level_1) end) as resource_tower, round(avg(confidence), 3) as mapping_confidence from {_best} group by 1) w on w.id = n.id left join {_sources} s on s.id = n.id)"""
 
 
-def _model(spark, sf_dir):
-    nodes, edges = graphs._graph(spark, sf_dir)
-    nodes = nodes.withColumn("alias_count", F.lit(1).cast("long"))
-    vendor = (F.substring_index("from_id", ":", 1) == "vendor") | (F.substring_index("to_id", ":", 1) == "vendor")
-    edges = edges.withColumn("label", F.when(F.col("edge_type") != "co_occurs_with", F.col("edge_type"))).withColumn("dataset", F.when(vendor, "supplier").otherwise("part"))
+def _model_classes(spark, sf_dir):
+    """Classes of the applications, from the parts alone."""
     part = B.table(spark, sf_dir, "part")
     own = F.concat(F.lit("application:"), text.normalised(F.col("p_brand"))).alias("id")
     kind, size = F.trim("p_type"), F.concat(F.lit("size "), F.col("p_size"))
     tower = part.select(own, F.lit("resource_tower").alias("layer"), kind.alias("level_1"), size.alias("level_2"), F.concat_ws(" > ", kind, size).alias("path"), F.round(F.col("p_size") / 50, 2).alias("confidence"))
     pool = part.select(own, F.lit("cost_pool").alias("layer"), kind.alias("level_1"), F.lit(None).cast("string").alias("level_2"), kind.alias("path"), F.round(F.col("p_size") / 100, 2).alias("confidence"))
+    return tower.unionByName(pool).distinct()
+
+
+def _model_datasets(spark, sf_dir):
+    """(tables that give evidence, the same with their readiness): from the files' footers."""
     datasets = B.row_counts(spark, sf_dir, ("part", "supplier", "orders")).withColumn("file_name", F.concat("dataset", F.lit(".parquet")))
-    classes = tower.unionByName(pool).distinct()
-    objs = scratch.stored(A.objects(nodes, classes, A.entity_sources(edges, datasets)), "objects")
     scores = datasets.select("dataset", F.when(F.col("dataset") == "part", 0.9).otherwise(0.6).alias("overall"), F.lit(1).alias("issue_count"), F.lit(0).alias("critical_issue_count")).filter("dataset <> 'orders'")
-    return objs, A.relationships(edges, nodes, datasets), A.source_datasets(datasets, scores), edges, datasets, classes
+    return datasets, A.source_datasets(datasets, scores)
+
+
+def _model(spark, sf_dir):
+    nodes, edges = graphs._graph(spark, sf_dir)
+    nodes = nodes.withColumn("alias_count", F.lit(1).cast("long"))
+    vendor = (F.substring_index("from_id", ":", 1) == "vendor") | (F.substring_index("to_id", ":", 1) == "vendor")
+    edges = edges.withColumn("label", F.when(F.col("edge_type") != "co_occurs_with", F.col("edge_type"))).withColumn("dataset", F.when(vendor, "supplier").otherwise("part"))
+    datasets, sources = _model_datasets(spark, sf_dir)
+    objs = scratch.stored(A.objects(nodes, _model_classes(spark, sf_dir), A.entity_sources(edges, datasets)), "objects")
+    return objs, A.relationships(edges, nodes, datasets), sources, edges, datasets
 
 
 @query(f"select id, sources from {_sources}")
 def entity_sources(spark, sf_dir):
     """A1."""
-    _, _, _, edges, datasets, _ = _model(spark, sf_dir)
+    _, _, _, edges, datasets = _model(spark, sf_dir)
     return A.entity_sources(edges, datasets).withColumn("sources", F.array_join("sources", "; "))
 
 
 @query(f"select id, layer, path, confidence from {_best}")
 def best_classification(spark, sf_dir):
     """A2."""
-    return A.best_classification(_model(spark, sf_dir)[5]).select("id", "layer", "path", "confidence")
+    return A.best_classification(_model_classes(spark, sf_dir)).select("id", "layer", "path", "confidence")
 
 
 @query(f"select id, name, entity_type, cost_pool, resource_tower, mapping_confidence, sources from {_objects}")
@@ -332,7 +342,7 @@ def model_relationships(spark, sf_dir):
 @query("select dataset, dataset || '.parquet' as file_name, row_count, cast(case dataset when 'part' then 0.9 when 'supplier' then 0.6 end as double) as readiness_score, dataset = 'part' as is_ready from (" + B.sql_counts(("part", "supplier", "orders")) + ")")
 def source_datasets(spark, sf_dir):
     """A5."""
-    return _model(spark, sf_dir)[2].select("dataset", "file_name", "row_count", "readiness_score", "is_ready")
+    return _model_datasets(spark, sf_dir)[1].select("dataset", "file_name", "row_count", "readiness_score", "is_ready")
 
 
 @query(f"""select 'objects' as metric, 'all' as key, cast(count(*) as double) as value from {_objects} union all select 'classified', 'all', count(mapping_confidence) from {_objects} union all select 'coverage', 'all', round(cast(count(mapping_confidence) as double) / count(*), 3) from {_objects}
