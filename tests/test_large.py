@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from trustloom.functions import text
+from trustloom.operators import model as A
 from trustloom.operators import profile as P
 from trustloom.operators import quality as Q
 from trustloom.sources import tables as S
@@ -41,3 +42,18 @@ def test_outliers_of_whole_tables(spark):
     cells = S.all_cells(tables)
     got, want = Q.column_outliers(tables, P.column_types(tables)), Q.outliers(cells, P.profile_columns(cells))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 3
+
+
+def test_relationships_sort_nothing(spark):
+    """Many edges end at one node: a task that sorts or holds them grows with the input."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        edges = spark.range(500).selectExpr("concat('vendor:', id) from_id", "if(id = 3, 'group:x', 'application:a') to_id", "if(id = 4, 'maps_to_category', 'supplies') edge_type", "cast(null as string) label", "0.5d confidence", "if(id = 5, 'gone', 'part') dataset")
+        nodes = spark.range(499).selectExpr("concat('vendor:', id) id", "'v' name", "'vendor' entity_type").union(spark.sql("select 'application:a', 'a', null union all select 'group:x', 'x', 'attribute_group'"))
+        out = A.relationships(edges, nodes, spark.sql("select 'part' dataset, 'part.parquet' file_name"))
+        assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = {r.from_id: r for r in out.collect()}
+        assert len(rows) == 497 and not {"vendor:3", "vendor:4", "vendor:499"} & set(rows)
+        assert rows["vendor:5"].evidence is None and rows["vendor:6"].evidence == "part.parquet" and rows["vendor:6"].to_name == "a" and rows["vendor:6"].relationship == "supplies"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -34,13 +34,16 @@ def objects(nodes: DataFrame, classes: DataFrame, sources: DataFrame) -> DataFra
 
 
 def relationships(edges: DataFrame, nodes: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Edges between business entities or tables, with the names of their ends and of the evidence."""
+    """Edges between business entities or tables, with the names of their ends and of the evidence.
+
+    Nodes are hashed part by part and edges stream past them: many edges end at one node, and no task sorts or holds these.
+    """
     group = nodes.filter("entity_type = 'attribute_group'").select("id")
     some = edges.filter("edge_type <> 'maps_to_category'")
     for end in ("from_id", "to_id"):
-        some = some.join(group.withColumnRenamed("id", end), end, "left_anti")
-    name = lambda s: nodes.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type"))
-    out = some.join(name("from"), "from_id").join(name("to"), "to_id").join(datasets.select("dataset", F.col("file_name").alias("evidence")), "dataset", "left")
+        some = some.join(group.withColumnRenamed("id", end).hint("shuffle_hash"), end, "left_anti")
+    name = lambda s: nodes.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"), F.col("entity_type").alias(f"{s}_type")).hint("shuffle_hash")
+    out = some.join(name("from"), "from_id").join(name("to"), "to_id").join(F.broadcast(datasets.select("dataset", F.col("file_name").alias("evidence"))), "dataset", "left")
     return out.select("from_id", "from_name", "from_type", F.coalesce("label", "edge_type").alias("relationship"), "to_id", "to_name", "to_type", "confidence", "evidence")
 
 

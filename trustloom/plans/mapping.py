@@ -304,12 +304,17 @@ def _model_datasets(spark, sf_dir):
     return datasets, A.source_datasets(datasets, scores)
 
 
-def _model(spark, sf_dir):
+def _model_edges(spark, sf_dir):
+    """(nodes, edges with their label and table, tables that give evidence, the same with their readiness)."""
     nodes, edges = graphs._graph(spark, sf_dir)
-    nodes = nodes.withColumn("alias_count", F.lit(1).cast("long"))
+    nodes = scratch.stored(nodes.withColumn("alias_count", F.lit(1).cast("long")), "nodes")
     vendor = (F.substring_index("from_id", ":", 1) == "vendor") | (F.substring_index("to_id", ":", 1) == "vendor")
     edges = edges.withColumn("label", F.when(F.col("edge_type") != "co_occurs_with", F.col("edge_type"))).withColumn("dataset", F.when(vendor, "supplier").otherwise("part"))
-    datasets, sources = _model_datasets(spark, sf_dir)
+    return nodes, edges, *_model_datasets(spark, sf_dir)
+
+
+def _model(spark, sf_dir):
+    nodes, edges, datasets, sources = _model_edges(spark, sf_dir)
     objs = scratch.stored(A.objects(nodes, _model_classes(spark, sf_dir), A.entity_sources(edges, datasets)), "objects")
     return objs, A.relationships(edges, nodes, datasets), sources, edges, datasets
 
@@ -336,7 +341,8 @@ def model_objects(spark, sf_dir):
 @query(f"select from_id, to_id, coalesce(label, edge_type) as relationship, split_part(to_id, ':', 1) as to_type, confidence, dataset || '.parquet' as evidence from {_edges}")
 def model_relationships(spark, sf_dir):
     """A4."""
-    return _model(spark, sf_dir)[1].select("from_id", "to_id", "relationship", "to_type", "confidence", "evidence")
+    nodes, edges, datasets, _ = _model_edges(spark, sf_dir)
+    return A.relationships(edges, nodes, datasets).select("from_id", "to_id", "relationship", "to_type", "confidence", "evidence")
 
 
 @query("select dataset, dataset || '.parquet' as file_name, row_count, cast(case dataset when 'part' then 0.9 when 'supplier' then 0.6 end as double) as readiness_score, dataset = 'part' as is_ready from (" + B.sql_counts(("part", "supplier", "orders")) + ")")
