@@ -149,3 +149,24 @@ def test_words_of_a_block():
 def test_packed_numbers_come_back(dtype, n):
     x = np.random.default_rng(3).integers(0, 200, n).astype(dtype)
     assert np.array_equal(blocks.expand(blocks.squeeze(x), dtype), x)
+
+
+def test_short_keys_travel_short():
+    """A suffix key is as long as the corpus needs, one to one with its pair of polynomials, and its message holds nothing else."""
+    for bits, less in W.BELOW.items():
+        assert all(((1 << bits) - less) % d for d in [2, *range(3, 1 << 16, 2)] if d * d <= 1 << bits), bits
+    assert len(np.unique(W.spread(np.arange(1 << 17, dtype=np.uint64), 17))) == 1 << 17
+    data = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8)
+    for second in (17, 20, 25):
+        r = W.Rolling(second_bits=second)
+        keys, want = r.keys(r.of_bytes(data), 200), []
+        for at in (0, 7, len(keys) - 1):
+            pair = []
+            for letters, base, (bits, less) in zip(r.letters, r.bases, r.moduli, strict=True):
+                p = (1 << bits) - less
+                pair.append(sum(int(letters[c]) * pow(base, i, p) for i, c in enumerate(data[at : at + 200].tolist())) % p)
+            want.append(pair[0] << second | pair[1])
+        assert (W.spread(np.array(want, np.uint64), 31 + second) << np.uint64(r.spare)).tolist() == keys[[0, 7, -1]].tolist()
+    r = W.Rolling(second_bits=17)
+    sent = W.Windows(np.arange(len(data) - 199), r.keys(r.of_bytes(data), 200), [], 6, spare=r.spare).messages(0)
+    assert sum(map(len, sent["keys"])) < 4.5 * len(data)  # 6 bytes each with keys of two large primes

@@ -26,6 +26,8 @@ from . import blocks as B
 from . import scratch
 from . import windows as W
 
+#: Bits of a suffix key's second prime beyond those of the key range.
+SECOND = 11
 OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -84,7 +86,7 @@ def _suffixes(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, again: np.n
             a, b = int(part[0, 0]), int(part[-1, 1])
             keys.append(rolling.keys(rolling.of_bytes(data[a : b + min_bytes - 1]), min_bytes)[W.positions(part - a)])
     before = data[np.maximum(near - 1, 0)].astype(np.uint16) << np.uint16(8)
-    return W.Windows(near, np.concatenate(keys), [before | data[near + min_bytes - 1]], bits)
+    return W.Windows(near, np.concatenate(keys), [before | data[near + min_bytes - 1]], bits, spare=rolling.spare)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 200, q: int = 11, block_bytes: int = B.BLOCK_BYTES, prime_bits: int = 31) -> DataFrame:
@@ -96,7 +98,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     v, member, length = _cover(q, min_bytes)
     table = B.store(docs, id_col, text_col, block_bytes=block_bytes)
     bits = B.key_bits(table)
-    rolling = W.Rolling(prime_bits)
+    # the key grows with the corpus, so that unlike windows of one key stay in proportion to it
+    rolling = W.Rolling(prime_bits, second_bits=min(31, bits + SECOND))
 
     def sample(row):
         data, offsets = B.texts(row)

@@ -1,6 +1,6 @@
 """Which windows of a corpus occur more than once: keys find them, contents prove them.
 
-The key of a window is a pair of polynomials modulo a Mersenne prime. With a key travel what stands before the window and what
+The key of a window is a pair of polynomials modulo two primes. With a key travel what stands before the window and what
 ends it, since of these the key of the window one place to the left follows by arithmetic. So if all windows with one key agree in both,
 the windows to their left also have one key, and if those are equal in content then so are these. Only *bases* are
 left to prove: windows with no window to their left, or whose key comes with different neighbours. Every chain of
@@ -28,14 +28,37 @@ ANSWER = "block long, bucket int, n int, bits binary"
 STATE = "block long, kind int, runs binary, bases binary, key long, content binary"
 
 
+#: So much below 2**k lies the next prime, for k bits.
+BELOW = {17: 1, 18: 5, 19: 1, 20: 3, 21: 9, 22: 3, 23: 15, 24: 3, 25: 39, 26: 5, 27: 39, 28: 57, 29: 3, 30: 35, 31: 1}
+
+
+def spread(x: np.ndarray, width: int) -> np.ndarray:
+    """Spread numbers of `width` bits over all of these, one to one."""
+    mask, half = np.uint64((1 << width) - 1), np.uint64(width // 2)
+    for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        x = x ^ (x >> half)
+        x *= np.uint64(odd)
+        x &= mask
+    return x ^ (x >> half)
+
+
 class Rolling:
-    """Keys of all windows of a sequence of numbers. prime_bits: of 5, 7, 13, 17, 19, 31 (less than 31 only to provoke equal keys)."""
+    """Keys of all windows of a sequence of numbers. prime_bits: of 5, 7, 13, 17, 19, 31 (less than 31 only to provoke equal keys).
+
+    second_bits: 17 to 31, for a smaller second prime. Keys then are shorter, their lowest `spare` bits are zero; they still are one to one with the pair of polynomials.
+    """
 
-    def __init__(self, prime_bits: int = 31, seed: int = 17):
+    def __init__(self, prime_bits: int = 31, seed: int = 17, second_bits: int | None = None):
         self.bits, self.prime = prime_bits, (1 << prime_bits) - 1
         rng = np.random.default_rng(seed)
         self.bases = [int(x) for x in rng.integers(self.prime // 4, self.prime - 1, 2)]
         self.letters = rng.integers(1, self.prime, (2, 256), dtype=np.uint64)
+        self.moduli, self.spare = [(self.bits, 1)] * 2, 0
+        if second_bits and second_bits < prime_bits:
+            p = (1 << second_bits) - BELOW[second_bits]
+            self.moduli[1], self.spare = (second_bits, BELOW[second_bits]), 64 - prime_bits - second_bits
+            self.bases[1] = p // 4 + self.bases[1] % (p // 2)
+            self.letters[1] = self.letters[1] % np.uint64(p - 1) + np.uint64(1)
 
     def of_bytes(self, data: np.ndarray) -> list[np.ndarray]:
         return [letters[data] for letters in self.letters]
@@ -43,39 +66,43 @@ class Rolling:
     def of_numbers(self, x: np.ndarray) -> list[np.ndarray]:
         return [B.mix(x.astype(np.uint64) * np.uint64(odd)) % np.uint64(self.prime) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
-    def powers(self, base: int, n: int) -> np.ndarray:
+    def powers(self, base: int, n: int, prime: int | None = None) -> np.ndarray:
         """The first n powers of a number, modulo the prime."""
-        out, p = np.ones(1, np.uint64), self.prime
+        out, p = np.ones(1, np.uint64), prime or self.prime
         while len(out) < n:
             out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % np.uint64(p)])
         return out[:n]
 
     def keys(self, values: list[np.ndarray], length: int) -> np.ndarray:
         """A key for each window, slice by slice."""
-        n, p, bits = max(0, len(values[0]) - length + 1), np.uint64(self.prime), np.uint64(self.bits)
+        n = max(0, len(values[0]) - length + 1)
         out = np.zeros(n, np.uint64)
         size = min(n, B.SLICE)
-        powers = [(self.powers(b, size + length), self.powers(pow(b, -1, self.prime), size)) for b in self.bases] if n else []
+        parts = []
+        for v, base, (bits, less) in zip(values, self.bases, self.moduli, strict=True) if n else ():
+            p = (1 << bits) - less
+            parts.append((v, self.powers(base, size + length, p), self.powers(pow(base, -1, p), size, p), np.uint64(p), np.uint64(bits), np.uint64((1 << bits) - 1), np.uint64(less)))
+        place = np.uint64(self.moduli[1][0] if self.spare else 32)
         for a in range(0, n, B.SLICE):
             b = min(a + B.SLICE, n)
-            for v, (up, down) in zip(values, powers, strict=True):
+            for v, up, down, p, bits, low, less in parts:
                 x = v[a : b + length - 1] * up[: b - a + length - 1]
                 running = np.zeros(len(x) + 1, np.uint64)
-                np.cumsum((x & p) + (x >> bits), out=running[1:])
+                np.cumsum((x & low) + ((x >> bits) if less == 1 else (x >> bits) * less), out=running[1:])
                 x = (running[length:] - running[:-length]) % p
                 x *= down[: b - a]
                 x %= p
-                out[a:b] <<= np.uint64(32)
+                out[a:b] <<= place
                 out[a:b] |= x
-        return B.mix(out)
+        return spread(out, 64 - self.spare) << np.uint64(self.spare) if self.spare else B.mix(out)
 
 
 class Windows:
     """The windows of one block that take part: positions in order, keys, and what stands before and last in each."""
 
-    def __init__(self, at: np.ndarray, keys: np.ndarray, tags: list[np.ndarray], bits: int, starts: np.ndarray | None = None):
-        """starts: positions where texts start. Before a window that has no window to its left, the tag doesn't count."""
-        self.at, self.sorted = at, B.Keys(keys, bits)
+    def __init__(self, at: np.ndarray, keys: np.ndarray, tags: list[np.ndarray], bits: int, starts: np.ndarray | None = None, spare: int = 0):
+        """starts: positions where texts start. Before a window that has no window to its left, the tag doesn't count. spare: zero bits at the end of all keys; they don't travel."""
+        self.at, self.sorted, self.spare = at, B.Keys(keys, bits), np.uint64(spare)
         self.fresh = np.ones(len(at), bool)
         self.fresh[1:] = at[1:] != at[:-1] + 1
         if starts is not None and len(starts) and len(at):
@@ -97,7 +124,7 @@ class Windows:
                 part = slice(k.cuts[b], k.cuts[b + 1])
                 own = k.unique[part]
                 flags = B.squeeze(np.packbits(np.concatenate([k.often[part], base[part]])))
-                rows.append((int(b), block, len(own), B.squeeze(np.diff(own, prepend=np.uint64(0))), flags, [B.squeeze(t[part]) for t in firsts]))
+                rows.append((int(b), block, len(own), B.squeeze(np.diff(own >> self.spare, prepend=np.uint64(0))), flags, [B.squeeze(t[part]) for t in firsts]))
         return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "flags", "tags"])
 
     def answered(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
