@@ -211,6 +211,26 @@ def test_long_lines_may_differ_in_three_words(spark, monkeypatch):
         assert got == gone
 
 
+def test_long_lines_make_no_variants(spark, monkeypatch):
+    """Lines that runs of words find anyway: their variants were most of what travelled. Lengths around each bound, against brute force."""
+    rnd = random.Random(6)
+    lines = []
+    for n in (7, 8, 14, 15, 16, 17, 22, 23, 24, 25, 26):
+        for _ in range(6):
+            w = [f"w{rnd.randrange(900)}" for _ in range(n)]
+            lines += [w, w[1:], [*w, "end"], [*w[:3], "x", *w[4:]], ["a", "b", *w], [*w[:2], *w[3:6], *w[7:-1]]]
+    rnd.shuffle(lines)
+    seen, near_drops = [], line_dedup._near_drops
+    monkeypatch.setattr(line_dedup, "_near_drops", lambda cand: seen.extend(len(r.words.split()) for r in cand.collect()) or near_drops(cand))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.drop_repeated_lines(df).collect() if r["_n_removed"]}
+    assert got == {i for i, w in enumerate(lines) if any(v == w or plain_distance(v, w) <= min(3, min(len(v), len(w)) // 8) for v in lines[:i])}
+    assert seen and max(seen) <= line_dedup.LONG
+    size = np.array([15, 16, 23, 24, 60])
+    who, _ = line_dedup.Hashed(np.arange(size.sum(), dtype=np.uint64) << np.uint64(40), size).grams()
+    assert np.bincount(who).tolist() == [6, 11, 11, 16, 16]
+
+
 def test_decontaminate(spark):
     rnd = random.Random(2)
     vocab = [f"v{i}" for i in range(300)]

@@ -44,10 +44,10 @@ TAGGED = "kind int, bucket int, block long, n int, keys binary, local binary, ta
 ANSWER = "block long, kind int, bucket int, n int, bits binary"
 
 
-def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(limit: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, base = 0, TaskContext.get().partitionId() << 32
-        squeeze = zstandard.ZstdCompressor(level=6).compress
+        squeeze = zstandard.ZstdCompressor(level=level).compress
         ids: list[int | None] = []
         sizes: list[int] = []
         parts: list[bytes] = []
@@ -81,13 +81,13 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return pack
 
 
-def store(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs as a stored table of blocks (columns BLOCK), bucketed by block; carry: more columns to keep, as JSON."""
+def store(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, level: int = 6) -> DataFrame:
+    """The rows of docs as a stored table of blocks (columns BLOCK), bucketed by block; carry: more columns to keep, as JSON; level: zstd's."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.to_json(F.struct(*[docs[c] for c in carry])).alias("extra")] if carry else []))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return by_block(rows.mapInArrow(_pack(block_bytes), BLOCK), max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE_BYTES))
+    return by_block(rows.mapInArrow(_pack(block_bytes, level), BLOCK), max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // FILE_BYTES))
 
 
 def by_block(rows: DataFrame, n: int | None = None, like: DataFrame | None = None) -> DataFrame:
@@ -298,7 +298,7 @@ def _differing(pdf: pd.DataFrame) -> pd.DataFrame:
     keys = [np.frombuffer(x, "<u8") for x in pdf["keys"]]
     local = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(pdf["local"], pdf["n"], strict=True)]
     k, t = np.concatenate(keys), np.concatenate([np.frombuffer(x, "<u8") for x in pdf["tags"]])
-    order = np.lexsort((t, k))
+    order = np.argsort(k)  # a key's tags are all equal if each equals the next, in any order
     s, t = k[order], t[order]
     mixed = s[1:][(s[1:] == s[:-1]) & (t[1:] != t[:-1])]
     mixed = np.unique(np.concatenate([mixed, k[np.concatenate(local)]]))

@@ -2,14 +2,17 @@
 
 A line is its words. Lines are equal if their words are; they are near if so few words inserted, deleted or replaced make them equal as
 `bound` allows: one for each full WORDS_PER_EDIT words of the shorter line, EDITS at most. A line goes if an equal or near line stands earlier (smaller document id,
-then smaller line number). Lines one edit apart agree on their first or their last half (one edit can't touch both), so only lines that share a half
+then smaller line number).
+
+Two edits are allowed from LONG words on, so pairs with a shorter line than that are one edit apart, and neither line has more than LONG words. They
+agree on their first or their last half (one edit can't touch both), so only lines up to LONG words that share a half
 with a different line, anywhere in the corpus, emit variants: the half's key with the other half whole and with each of
 its words deleted, hashed to 124 bits from running sums, so that the work grows with the line and not with its square. Two lines are near exactly if they share a variant with the same deleted place, or one's whole
 with the other's deletion; both are minima per variant, so a template that thousands of lines fill in makes no pairs. What is found
 is verified by edit distance.
 
-For more than one edit the variants would be too many. Such lines share a run of GRAM words, even one of the
-few that are least by hash in each (an edit touches GRAM runs at most). Only lines that share such a run with a different line
+For more than one edit the variants would be too many. Lines of LONG words and more share a run of GRAM words, even one of the
+few that are least by hash in each (an edit touches GRAM runs at most), and that holds for those one edit apart as well. Only lines that share such a run with a different line
 travel, as signatures (parities of word hashes, of which an edit changes two at most), once per shared run; those that share one are compared in parts of bounded size. A
 line emits the earliest and the most alike of the lines that may be near, never all, and these are verified by edit distance. A line that had more
 to offer, and neither verified, is compared with all of them by its words.
@@ -42,7 +45,6 @@ WORDS_PER_EDIT, EDITS = 8, 3
 LONG = 2 * WORDS_PER_EDIT
 #: At e edits, e * WORDS_PER_EDIT - e untouched words lie in e + 1 stretches: one has as many words as this.
 GRAM = 5
-LEAST = GRAM * EDITS + 1
 #: Lines of one part of those that share a run; rows and bytes that a task compares, about.
 PART, TASK_ROWS, TASK_BYTES = 1024, 20_000, 8 << 20
 LAST = (1 << 63) - 1
@@ -50,6 +52,8 @@ LAST = (1 << 63) - 1
 _FEW = 24
 LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, grams array<long>, signs array<long>, words string"
 VARIANTS = "variant binary, pos int, doc long, line int, lid binary"
+#: Bytes whose words are hashed at once: their arrays stay in the processor's cache.
+_SLICE = 1 << 16
 #: Bytes of white space, and white space of several bytes in UTF-8: what separates words, as in str.split().
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
 _WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -103,7 +107,7 @@ class Hashed:
         return line[order], size[order], key[order]
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key of 44 bits): of each line the LEAST different runs of GRAM words that are least by key."""
+        """(line, key of 44 bits): of each line the different runs of GRAM words that are least by key, one more than its edits can touch."""
         h, none = self.words, np.zeros(0, np.uint64)
         if len(h) < GRAM:
             return none.astype(np.int64), none
@@ -117,7 +121,9 @@ class Hashed:
         both = np.sort(owner[fits] << np.uint64(44) | key[fits] >> np.uint64(20))
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
         owner = (both >> np.uint64(44)).astype(np.int64)
-        few = np.arange(len(owner)) - np.searchsorted(owner, owner) < LEAST
+        n = np.bincount(owner, minlength=len(self.size))
+        least = GRAM * np.minimum(EDITS, self.size // WORDS_PER_EDIT) + 1
+        few = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(least, n)
         return owner[few], both[few] << np.uint64(20)
 
     def signs(self) -> np.ndarray:
@@ -153,8 +159,9 @@ class Lines:
     def __init__(self, row):
         self.data, offsets = B.texts(row)
         n = len(self.data)
+        self.raw = self.data.tobytes()
         space, edge = _SPACE[self.data], np.zeros(n + 1, bool)
-        for m in _WIDE.finditer(self.data):
+        for m in () if self.raw.isascii() else _WIDE.finditer(self.raw):
             space[m.start() : m.end()] = True
         edge[offsets] = True
         before, after = edge.copy(), edge
@@ -162,20 +169,20 @@ class Lines:
         after[:n] |= space
         self.start, self.end = np.flatnonzero(~space & before[:n]), np.flatnonzero(~space & after[1:]) + 1
         breaks = np.flatnonzero(self.data == 10)
-        text, past = np.searchsorted(offsets, self.start, "right") - 1, np.searchsorted(breaks, self.start)
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (past[1:] != past[:-1])
+        new = np.zeros(len(self.start) + 1, bool)
+        new[np.searchsorted(self.start, offsets[:-1])] = True
+        new[np.searchsorted(self.start, breaks)] = True
+        new = new[:-1]
         self.first = np.flatnonzero(new)
-        self.size = np.diff(np.append(self.first, len(text)))
-        self.row = text[self.first]
-        self.number = past[self.first] - np.searchsorted(breaks, offsets)[self.row]
+        self.size = np.diff(np.append(self.first, len(new)))
+        self.row = np.searchsorted(offsets, self.start[self.first], "right") - 1
+        self.number = np.searchsorted(breaks, self.start[self.first]) - np.searchsorted(breaks, offsets)[self.row]
         # lines whose words have one blank between them are cut out as they stand
         single = new.copy()
         single[1:] |= (self.start[1:] - self.end[:-1] == 1) & (self.data[self.end[:-1]] == 32)
         self.plain = np.logical_and.reduceat(single, self.first) if len(self.first) else single
         last = self.first + self.size - 1
         self.spans = list(zip(self.start[self.first].tolist(), self.end[last].tolist(), self.plain.tolist(), strict=True))
-        self.raw = self.data.tobytes()
 
     def line(self, i: int) -> bytes:
         """The words of a line, one blank between them."""
@@ -190,7 +197,7 @@ class Lines:
         out, i = np.empty(len(self.start), np.uint64), 0
         while i < len(out):  # words of one slice of the block
             a = int(self.start[i])
-            j = max(i + 1, int(np.searchsorted(self.end, a + B.SLICE, "right")))
+            j = max(i + 1, int(np.searchsorted(self.end, a + _SLICE, "right")))
             running = B.sums(B.letters(self.data[a : self.end[j - 1]]))
             out[i:j] = B.span_keys(running, self.start[i:j] - a, self.end[i:j] - a)
             i = j
@@ -294,8 +301,8 @@ def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
     doc, line, size = (rows[c].to_numpy(np.int64) for c in ("doc", "line", "size"))
     order = np.lexsort((line, doc, unit))
     unit, doc, line, size = unit[order], doc[order], line[order], size[order]
-    signs, asks = np.stack(rows["signs"].to_numpy()).view(np.uint64)[order], rows["asks"].to_numpy(bool)[order]
-    lids = [rows["lid"].iat[i] for i in order.tolist()]
+    signs, asks = np.stack([rows["sign"], rows["sign_2"]], axis=1).view(np.uint64)[order], rows["asks"].to_numpy(bool)[order]
+    lids = rows["lid"].to_numpy()[order].tolist()
     n = len(unit)
     new = np.concatenate([[True], unit[1:] != unit[:-1]])
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -331,7 +338,7 @@ def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
 
 
 def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
-    """lid, partner, sure among lines that share a run (gram, lid, doc, line, size, signs, asks and, to verify at once, words)."""
+    """lid, partner, sure among lines that share a run (gram, lid, doc, line, size, sign, sign_2, asks and, to verify at once, words)."""
     sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
     large = scratch.stored(sizes.filter(F.col("n") > PART).select("gram", F.ceil(F.col("n") / PART).alias("parts")), "large")
     tasks = max(1, rows.count() // TASK_ROWS, n_bytes // TASK_BYTES)
@@ -351,8 +358,9 @@ def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
 
 def _far_drops(cand: DataFrame) -> DataFrame:
     """lid: long lines that have an earlier near line. cand: lid, words, grams, signs, first (their earliest place)."""
-    rows = cand.select(F.explode("grams").alias("gram"), "lid", "first.doc", "first.line", (F.size(F.split("words", " "))).alias("size"), "signs", F.lit(True).alias("asks"))
-    rows = scratch.stored(rows, "grams")
+    own = ["lid", "doc", "line", "size", "sign", "sign_2"]  # of a line, made before its runs are dealt out
+    rows = cand.select("grams", "lid", "first.doc", "first.line", (F.size(F.split("words", " "))).alias("size"), F.col("signs")[0].alias("sign"), F.col("signs")[1].alias("sign_2"))
+    rows = rows.select(F.explode("grams").alias("gram"), *own, F.lit(True).alias("asks"))  # not stored: cheaper to deal out again than to write
     found = _partners(rows, 0).groupBy("lid", "partner").agg(F.min("sure").alias("sure"))
     found = scratch.stored(found, "found")
     sure = scratch.stored(_verified(found.select("lid", "partner"), cand).select("lid").distinct(), "sure")
@@ -360,9 +368,9 @@ def _far_drops(cand: DataFrame) -> DataFrame:
     if rest.isEmpty():
         return sure
     # lines that had more to offer than what was tried: their runs again, with words
-    asking = rows.drop("asks").join(rest.withColumn("asks", F.lit(True)), "lid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    runs = asking.filter("asks").select("gram").distinct()
-    worded = scratch.stored(asking.join(runs, "gram").join(cand.select("lid", "words"), "lid"), "worded")
+    runs = scratch.stored(rows.join(rest, "lid").select("gram").distinct(), "runs")
+    asking = rows.drop("asks").join(runs, "gram").join(rest.withColumn("asks", F.lit(True)), "lid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    worded = scratch.stored(asking.join(cand.select("lid", "words"), "lid"), "worded")
     n_bytes = worded.agg(F.sum(F.length("words"))).first()[0] or 0
     return sure.union(_partners(worded, n_bytes).select("lid")).distinct()
 
@@ -370,7 +378,7 @@ def _far_drops(cand: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with the text rewritten, and _n_lines, _n_removed."""
     rest = [c for c in docs.columns if c != text_col]
-    table = B.store(docs, id_col, text_col, carry=rest)
+    table = B.store(docs, id_col, text_col, carry=rest, level=1)
     bits = B.key_bits(table)
 
     def scan(row):
@@ -380,11 +388,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         some, once = np.flatnonzero(lines.size >= WORDS_PER_EDIT), np.zeros(len(keys), bool)
         once[some[np.unique(keys[some], return_index=True)[1]]] = True
         every, own = keys[once], lines.hashed().only(once)
-        who, size, halves = own.halves()
-        long = own.size >= LONG
+        short, long = own.size <= LONG, own.size >= LONG
+        who, size, halves = own.only(short).halves()
         far = own.only(long)
         which, grams = far.grams()
-        near_by = every[who], size, B.Keys(halves, bits)
+        near_by = every[short][who], size, B.Keys(halves, bits)
         runs = every[long][which], grams, B.Keys(grams, bits)
         return lines, keys, B.Keys(keys, bits), near_by, runs, (every[long], far)
 
