@@ -111,11 +111,8 @@ class Hashed:
         h, none = self.words, np.zeros(0, np.uint64)
         if len(h) < GRAM:
             return none.astype(np.int64), none
-        key = np.zeros(len(h) - GRAM + 1, np.uint64)
-        for i in range(GRAM):
-            key = (key ^ h[i : i + len(key)]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        key = B.mix(key)
+        running = B.sums(h)
+        key = B.mix((running[GRAM:] - running[:-GRAM]) * B.powers(len(h))[1][: len(h) - GRAM + 1])
         owner = np.repeat(np.arange(len(self.size), dtype=np.uint64), self.size)[: len(key)]
         fits = np.arange(len(key)) + GRAM <= np.repeat(self.end, self.size)[: len(key)]
         both = np.sort(owner[fits] << np.uint64(44) | key[fits] >> np.uint64(20))
@@ -293,8 +290,8 @@ def _reduced(i: np.ndarray, j: np.ndarray, away: np.ndarray) -> tuple[np.ndarray
     return np.concatenate([i[first], i[alike[other]]]), np.concatenate([j[first], j[alike[other]]]), np.concatenate([both, both[other]])
 
 
-def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
-    """(lid, partner, sure) of the rows that ask: the earliest and the most alike of the earlier lines of their unit that may be near, and whether these are all.
+def _compared(unit: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+    """lid, partner, sure, each pair once, of the rows that ask: the earliest and the most alike of the earlier lines of their unit that may be near, and whether these are all.
 
     With words, the partner is verified and sure.
     """
@@ -302,7 +299,7 @@ def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
     order = np.lexsort((line, doc, unit))
     unit, doc, line, size = unit[order], doc[order], line[order], size[order]
     signs, asks = np.stack([rows["sign"], rows["sign_2"]], axis=1).view(np.uint64)[order], rows["asks"].to_numpy(bool)[order]
-    lids = rows["lid"].to_numpy()[order].tolist()
+    who, lids = pd.factorize(rows["lid"].to_numpy()[order])
     n = len(unit)
     new = np.concatenate([[True], unit[1:] != unit[:-1]])
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -316,6 +313,12 @@ def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
         ok = (away <= 2 * allowed[..., None]).all(axis=-1) & (np.abs(size[i] - size[j]) <= allowed)
         return i[ok], j[ok], away[ok].sum(axis=-1)
 
+    def pairs(i: np.ndarray, j: np.ndarray, sure: np.ndarray) -> pd.DataFrame:
+        pair, at = np.unique(who[i] * len(lids) + who[j], return_inverse=True)
+        every = np.ones(len(pair), bool)
+        every[at[~sure]] = False
+        return pd.DataFrame({"lid": lids[pair // max(1, len(lids))], "partner": lids[pair % max(1, len(lids))], "sure": every})
+
     some = np.flatnonzero(asks & (before > start))
     words = [x.split(" ") for x in rows["words"].iloc[order]] if "words" in rows else None
     if words is not None:
@@ -323,8 +326,9 @@ def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
         for i in some.tolist():
             j = np.arange(start[i], before[i])
             _, few, _ = close(np.full(len(j), i), j)
-            found += [(lids[i], lids[j], True) for j in [j for j in few.tolist() if near(words[j], words[i])][:1]]
-        return found
+            found += [(i, j) for j in [j for j in few.tolist() if near(words[j], words[i])][:1]]
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pairs(i, j, np.ones(len(i), bool))
     small = some[before[some] - start[some] <= _FEW]
     parts = [(np.zeros(0, np.int64),) * 3]
     for back in range(1, int((small - start[small]).max(initial=0)) + 1):  # all units side by side
@@ -334,7 +338,7 @@ def _compared(unit: np.ndarray, rows: pd.DataFrame) -> list[tuple]:
     for i in some[before[some] - start[some] > _FEW].tolist():
         j = np.arange(start[i], before[i])
         out.append(_reduced(*close(np.full(len(j), i), j)))
-    return [(lids[i], lids[j], bool(sure)) for a, b, c in out for i, j, sure in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)]
+    return pairs(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
 def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
@@ -349,7 +353,7 @@ def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
     parted = parted.withColumn("unit", F.xxhash64(pair)).withColumn("task", F.when(F.col("parts") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(tasks))))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(sorted(set(_compared(pdf["unit"].to_numpy(), pdf))), columns=["lid", "partner", "sure"])
+        out = _compared(pdf["unit"].to_numpy(), pdf)
         release()
         return out
 
@@ -413,17 +417,20 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for k, g in zip(who[met].tolist(), grams[met].view(np.int64).tolist(), strict=True):
             own_runs.setdefault(k, []).append(g)
         signs = dict(zip(long.tolist(), far.signs().view(np.int64).tolist(), strict=True)) if own_runs else {}
-        out, at = [], np.flatnonzero(again | np.isin(keys, key[shared]) | np.isin(keys, who[met]))
+        out, sent, at = [], set(), np.flatnonzero(again | np.isin(keys, key[shared]) | np.isin(keys, who[met]))
         for i, r, n, k in zip(at.tolist(), lines.row[at].tolist(), lines.number[at].tolist(), keys[at].tolist(), strict=True):
-            doc, found, run, line = row.ids[r], own_halves.get(k, []), own_runs.get(k, []), lines.line(i)
-            out.append((xxhash.xxh3_128_digest(line), LAST if doc is None or doc != doc else int(doc), n, row.block, r, found, run, signs[k] if run else None, line.decode("utf-8", "replace") if found or run else None))
+            doc, line = row.ids[r], lines.line(i)
+            lid = xxhash.xxh3_128_digest(line)
+            found, run = ([], []) if lid in sent else (own_halves.get(k, []), own_runs.get(k, []))
+            sent.add(lid)
+            out.append((lid, LAST if doc is None or doc != doc else int(doc), n, row.block, r, found, run, signs[k] if run else None, line.decode("utf-8", "replace") if found or run else None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
     places = scratch.stored(B.meet(table, answers, emit, LINES), "places")
     first = scratch.stored(places.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("words").alias("words"), F.max("halves").alias("halves"), F.max("grams").alias("grams"), F.max("signs").alias("signs")), "first")
     drops = scratch.stored(_near_drops(first.filter("size(halves) > 0")), "near")
     drops = drops.select("lid").union(scratch.stored(_far_drops(first.filter("size(grams) > 0")), "far")).distinct()
-    verdict = scratch.stored(first.select("lid", "first").join(drops.select("lid", F.lit(True).alias("gone")), "lid", "left"), "verdict")
+    verdict = first.select("lid", "first").join(drops.select("lid", F.lit(True).alias("gone")), "lid", "left")
     gone = places.select("lid", "doc", "line", "block", "row").join(verdict, "lid").filter((F.struct("doc", "line") != F.col("first")) | F.col("gone"))
     cut = gone.groupBy("block").agg(F.collect_list(F.struct("row", "line")).alias("cut"))
 
