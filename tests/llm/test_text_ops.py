@@ -231,6 +231,26 @@ def test_long_lines_make_no_variants(spark, monkeypatch):
     assert np.bincount(who).tolist() == [6, 11, 11, 16, 16]
 
 
+def test_near_lines_share_a_piece():
+    """Up to three edits anywhere, also around the bounds of stretches and of ranges of lengths; and a line sends few keys."""
+    rnd = random.Random(8)
+    for n in (*range(16, 60), 80, 81, 82, 121, 200):
+        for _ in range(60):
+            a = [rnd.getrandbits(60) for _ in range(n)]
+            b, places = list(a), [rnd.choice((0, n // 4, n // 3, n // 2, n - n // 4, n - 1, rnd.randrange(n))) for _ in range(line_dedup.EDITS)]
+            for p in places[: line_dedup.bound(n)]:
+                kind, p = rnd.randrange(3), min(p, len(b) - 1)
+                b[p : p + (kind < 2)] = [] if kind == 0 else [rnd.getrandbits(60)]
+            few = min(len(a), len(b))
+            if few < line_dedup.LONG or plain_distance(a, b) > line_dedup.bound(few):
+                continue
+            who, keys = line_dedup.Hashed(np.array(a + b, np.uint64), np.array([len(a), len(b)])).pieces(np.arange(2))
+            assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist()), (n, places)
+    size = np.array([16, 23, 24, 25, 26, 35, 36, 38, 39, 60, 500])
+    who, _ = line_dedup.Hashed(np.arange(size.sum(), dtype=np.uint64) << np.uint64(40), size).pieces(np.arange(len(size)))
+    assert np.bincount(who).tolist() == [4, 4, 10, 10, 6, 6, 12, 12, 6, 6, 6]
+
+
 def test_decontaminate(spark):
     rnd = random.Random(2)
     vocab = [f"v{i}" for i in range(300)]

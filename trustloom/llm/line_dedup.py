@@ -11,9 +11,12 @@ its words deleted, hashed to 124 bits from running sums, so that the work grows
 with the other's deletion; both are minima per variant, so a template that thousands of lines fill in makes no pairs. What is found
 is verified by edit distance.
 
-For more than one edit the variants would be too many. Lines of LONG words and more share a run of GRAM words, even one of the
-few that are least by hash in each (an edit touches GRAM runs at most), and that holds for those one edit apart as well. Only lines that share such a run with a different line
-travel, as signatures (parities of word hashes, of which an edit changes two at most), once per shared run; those that share one are compared in parts of bounded size. A
+For more than one edit the variants would be too many. Lines of LONG words and more that are near share one of a few *pieces*, whatever the edits (one included). A piece has as many words
+as the shorter line's range of lengths leaves room for: at three edits the first, the second, the last but one and the last stretch of a line, at two edits all but the last but one. If the first or the last
+stretch is untouched, it is shared as it stands. Otherwise each has an edit, and at most one is left for all else: some inner stretch is untouched, and the stretch outside it has exactly one edit. So the inner one moved by one
+word at most; it is read at two places, one word further in as well (inner stretches have a word more), and two lines' places agree for each such move. Each range of lengths has pieces of its own, and a
+line that its edits could shorten into the range below has both. Only lines that share a piece with a different line
+travel, as signatures (parities of word hashes, of which an edit changes two at most), once per shared piece; those that share one are compared in parts of bounded size. A
 line emits the earliest and the most alike of the lines that may be near, never all, and these are verified by edit distance. A line that had more
 to offer, and neither verified, is compared with all of them by its words.
 
@@ -24,9 +27,7 @@ results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from copy import copy
 from itertools import chain
 
 import numpy as np
@@ -40,23 +41,29 @@ from . import scratch
 from . import windows as W
 from .memory import release
 
+#: Hashed.pieces() holds for three edits at most.
 WORDS_PER_EDIT, EDITS = 8, 3
 #: Words of the shortest lines that two edits are allowed for.
 LONG = 2 * WORDS_PER_EDIT
-#: At e edits, e * WORDS_PER_EDIT - e untouched words lie in e + 1 stretches: one has as many words as this.
+#: Words of a run in Hashed.grams().
 GRAM = 5
-#: Lines of one part of those that share a run; rows and bytes that a task compares, about.
+#: Lengths of lines that have pieces of one size: each range's least length is so many times that of the range below.
+RANGE = 1.5
+#: Lines of one part of those that share a piece; rows and bytes that a task compares, about.
 PART, TASK_ROWS, TASK_BYTES = 1024, 20_000, 8 << 20
 LAST = (1 << 63) - 1
 #: Earlier lines of a unit that are compared for many units at once.
 _FEW = 24
-LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, grams array<long>, signs array<long>, words string"
+LINES = "lid binary, doc long, line int, block long, row int, halves array<int>, pieces array<long>, signs array<long>, words string"
 VARIANTS = "variant binary, pos int, doc long, line int, lid binary"
 #: Bytes whose words are hashed at once: their arrays stay in the processor's cache.
 _SLICE = 1 << 16
 #: Bytes of white space, and white space of several bytes in UTF-8: what separates words, as in str.split().
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
-_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_SPACE = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
+_WIDE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+#: For each byte: 1 if it is white space, 2 if white space of several bytes starts with it.
+_KINDS = bytes(1 if x in _SPACE else 2 if x in {c.encode()[0] for c in _WIDE} else 0 for x in range(256))
+_CODES = np.array(sorted(int.from_bytes(c.encode().ljust(3, b"\0")) for c in _WIDE))
 
 
 def bound(words: int) -> int:
@@ -64,9 +71,15 @@ def bound(words: int) -> int:
     return min(EDITS, words // WORDS_PER_EDIT)
 
 
-def _halves(n: int) -> list[int]:
-    """Signed sizes of the stretches of n words that a line one edit apart must share one of: positive from the start, negative from the end."""
-    return [x for h in sorted({n // 2, (n + 1) // 2}) for x in (h, -h)]
+def _ranges(most: int) -> Iterator[tuple[int, int, int, int]]:
+    """(least, end, edits, words of a piece) of each range of lengths of a shorter line, up to those of lines of `most` words."""
+    low = LONG
+    while low <= most:
+        edits = bound(low)
+        end = max(int(low * RANGE), low + 1) if edits == EDITS else (edits + 1) * WORDS_PER_EDIT
+        # e + 1 stretches, of which the inner ones have a word more
+        yield low, end, edits, (low - edits + 1) // (edits + 1)
+        low = end
 
 
 class Hashed:
@@ -75,44 +88,46 @@ class Hashed:
     def __init__(self, words: np.ndarray, size: np.ndarray):
         """words: of all lines, one after another; size: words of each line."""
         self.words, self.size = words, size
-        self._place()
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        self.running = B.sums(self.words)
 
     @classmethod
     def of(cls, lines: list[list[str]]) -> Hashed:
         size = np.fromiter(map(len, lines), np.int64, len(lines))
         return cls(np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lines)), np.uint64, int(size.sum())), size)
 
-    def _place(self) -> None:
-        self.end = np.cumsum(self.size)
-        self.start = self.end - self.size
-
-    def only(self, some: np.ndarray) -> Hashed:
-        """Those of the lines that a mask chooses."""
-        out = copy(self)
-        out.words, out.size = self.words[np.repeat(some, self.size)], self.size[some]
-        out._place()
-        return out
-
-    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, signed size, key) of all halves: equal halves have equal keys, and keys only choose what is looked at."""
-        n = self.size
-        some, more = n // 2, (n + 1) // 2
-        line = np.concatenate([np.arange(len(n))] * 2 + [np.flatnonzero(some != more)] * 2)
-        odd = some != more
-        size = np.concatenate([some, -some, more[odd], -more[odd]])
-        a = np.where(size > 0, self.start[line], self.end[line] + size)
-        b = np.where(size > 0, self.start[line] + size, self.end[line])
-        key = B.mix(B.span_keys(B.sums(self.words), a, b) + size.astype(np.uint64))
-        order = np.argsort(line, kind="stable")
-        return line[order], size[order], key[order]
+    def _stretches(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """Keys of the stretches of `size` words from word `at` of each line on; those with one tag and equal words have equal keys, and keys only choose what is looked at."""
+        a = self.start[line] + at
+        return B.mix(B.span_keys(self.running, a, a + size) + tag.astype(np.uint64))
+
+    def halves(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, signed size, key) of the stretches that a line one edit apart must share one of: the first and the last half, rounded down and up; sizes from the end are negative."""
+        n = self.size[some]
+        odd = n % 2 == 1
+        line = np.concatenate([some] * 2 + [some[odd]] * 2)
+        size = np.concatenate([n // 2, -(n // 2), n[odd] // 2 + 1, -(n[odd] // 2 + 1)])
+        return line, size, self._stretches(line, np.where(size > 0, 0, self.size[line] + size), np.abs(size), size)
+
+    def pieces(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of the pieces of some lines; two lines of LONG words or more that are near have one in common."""
+        n, parts = self.size[some], [(np.zeros(0, np.int64),) * 4]
+        for k, (low, end, edits, size) in enumerate(_ranges(int(n.max(initial=0)))):
+            line = some[(n >= low) & (n < end + edits)]
+            last = self.size[line] - size
+            inner = [(1, np.full(len(line), size + x)) for x in (0, 1)] + [(2, last - size - x) for x in (0, 1) if edits > 2]
+            for kind, at in [(0, np.zeros(len(line), np.int64)), *inner, (3, last)]:
+                parts.append((line, at, np.full(len(line), size), np.full(len(line), 4 * k + kind)))
+        line, at, size, tag = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return line, self._stretches(line, at, size, tag)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key of 44 bits): of each line the different runs of GRAM words that are least by key, one more than its edits can touch."""
+        """(line, key of 44 bits), another filter than pieces(), with over twice the keys: of each line the different runs of GRAM words that are least by key, one more than its edits can touch."""
         h, none = self.words, np.zeros(0, np.uint64)
         if len(h) < GRAM:
             return none.astype(np.int64), none
-        running = B.sums(h)
-        key = B.mix((running[GRAM:] - running[:-GRAM]) * B.powers(len(h))[1][: len(h) - GRAM + 1])
+        key = B.mix((self.running[GRAM:] - self.running[:-GRAM]) * B.powers(len(h))[1][: len(h) - GRAM + 1])
         owner = np.repeat(np.arange(len(self.size), dtype=np.uint64), self.size)[: len(key)]
         fits = np.arange(len(key)) + GRAM <= np.repeat(self.end, self.size)[: len(key)]
         both = np.sort(owner[fits] << np.uint64(44) | key[fits] >> np.uint64(20))
@@ -123,13 +138,13 @@ class Hashed:
         few = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(least, n)
         return owner[few], both[few] << np.uint64(20)
 
-    def signs(self) -> np.ndarray:
-        """Two words of 64 parities for each line: how often, modulo 2, its words' hashes have each residue."""
-        one, out = np.uint64(1), np.zeros((len(self.size), 2), np.uint64)
-        full = np.flatnonzero(self.size)
-        for i in range(2 if len(full) else 0):
-            bits = one << (self.words >> np.uint64(6 * i) & np.uint64(63))
-            out[full, i] = np.bitwise_xor.reduceat(bits, self.start[full])
+    def signs(self, some: np.ndarray) -> np.ndarray:
+        """Two words of 64 parities for each of some lines with words: how often, modulo 2, its words' hashes have each residue."""
+        out, words = np.zeros((len(some), 2), np.uint64), self.words[np.repeat(np.isin(np.arange(len(self.size)), some), self.size)]
+        size = self.size[some]
+        for i in range(2 if len(some) else 0):
+            bits = np.uint64(1) << (words >> np.uint64(6 * i) & np.uint64(63))
+            out[:, i] = np.bitwise_xor.reduceat(bits, np.cumsum(size) - size)
         return out
 
 
@@ -157,14 +172,25 @@ class Lines:
         self.data, offsets = B.texts(row)
         n = len(self.data)
         self.raw = self.data.tobytes()
-        space, edge = _SPACE[self.data], np.zeros(n + 1, bool)
-        for m in () if self.raw.isascii() else _WIDE.finditer(self.raw):
-            space[m.start() : m.end()] = True
-        edge[offsets] = True
-        before, after = edge.copy(), edge
-        before[1:] |= space
-        after[:n] |= space
-        self.start, self.end = np.flatnonzero(~space & before[:n]), np.flatnonzero(~space & after[1:]) + 1
+        kinds = np.frombuffer(self.raw.translate(_KINDS), np.uint8)
+        word = kinds != 1
+        at = np.flatnonzero(kinds == 2)
+        if len(at):
+            data = np.append(self.data, np.zeros(2, np.uint8))
+            b = [data[at + i].astype(np.int64) for i in range(3)]
+            two = b[0] == 0xC2
+            code = b[0] << 16 | b[1] << 8 | np.where(two, 0, b[2])
+            wide = np.isin(code, _CODES)
+            for i in range(3):
+                word[at[wide & ~(two & (i == 2))] + i] = False
+        start, end = word.copy(), word.copy()
+        start[1:] &= ~word[:-1]
+        end[:-1] &= ~word[1:]
+        edge = offsets[offsets < n]
+        start[edge] = word[edge]
+        edge = offsets[offsets > 0] - 1
+        end[edge] = word[edge]
+        self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         breaks = np.flatnonzero(self.data == 10)
         new = np.zeros(len(self.start) + 1, bool)
         new[np.searchsorted(self.start, offsets[:-1])] = True
@@ -251,7 +277,7 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _near_drops(cand: DataFrame) -> DataFrame:
-    """lid, partner: lines that have an earlier near line. cand: lid, words, halves, first (their earliest place)."""
+    """lid, partner: short lines and an earlier line that by hashes is near, once for each lid. cand: lid, words, halves, first (their earliest place)."""
     n = int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     emitted = cand.select("first.doc", "first.line", "lid", "words", "halves").repartition(n).mapInPandas(_variants, VARIANTS)
     emitted = scratch.stored(emitted.select("variant", "pos", F.struct("doc", "line", "lid").alias("o"), (F.col("pos") == -1).alias("whole")), "variants")
@@ -262,8 +288,7 @@ def _near_drops(cand: DataFrame) -> DataFrame:
     earlier = lambda c: F.when(F.col(c) < F.col("o"), F.col(c))
     cuts = rows.filter("not whole").join(place, ["variant", "pos"]).select("o", F.least(earlier("same"), earlier("self")).alias("p"))
     wholes = rows.filter("whole").select("o", earlier("cut").alias("p"))
-    found = cuts.union(wholes).filter("p is not null").groupBy(F.col("o.lid").alias("lid")).agg(F.min("p").alias("p")).select("lid", F.col("p.lid").alias("partner"))
-    return _verified(found, cand)
+    return cuts.union(wholes).filter("p is not null").groupBy(F.col("o.lid").alias("lid")).agg(F.min("p").alias("p")).select("lid", F.col("p.lid").alias("partner"))
 
 
 def _verified(found: DataFrame, cand: DataFrame) -> DataFrame:
@@ -342,14 +367,14 @@ def _compared(unit: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
-    """lid, partner, sure among lines that share a run (gram, lid, doc, line, size, sign, sign_2, asks and, to verify at once, words)."""
-    sizes = rows.groupBy("gram").agg(F.count("*").alias("n"))
-    large = scratch.stored(sizes.filter(F.col("n") > PART).select("gram", F.ceil(F.col("n") / PART).alias("parts")), "large")
+    """lid, partner, sure among lines that share a piece (piece, lid, doc, line, size, sign, sign_2, asks and, to verify at once, words)."""
+    sizes = rows.groupBy("piece").agg(F.count("*").alias("n"))
+    large = scratch.stored(sizes.filter(F.col("n") > PART).select("piece", F.ceil(F.col("n") / PART).alias("parts")), "large")
     tasks = max(1, rows.count() // TASK_ROWS, n_bytes // TASK_BYTES)
     own = F.pmod(F.xxhash64("lid"), "parts")
-    parted = rows.join(large, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    parted = rows.join(large, "piece", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
     parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pair = F.struct("gram", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    pair = F.struct("piece", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     parted = parted.withColumn("unit", F.xxhash64(pair)).withColumn("task", F.when(F.col("parts") > 1, F.col("unit")).otherwise(F.pmod("unit", F.lit(tasks))))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -357,23 +382,23 @@ def _partners(rows: DataFrame, n_bytes: int) -> DataFrame:
         release()
         return out
 
-    return parted.drop("gram", "parts", "own", "other").groupBy("task").applyInPandas(compare, "lid binary, partner binary, sure boolean")
+    return parted.drop("piece", "parts", "own", "other").groupBy("task").applyInPandas(compare, "lid binary, partner binary, sure boolean")
 
 
-def _far_drops(cand: DataFrame) -> DataFrame:
-    """lid: long lines that have an earlier near line. cand: lid, words, grams, signs, first (their earliest place)."""
-    own = ["lid", "doc", "line", "size", "sign", "sign_2"]  # of a line, made before its runs are dealt out
-    rows = cand.select("grams", "lid", "first.doc", "first.line", (F.size(F.split("words", " "))).alias("size"), F.col("signs")[0].alias("sign"), F.col("signs")[1].alias("sign_2"))
-    rows = rows.select(F.explode("grams").alias("gram"), *own, F.lit(True).alias("asks"))  # not stored: cheaper to deal out again than to write
-    found = _partners(rows, 0).groupBy("lid", "partner").agg(F.min("sure").alias("sure"))
-    found = scratch.stored(found, "found")
+def _drops(cand: DataFrame) -> DataFrame:
+    """lid: lines that have an earlier near line. cand: lid, words, halves, pieces, signs, first (their earliest place)."""
+    own = ["lid", "doc", "line", "size", "sign", "sign_2"]  # of a line, made before its pieces are dealt out
+    rows = cand.filter("size(pieces) > 0").select("pieces", "lid", "first.doc", "first.line", (F.size(F.split("words", " "))).alias("size"), F.col("signs")[0].alias("sign"), F.col("signs")[1].alias("sign_2"))
+    rows = rows.select(F.explode("pieces").alias("piece"), *own, F.lit(True).alias("asks"))  # not stored: cheaper to deal out again than to write
+    pairs = _near_drops(cand.filter("size(halves) > 0")).withColumn("sure", F.lit(True)).union(_partners(rows, 0))
+    found = scratch.stored(pairs.groupBy("lid", "partner").agg(F.min("sure").alias("sure")), "found")
     sure = scratch.stored(_verified(found.select("lid", "partner"), cand).select("lid").distinct(), "sure")
     rest = scratch.stored(found.filter("not sure").select("lid").distinct().join(sure, "lid", "left_anti"), "rest")
     if rest.isEmpty():
         return sure
-    # lines that had more to offer than what was tried: their runs again, with words
-    runs = scratch.stored(rows.join(rest, "lid").select("gram").distinct(), "runs")
-    asking = rows.drop("asks").join(runs, "gram").join(rest.withColumn("asks", F.lit(True)), "lid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    # lines that had more to offer than what was tried: their pieces again, with words
+    shared = scratch.stored(rows.join(rest, "lid").select("piece").distinct(), "pieces")
+    asking = rows.drop("asks").join(shared, "piece").join(rest.withColumn("asks", F.lit(True)), "lid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     worded = scratch.stored(asking.join(cand.select("lid", "words"), "lid"), "worded")
     n_bytes = worded.agg(F.sum(F.length("words"))).first()[0] or 0
     return sure.union(_partners(worded, n_bytes).select("lid")).distinct()
@@ -386,50 +411,46 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = B.key_bits(table)
 
     def scan(row):
-        """All lines with words and their keys; and of each different one that may be near another: halves, runs, signatures."""
+        """All lines with words and their keys; and of each different one that may be near another: halves, pieces, hashes of words."""
         lines = Lines(row)
         keys = lines.keys()
         some, once = np.flatnonzero(lines.size >= WORDS_PER_EDIT), np.zeros(len(keys), bool)
         once[some[np.unique(keys[some], return_index=True)[1]]] = True
-        every, own = keys[once], lines.hashed().only(once)
-        short, long = own.size <= LONG, own.size >= LONG
-        who, size, halves = own.only(short).halves()
-        far = own.only(long)
-        which, grams = far.grams()
-        near_by = every[short][who], size, B.Keys(halves, bits)
-        runs = every[long][which], grams, B.Keys(grams, bits)
-        return lines, keys, B.Keys(keys, bits), near_by, runs, (every[long], far)
+        each, hashed = np.flatnonzero(once), lines.hashed()
+        who, size, halves = hashed.halves(each[lines.size[each] <= LONG])
+        which, pieces = hashed.pieces(each[lines.size[each] >= LONG])
+        return lines, keys, B.Keys(keys, bits), (keys[who], size, B.Keys(halves, bits)), (which, pieces, B.Keys(pieces, bits)), hashed
 
     def ask(row):
-        *_, by_line, (key, _, halves), (who, _, runs), _ = scan(row)
-        return pd.concat([by_line.tagged(row.block, 1), halves.tagged(row.block, 2, key), runs.tagged(row.block, 3, who)])
+        _, keys, by_line, (key, _, by_half), (which, _, by_piece), _ = scan(row)
+        return pd.concat([by_line.tagged(row.block, 1), by_half.tagged(row.block, 2, key), by_piece.tagged(row.block, 3, keys[which])])
 
     answers = scratch.stored(B.repeated_by_kind(B.each(table, ask, B.TAGGED), bits), "lines")
 
     def emit(row, said):
-        lines, keys, by_line, (key, size, halves), (who, grams, runs), (long, far) = scan(row)
+        lines, keys, by_line, (key, size, by_half), (which, pieces, by_piece), hashed = scan(row)
         again = by_line.answered(said[said.kind == 1])
-        shared, met = halves.answered(said[said.kind == 2]), runs.answered(said[said.kind == 3])
+        shared, met = by_half.answered(said[said.kind == 2]), by_piece.answered(said[said.kind == 3])
         own_halves: dict[int, list[int]] = {}
         for k, h in zip(key[shared].tolist(), size[shared].tolist(), strict=True):
             own_halves.setdefault(k, []).append(h)
-        own_runs: dict[int, list[int]] = {}
-        for k, g in zip(who[met].tolist(), grams[met].view(np.int64).tolist(), strict=True):
-            own_runs.setdefault(k, []).append(g)
-        signs = dict(zip(long.tolist(), far.signs().view(np.int64).tolist(), strict=True)) if own_runs else {}
-        out, sent, at = [], set(), np.flatnonzero(again | np.isin(keys, key[shared]) | np.isin(keys, who[met]))
+        who, own_pieces = keys[which[met]], {}
+        for k, g in zip(who.tolist(), pieces[met].view(np.int64).tolist(), strict=True):
+            own_pieces.setdefault(k, set()).add(g)
+        far = np.unique(which[met])
+        signs = dict(zip(keys[far].tolist(), hashed.signs(far).view(np.int64).tolist(), strict=True))
+        out, sent, at = [], set(), np.flatnonzero(again | np.isin(keys, key[shared]) | np.isin(keys, who))
         for i, r, n, k in zip(at.tolist(), lines.row[at].tolist(), lines.number[at].tolist(), keys[at].tolist(), strict=True):
             doc, line = row.ids[r], lines.line(i)
             lid = xxhash.xxh3_128_digest(line)
-            found, run = ([], []) if lid in sent else (own_halves.get(k, []), own_runs.get(k, []))
+            found, own = ([], []) if lid in sent else (own_halves.get(k, []), sorted(own_pieces.get(k, ())))
             sent.add(lid)
-            out.append((lid, LAST if doc is None or doc != doc else int(doc), n, row.block, r, found, run, signs[k] if run else None, line.decode("utf-8", "replace") if found or run else None))
+            out.append((lid, LAST if doc is None or doc != doc else int(doc), n, row.block, r, found, own, signs[k] if own else None, line.decode("utf-8", "replace") if found or own else None))
         return pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
     places = scratch.stored(B.meet(table, answers, emit, LINES), "places")
-    first = scratch.stored(places.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("words").alias("words"), F.max("halves").alias("halves"), F.max("grams").alias("grams"), F.max("signs").alias("signs")), "first")
-    drops = scratch.stored(_near_drops(first.filter("size(halves) > 0")), "near")
-    drops = drops.select("lid").union(scratch.stored(_far_drops(first.filter("size(grams) > 0")), "far")).distinct()
+    first = scratch.stored(places.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.max("words").alias("words"), F.max("halves").alias("halves"), F.max("pieces").alias("pieces"), F.max("signs").alias("signs")), "first")
+    drops = scratch.stored(_drops(first.filter("words is not null")), "drops")
     verdict = first.select("lid", "first").join(drops.select("lid", F.lit(True).alias("gone")), "lid", "left")
     gone = places.select("lid", "doc", "line", "block", "row").join(verdict, "lid").filter((F.struct("doc", "line") != F.col("first")) | F.col("gone"))
     cut = gone.groupBy("block").agg(F.collect_list(F.struct("row", "line")).alias("cut"))
