@@ -121,6 +121,33 @@ def test_issue_states_and_report(spark):
     assert [r.detail.split("/")[2] for r in sorted((r for r in got if r.section == "corrections"), key=lambda r: r.place)] == [str(i) for i in range(24, 4, -1)]
 
 
+def test_quality_report_is_whole(spark):
+    issues = spark.createDataFrame([("t", None, "duplicate", "error", 3, "ignored"), ("t", "c", "invalid_date", "warning", 1, "open")], "dataset string, column_name string, issue_type string, severity string, affected_rows long, status string")
+    scores = spark.createDataFrame([(f"t{i}", 0.5 + i / 100) for i in range(30)], "dataset string, overall double")
+    schemas = spark.createDataFrame([("ERP", "date", 0.5), ("ERP", "vendor", 1.0)], "source_type string, role string, frequency double")
+    fixes = spark.createDataFrame([("t", "c", "normalize_date", str(i), "x", 0.7, "pending" if i else "applied", i) for i in range(25)], "dataset string, column_name string, correction_type string, original string, corrected string, confidence double, status string, seq int")
+    got = {(r.metric, r.key): r.n for r in Q.quality_report(issues, scores, fixes, schemas).collect()}
+    assert {k: n for (m, k), n in got.items() if m == "total"} == {"schemas": 2, "issues": 2, "critical": 1, "open": 1, "corrections": 25, "pending": 24, "scored": 30}
+    assert got["issue_status", "ignored"] == got["issue_status", "open"] == 1 and got["correction", "applied"] == 1 and got["below_0.7", "all"] == 20
+    assert {k for m, k in got if m == "attention"} == {f"t{i}" for i in range(20)}  # all of them, not ten
+    assert got["schema", "ERP/date"] == 0.5 and got["issue", "t/duplicate/error/ignored"] == 3
+    assert {k for m, k in got if m == "latest_correction"} == {f"t/c/normalize_date/{i}/x" for i in range(5, 25)}
+
+
+def test_quality_report_counts_duplicate_removals(spark, tmp_path):
+    """A repeated row of line items is a correction that the report counts and lists."""
+    from trustloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    for t in ("customer", "part", "orders"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.union(lines.limit(1)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.metric, r.key): r.n for r in catalogue.QUERIES["quality_report"](spark, str(tmp_path)).collect()}
+    assert got["latest_correction", "shipments/remove_duplicate"] == 0.7
+    assert got["total", "corrections"] == got["correction", "pending"] == 1 + catalogue.QUERIES["report_board"](spark, str(tmp_path)).filter("detail = 'pending'").first().value
+
+
 def test_spikes_and_new_services(spark):
     rows = [("a", f"2024-{m:02d}-15", 10.0 + m % 2) for m in range(1, 7)] + [("a", "2024-07-01", 99.0), ("a", "2025-03-01", 50.0), ("b", "2025-03-02", 5.0), ("b", None, 1.0)]
     facts = spark.createDataFrame(rows, "service string, day string, cost double").withColumn("day", F.to_date("day"))
