@@ -129,6 +129,25 @@ def test_simhash_links_across_tiles(spark):
         assert b == n or (b ^ n).bit_count() > 4 or got[b] == got[n]
 
 
+def test_simhash_compares_few_pairs_and_loses_none(spark, monkeypatch):
+    """Fingerprints meet over shared stretches of bits: a small share of all pairs, but every near pair, in small groups, long runs and tiles alike."""
+    rnd = random.Random(5)
+    flip = lambda x, n: x ^ sum(1 << i for i in rnd.sample(range(64), n))
+    apart, one = [rnd.getrandbits(64) for _ in range(1500)], rnd.getrandbits(64)
+    group = [flip(one, rnd.randrange(5)) for _ in range(200)]  # a long run of one stretch
+    values = sorted({x - (1 << 64) if x >> 63 else x for x in [*apart, *[flip(x, rnd.randrange(1, 7)) for x in apart[:300]], *group, *[flip(x, 3) for x in group[:60]]]})
+    frame_of = lambda xs: spark.createDataFrame([(x - (1 << 64) if x >> 63 > 0 else x,) for x in xs], "f long")
+    df = frame_of(values)
+    near = [(a, b) for i, a in enumerate(values) for b in values[:i] if ((a ^ b) % 2**64).bit_count() <= 4]
+    sizes = Counter(r.key for r in simhash.stretches(frame_of(apart), "f", 4).collect())
+    assert sum(n * (n - 1) // 2 for n in sizes.values()) < 0.002 * len(apart) ** 2 / 2  # tiles by bit count compared half of them
+    want = {r.node: r.root for r in components(spark.createDataFrame(near, "a long, b long"), "a", "b").collect()}
+    groups = lambda found: {frozenset(k for k in found if found[k] == r) for r in set(found.values())}
+    monkeypatch.setattr(simhash, "UNIT", 700)
+    for tile in (8192, 90, 7):
+        assert groups({r.node: r.root for r in components(simhash.links(df, "f", 4, tile), "a", "b").collect()}) == groups(want)
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "x long, y long"), "x", "y").collect()}
