@@ -4,12 +4,14 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_text_ops import plain_lines, plain_print
 from trustloom.llm import decontaminate, scratch, simhash
+from trustloom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -110,6 +112,45 @@ def test_similar_parts(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == [0, 50, 51]
 
 
+def test_long_texts_without_shared_shingles_are_no_candidates(spark):
+    """Of long texts, counts by residue and wide fingerprints tell little: at many of them all were one component, and all its sets met."""
+    rnd = random.Random(2)
+    data = [(" ".join(f"w{rnd.randrange(9999)}" for _ in range(2500)),) for _ in range(250)]
+    prints = [plain_print(t, 5) for (t,) in data]
+    assert any((a ^ b).bit_count() <= simhash.WIDE_RADIUS for i, a in enumerate(prints) for b in prints[:i])
+    signed = spark.createDataFrame(data, "text string").select(simhash.signatures("text", 5).alias("s")).select("s.*")
+    assert simhash.candidates(signed, simhash.WIDE_RADIUS, 0.8).count() == 0
+    twice = spark.createDataFrame([*data, *[(t + " end",) for (t,) in data[:9]]], "text string").select(simhash.signatures("text", 5).alias("s")).select("s.*")
+    for tile in (4096, 1):
+        assert len({frozenset(r) for r in simhash.candidates(twice, simhash.WIDE_RADIUS, 0.8, tile).collect()}) == 9
+
+
+def test_parts_that_meet_again(spark, monkeypatch):
+    """Groups of copies that only a member of another part links, and members that are like none, in parts of a few members: as one part says."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    edit = lambda w, n: [f"x{rnd.randrange(10**6)}" if i in rnd.sample(range(300), n) else v for i, v in enumerate(w)]
+    data = []
+    for _ in range(12):
+        own = edit(base, 4)
+        data += [own, *[edit(own, rnd.randrange(1, 9)) for _ in range(5)]]
+    sets = [np.unique(np.array([hash(tuple(w[i : i + 5])) % 2**64 for i in range(296)], "<u8")) for w in data]
+    rows = [(7, i, s.tobytes()) for i, s in enumerate(sets)]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if both >= 0.8 * (len(a) + len(b) - both):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = {frozenset(i for i, x in enumerate(label) if x == r) for r in set(label)}
+    assert 1 < len(want) < len(sets)
+    members = spark.createDataFrame(rows, "root long, node long, shingles binary")
+    for part in (512, 20, 4, 2):
+        monkeypatch.setattr(simhash, "PART", part)
+        found = {r.node: r.root for r in components(simhash.similar_links(members, 0.8), "a", "b").collect()}
+        assert {frozenset(k for k in range(len(sets)) if found.get(k, k) == r) for r in {found.get(k, k) for k in range(len(sets))}} == want
+
+
 def test_leaks(spark, stages):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items = decontaminate.Items(bench).items

@@ -11,16 +11,18 @@ one shingle of all words. Null ids: they take no part in the choice of the compo
 the rest (null if no member has an id). Repeated rows get a row each. Other columns are not read.
 
 `one_of_each` is for a contract on similarity: texts are linked if their sets of shingles have a Jaccard similarity of so much at
-least. Equal sets collapse; fingerprints (of the sets) within a wider radius are candidates. Two exact bounds thin them out: the
-sizes of similar sets differ by the similarity at most, so only tiles of the same or the next size band meet, and sets differ by as
+least. Equal sets collapse. Sets that share one of their KEYS smallest hashes meet, and are candidates if their fingerprints (of the sets) are within a
+wider radius. Two exact bounds thin them out: the sizes of similar sets differ by the similarity at most, and sets differ by as
 much at least as counts of their hashes by residue do. Components of candidates, in parts of bounded size, then get the sets
-themselves and emit a spanning forest of the pairs that are similar. Only the radius can lose a pair.
+themselves and emit a spanning forest of the pairs that are similar.
+
+What can lose a pair is the radius, and for sets of 5 * KEYS hashes and more their smallest hashes: none is shared only if of the union's hashes, in their
+order, KEYS that one set alone has come before the first that both have; at a similarity of 0.8 that has a probability of 0.2^16 (under
+1e-11) at most. Smaller sets share one surely, as a similar set lacks less than KEYS of their hashes.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -39,12 +41,16 @@ _HASHES = 1 << 15
 #: For one_of_each: at 0.8, fingerprints of sets differ by 9.7 bits on average, with a standard deviation of 2.9.
 WIDE_RADIUS = 18
 WIDE_TILE = 4096
+WIDE_UNIT = 1 << 14
+KEYS = 16
 _RESIDUES = 64
 #: Names of a pair of tiles.
 PAIR = ["p_left", "p_left_part", "p_right", "p_right_part"]
 _PAIRS = 1 << 16
 #: Members and bytes of one part of a component of candidates.
 PART, PART_BYTES = 512, 8 << 20
+#: A hash in more than so many sets of two parts is counted by a product of matrices, of so many columns at once.
+_FEW, _COLUMNS = 16, 2048
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -207,9 +213,9 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 
 def signatures(text_col: str, shingle: int):
-    """node (a hash of the set of shingles), f (the set's fingerprint), n (its size), counts (hashes by residue, 255 at most)."""
+    """node (a hash of the set of shingles), f (the set's fingerprint), n (its size), counts (hashes by residue, 255 at most), keys (the smallest hashes)."""
 
-    @F.pandas_udf("node long, f long, n int, counts binary")
+    @F.pandas_udf("node long, f long, n int, counts binary, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for x in texts:
@@ -219,9 +225,9 @@ def signatures(text_col: str, shingle: int):
                 votes += np.unpackbits(h[i : i + _HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             f = np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0]
             counts = np.minimum(np.bincount((h % np.uint64(_RESIDUES)).astype(np.int64), minlength=_RESIDUES), 255)
-            out.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64), f, len(h), counts.astype(np.uint8).tobytes()))
+            out.append((np.uint64(xxhash.xxh64_intdigest(h.tobytes())).astype(np.int64), f, len(h), counts.astype(np.uint8).tobytes(), h[:KEYS].view(np.int64)))
         release()
-        return pd.DataFrame(out, columns=["node", "f", "n", "counts"])
+        return pd.DataFrame(out, columns=["node", "f", "n", "counts", "keys"])
 
     return of(F.col(text_col))
 
@@ -241,87 +247,129 @@ def _deal(tiles: DataFrame, pairs: DataFrame, left: list[str], right: list[str],
 
 
 def candidates(nodes: DataFrame, radius: int, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
-    """a, b: enough links to connect all pairs of nodes (node, f, n, counts) within the radius that may be as similar."""
-    base = math.log(1 / (similarity - 0.01))  # a little wide: rounding must not tear a pair apart
-    some = nodes.filter("n > 0").select("node", "f", "n", "counts", F.floor(F.log("n") / base).cast("int").alias("band"))
-    sizes = {r.band: r["count"] for r in some.groupBy("band").count().collect()}  # a row per power of the similarity
-    if not sizes:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    cuts = F.element_at(F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, -(-v // tile))]), F.col("band"))
-    lists = [F.collect_list(c).alias(c) for c in ("node", "f", "n", "counts")]
-    tiles = scratch.stored(some.groupBy("band", F.pmod(F.xxhash64("node"), cuts).alias("part")).agg(*lists), "tiles")
-    first = tiles.select("band", "part", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band2"))
-    second = tiles.select(F.col("band").alias("band2"), F.col("part").alias("part2"))
-    pairs = first.join(second, "band2").filter("band2 > band or part2 >= part")
-    dealt = _deal(tiles, pairs, ["band", "part"], ["band2", "part2"], ["node", "f", "n", "counts"])
+    """a, b: enough links to connect all pairs of nodes (node, f, n, counts, keys) that share a key, are within the radius, and may be as similar."""
     loose = (1 - similarity) / (1 + similarity)
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key")  # most keys are in one set only
+    shared = scratch.stored(shared, "shared")
+    told = scratch.stored(shared.join(nodes.select("node", "f", "n", "counts"), "node").drop("m"), "told")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def accept_of(n: np.ndarray, counts: np.ndarray):
+        def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            ok = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6
+            at = np.flatnonzero(ok)
+            ok[at] = np.abs(counts[x[at]] - counts[y[at]]).sum(axis=1, dtype=np.int64) <= loose * (n[x[at]] + n[y[at]]) + 1e-6
+            return ok
+
+        return accept
+
+    def spread(counts) -> np.ndarray:
+        return np.frombuffer(b"".join(counts), np.uint8).reshape(-1, _RESIDUES).astype(np.int16)
+
+    def small(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        node, first, who = np.unique(pdf["node"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        label = np.arange(len(node))
+        accept = accept_of(pdf["n"].to_numpy(np.int64)[first], spread(pdf["counts"].iloc[first]))
+        _link_runs(label, who, pdf["key"].to_numpy(np.int64), pdf["f"].to_numpy(np.int64).view(np.uint64), radius, accept)
+        release()
+        return _forest_of(node, label)
+
+    def large(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("side")
-        same = len(pdf) == 1
         node, f, n = (np.concatenate([np.asarray(x, np.int64) for x in pdf[c]]) for c in ("node", "f", "n"))
-        counts = np.frombuffer(b"".join(x for tile in pdf["counts"] for x in tile), np.uint8).reshape(-1, _RESIDUES).astype(np.int16)
-        cut = 0 if same else len(pdf["node"].iloc[0])
-        f, label = f.view(np.uint64), np.arange(len(node))
-        for at in range(0, cut or len(node), _STRIP):
-            strip = f[at : min(at + _STRIP, cut or len(node))]
-            i, j = np.nonzero(np.bitwise_count(strip[:, None] ^ f[None, cut:]) <= radius)
-            i, j = i + at, j + cut
-            for k in range(0, len(i), _PAIRS):
-                x, y = i[k : k + _PAIRS], j[k : k + _PAIRS]
-                ok = (label[x] != label[y]) & (x < y) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-6)
-                x, y = x[ok], y[ok]
-                ok = np.abs(counts[x] - counts[y]).sum(axis=1, dtype=np.int64) <= loose * (n[x] + n[y]) + 1e-6
-                for u, v in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-                    if label[u] != label[v]:
-                        label[label == label[v]] = label[u]
+        label, cut = np.arange(len(node)), len(pdf["node"].iloc[0])
+        accept = accept_of(n, spread(x for tile in pdf["counts"] for x in tile))
+        _link(label, label.copy(), f.view(np.uint64), radius, accept, slice(0, cut), slice(0 if len(pdf) == 1 else cut, len(node)))
         release()
-        return _forest_of(node, _rooted(label))
+        return _forest_of(node, label)
+
+    return _meet(told, shared.groupBy("key").agg(F.count("*").alias("m")), ["node", "f", "n", "counts"], tile, WIDE_UNIT, small, large)
+
 
-    return dealt.groupBy(*PAIR).applyInPandas(compare, "a long, b long")
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes the sets i < j share, at [i, j]. Hashes in few sets are counted pair by pair, the others by products of matrices."""
+    m = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), np.fromiter(map(len, sets), np.int64, m))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    cut = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
+    size = np.diff(cut)
+    after = np.where(np.repeat(size, size) <= _FEW, np.repeat(cut[1:], size) - np.arange(len(flat)) - 1, 0)
+    both, at, d = np.zeros(m * m, np.float32), np.flatnonzero(after), 1
+    while len(at):
+        both += np.bincount(owner[at] * m + owner[at + d], minlength=m * m)
+        d += 1
+        at = at[after[at] >= d]
+    both = both.reshape(m, m)
+    many = np.flatnonzero(size > _FEW)
+    for k in range(0, len(many), _COLUMNS):
+        runs = many[k : k + _COLUMNS]
+        of = np.repeat(np.arange(len(runs)), size[runs])
+        start = np.repeat(cut[runs] - np.concatenate([[0], np.cumsum(size[runs])[:-1]]), size[runs])
+        held = np.zeros((m, len(runs)), np.float32)
+        held[owner[start + np.arange(len(of))], of] = 1
+        both += held @ held.T
+    return both
 
 
-def _rooted(label: np.ndarray) -> np.ndarray:
-    """Labels as places of members that bear them."""
-    _, first, group = np.unique(label, return_index=True, return_inverse=True)
-    return first[group]
+def _parts():
+    return F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum(F.length("shingles")) / PART_BYTES)).alias("parts")
 
 
 def similar_links(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: enough links to connect all similar pairs inside components. members: root, node, shingles (hashes, packed)."""
-    size = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum(F.length("shingles")) / PART_BYTES)).alias("parts"))
-    lists = [F.collect_list(c).alias(c) for c in ("node", "shingles")]
-    tiles = members.join(size, "root").groupBy("root", F.pmod(F.xxhash64("node"), "parts").alias("part"), "parts").agg(*lists)
+    """a, b: enough links to connect all similar pairs inside components. members: root, node, shingles (hashes, packed).
+
+    Components of one part share bins of about a part's size; only pairs of one component count. Of the others, all parts first meet the first of them.
+    Where there are more than two, members are dealt out again by what they are linked with: large groups of linked members needn't meet themselves, all else does.
+    """
+    lists = [F.collect_list(c).alias(c) for c in ("comp", "node", "shingles")]
+    bins = members.agg(_parts()).first().parts or 1
+    dealt = members.join(members.groupBy("root").agg(_parts()), "root").withColumn("comp", F.col("root")).withColumn("root", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")))
+    tiles = dealt.groupBy("root", F.pmod(F.xxhash64("node"), "parts").alias("part"), "parts").agg(*lists)
     tiles = scratch.stored(tiles, "parts")
-    pairs = tiles.select("root", "part", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part2"), F.col("root").alias("root2"))
-    dealt = _deal(tiles, pairs, ["root", "part"], ["root2", "part2"], ["node", "shingles"])
+    pairs = tiles.select("root", F.col("part").alias("part2")).join(tiles.groupBy("root").agg(F.min("part").alias("part")), "root").withColumn("root2", F.col("root"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        node = np.concatenate([np.asarray(x, np.int64) for x in pdf["node"]])
+        comp, node = (np.concatenate([np.asarray(x, np.int64) for x in pdf[c]]) for c in ("comp", "node"))
         sets = [np.frombuffer(x, "<u8") for part in pdf["shingles"] for x in part]
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        flat, owner, label = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.arange(len(sets))
-        for i, own in enumerate(sets):
-            if (label == label[i]).all():
-                continue
-            at = np.searchsorted(own, flat)
-            at[at == len(own)] = 0
-            both = np.bincount(owner[own[at] == flat], minlength=len(sets))
-            near = both >= similarity * (sizes + len(own) - both) - 1e-9
-            label[np.isin(label, label[near])] = label[i]
+        sizes, label = np.fromiter(map(len, sets), np.float64, len(sets)), np.arange(len(sets))
+        both = _shared(sets)
+        x, y = np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9, 1))
+        same = comp[x] == comp[y]
+        _merge(label, x[same], y[same])
         release()
-        return _forest_of(node, _rooted(label))
+        return _forest_of(node, label)
 
-    return dealt.groupBy(*PAIR).applyInPandas(compare, "a long, b long")
+    def met(dealt: DataFrame) -> DataFrame:
+        return dealt.groupBy(*PAIR).applyInPandas(compare, "a long, b long")
+
+    first = met(_deal(tiles, pairs, ["root", "part"], ["root2", "part2"], ["comp", "node", "shingles"]))
+    many = tiles.filter("parts > 2").select("root").distinct()
+    if many.isEmpty():
+        return first
+    first = scratch.stored(first, "first")
+    label = components(first, "a", "b").select("node", F.col("root").alias("label"))
+    again = members.join(many, "root").withColumn("comp", F.col("root")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    solid = again.groupBy("root", "label").agg(F.count("*").alias("m")).filter(F.col("m") >= PART).select("label", F.lit(True).alias("solid"))
+    again = scratch.stored(again.join(solid, "label", "left").withColumn("label", F.when(F.col("solid"), F.col("label"))), "again")  # null: not in a large group
+    sizes = again.groupBy("root", "label").agg(_parts()).select(F.col("root").alias("r"), F.col("label").alias("l"), "parts")
+    parts = again.join(sizes, (F.col("root") == F.col("r")) & F.col("label").eqNullSafe(F.col("l")))
+    tiles = parts.groupBy("root", "label", F.pmod(F.xxhash64("node"), "parts").alias("part")).agg(*lists)
+    tiles = scratch.stored(tiles.withColumn("name", F.xxhash64(F.array(F.col("root"), F.coalesce("label", "root"), F.col("label").isNull().cast("long"), "part"))), "groups")
+    left, right = (tiles.select("root", F.col("label").alias(f"l{i}"), F.col("name").alias(f"n{i}")) for i in (0, 1))
+    pairs = left.join(right, "root").filter("n0 <= n1 and (l0 is null or l1 is null or l0 <> l1)")
+    pairs = pairs.select(F.col("n0").alias("name"), "root", F.col("n1").alias("name2"), F.col("root").alias("root2"))
+    return first.union(met(_deal(tiles, pairs, ["name", "root"], ["name2", "root2"], ["comp", "node", "shingles"])))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
     """Of each component of similar texts the row of docs with the smallest id (any of them, where ids repeat or are null)."""
     small_batches(docs.sparkSession)
     signed = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id")).alias("order"), signatures(text_col, shingle).alias("s"))
-    once = signed.select("doc", "order", "s.*").groupBy("node").agg(F.min_by("doc", "order").alias("doc"), F.min("order").alias("order"), *[F.any_value(c).alias(c) for c in ("f", "n", "counts")])
+    once = signed.select("doc", "order", "s.*").groupBy("node").agg(F.min_by("doc", "order").alias("doc"), F.min("order").alias("order"), *[F.any_value(c).alias(c) for c in ("f", "n", "counts", "keys")])
     once = scratch.stored(once, "once")
-    member = scratch.stored(components(candidates(once.select("node", "f", "n", "counts"), radius, similarity), "a", "b"), "members")
+    member = scratch.stored(components(candidates(once.select("node", "f", "n", "counts", "keys"), radius, similarity), "a", "b"), "members")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
